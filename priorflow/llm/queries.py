@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, license_scan, line_dedup, sharding
+from . import decontam, license_scan, line_dedup, near_dup, resample, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,19 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents drawn; those left out are rejected."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    drawn = resample.resample(docs, _table(spark, sf_dir, "labels"))
+    return drawn.filter("kept").select("doc_id", "importance", "gumbel_key")
+
+
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document with its class, the smallest doc_id in it."""
+    classes = near_dup.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return classes.select(F.col("id").alias("doc_id"), "class_id", "class_size", "links")
+
+
 def op7_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_records(_table(spark, sf_dir, "documents"), n_shards=8)
     return placed.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot")
@@ -47,6 +60,8 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_license_scan": op2_license_scan,
+    "op3_importance_resampling": op3_importance_resampling,
+    "op5_near_duplicates": op5_near_duplicates,
     "op7_slot_sharding": op7_slot_sharding,
     "op8_decontamination": op8_decontamination,
     "op9_line_dedup": op9_line_dedup,
