@@ -2,18 +2,37 @@
 
 from __future__ import annotations
 
+import os
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from . import decontam, license_scan, line_dedup, near_dup, resample, sharding
+from . import decontam, lang_crf, license_scan, line_dedup, near_dup, packing, resample, scratch, sharding, token_files, vamana
+
+#: Folder of the public vocabulary files on every machine; set this variable where it differs.
+VOCABULARIES = os.environ.get("PRIORFLOW_VOCABULARIES", "/opt/tokenizers")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _vocabulary(name: str) -> str:
+    if os.path.isdir(VOCABULARIES):
+        return os.path.join(VOCABULARIES, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_vamana_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return vamana.nearest(vectors, vectors.filter(F.col("vec_id") % 50 == 0), k=5)
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = license_scan.scan_licenses(docs).drop("text")
@@ -31,12 +50,27 @@ def op3_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.filter("kept").select("doc_id", "importance", "gumbel_key")
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch.new_path(spark, "token-files")
+    token_files.write_files(_table(spark, sf_dir, "documents"), path, _vocabulary("word_bpe_49k.json"), end_id=2)
+    digest = T.StructType([T.StructField("ids_crc32", T.LongType())])
+    return token_files.read_files(spark, path, zlib.crc32, digest).withColumnRenamed("id", "doc_id")
+
+
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document with its class, the smallest doc_id in it."""
     classes = near_dup.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return classes.select(F.col("id").alias("doc_id"), "class_id", "class_size", "links")
 
 
+def op6_histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digest = lambda ids, start, length: F.crc32(F.substring(ids, (4 * start + 1).cast("int"), (4 * length).cast("int")))
+    pieces = packing.pack_documents(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), end_id=0, size=1024, payload=digest)
+    return pieces.select(
+        F.col("id").alias("doc_id"), "start", "length", F.col("payload").alias("ids_crc32"), F.col("n_tokens").alias("doc_tokens"), "sequence_id", "offset"
+    )
+
+
 def op7_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_records(_table(spark, sf_dir, "documents"), n_shards=8)
     return placed.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot")
@@ -58,13 +92,22 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op10_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lang_crf.identify(_table(spark, sf_dir, "documents"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_vamana_neighbours": op1_vamana_neighbours,
     "op2_license_scan": op2_license_scan,
     "op3_importance_resampling": op3_importance_resampling,
+    "op4_token_files": op4_token_files,
     "op5_near_duplicates": op5_near_duplicates,
+    "op6_histogram_packing": op6_histogram_packing,
     "op7_slot_sharding": op7_slot_sharding,
     "op8_decontamination": op8_decontamination,
     "op9_line_dedup": op9_line_dedup,
+    "op10_language_crf": op10_language_crf,
 }
 
 _WORDS = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
