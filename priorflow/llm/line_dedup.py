@@ -111,6 +111,7 @@ def dedup_lines(
     min_docs: int = 3,
     batches: int = 4,
     fan_out: int = 2,
+    spread: int = 16,
 ) -> DataFrame:
     """``docs`` with repeated lines removed from the text, plus ``n_lines`` and ``n_dropped``.
 
@@ -133,8 +134,11 @@ def dedup_lines(
     for batch in range(batches):
         store.add(postings.filter(F.col("batch") == batch).select("h1", "h2", "id"))
     repeated = store.merged().filter(F.col("n_docs") >= min_docs).select("h1", "h2", "max_id")
+    # a line that a third of all documents hold is dealt to ``spread`` tasks
+    repeated = repeated.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
     lost = (
-        postings.join(repeated, ["h1", "h2"])
+        postings.withColumn("part", F.pmod("row", F.lit(spread)).cast("int"))
+        .join(repeated, ["h1", "h2", "part"])
         .filter(~F.col("id").eqNullSafe(F.col("max_id")))
         .groupBy("row")
         .agg(F.collect_set(F.struct("h1", "h2")).alias("lost"))
