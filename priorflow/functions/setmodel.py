@@ -13,8 +13,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-_SET_SCHEMA = "p_set double, games_a double, games_b double, p_tiebreak double"
+_SET_SCHEMA = T.StructType([T.StructField(n, T.DoubleType()) for n in ("p_set", "games_a", "games_b", "p_tiebreak")])
 
 
 def set_table(pa: np.ndarray, pb: np.ndarray) -> dict[str, np.ndarray]:

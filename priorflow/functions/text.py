@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Letters with marks that decompose to an ASCII letter, and those letters (built by rule).
 _MARKED = [c for c in map(chr, range(0xC0, 0x250)) if unicodedata.normalize("NFKD", c)[0].isascii() and unicodedata.normalize("NFKD", c)[0].isalpha() and all(unicodedata.combining(x) for x in unicodedata.normalize("NFKD", c)[1:])]
@@ -24,7 +25,7 @@ def normalize_name(s: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(spaced, " +", " ")))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normalize_name_exact(s: pd.Series) -> pd.Series:
     """As :func:`normalize_name`, with full compatibility decomposition of every script."""
     plain = s.fillna("").map(lambda x: "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c)))

@@ -59,7 +59,7 @@ class Timeline:
         if prior.kind == "days":
             # all rows of the last days, this day's included, less this row and later ones of the day
             within = W.partitionBy(*self.entity).orderBy(self.day).rangeBetween(-(prior.n - 1), 0)
-            later = W.partitionBy(*self.entity, self.date).orderBy(*self.sequence).rowsBetween(0, W.unboundedFollowing)
+            later = W.partitionBy(*self.entity, self.day).orderBy(self.date, *self.sequence).rowsBetween(0, W.unboundedFollowing)
             return F.sum(value).over(within) - F.sum(value).over(later)
         if prior.kind == "decay":
             # ages in half-lives from the entity's last day, so no power overflows
