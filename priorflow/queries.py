@@ -275,23 +275,23 @@ def line_matcher(spark, sf):
 
 _FOLDS = [{"name": f"fold_{y}", "train_end": f"{y - 1}-12-31", "test_start": f"{y}-01-01", "test_end": f"{y}-12-31"} for y in (1996, 1997, 1998)]
 _FOLDS_SQL = "(VALUES " + ", ".join(f"('{f['name']}', DATE '{f['train_end']}', DATE '{f['test_start']}', DATE '{f['test_end']}')" for f in _FOLDS) + ") f(fold, train_end, t0, t1)"
-_PRED = f"SELECT *, avg(o_totalprice) OVER ({_BY} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS career, avg(o_totalprice) OVER ({_BY} ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS last10 FROM orders"
+_PRED = f"SELECT *, avg(o_totalprice) OVER ({_BY} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS career, avg(o_totalprice) OVER ({_BY} ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS last3 FROM orders"
 
 
 def _predictions(spark, sf):
     t = _timeline()
-    means = t.history_means(_orders(spark, sf), ["o_totalprice"], [win.Prior("career", "career"), win.Prior("last10", "last_n", 10)])
+    means = t.history_means(_orders(spark, sf), ["o_totalprice"], [win.Prior("career", "career"), win.Prior("last3", "last_n", 3)])
     return joins.with_folds(means, "o_orderdate", _FOLDS).filter("role = 'test'")
 
 
 @query(f"""
 WITH p AS ({_PRED}), t AS (SELECT * FROM p JOIN {_FOLDS_SQL} ON o_orderdate::DATE BETWEEN t0 AND t1),
-l AS (SELECT fold, o_orderstatus, o_orderpriority, o_totalprice AS y, unnest(['career', 'last10']) AS win, unnest([career, last10]) AS pred FROM t),
+l AS (SELECT fold, o_orderstatus, o_orderpriority, o_totalprice AS y, unnest(['career', 'last3']) AS win, unnest([career, last3]) AS pred FROM t),
 s AS (SELECT *, 'overall' AS segment_type, 'overall' AS segment_value FROM l UNION ALL SELECT *, 'status', o_orderstatus FROM l WHERE o_orderstatus IN ('F', 'O') UNION ALL SELECT *, 'priority', o_orderpriority FROM l)
 SELECT fold, win AS "window", segment_type, segment_value, count(pred) AS n, round(avg(abs(pred - y)), 4) AS mae, round(sqrt(avg((pred - y) ** 2)), 4) AS rmse, round(avg(pred - y), 4) AS bias, round(corr(y, pred), 6) AS corr, round(avg(y) FILTER (WHERE pred IS NOT NULL), 4) AS mean_actual
 FROM s GROUP BY ALL""")
 def walk_forward_metrics(spark, sf):
-    long = ev.unpivot_predictions(_predictions(spark, sf), ["fold", "o_orderstatus", "o_orderpriority", "o_totalprice"], {f"hist_mean_o_totalprice_{w}": ("history_mean", w) for w in ("career", "last10")})
+    long = ev.unpivot_predictions(_predictions(spark, sf), ["fold", "o_orderstatus", "o_orderpriority", "o_totalprice"], {f"hist_mean_o_totalprice_{w}": ("history_mean", w) for w in ("career", "last3")})
     cut = ev.segments(long, {"status": F.col("o_orderstatus"), "priority": F.col("o_orderpriority")}, {"status": ("F", "O")})
     m = ev.numeric_metrics(cut, ["fold", "window", "segment_type", "segment_value"], "o_totalprice")
     return m.select("fold", "window", "segment_type", "segment_value", "n", r("mae", 4).alias("mae"), r("rmse", 4).alias("rmse"), r("bias", 4).alias("bias"), r("corr").alias("corr"), r("mean_actual", 4).alias("mean_actual"))
@@ -376,17 +376,17 @@ def method_winrate(spark, sf):
 
 
 _ERR = f"""WITH p AS ({_PRED}), t AS (SELECT * FROM p JOIN {_FOLDS_SQL} ON o_orderdate::DATE BETWEEN t0 AND t1), g AS (SELECT fold, avg(o_totalprice) AS m FROM p JOIN {_FOLDS_SQL} ON o_orderdate::DATE <= train_end GROUP BY 1),
-l AS (SELECT fold, o_orderpriority AS market, o_orderstatus AS surface, o_totalprice AS y, unnest(['naive', 'career', 'last10']) AS variant, unnest([m, career, last10]) AS pred FROM t JOIN g USING (fold)),
+l AS (SELECT fold, o_orderpriority AS market, o_orderstatus AS surface, o_totalprice AS y, unnest(['naive', 'career', 'last3']) AS variant, unnest([m, career, last3]) AS pred FROM t JOIN g USING (fold)),
 e AS (SELECT market, fold, variant, count(pred) AS n, avg(abs(pred - y)) AS error FROM l GROUP BY ALL)"""
 
 
 def _errors(spark, sf, by=()):
     t = _timeline()
-    means = t.history_means(_orders(spark, sf), ["o_totalprice"], [win.Prior("career", "career"), win.Prior("last10", "last_n", 10)])
+    means = t.history_means(_orders(spark, sf), ["o_totalprice"], [win.Prior("career", "career"), win.Prior("last3", "last_n", 3)])
     rows = joins.with_folds(means, "o_orderdate", _FOLDS)
     naive = rows.filter("role = 'train'").groupBy("fold").agg(F.avg("o_totalprice").alias("naive"))
     test = rows.filter("role = 'test'").join(naive, "fold").withColumnRenamed("o_orderpriority", "market").withColumnRenamed("o_orderstatus", "surface")
-    long = ev.unpivot_predictions(test, ["fold", "market", "surface", "o_totalprice"], {"naive": ("naive", "-"), "hist_mean_o_totalprice_career": ("career", "-"), "hist_mean_o_totalprice_last10": ("last10", "-")})
+    long = ev.unpivot_predictions(test, ["fold", "market", "surface", "o_totalprice"], {"naive": ("naive", "-"), "hist_mean_o_totalprice_career": ("career", "-"), "hist_mean_o_totalprice_last3": ("last3", "-")})
     return ev.numeric_metrics(long, ["market", "fold", "variant", *by], "o_totalprice").withColumnRenamed("mae", "error")
 
 
@@ -435,3 +435,374 @@ def threshold_comparison(spark, sf):
     f = F.col("l_returnflag")
     a = table(spark, sf, "lineitem").select(F.col("l_linenumber").alias("rank"), (f == "R").cast("int").alias("won"), (F.col("l_quantity") / 51.0).alias("p"), F.when(f == "R", 0.5).when(f == "A", -1.0).alias("pnl"))
     return rounded(ev.threshold_comparison(a, "rank", [1, 3, 5], "won", "p", "pnl"), 8)
+
+
+# --- distributions and prices -------------------------------------------------------------
+
+_PART = "(SELECT l_partkey, avg(l_quantity) / 5 AS lam, var_pop(l_quantity) / 5 AS v FROM lineitem GROUP BY 1 HAVING count(*) > 1)"
+
+
+@query(f"""
+WITH a AS (SELECT *, CASE WHEN v > lam THEN lam * lam / (v - lam) END AS r FROM {_PART}),
+l AS (SELECT l_partkey, lam, r, k + 0.5 AS line FROM a CROSS JOIN range(0, 10, 3) g(k)),
+t AS (SELECT l_partkey, line, lam, r, sum(exp(-lam + i * ln(lam) - lgamma(i + 1))) AS cp, sum(exp(lgamma(i + r) - lgamma(r) - lgamma(i + 1) + r * ln(r / (r + lam)) + i * ln(lam / (r + lam)))) AS cn FROM l, range(0, 10) q(i) WHERE i <= floor(line) GROUP BY ALL)
+SELECT l_partkey, line, round(greatest(1 - cp, 0), 8) AS p_poisson, round(CASE WHEN r IS NULL THEN greatest(1 - cp, 0) ELSE greatest(1 - least(cn, 1), 0) END, 8) AS p_over,
+ CASE WHEN (line - lam) / sqrt(coalesce(lam + lam * lam / r, lam)) < -1 THEN 'muito_abaixo_da_media' WHEN (line - lam) / sqrt(coalesce(lam + lam * lam / r, lam)) < 1 THEN 'proxima_da_media' ELSE 'muito_acima_da_media' END AS difficulty FROM t""")
+def count_tails(spark, sf):
+    a = table(spark, sf, "lineitem").groupBy("l_partkey").agg((F.avg("l_quantity") / 5).alias("lam"), (F.var_pop("l_quantity") / 5).alias("v"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    a = a.withColumn("r", dist.moments_r(F.col("lam"), F.col("v"))).withColumn("line", F.explode(F.transform(F.sequence(F.lit(0), F.lit(9), F.lit(3)), lambda x: x + 0.5)))
+    lam, rr, line = F.col("lam"), F.col("r"), F.col("line")
+    return a.select("l_partkey", "line", r(dist.over_probability(lam, None, line), 8).alias("p_poisson"), r(dist.over_probability(lam, rr, line), 8).alias("p_over"), dist.line_difficulty(line, lam, rr).alias("difficulty"))
+
+
+@query(f"""
+WITH a AS (SELECT l_partkey, lam, lam * lam / (v - lam) AS r FROM {_PART} WHERE v > lam * 1.05),
+t AS (SELECT l_partkey, lam, r, i, exp(lgamma(i + r) - lgamma(r) - lgamma(i + 1) + r * ln(r / (r + lam)) + i * ln(lam / (r + lam))) AS p FROM a, range(0, 120) q(i)),
+c AS (SELECT *, sum(p) OVER (PARTITION BY l_partkey ORDER BY i ROWS UNBOUNDED PRECEDING) AS f FROM t),
+b AS (SELECT l_partkey, greatest(min(i) FILTER (WHERE f >= 0.01) - 1, 0) AS lo, min(i) FILTER (WHERE f >= 0.99) + 1 AS hi FROM c GROUP BY 1),
+n AS (SELECT l_partkey, lo, hi, greatest(hi - lo - 14, 0) AS excess FROM b)
+SELECT l_partkey, least(hi - lo, 14)::INT AS n_lines, lo + floor(excess / 2) + 0.5 AS first_line, lo + floor(excess / 2) + least(hi - lo, 14) - 0.5 AS last_line FROM n""")
+def line_grids(spark, sf):
+    a = table(spark, sf, "lineitem").groupBy("l_partkey").agg((F.avg("l_quantity") / 5).alias("lam"), (F.var_pop("l_quantity") / 5).alias("v"), F.count(F.lit(1)).alias("n")).filter("n > 1 AND v > lam * 1.05")
+    g = a.withColumn("g", dist.line_grid(F.col("lam"), dist.moments_r(F.col("lam"), F.col("v"))))
+    return g.select("l_partkey", F.size("g").alias("n_lines"), F.col("g")[0].cast("double").alias("first_line"), F.element_at("g", -1).cast("double").alias("last_line"))
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, l_partkey, round(l_quantity + l_tax + 4 / (l_quantity + l_tax + 3), 6) AS lam, round(CASE WHEN l_quantity * l_quantity / 3.0 + (1 + l_tax) * (1 + l_tax) / 5.0 > 0 THEN (l_quantity + 1 + l_tax) ** 2 / (l_quantity * l_quantity / 3.0 + (1 + l_tax) * (1 + l_tax) / 5.0) END, 6) AS r_sum FROM lineitem""")
+def independent_sums(spark, sf):
+    q, t = F.col("l_quantity"), F.col("l_tax")
+    out = dist.independent_sum_r(q, F.lit(3.0), 1 + t, F.lit(5.0))
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", r(q + t + 4 / (q + t + 3)).alias("lam"), r(out).alias("r_sum"))
+
+
+_PO = "(SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity / 51.0 AS p, 1 + l_extendedprice / 20000 AS odds, 1 + l_discount * 30 AS under FROM lineitem)"
+
+
+def _po(spark, sf):
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (F.col("l_quantity") / 51.0).alias("p"), (1 + F.col("l_extendedprice") / 20000).alias("odds"), (1 + F.col("l_discount") * 30).alias("under"))
+
+
+@query(f"""
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(CASE WHEN p > 0 AND p < 1 THEN 1 / p END, 6) AS fair_odds, round(CASE WHEN odds > 1 THEN 1 / odds END, 8) AS implied, round(p - CASE WHEN odds > 1 THEN 1 / odds END, 8) AS edge,
+ CASE {' '.join(f"WHEN p - {e} > 0 AND odds >= 1 / (p - {e}) THEN '{s}'" for _, e, s in reversed(num.EDGE_LEVELS))} ELSE 'ABAIXO_DO_LIMITE' END AS status,
+ round(CASE WHEN odds > 1 AND under > 1 THEN 1 / odds + 1 / under - 1 END, 8) AS overround, round(CASE WHEN odds > 1 AND under > 1 THEN (1 / odds) / (1 / odds + 1 / under) END, 8) AS novig_over FROM {_PO}""")
+def price_comparison(spark, sf):
+    p, o = F.col("p"), F.col("odds")
+    both = num.overround(o, F.col("under"))
+    return _po(spark, sf).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", r(num.fair_odds(p)).alias("fair_odds"), r(num.implied_probability(o), 8).alias("implied"), r(num.edge(p, num.implied_probability(o)), 8).alias("edge"), num.edge_status(p, o).alias("status"), r(both["overround"], 8).alias("overround"), r(both["novig_over"], 8).alias("novig_over"))
+
+
+@query(f"""
+WITH s AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, unnest(['over', 'under']) AS side, unnest([p, 1 - p]) AS q FROM {_PO} WHERE l_orderkey % 5 = 0)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, side, label AS edge_label, round(CASE WHEN q > 0 AND q < 1 THEN 1 / q END, 6) AS fair_odds, round(CASE WHEN q - e > 0 THEN 1 / (q - e) END, 4) AS minimum_odds, q >= 0.9 AS extreme_probability
+FROM s CROSS JOIN (VALUES {', '.join(f"('{n}', {e})" for n, e, _ in num.EDGE_LEVELS)}) v(label, e)""")
+def minimum_prices(spark, sf):
+    from .plans.matches import minimum_prices as least
+    from .plans.matches import prices
+
+    out = least(prices(_po(spark, sf).filter("l_orderkey % 5 = 0"), "p"))
+    q = F.col("operational_probability")
+    return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "side", "edge_label", r("fair_odds").alias("fair_odds"), r("minimum_odds", 4).alias("minimum_odds"), (q >= num.EXTREME_PROBABILITY).alias("extreme_probability"))
+
+
+# --- rules and ledgers --------------------------------------------------------------------
+
+_COUNTERS = """(SELECT c_custkey, count(o_orderkey) AS m, sum(o_totalprice) / 2000 AS sv, sum(o_totalprice) / 2500 AS rt, count(*) FILTER (WHERE o_orderstatus = 'F') AS sf, max(o_orderdate::DATE) AS last_day, date_diff('day', max(o_orderdate::DATE), DATE '1998-09-01') AS gap FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1)"""
+
+
+def _counters(spark, sf):
+    o = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("o_orderkey").alias("m0"), (F.sum("o_totalprice") / 2000).alias("sv"), (F.sum("o_totalprice") / 2500).alias("rt"), F.count_if(F.col("o_orderstatus") == "F").alias("sf0"), F.max(F.to_date("o_orderdate")).alias("last_day"))
+    c = table(spark, sf, "customer").select("c_custkey").join(o, "c_custkey", "left")
+    return c.select("c_custkey", F.coalesce("m0", F.lit(0)).alias("m"), "sv", "rt", F.coalesce("sf0", F.lit(0)).alias("sf"), "last_day", F.datediff(F.lit("1998-09-01").cast("date"), "last_day").alias("gap"))
+
+
+@query(f"""
+SELECT c_custkey, CASE WHEN sv IS NULL OR rt IS NULL THEN 'LOW' WHEN m >= 50 AND sv >= 300 AND rt >= 300 AND sf >= 10 THEN 'HIGH' WHEN m >= 10 AND sv >= 60 AND rt >= 60 THEN 'MEDIUM' ELSE 'LOW' END AS quality,
+ CASE WHEN gap <= 30 THEN 'ATUAL' WHEN gap <= 90 THEN 'MODERADAMENTE_DEFASADO' ELSE 'MUITO_DEFASADO' END AS staleness, CASE WHEN m >= 1 AND m <= 50 THEN 'top50' WHEN m BETWEEN 51 AND 100 THEN 'top51_100' WHEN m BETWEEN 101 AND 300 THEN 'top101_300' WHEN m >= 301 THEN 'outside_300' END AS rank_bucket FROM {_COUNTERS}""")
+def sample_quality(spark, sf):
+    c = F.col
+    return _counters(spark, sf).select("c_custkey", rules.sample_quality(c("m"), c("sv"), c("rt"), c("sf"), F.lit(True)).alias("quality"), text.staleness(c("gap")).alias("staleness"), num.ranking_bucket(c("m")).alias("rank_bucket"))
+
+
+_OPP = f"""(SELECT *, ['aces_player','total_aces_match','double_faults_player','games'][1 + c_custkey % 4] AS market, c_custkey % 9 <> 0 AS matched, c_custkey % 13 = 0 AS restricted, CASE WHEN c_custkey % 7 = 0 THEN 'fuzzy_review' ELSE 'exact' END AS rm,
+ (c_custkey % 97) / 96.0 AS p, 1 + (c_custkey % 50) / 20.0 AS odds, ['ABAIXO_DO_LIMITE','ATINGE_EDGE_2','ATINGE_EDGE_3','ATINGE_EDGE_5','ATINGE_EDGE_7_5','ATINGE_EDGE_10'][1 + c_custkey % 6] AS status, c_custkey % 11 AS rank6 FROM {_COUNTERS})"""
+
+
+def _opportunities(spark, sf):
+    k = F.col("c_custkey")
+    pick = lambda names, i: F.array(*[F.lit(n) for n in names])[i]
+    method = F.when(k % 7 == 0, "fuzzy_review").otherwise("exact")
+    return _counters(spark, sf).select(
+        "c_custkey", pick(["aces_player", "total_aces_match", "double_faults_player", "games"], (k % 4).cast("int")).alias("market"), (k % 9 != 0).alias("matched"), (k % 13 == 0).alias("restricted"), F.lit(None).cast("string").alias("restricted_motivo"),
+        F.lit(None).cast("string").alias("match_reason"), method.alias("resolution_method_player"), F.lit("alias").alias("resolution_method_opponent"), ((k % 97) / 96.0).alias("operational_probability"), (1 + (k % 50) / 20.0).alias("decimal_odds"),
+        pick(list(rules.EDGE_RANK), (k % 6).cast("int")).alias("status"), (F.col("m") * 5).alias("prior_matches_career"), F.col("sv").alias("prior_service_points_career"), F.col("rt").alias("prior_return_points_career"), (F.col("sf") * 3).alias("surface_prior_matches"),
+        F.lit(False).alias("cold_start"), F.lit(False).alias("insufficient_history"), F.lit(False).alias("calibrator_insufficient_sample"), F.col("last_day").alias("historical_data_cutoff"), F.col("gap").alias("data_staleness_days"), ((k % 97) / 96.0 >= 0.9).alias("extreme_probability"),
+        F.lit(0.05).alias("model_edge"), F.lit("platt").alias("method_selected"), F.lit("Hard").alias("surface_ctx"),
+    )
+
+
+@query(f"""
+WITH q AS (SELECT *, CASE WHEN sv IS NULL OR rt IS NULL THEN 'LOW' WHEN m * 5 >= 50 AND sv >= 300 AND rt >= 300 AND sf * 3 >= 10 THEN 'HIGH' WHEN m * 5 >= 10 AND sv >= 60 AND rt >= 60 THEN 'MEDIUM' ELSE 'LOW' END AS quality, c_custkey % 6 AS erank,
+ CASE market WHEN 'aces_player' THEN 2 WHEN 'total_aces_match' THEN 1 ELSE 3 END AS floor_rank FROM {_OPP}),
+g AS (SELECT *, (market = 'games')::INT + (NOT matched)::INT + restricted::INT + (NOT (matched AND rm = 'exact'))::INT + (NOT (matched AND p > 0 AND p < 1))::INT + (odds < 1.3)::INT + (quality = 'LOW')::INT + (gap IS NULL)::INT AS failed FROM q),
+l AS (SELECT *, CASE WHEN erank < floor_rank THEN 'OBSERVAR' WHEN erank = floor_rank THEN 'CANDIDATO_FRACO' WHEN erank < 4 THEN CASE WHEN quality = 'HIGH' THEN 'CANDIDATO' ELSE 'CANDIDATO_FRACO' END ELSE CASE WHEN quality = 'HIGH' THEN 'CANDIDATO_FORTE' ELSE 'CANDIDATO' END END AS ladder FROM g)
+SELECT c_custkey, CASE WHEN failed > 0 THEN 'DESCARTAR' WHEN ladder = 'CANDIDATO_FORTE' AND coalesce(gap > 90, true) THEN 'CANDIDATO' ELSE ladder END AS classification, (CASE WHEN failed > 0 THEN failed ELSE 4 END)::INT AS n_reasons, quality AS sample_quality FROM l""")
+def gates_and_ladder(spark, sf):
+    out = rules.evaluate_opportunities(_opportunities(spark, sf))
+    return out.select("c_custkey", "classification", F.size("reasons").alias("n_reasons"), "sample_quality")
+
+
+@query(f"""
+WITH f AS (SELECT c_custkey, list_filter([CASE WHEN m * 5 < 10 THEN 'historico_suficiente' END, CASE WHEN restricted THEN 'mercado_liberado' END, CASE WHEN p >= 0.9 THEN 'probabilidade_nao_trivial' END, CASE WHEN rm <> 'exact' THEN 'identidade_confiavel' END], lambda x: x IS NOT NULL) AS b FROM {_OPP})
+SELECT c_custkey, len(b) = 0 AS is_candidate, array_to_string(b, ',') AS candidate_blockers, CASE WHEN len(b) = 0 THEN 'CONFERIR_ODDS' WHEN array_to_string(b, ',') = 'probabilidade_nao_trivial' THEN 'OBSERVAR' ELSE 'DESCARTADO' END AS state FROM f""")
+def candidate_flags(spark, sf):
+    df = _opportunities(spark, sf).withColumn("sample_bucket_career", num.sample_size_bucket(F.col("prior_matches_career")))
+    out = rules.flag_candidates(df)
+    return out.select("c_custkey", "is_candidate", "candidate_blockers", rules.decision_state(F.col("is_candidate"), F.col("candidate_blockers")).alias("state"))
+
+
+@query("""
+WITH old AS (SELECT user_id::VARCHAR || event_type AS id, min_by(value, event_id) AS v FROM events WHERE event_id < 3000 GROUP BY 1), new AS (SELECT event_id, user_id::VARCHAR || event_type AS id, value AS v FROM events WHERE event_id >= 2900 AND event_id < 6000),
+h AS (SELECT new.*, old.v AS ov, old.id IS NOT NULL AS known, row_number() OVER (PARTITION BY new.id ORDER BY event_id) AS nth, first_value(new.v) OVER (PARTITION BY new.id ORDER BY event_id) AS hv FROM new LEFT JOIN old USING (id))
+SELECT event_id, CASE WHEN NOT known AND nth = 1 THEN 'added' WHEN abs(v - CASE WHEN known THEN ov ELSE hv END) < 1e-9 THEN 'skipped' ELSE 'rejected' END AS status FROM h""")
+def immutable_register(spark, sf):
+    e = table(spark, sf, "events").select("event_id", F.concat(F.col("user_id").cast("string"), "event_type").alias("id"), F.col("value").alias("v"))
+    old = win.first(e.filter("event_id < 3000"), ["id"], ["event_id"])
+    return ledgers.register(old, e.filter("event_id >= 2900 AND event_id < 6000"), "id", {"v": "number"}, ["event_id"]).select("event_id", "status")
+
+
+@query("""
+SELECT event_id, user_id, event_type, value FROM events WHERE event_id < 4000 AND (event_id < 2000 OR (user_id, event_type) NOT IN (SELECT (user_id, event_type) FROM events WHERE event_id < 2000))
+ AND (event_id < 2000 OR event_id = (SELECT min(e2.event_id) FROM events e2 WHERE e2.event_id >= 2000 AND e2.user_id = events.user_id AND e2.event_type = events.event_type)) AND event_id >= 2000""")
+def keyed_append(spark, sf):
+    e = table(spark, sf, "events").select("event_id", "user_id", "event_type", "value")
+    return ledgers.new_rows(e.filter("event_id < 2000"), e.filter("event_id >= 2000 AND event_id < 4000"), ["user_id", "event_type"], ["event_id"])
+
+
+_PRE = "(SELECT o_orderkey, o_custkey, 1.2 + (o_orderkey % 37) / 10.0 AS decimal_odds, (o_orderkey % 40) + 0.5 * (o_orderkey % 2) AS line, CASE WHEN o_orderkey % 3 = 0 THEN 'under' ELSE 'over' END AS side, l.actual, CASE WHEN l.actual IS NULL THEN NULL WHEN o_orderkey % 19 = 0 THEN 'retirement' ELSE 'completed' END AS st FROM orders LEFT JOIN (SELECT l_orderkey, max(l_quantity) AS actual FROM lineitem GROUP BY 1) l ON l_orderkey = o_orderkey)"
+_SETTLED = f"(SELECT *, CASE WHEN st IS NULL THEN 'UNRESOLVED' WHEN st = 'retirement' THEN 'BOOKMAKER_RULE_REQUIRED' WHEN actual = line THEN 'VOID' WHEN (side = 'over') = (actual > line) THEN 'WIN' ELSE 'LOSS' END AS settlement FROM {_PRE})"
+
+
+def _settled(spark, sf):
+    k = F.col("o_orderkey")
+    actual = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_quantity").alias("actual"))
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", (1.2 + (k % 37) / 10.0).alias("decimal_odds"), ((k % 40) + 0.5 * (k % 2)).alias("line"), F.when(k % 3 == 0, "under").otherwise("over").alias("side")).join(actual, "o_orderkey", "left")
+    st = F.when(F.col("actual").isNotNull(), F.when(k % 19 == 0, "retirement").otherwise("completed"))
+    return o.withColumn("settlement", rules.settle(st, F.col("line"), F.col("actual"), F.col("side")))
+
+
+@query(f"""
+SELECT o_orderkey, settlement, round(CASE settlement WHEN 'WIN' THEN decimal_odds - 1 WHEN 'LOSS' THEN -1 WHEN 'VOID' THEN 0 END, 6) AS pnl FROM {_SETTLED}""")
+def settlement(spark, sf):
+    return _settled(spark, sf).select("o_orderkey", "settlement", r(num.pnl_units(F.col("settlement"), F.col("decimal_odds"))).alias("pnl"))
+
+
+@query(f"""
+WITH a AS (SELECT o_custkey, o_orderkey, settlement, CASE settlement WHEN 'WIN' THEN decimal_odds - 1 WHEN 'LOSS' THEN -1 WHEN 'VOID' THEN 0 END AS pnl FROM {_SETTLED}), b AS (SELECT *, sum(pnl) OVER w AS c, sum(CASE WHEN pnl < 0 THEN 0 ELSE 1 END) OVER w AS run FROM a WHERE pnl IS NOT NULL WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING)),
+d AS (SELECT *, c - max(c) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) AS dd, CASE WHEN pnl < 0 THEN row_number() OVER (PARTITION BY o_custkey, run, pnl < 0 ORDER BY o_orderkey) ELSE 0 END AS streak FROM b)
+SELECT o_custkey, count(*) FILTER (WHERE settlement = 'WIN') AS wins, count(*) FILTER (WHERE settlement = 'LOSS') AS losses, count(*) FILTER (WHERE settlement = 'VOID') AS voids, round(sum(pnl), 4) AS pnl, round(sum(pnl) / nullif(count(*) FILTER (WHERE settlement IN ('WIN', 'LOSS')), 0), 6) AS roi, round(sum(pnl) / count(*), 6) AS roi_resolved, round(min(dd), 4) AS max_drawdown, max(streak) AS max_loss_streak FROM d GROUP BY 1""")
+def paper_test(spark, sf):
+    rows = _settled(spark, sf).withColumn("prediction_id", F.col("o_orderkey"))
+    curve = ledgers.paper_test(rows.drop("settlement"), rows.select("prediction_id", "settlement", F.col("o_orderkey").alias("settled_at")), ["o_orderkey"], ["o_custkey"])
+    s = ledgers.paper_summary(curve, ["o_custkey"])
+    return s.select("o_custkey", "wins", "losses", "voids", r("pnl", 4).alias("pnl"), r("roi").alias("roi"), r("roi_resolved").alias("roi_resolved"), r("max_drawdown", 4).alias("max_drawdown"), "max_loss_streak")
+
+
+@query("""
+WITH s AS (SELECT user_id, event_type, count(*) AS n_snapshots, min_by(value, ts) AS first_odds, max_by(value, ts) AS last_odds, max(value) AS max_odds, max_by(value, ts) FILTER (WHERE ts <= TIMESTAMP '2024-01-15') AS closing_odds FROM (SELECT DISTINCT ON (user_id, event_type, ts) * FROM events ORDER BY user_id, event_type, ts, event_id) GROUP BY ALL)
+SELECT user_id, event_type, n_snapshots, first_odds, last_odds, max_odds, closing_odds, round((first_odds / closing_odds - 1) * 100, 4) AS clv_pct, round(1 / closing_odds - 1 / first_odds, 8) AS prob_diff FROM s""")
+def odds_movement(spark, sf):
+    e = win.first(table(spark, sf, "events"), ["user_id", "event_type", "ts"], ["event_id"]).withColumn("cut", F.lit("2024-01-15 00:00:00").cast("timestamp_ntz"))
+    m = ledgers.odds_movement(e, ["user_id", "event_type"], "cut", "value", "ts")
+    v = num.closing_line_value(F.col("first_odds"), F.col("closing_odds"))
+    return m.select("user_id", "event_type", "n_snapshots", "first_odds", "last_odds", "max_odds", "closing_odds", r(v["clv_pct"], 4).alias("clv_pct"), r(v["prob_diff"], 8).alias("prob_diff"))
+
+
+@query(f"""
+WITH old AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'UNRESOLVED' ELSE 'WIN' END AS last FROM orders WHERE o_orderkey % 2 = 0)
+SELECT s.o_orderkey AS prediction_id, settlement, last AS previous, CASE WHEN last IS NULL THEN 'settled' WHEN last = 'WIN' THEN 'rejected' ELSE 'changed' END AS event FROM {_SETTLED} s LEFT JOIN old USING (o_orderkey) WHERE last IS DISTINCT FROM settlement""")
+def settlement_log(spark, sf):
+    rows = _settled(spark, sf)
+    k = F.col("prediction_id")
+    preds = rows.select(F.col("o_orderkey").alias("prediction_id"), F.col("settlement").alias("_s"), F.lit(1).alias("k"))
+    log = preds.filter(k % 2 == 0).select("prediction_id", F.when(k % 5 == 0, "UNRESOLVED").otherwise("WIN").alias("settlement"), F.lit(0).alias("settled_at"))
+    out = ledgers.settlement_events(preds, spark.range(1).select(F.lit(1).alias("k")), log, lambda: F.col("_s"), ["k"], F.lit(1))
+    return out.select("prediction_id", "settlement", "previous", "event")
+
+
+# --- quality, names, text -----------------------------------------------------------------
+
+@query("""
+WITH d AS (SELECT lang, quality, toxic, n_chars FROM documents LEFT JOIN labels USING (doc_id)), l AS (SELECT lang, unnest(['quality', 'toxic', 'n_chars']) AS col, unnest([quality IS NULL, toxic IS NULL, n_chars IS NULL])::INT AS gone FROM d)
+SELECT lang, col AS "column", count(*) AS n, sum(gone)::BIGINT AS n_null, round(100 * avg(gone), 2) AS pct_null FROM l GROUP BY ALL""")
+def null_report(spark, sf):
+    d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
+    return quality.null_report(d, [F.col("lang")], ["quality", "toxic", "n_chars"])
+
+
+@query("""
+WITH d AS (SELECT source, lang, bool_and(quality IS NOT NULL) AS q, bool_and(quality IS NOT NULL AND toxic = toxic) AS b FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source, lang)
+SELECT CASE WHEN grouping(lang) > 0 THEN 'TODOS' ELSE lang END AS lang, count(*) AS n_matches, count(*) FILTER (WHERE q) AS usable_quality, count(*) FILTER (WHERE b) AS usable_both FROM d GROUP BY GROUPING SETS ((lang), ())""")
+def usable_report(spark, sf):
+    d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
+    return quality.usable_report(d, ["source"], ["lang"], {"quality": ["quality"], "both": ["quality", "toxic"]})
+
+
+@query("""
+WITH e AS (SELECT event_id // 2 AS m, event_id % 2 AS s, user_id, value FROM events), w AS (SELECT * FROM e WHERE s = 0), l AS (SELECT * FROM e WHERE s = 1)
+SELECT count(*) AS n_matches, count(*) FILTER (WHERE w.user_id IS DISTINCT FROM l.user_id) AS bad_user_id, count(*) FILTER (WHERE w.value IS DISTINCT FROM l.value) AS bad_value FROM w JOIN l USING (m)""")
+def mirror_check(spark, sf):
+    e = table(spark, sf, "events").select(F.expr("event_id div 2").alias("m"), F.when(F.col("event_id") % 2 == 0, "W").otherwise("L").alias("result"), "user_id", "value")
+    return quality.mirror_check(e, ["m"], "result", [("user_id", "user_id"), ("value", "value")])
+
+
+@query(f"""
+WITH a AS (SELECT count(*) OVER ({_BY} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS career, count(*) OVER ({_BY} ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS last20 FROM orders), l AS (SELECT unnest(['career', 'last20']) AS w, unnest([career, last20]) AS n FROM a)
+SELECT w AS "window", t AS threshold, round(avg((n >= t)::INT), 8) AS share FROM l CROSS JOIN (SELECT unnest([1, 10, 20, 50]) AS t) GROUP BY ALL""")
+def sample_size_report(spark, sf):
+    df = _timeline().sums(_orders(spark, sf), [], [win.Prior("career", "career"), win.Prior("last20", "last_n", 20)])
+    return rounded(quality.sample_size_report(df, {"career": "prior_matches_career", "last20": "prior_matches_last20"}), 8)
+
+
+@query("""
+SELECT o_orderstatus AS status, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 8) AS share FROM orders GROUP BY 1""")
+def status_report(spark, sf):
+    return rounded(quality.status_report(table(spark, sf, "orders").withColumnRenamed("o_orderstatus", "status"), "status"), 8)
+
+
+@query("""
+WITH h AS (SELECT source, string_agg(DISTINCT lang, ',' ORDER BY lang) AS header FROM documents GROUP BY 1), r AS (SELECT header FROM h GROUP BY 1 ORDER BY count(*) DESC, header LIMIT 1)
+SELECT source, array_to_string(list_filter(string_split(r.header, ','), lambda x: NOT list_contains(string_split(h.header, ','), x)), ',') AS missing, array_to_string(list_filter(string_split(h.header, ','), lambda x: NOT list_contains(string_split(r.header, ','), x)), ',') AS added FROM h, r""")
+def schema_drift(spark, sf):
+    h = table(spark, sf, "documents").groupBy("source").agg(F.array_join(F.array_sort(F.collect_set("lang")), ",").alias("header"))
+    out = quality.schema_drift(h, "source", "header")
+    return out.select("source", F.array_join("missing", ",").alias("missing"), F.array_join("added", ",").alias("added"))
+
+
+@query("""
+WITH i AS (SELECT lower(p_name) AS norm, list_sort(list(DISTINCT p_brand)) AS ids FROM part GROUP BY 1)
+SELECT p_partkey, CASE WHEN len(ids) = 1 THEN ids[1] END AS resolved_id, CASE WHEN len(ids) = 1 THEN 'exact' ELSE 'unresolved' END AS method, len(ids)::INT AS n_candidates FROM part JOIN i ON lower(p_name) = norm""")
+def identity_exact(spark, sf):
+    p = table(spark, sf, "part").select("p_partkey", "p_name", "p_brand", F.lit("g").alias("g"))
+    return identity.resolve_names(p, p, "g", "p_name", "p_brand", "p_name").select("p_partkey", "resolved_id", "method", "n_candidates")
+
+
+@query()
+def identity_fuzzy(spark, sf):
+    """Names with one letter changed against the unique ones; similarity isn't SQL."""
+    c = table(spark, sf, "customer").filter("c_custkey % 10 = 0").select("c_custkey", F.lit("g").alias("g"), F.concat(F.lit("Player "), F.sha1(F.col("c_custkey").cast("string"))).alias("name"))
+    asked = c.select("c_custkey", "g", F.regexp_replace("name", ".$", "z").alias("asked"))
+    return identity.resolve_names(asked, c.withColumnRenamed("c_custkey", "id"), "g", "asked", "id", "name").select("c_custkey", "resolved_id", "method", "n_candidates")
+
+
+@query("""
+SELECT c_custkey, regexp_replace(lower(strip_accents(c_name)), '[^a-z0-9]+', '-', 'g') AS slug, 'pred_' || substr(sha1(c_name || '|' || c_nationkey::VARCHAR || '|'), 1, 16) AS id, upper(c_mktsegment) || '-' || c_custkey::VARCHAR AS canonical,
+ 'NEW-' || upper(regexp_replace(lower(c_name), '[^a-z0-9]+', '-', 'g')) AS minted FROM customer""")
+def names_and_ids(spark, sf):
+    c = F.col
+    return table(spark, sf, "customer").select("c_custkey", text.slug(c("c_name")).alias("slug"), text.stable_id("pred", c("c_name"), c("c_nationkey"), F.lit(None)).alias("id"), text.canonical_id(c("c_mktsegment"), c("c_custkey")).alias("canonical"), text.minted_id(c("c_name")).alias("minted"))
+
+
+@query("""
+WITH a AS (SELECT doc_id, substr(text, 1, 200) AS t FROM documents)
+SELECT doc_id, trim(regexp_replace(regexp_replace(lower(replace(strip_accents(t), chr(10), ' ')), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g')) AS norm FROM a WHERE NOT regexp_matches(t, '[ß€£]')""")
+def normalized_names(spark, sf):
+    t = F.substring("text", 1, 200)
+    return table(spark, sf, "documents").filter(~t.rlike("[ß€£]")).select("doc_id", text.normalize_name(t).alias("norm"))
+
+
+_SCORE = "(event_id % 8)::VARCHAR || '-' || (event_id // 8 % 8)::VARCHAR || ' ' || (event_id // 64 % 8)::VARCHAR || '-' || (event_id // 512 % 8)::VARCHAR"
+
+
+@query(f"""
+WITH s AS (SELECT event_id, event_id % 8 AS a, event_id // 8 % 8 AS b, event_id // 64 % 8 AS c, event_id // 512 % 8 AS d FROM events),
+f AS (SELECT *, (greatest(a, b) >= 6 AND abs(a - b) >= 2) OR (greatest(a, b) = 7 AND abs(a - b) = 1) AS f1, (greatest(c, d) >= 6 AND abs(c - d) >= 2) OR (greatest(c, d) = 7 AND abs(c - d) = 1) AS f2 FROM s)
+SELECT event_id, 'completed' AS status, f1 AND f2 AS complete, (f1::INT + f2::INT) AS n_sets_completed, ((f1 AND a > b)::INT + (f2 AND c > d)::INT) AS sets_won_winner, (CASE WHEN f1 THEN a + b ELSE 0 END + CASE WHEN f2 THEN c + d ELSE 0 END)::INT AS total_games,
+ (CASE WHEN f1 THEN a - b ELSE 0 END + CASE WHEN f2 THEN c - d ELSE 0 END)::INT AS game_diff, ((f1 AND greatest(a, b) = 7 AND abs(a - b) = 1)::INT + (f2 AND greatest(c, d) = 7 AND abs(c - d) = 1)::INT) AS n_tiebreaks FROM f""")
+def score_parser(spark, sf):
+    k = F.col("event_id")
+    digit = lambda n: F.floor(k / n % 8).cast("int").cast("string")
+    raw = F.concat(digit(1), F.lit("-"), digit(8), F.lit(" "), digit(64), F.lit("-"), digit(512))
+    s = table(spark, sf, "events").select("event_id", scores.parse_score(raw).alias("s"))
+    return s.select("event_id", *[f"s.{c}" for c in ("status", "complete", "n_sets_completed", "sets_won_winner", "total_games", "game_diff", "n_tiebreaks")])
+
+
+@query("""
+SELECT event_id, CASE WHEN event_id % 3 = 0 AND event_id % 40 > 0 THEN (event_id % 40) - 0.5 WHEN event_id % 3 = 1 THEN (event_id % 40) + 0.5 END AS line, CASE WHEN event_id % 3 = 0 AND event_id % 40 > 0 THEN 'Over' WHEN event_id % 3 = 1 THEN CASE WHEN event_id % 2 = 0 THEN 'Over' ELSE 'Under' END END AS side FROM events""")
+def display_lines(spark, sf):
+    k, n = F.col("event_id"), (F.col("event_id") % 40).cast("string")
+    shown = F.when(k % 3 == 0, F.concat(n, F.lit("+"))).when(k % 3 == 1, F.concat(F.when(k % 2 == 0, "Mais de ").otherwise("menos de "), n, F.lit(",5"))).otherwise("x")
+    ls = text.line_and_side(F.when(k % 3 == 1, "total_games").otherwise("aces"), shown)
+    return table(spark, sf, "events").select("event_id", ls["line"].alias("line"), ls["side"].alias("side"))
+
+
+@query("""
+SELECT event_id, json_extract(props, '$.k')::BIGINT AS k, regexp_extract(props, '"k"', 0) <> '' AS has_k FROM events""")
+def json_fields(spark, sf):
+    return table(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("long").alias("k"), F.col("props").contains('"k"').alias("has_k"))
+
+
+@query(r"""
+SELECT page_id, len(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1)) AS n_links, len(regexp_extract_all(html, '<p[ >]')) AS n_paragraphs FROM pages""")
+def html_fields(spark, sf):
+    return table(spark, sf, "pages").select("page_id", F.size(F.regexp_extract_all("html", F.lit('<a [^>]*href="([^"]*)"'), F.lit(1))).cast("long").alias("n_links"), F.size(F.regexp_extract_all("html", F.lit("<p[ >]"), F.lit(0))).cast("long").alias("n_paragraphs"))
+
+
+@query()
+def set_model(spark, sf):
+    """A Markov chain per pair of rates; not SQL here, tests compare brute force."""
+    u = table(spark, sf, "events").groupBy("user_id").agg((0.5 + F.avg("value") / 1200).alias("a"), (0.5 + F.max("value") / 1200).alias("b"))
+    out = u.select("user_id", setmodel.set_expectation("a", "b").alias("s"))
+    return out.select("user_id", *[r(f"s.{c}").alias(c) for c in ("p_set", "games_a", "games_b", "p_tiebreak")], *[r(setmodel.match_expectation(F.col("s"), 3)[c]).alias(c) for c in ("p_match", "sets", "games")])
+
+
+@query()
+def walk_forward_calibration(spark, sf):
+    """Fitted curves; tests compare closed forms and pool-adjacent-violators."""
+    df = _yp(spark, sf).withColumn("fold", F.concat(F.lit("fold_"), F.year("l_shipdate")))
+    folds = [row[0] for row in df.select("fold").distinct().orderBy("fold").collect()]
+    out = calibrate.walk_forward(df, folds[:3])
+    metrics = None
+    for m in ("raw", "platt", "isotonic"):
+        one = ev.probability_metrics(out, ["fold"], p=f"p_{m}").withColumn("method", F.lit(m))
+        metrics = one if metrics is None else metrics.unionByName(one)
+    return rounded(metrics)
+
+
+@query()
+def logistic_model(spark, sf):
+    """L2 logistic regression on four features; tests compare a direct fit."""
+    df = _yp(spark, sf)
+    train, test = df.filter("l_orderkey % 2 = 0"), df.filter("l_orderkey % 2 = 1")
+    out = calibrate.logistic_predictions(train, test, ["l_quantity", "l_discount", "l_tax"], "y")
+    return rounded(out.groupBy("l_linestatus").agg(F.count("pred").alias("n"), F.avg("pred").alias("mean_pred"), F.avg("y").alias("mean_y")), 4)
+
+
+@query("""
+SELECT user_id, ts::DATE AS day, event_id, CASE WHEN ts > TIMESTAMP '2024-01-15 02:00:00' THEN 'futuro' WHEN ts > TIMESTAMP '2024-01-15' THEN 'proximo' WHEN ts + INTERVAL 5 HOUR > TIMESTAMP '2024-01-15' THEN 'iniciado' ELSE 'encerrado' END AS status FROM events""")
+def event_status(spark, sf):
+    now = F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")
+    return table(spark, sf, "events").select("user_id", F.to_date("ts").alias("day"), "event_id", text.event_status(F.col("ts"), now).alias("status"))
+
+
+@query("""
+SELECT o_orderkey, strftime(o_orderdate, '%Y%m%d') AS raw, o_orderdate::DATE AS parsed FROM orders""")
+def parsed_days(spark, sf):
+    raw = F.date_format("o_orderdate", "yyyyMMdd")
+    return table(spark, sf, "orders").select("o_orderkey", raw.alias("raw"), text.parse_day(raw).alias("parsed"))
+
+
+@query("""
+WITH h AS (SELECT c_nationkey, max(o_orderdate::DATE) AS last_known FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderdate < TIMESTAMP '1997-01-01' GROUP BY 1), f AS (SELECT c_nationkey, min(o_orderdate::DATE) AS first_coming FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderdate >= TIMESTAMP '1997-01-01' GROUP BY 1)
+SELECT c_nationkey, first_coming, last_known, date_diff('day', last_known, first_coming)::INT AS gap_days FROM f LEFT JOIN h USING (c_nationkey)""")
+def staleness_report(spark, sf):
+    o = table(spark, sf, "orders").join(table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey")
+    cut = F.col("o_orderdate") < F.lit("1997-01-01 00:00:00").cast("timestamp_ntz")
+    return quality.staleness_report(o.filter(cut), o.filter(~cut), ["c_nationkey"], "o_orderdate", "o_orderdate")
+
+
+@query("""
+SELECT doc_id, len(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '[ \\t\\r]+', ' ', 'g'))), lambda x: x <> '')) AS n_lines FROM documents""")
+def visible_lines(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.size(readers.normal_lines(F.col("text"))).cast("long").alias("n_lines"))
