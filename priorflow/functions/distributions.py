@@ -35,9 +35,10 @@ def moments_r(mean: Column, variance: Column) -> Column:
 
 
 def independent_sum_r(la: Column, ra: Column, lb: Column, rb: Column) -> Column:
-    total = la + lb
-    variance = la + la * la / ra + lb + lb * lb / rb
-    return F.when(variance > total, total * total / (variance - total))
+    """Dispersion of a sum of independent counts; a side without its own is Poisson."""
+    extra = lambda lam, r: F.coalesce(F.when(r > 0, lam * lam / r), F.lit(0.0))
+    total, over = la + lb, extra(la, ra) + extra(lb, rb)
+    return F.when(over > 0, total * total / over)
 
 
 def quantile(lam: Column, r: Column | None, q: float) -> Column:

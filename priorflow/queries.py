@@ -15,7 +15,7 @@ from .functions import distributions as dist
 from .functions import numeric as num
 from .functions import scores, setmodel, text
 from .operators import evaluation as ev
-from .operators import identity, joins, quality, rules
+from .operators import identity, joins, quality, rules, selection
 from .operators import windows as win
 from .plans import calibrate
 from .sources import readers
@@ -806,3 +806,88 @@ def staleness_report(spark, sf):
 SELECT doc_id, len(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '[ \\t\\r]+', ' ', 'g'))), lambda x: x <> '')) AS n_lines FROM documents""")
 def visible_lines(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.size(readers.normal_lines(F.col("text"))).cast("long").alias("n_lines"))
+
+
+# --- selection ----------------------------------------------------------------------------
+
+
+@query("""
+WITH e AS (SELECT event_id // 2 AS m, event_id % 2 AS s, event_type, value FROM events)
+SELECT a.event_type, count(*) AS n_matches_x2, round(corr(a.value, b.value), 8) AS corr FROM e a JOIN e b ON a.m = b.m AND 1 - a.s = b.s GROUP BY 1""")
+def residual_correlation(spark, sf):
+    e = table(spark, sf, "events").select(F.expr("event_id div 2").alias("m"), (F.col("event_id") % 2).alias("s"), "event_type", "value").withColumn("o", 1 - F.col("s"))
+    return rounded(selection.residual_correlation(e, ["m"], "s", "o", "value", ["event_type"]), 8)
+
+
+@query(_ERR + """
+, m AS (SELECT market, variant, avg(error) AS err, sum(n) AS n, 'all_folds_mean' AS fold FROM e GROUP BY ALL), r AS (SELECT market, variant, error AS err, n, fold FROM e UNION ALL SELECT * FROM m)
+SELECT a.market, a.variant, a.fold, round(a.err, 4) AS err, a.n::BIGINT AS n, round(b.err, 4) AS naive_err, round((b.err - a.err) / nullif(b.err, 0), 8) AS delta_rel_vs_naive FROM r a LEFT JOIN r b ON a.market = b.market AND a.fold = b.fold AND b.variant = 'naive' WHERE a.variant <> 'naive'""")
+def variant_ladder(spark, sf):
+    out = selection.variant_ladder(_errors(spark, sf), ["market"], "variant", "naive", ["career", "last3"])
+    return out.select("market", "variant", "fold", r("err", 4).alias("err"), "n", r("naive_err", 4).alias("naive_err"), r("delta_rel_vs_naive", 8).alias("delta_rel_vs_naive"))
+
+
+_CM = """WITH f AS (SELECT l_returnflag, median(l_quantity) AS th, avg(l_quantity) AS m, var_pop(l_quantity) AS v FROM lineitem WHERE l_orderkey % 2 = 0 GROUP BY 1),
+t AS (SELECT l.l_returnflag, th, m * m / (v - m) AS r, l_quantity AS y, 10 + l_discount * 200 AS lam FROM lineitem l JOIN f USING (l_returnflag) WHERE l_orderkey % 20 = 1),
+u AS (SELECT DISTINCT l_returnflag, th, r, lam FROM t),
+p AS (SELECT l_returnflag, lam, 1 - sum(exp(-lam + i * ln(lam) - lgamma(i + 1))) AS pp, 1 - sum(exp(lgamma(i + r) - lgamma(r) - lgamma(i + 1) + r * ln(r / (r + lam)) + i * ln(lam / (r + lam)))) AS pn FROM u, range(0, 60) q(i) WHERE i <= floor(th) GROUP BY ALL),
+j AS (SELECT t.l_returnflag, t.th, t.r, t.y, t.lam, (y > th)::INT AS hit, least(greatest(pp, 1e-6), 1 - 1e-6) AS pp, least(greatest(pn, 1e-6), 1 - 1e-6) AS pn FROM t JOIN p ON t.l_returnflag = p.l_returnflag AND t.lam = p.lam)"""
+
+
+@query(_CM + """
+SELECT l_returnflag, th AS threshold, round(r, 6) AS r, count(*) AS n, round(avg((pp - hit) ** 2), 8) AS brier_poisson, round(avg(-(hit * ln(pp) + (1 - hit) * ln(1 - pp))), 6) AS log_loss_poisson, round(avg((pn - hit) ** 2), 8) AS brier_negbin, round(avg(y), 6) AS mean_actual, round(avg(lam + lam * lam / r), 4) AS var_implied_negbin FROM j GROUP BY ALL""")
+def count_market(spark, sf):
+    li = table(spark, sf, "lineitem").withColumn("lam", 10 + F.col("l_discount") * 200)
+    out = selection.count_market(li.filter("l_orderkey % 2 = 0"), li.filter("l_orderkey % 20 = 1"), ["l_returnflag"], "l_quantity", "lam")
+    return out.select("l_returnflag", "threshold", r("r").alias("r"), "n", r("brier_poisson", 8).alias("brier_poisson"), r("log_loss_poisson").alias("log_loss_poisson"), r("brier_negbin", 8).alias("brier_negbin"), r("mean_actual").alias("mean_actual"), r("var_implied_negbin", 4).alias("var_implied_negbin"))
+
+
+@query("""
+WITH a AS (SELECT l_returnflag, l_linestatus, l_shipmode_ AS s, l_quantity AS y, l_discount * 500 AS iso, l_tax * 600 AS mu FROM (SELECT *, CASE WHEN l_partkey % 5 = 0 THEN 'Grass' WHEN l_partkey % 7 = 0 THEN NULL ELSE 'Hard' END AS l_shipmode_ FROM lineitem)),
+m AS (SELECT l_returnflag, l_linestatus, avg(abs(iso - y)) FILTER (WHERE s = 'Grass') AS a, avg(abs(mu - y)) FILTER (WHERE s = 'Grass') AS b, count(*) FILTER (WHERE s = 'Grass') AS n FROM a GROUP BY ALL)
+SELECT l_returnflag, l_linestatus, 'career' AS base_variant, round(a, 6) AS mae_isolated, round(b, 6) AS mae_matchup, n AS n_special, CASE WHEN a < b THEN 'isolated' ELSE 'matchup' END AS special_variant FROM m""")
+def market_config(spark, sf):
+    k = F.col("l_partkey")
+    df = table(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", F.when(k % 5 == 0, "Grass").when(k % 7 == 0, None).otherwise("Hard").alias("surface"), "l_quantity", (F.col("l_discount") * 500).alias("iso"), (F.col("l_tax") * 600).alias("mu"), F.lit("career").alias("base"))
+    return rounded(selection.market_config(df, ["l_returnflag", "l_linestatus"], "l_quantity", "iso", "mu", "base"))
+
+
+@query("""
+WITH t AS (SELECT DISTINCT 1 + l_discount * 60 AS la, 1 + l_tax * 70 AS lb, (l_linenumber % 9)::DOUBLE + 2 AS y FROM lineitem), x AS (SELECT t.*, (la + lb) ** 2 / (la * la / 3 + lb * lb / 3) AS ri FROM t),
+p AS (SELECT la, lb, ri, line, greatest(1 - sum(exp(lgamma(i + ri) - lgamma(ri) - lgamma(i + 1) + ri * ln(ri / (ri + la + lb)) + i * ln((la + lb) / (ri + la + lb)))), 0) AS pa, greatest(1 - sum(exp(lgamma(i + 2.5) - lgamma(2.5) - lgamma(i + 1) + 2.5 * ln(2.5 / (2.5 + la + lb)) + i * ln((la + lb) / (2.5 + la + lb)))), 0) AS pb
+ FROM (SELECT DISTINCT la, lb, ri FROM x), (SELECT unnest([3.5, 5.5]) AS line), range(0, 10) q(i) WHERE i <= floor(line) GROUP BY ALL)
+SELECT line, count(*) AS n, round(avg((least(greatest(pa, 1e-6), 1 - 1e-6) - (y > line)::INT) ** 2), 8) AS brier_independent, round(avg((least(greatest(pb, 1e-6), 1 - 1e-6) - (y > line)::INT) ** 2), 8) AS brier_empirical FROM x JOIN p ON x.la = p.la AND x.lb = p.lb GROUP BY 1""")
+def independence_comparison(spark, sf):
+    t = table(spark, sf, "lineitem").select((1 + F.col("l_discount") * 60).alias("la"), (1 + F.col("l_tax") * 70).alias("lb"), ((F.col("l_linenumber") % 9).cast("double") + 2).alias("y")).distinct().withColumn("lt", F.col("la") + F.col("lb"))
+    out = selection.independence_comparison(t, [], "la", "lb", "lt", "y", F.lit(3.0), F.lit(2.5), F.lit(6.0))
+    return rounded(out.filter(F.col("line").isin(3.5, 5.5)), 8)
+
+
+@query("""
+SELECT event_id, event_type FROM events WHERE ((ts::TIMESTAMP - INTERVAL 3 HOUR)::DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-09' AND event_type = 'click'""")
+def day_range_in_zone(spark, sf):
+    e = table(spark, sf, "events").withColumn("utc", F.col("ts").cast("timestamp"))
+    return selection.between_days(e, "utc", "America/Sao_Paulo", "2024-01-05", "2024-01-09", event_type="click").select("event_id", "event_type")
+
+
+@query("""
+SELECT user_id, event_type, max_by(event_id, event_id) AS event_id, max_by(value, event_id) AS value FROM events WHERE user_id < 20 GROUP BY ALL""")
+def last_evaluated(spark, sf):
+    e = table(spark, sf, "events").select("user_id", "event_type", "event_id", "value")
+    wanted = e.filter("user_id < 20").select("user_id", "event_type").distinct()
+    return selection.find_evaluated(e, wanted, ["user_id", "event_type"], "event_id")
+
+
+@query("""
+WITH s AS (SELECT l_orderkey, CASE WHEN l_returnflag = 'R' THEN 'CONFERIR_ODDS' WHEN l_returnflag = 'A' THEN 'OBSERVAR' ELSE 'DESCARTADO' END AS st FROM lineitem)
+SELECT l_orderkey, CASE min(CASE st WHEN 'CONFERIR_ODDS' THEN 1 WHEN 'OBSERVAR' THEN 2 ELSE 3 END) WHEN 1 THEN 'CONFERIR_ODDS' WHEN 2 THEN 'OBSERVAR' ELSE 'DESCARTADO' END AS badge FROM s GROUP BY 1""")
+def match_badges(spark, sf):
+    f = F.col("l_returnflag")
+    df = table(spark, sf, "lineitem").select("l_orderkey", F.when(f == "R", "CONFERIR_ODDS").when(f == "A", "OBSERVAR").otherwise("DESCARTADO").alias("state"))
+    return selection.badge(df, ["l_orderkey"], "state")
+
+
+@query()
+def seeded_groups(spark, sf):
+    """All rows of ten customers chosen by seed; Spark's hash isn't SQL elsewhere."""
+    return selection.seeded_groups(table(spark, sf, "orders").select("o_custkey", "o_orderkey"), ["o_custkey"], 10, 20260922)
