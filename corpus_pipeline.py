@@ -20,14 +20,16 @@ from priorflow.llm.queries import _vocabulary
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that importance resampling draws."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return resample.resample(docs, labels).filter("kept").select(*docs.columns)
+    drawn = resample.resample(docs, labels)
+    return drawn.filter(F.col(drawn.columns[-1])).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their repeated lines; lengths follow the text."""
-    clean = line_dedup.dedup_lines(docs)
-    text = F.when((F.col("text") == "") & (F.col("n_dropped") == 0) & F.col("n_chars").isNull(), None).otherwise(F.col("text"))
-    length = F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    clean = line_dedup.dedup_lines(docs.withColumn("text_was_null", F.col("text").isNull()))
+    dropped = F.col(clean.columns[-1])
+    text = F.when(~F.col("text_was_null"), F.col("text"))
+    length = F.when(dropped > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return clean.withColumn("n_chars", length).withColumn("text", text).select(*docs.columns)
 
 

@@ -135,9 +135,7 @@ def benchmark_hits(
     if len(items) > max_items:
         raise ValueError(f"more than {max_items} benchmark items; raise max_items")
     scanner = spark.sparkContext.broadcast(Scanner([tuple(r) for r in items], size, max_bytes))
-    name = out
-    while name in docs.columns:
-        name += "_"
+    (name,) = scratch.free_names(docs, out)
     schema = T.StructType(docs.schema.fields + [T.StructField(name, HITS, False)])
     arrow = pa.struct(
         [("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.int64())), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]

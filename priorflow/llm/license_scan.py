@@ -170,9 +170,7 @@ def scan_licenses(docs: DataFrame, text_col: str = "text", finder: Finder | None
     spark = docs.sparkSession
     scratch.small_batches(spark)
     finder = finder or Finder()
-    name = out
-    while name in docs.columns:
-        name += "_"
+    (name,) = scratch.free_names(docs, out)
     schema = T.StructType(docs.schema.fields + [T.StructField(name, RESULT, False)])
     match = pa.struct([("label", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("edits", pa.int32()), ("score", pa.float64())])
     arrow = pa.struct(

@@ -92,17 +92,6 @@ class LineStore:
         return self._merge(self.runs())
 
 
-def _names(docs: DataFrame, *wanted: str) -> list[str]:
-    """Names for helper columns that clash with none of the table's."""
-    have = {c.lower() for c in docs.columns}
-    out = []
-    for name in wanted:
-        while name in have:
-            name += "_"
-        out.append(name)
-    return out
-
-
 def dedup_lines(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -113,7 +102,8 @@ def dedup_lines(
     fan_out: int = 2,
     spread: int = 16,
 ) -> DataFrame:
-    """``docs`` with repeated lines removed from the text, plus ``n_lines`` and ``n_dropped``.
+    """``docs`` with repeated lines removed from the text, and two more columns at the end,
+    ``n_lines`` and ``n_dropped`` (with underscores added where such columns exist).
 
     Keys of ``min_length`` code points or more that ``min_docs`` documents or more hold lose
     all their lines but those of the largest id. Documents go through the store in
@@ -143,7 +133,7 @@ def dedup_lines(
         .groupBy("row")
         .agg(F.collect_set(F.struct("h1", "h2")).alias("lost"))
     )
-    row, lost_col, parts, left = _names(docs, "line_row", "line_lost", "line_parts", "line_left")
+    row, lost_col, parts, left, n_lines, n_dropped = scratch.free_names(docs, "line_row", "line_lost", "line_parts", "line_left", "n_lines", "n_dropped")
     lost = lost.select(F.col("row").alias(row), F.col("lost").alias(lost_col))
     joined = docs.withColumn(row, rowkey).join(lost, row, "left").withColumn(parts, lines_of(body))
     kept = F.filter(
@@ -151,11 +141,11 @@ def dedup_lines(
         lambda x: F.when(F.length(line_key(x)) < min_length, F.lit(True)).otherwise(~F.array_contains(F.col(lost_col), key_hash(line_key(x)))),
     )
     joined = joined.withColumn(left, F.when(F.col(lost_col).isNull(), F.col(parts)).otherwise(kept))
-    others = [F.col(c) for c in docs.columns if c not in (text_col, "n_lines", "n_dropped")]
+    others = [F.col(c) for c in docs.columns if c != text_col]
     clean = F.array_join(F.col(left), "\n")
     return joined.select(
         *others,
         F.when(F.col(lost_col).isNull(), F.coalesce(body, F.lit(""))).otherwise(clean).alias(text_col),
-        F.size(parts).cast("long").alias("n_lines"),
-        (F.size(parts) - F.size(left)).cast("long").alias("n_dropped"),
+        F.size(parts).cast("long").alias(n_lines),
+        (F.size(parts) - F.size(left)).cast("long").alias(n_dropped),
     )

@@ -72,17 +72,19 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buckets.astype(np.int64), np.concatenate((owner, owner[:-1][inner]))
 
 
-def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, max_labels: int) -> DataFrame:
+def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, max_labels: int, target: str) -> DataFrame:
     """``docs`` with ``target``: 1 good, 0 not, null unlabelled or outside the bounded sample."""
-    known = labels.filter(F.col("quality").isNotNull()).groupBy(F.col(id_col).alias("label_id")).agg(F.min(((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).cast("int")).alias("target"))
+    (key,) = scratch.free_names(docs, "label_id")
+    good = (F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)
+    known = labels.filter(F.col("quality").isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias(key)).agg(F.min(good.cast("int")).alias(target))
     n = labels.count()
     if n > max_labels:  # keeps the broadcast below the bound, whatever the labels' number
         cut = int(max_labels / n * 1_000_000)
-        known = known.filter(F.pmod(F.xxhash64("label_id"), F.lit(1_000_000)) < cut)
-    return docs.join(F.broadcast(known), docs[id_col] == known["label_id"], "left").drop("label_id")
+        known = known.filter(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < cut)
+    return docs.join(F.broadcast(known), docs[id_col] == known[key], "left").drop(key)
 
 
-def _ratios(docs: DataFrame, text_col: str) -> np.ndarray:
+def _ratios(docs: DataFrame, text_col: str, target: str) -> np.ndarray:
     """Log ratios of the two models, 0 or less, from counts over all documents."""
     n_blocks = -(-N_BUCKETS // _BLOCK)
 
@@ -109,7 +111,7 @@ def _ratios(docs: DataFrame, text_col: str) -> np.ndarray:
 
     schema = "block int, counts binary"
     counts = np.zeros((2, n_blocks * _BLOCK))
-    for row in docs.select(text_col, "target").mapInArrow(count, schema).repartition("block").mapInArrow(add, schema).toLocalIterator():
+    for row in docs.select(text_col, target).mapInArrow(count, schema).repartition("block").mapInArrow(add, schema).toLocalIterator():
         counts[:, row.block * _BLOCK : (row.block + 1) * _BLOCK] = np.frombuffer(row.counts, np.int64).reshape(2, -1)
     raw, target = counts
     if not target.sum():
@@ -169,24 +171,21 @@ def resample(
     sharpness: float = 10.0,
     seed: int = 7,
 ) -> DataFrame:
-    """``docs`` with ``importance`` (0 or less), ``gumbel_key`` and ``kept``."""
+    """``docs`` and three more columns at the end: ``importance`` (0 or less), ``gumbel_key``
+    and ``kept`` (with underscores added where such columns exist)."""
     spark = docs.sparkSession
     scratch.small_batches(spark)
-    names = []
-    for name in ("target", "importance", "gumbel_key", "kept"):
-        if name in docs.columns:
-            raise ValueError(f"documents must not have a column {name!r}")
-        names.append(name)
-    known = _labelled(docs, labels, id_col, max_labels)
-    ratios = spark.sparkContext.broadcast(_ratios(known, text_col))
-    scored = scratch.keep(_scored(known, text_col, ratios, "evidence"), "scored")
-    good = scored.filter("target = 1").agg(F.percentile_approx("evidence", F.lit(1 - keep_target), F.lit(100_000))).first()[0]
+    target, evidence, importance, key, kept = scratch.free_names(docs, "target", "evidence", "importance", "gumbel_key", "kept")
+    known = _labelled(docs, labels, id_col, max_labels, target)
+    ratios = spark.sparkContext.broadcast(_ratios(known, text_col, target))
+    scored = scratch.keep(_scored(known, text_col, ratios, evidence), "scored")
+    good = scored.filter(F.col(target) == 1).agg(F.percentile_approx(evidence, F.lit(1 - keep_target), F.lit(100_000))).first()[0]
     margin = -min(good if good is not None else 0.0, 0.0)
-    importance = F.least((F.col("evidence") + F.lit(margin)) * F.lit(sharpness), F.lit(0.0))
     bits = F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.col(text_col), F.lit(seed)), 12).cast("double")
     gumbel = -F.log(-F.log((bits + 0.5) / float(1 << 52)))
-    keyed = scored.withColumn("importance", importance).withColumn("gumbel_key", importance + gumbel)
-    total = keyed.agg(F.sum(F.exp("importance")), F.count(F.lit(1))).first()
+    keyed = scored.withColumn(importance, F.least((F.col(evidence) + F.lit(margin)) * F.lit(sharpness), F.lit(0.0)))
+    keyed = keyed.withColumn(key, F.col(importance) + gumbel)
+    total = keyed.agg(F.sum(F.exp(importance)), F.count(F.lit(1))).first()
     k = min(total[1], round(total[0] or 0))
-    cut = kth_largest(keyed.select(F.col("gumbel_key").alias("key")), k) if 0 < k < total[1] else float("-inf") if k else float("inf")
-    return keyed.withColumn("kept", F.col("gumbel_key") >= F.lit(cut)).select(*docs.columns, "importance", "gumbel_key", "kept")
+    cut = kth_largest(keyed.select(F.col(key).alias("key")), k) if 0 < k < total[1] else float("-inf") if k else float("inf")
+    return keyed.withColumn(kept, F.col(key) >= F.lit(cut)).select(*docs.columns, importance, key, kept)

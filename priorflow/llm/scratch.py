@@ -44,6 +44,18 @@ def keep(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """The wanted names, with underscores added where ``df`` has such a column."""
+    have = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in have:
+            name += "_"
+        have.add(name.lower())
+        out.append(name)
+    return out
+
+
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Ready a session for Arrow functions here: the package is there, and one Arrow batch
     has few enough rows that long texts fit a Python worker."""

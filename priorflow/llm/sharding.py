@@ -43,7 +43,8 @@ def balanced(sizes: list[int], n_shards: int) -> list[int]:
 
 def rebalanced(sizes: list[int], shards: list[int], n_shards: int, tolerance: float = 0.01) -> list[int]:
     """The map edited for ``n_shards``: slots leave shards that hold more than their part
-    (or are no longer there) for the emptiest shard, largest fitting slots first; all others stay."""
+    (or are no longer there) for those that hold less, largest slots first; all others stay. A
+    shard more only takes slots into itself."""
     out, load = list(shards), [0] * n_shards
     homeless = [s for s, shard in enumerate(shards) if shard >= n_shards]
     held: dict[int, list[int]] = {shard: [] for shard in range(n_shards)}
@@ -52,12 +53,13 @@ def rebalanced(sizes: list[int], shards: list[int], n_shards: int, tolerance: fl
             load[shard] += sizes[s]
             held[shard].append(s)
     part = sum(sizes) / n_shards
+    takers = [shard for shard in range(n_shards) if load[shard] < part * (1 - tolerance)]
     for shard in range(n_shards):
         for s in sorted(held[shard], key=lambda s: (-sizes[s], s)):
             if load[shard] - sizes[s] >= part * (1 - tolerance) and load[shard] > part * (1 + tolerance):
                 load[shard] -= sizes[s]
                 homeless.append(s)
-    heap = [(load[shard], shard) for shard in range(n_shards)]
+    heap = [(load[shard], shard) for shard in takers or range(n_shards)]
     heapq.heapify(heap)
     for s in sorted(homeless, key=lambda s: (-sizes[s], s)):
         least, shard = heapq.heappop(heap)
