@@ -29,7 +29,7 @@ BLOCK = 2048
 _MAGIC, _VERSION = b"IDCM", 1
 _TOP, _BOT = np.uint64(1 << 48), np.uint64(1 << 32)
 _16, _48 = np.uint64(16), np.uint64(48)
-_SLOTS = 2048
+_SLOTS = 1024
 _RANGES = 64
 
 _P = (np.arange(4096) + 0.5) / 4096
@@ -47,54 +47,54 @@ def _edges(vocabulary: int) -> np.ndarray:
 
 
 class _Model:
-    """States of all lanes; only the first ``m`` lanes are worked in a step."""
+    """States of all lanes, flat; only the first ``m`` lanes are worked in a step.
+
+    A context's slot packs the id last seen there and how often it held in a row (4 bits).
+    """
 
     def __init__(self, lanes: int, vocabulary: int):
         self.edges = _edges(vocabulary)
         self.width = np.diff(self.edges)
         n = len(self.width)
         self.lane = np.arange(lanes)
-        self.next1, self.next2 = np.full((lanes, _SLOTS), -1, np.int32), np.full((lanes, _SLOTS), -1, np.int32)
-        self.sure1, self.sure2 = np.zeros((lanes, _SLOTS), np.uint8), np.zeros((lanes, _SLOTS), np.uint8)
-        self.est1, self.est2 = np.full((lanes, 32), 16384, np.int32), np.full((lanes, 32), 24576, np.int32)
+        self.at_slot, self.at_state = self.lane * _SLOTS, self.lane * 32
+        self.slots1, self.slots2 = np.full(lanes * _SLOTS, -16, np.int32), np.full(lanes * _SLOTS, -16, np.int32)
+        self.est1, self.est2 = np.full(lanes * 32, 16384, np.int32), np.full(lanes * 32, 24576, np.int32)
         self.other = np.full((lanes, 16), 8192, np.int64)
-        self.weights = np.full((lanes, 2), 30000, np.int64)
+        self.weight1, self.weight2 = np.full(lanes, 30000, np.int64), np.full(lanes, 30000, np.int64)
         self.seen = np.ones((lanes, n), np.int32)
         self.number = np.arange(n + 1, dtype=np.int32)
         self.prev1, self.prev2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
 
     def look(self, m: int) -> None:
         """Predictions and the mixed probability of the first question, for ``m`` lanes."""
-        lane = self.lane[:m]
-        self.slot1 = self.prev1[:m] * 0x9E5 % _SLOTS
-        self.slot2 = (self.prev2[:m] * 0x3C6F + self.prev1[:m] * 0x9E5 + 77) % 1_000_003 % _SLOTS
-        self.guess1, self.guess2 = self.next1[lane, self.slot1].astype(np.int64), self.next2[lane, self.slot2].astype(np.int64)
-        self.c1, self.c2 = self.sure1[lane, self.slot1].astype(np.int64), self.sure2[lane, self.slot2].astype(np.int64)
-        self.first = np.where(self.guess2 >= 0, self.guess2, self.guess1)
-        agree = (self.guess1 == self.guess2).astype(np.int64)
-        self.x1 = self.c1 * 2 + agree
-        self.x2 = np.where(self.guess2 >= 0, self.c2 * 2 + agree, 0)
-        self.s1, self.s2 = _STRETCH[self.est1[lane, self.x1] >> 4], _STRETCH[self.est2[lane, self.x2] >> 4]
-        dot = (self.weights[:m, 0] * self.s1 + self.weights[:m, 1] * self.s2) >> 16
-        self.p = _SQUASH[np.clip(dot, -2047, 2047) + 2047]
+        near = self.prev1[:m] * 0x9E5
+        self.slot1 = self.at_slot[:m] + (near & (_SLOTS - 1))
+        self.slot2 = self.at_slot[:m] + (((self.prev2[:m] * 0x3C6F + near) * 0x2545F491 >> 20) & (_SLOTS - 1))
+        held1, held2 = self.slots1.take(self.slot1), self.slots2.take(self.slot2)
+        self.guess1, self.guess2, self.c1, self.c2 = held1 >> 4, held2 >> 4, held1 & 15, held2 & 15
+        second = self.guess2 >= 0
+        self.first = np.where(second, self.guess2, self.guess1)
+        agree = self.guess1 == self.guess2
+        self.x1 = self.at_state[:m] + (self.c1 * 2 + agree)
+        self.x2 = self.at_state[:m] + (self.c2 * 2 + agree) * second
+        self.e1, self.e2 = self.est1.take(self.x1), self.est2.take(self.x2)
+        self.s1, self.s2 = _STRETCH.take(self.e1 >> 4), _STRETCH.take(self.e2 >> 4)
+        dot = (self.weight1[:m] * self.s1 + self.weight2[:m] * self.s2) >> 16
+        self.p = _SQUASH.take(np.minimum(np.maximum(dot, -2047), 2047) + 2047)
 
     def learn_first(self, m: int, hit: np.ndarray, asked: np.ndarray) -> None:
-        lane = self.lane[:m]
         answer = hit.astype(np.int64) << 16
-        error = np.where(asked, answer - self.p, 0)
-        self.weights[:m, 0] += (self.s1 * error) >> 13
-        self.weights[:m, 1] += (self.s2 * error) >> 13
-        np.clip(self.weights[:m], -200_000, 200_000, out=self.weights[:m])
-        for est, x in ((self.est1, self.x1), (self.est2, self.x2)):
-            old = est[lane, x]
-            est[lane, x] = np.clip(old + np.where(asked, (answer - old) >> 5, 0), 64, 65472)
+        error = (answer - self.p) * asked
+        for weight, s in ((self.weight1, self.s1), (self.weight2, self.s2)):
+            weight[:m] = np.minimum(np.maximum(weight[:m] + ((s * error) >> 13), -200_000), 200_000)
+        for est, x, e in ((self.est1, self.x1, self.e1), (self.est2, self.x2, self.e2)):
+            est[x] = np.minimum(np.maximum(e + ((answer - e) >> 5) * asked, 64), 65472)
 
     def learn_id(self, m: int, ids: np.ndarray) -> None:
-        lane = self.lane[:m]
-        for table, sure, slot, guess, c in ((self.next1, self.sure1, self.slot1, self.guess1, self.c1), (self.next2, self.sure2, self.slot2, self.guess2, self.c2)):
-            same = guess == ids
-            table[lane, slot] = ids
-            sure[lane, slot] = np.where(same, np.minimum(c + 1, 15), 0)
+        packed = ids << 4
+        for slots, slot, guess, c in ((self.slots1, self.slot1, self.guess1, self.c1), (self.slots2, self.slot2, self.guess2, self.c2)):
+            slots[slot] = packed + np.minimum(c + 1, 15) * (guess == ids)
         self.prev2[:m], self.prev1[:m] = self.prev1[:m], ids
 
     def ranges(self, lanes: np.ndarray) -> np.ndarray:
