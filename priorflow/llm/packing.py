@@ -27,18 +27,17 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from . import bytewords, scratch
-from .tokens import Encoder
+from .tokens import shared
 
 
 def tokenise(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(row, id, n_tokens, ids): ids as little-endian unsigned 32-bit integers with the end id."""
-    encoder = Encoder(tokenizer_path)
     end = np.array([end_id], "<u4").tobytes()
 
     def encode(batches):
         for batch in batches:
             for i, rows in bytewords.slices(batch.column(1)):
-                ids = [x + end for x in encoder.encode(rows.to_pylist())]
+                ids = [x + end for x in shared(tokenizer_path).encode(rows.to_pylist())]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(rows)), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["id", "n_tokens", "ids"])
 
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from . import bytewords, id_coder, scratch
-from .tokens import Encoder, load
+from .tokens import load, shared
 
 FILE_IDS = 1 << 22
 
@@ -32,7 +32,7 @@ def write_files(
 ) -> None:
     """Rows (part, file, n_ids, ids, sizes, image) below ``path``; parts and files in id order."""
     scratch.small_batches(docs.sparkSession)
-    encoder, vocabulary = Encoder(tokenizer_path), max(load(tokenizer_path).get_vocab_size(), end_id + 1)
+    vocabulary = max(load(tokenizer_path).get_vocab_size(), end_id + 1)
     end = np.array([end_id], "<u4").tobytes()
     names = ["part", "file", "n_ids", "ids", "sizes", "image"]
 
@@ -49,7 +49,7 @@ def write_files(
         total = 0
         for batch in batches:
             for i, rows in bytewords.slices(batch.column(1)):
-                for doc, coded in zip(batch.column(0).slice(i, len(rows)).to_pylist(), encoder.encode(rows.to_pylist())):
+                for doc, coded in zip(batch.column(0).slice(i, len(rows)).to_pylist(), shared(tokenizer_path).encode(rows.to_pylist())):
                     ids.append(doc)
                     kept.append(coded + end)
                     sizes.append(len(kept[-1]) // 4)

@@ -1,22 +1,54 @@
 """Token ids of whole texts by the tokenizers library, with repeated pieces encoded once.
 
 Byte-pair encoding treats each pre-token (about a word) by itself. Text is cut at its
-pre-tokens, each distinct one is encoded by the library, and a bounded memory of them serves
-repeats; the ids equal those of one call on the whole text (tests compare them). Where the
-tokenizer isn't of a kind known here, whole texts go to the library.
+pre-tokens, each distinct one is encoded by the library, many in one call, and a bounded
+memory of them serves repeats; the ids equal those of one call on the whole text (tests
+compare them). Where the
+tokenizer isn't of a kind known here, or a text has letters that Unicode got late, whole texts
+go to the library.
 """
 
 from __future__ import annotations
 
+import re
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import regex
 from tokenizers import Tokenizer
 
-#: Pre-token patterns of the two kinds of public byte-pair tokenizers (fixed values).
+#: Pre-token pattern of byte-level tokenizers whose pieces keep their leading blank (fixed value).
 _SPACED = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: Characters whose class all Unicode versions in use agree on; texts with others go to the library.
+_UNSETTLED = re.compile("[^\x00-\u052f\u2000-\u206f\u20a0-\u20bf\u2190-\u21ff]")
+
+
+def _ranges(category: str) -> str:
+    """The settled characters of a category, as ranges of a character class."""
+    test, runs = regex.compile(category), []
+    for c in (c for c in range(0x2200) if not _UNSETTLED.match(chr(c)) and test.match(chr(c))):
+        if runs and runs[-1][1] == c - 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in runs)
+
+
+def compiled(pattern: str) -> re.Pattern:
+    """A pre-token pattern for settled characters, by the faster of the two engines."""
+    known = {name: _ranges(name) for name in (r"\p{L}", r"\p{N}", r"\s")}
+    known[r"\S"] = "^" + known[r"\s"]
+    out, inside = [], False
+    for part in regex.findall(r"\\p\{[LN]\}|\\[sS]|\[\^?|\]|.", pattern, regex.DOTALL):
+        if part in known:
+            out.append(known[part] if inside else f"[{known[part]}]")
+        else:
+            inside = part[0] == "[" or inside and part != "]"
+            out.append(part)
+    return re.compile("".join(out))
+
 
 def load(path: str) -> Tokenizer:
     tokenizer = Tokenizer.from_file(path)
@@ -27,7 +59,7 @@ def load(path: str) -> Tokenizer:
 class Encoder:
     """``path``: a tokenizer file that every worker can read, or a public vocabulary's name."""
 
-    def __init__(self, path: str, capacity: int = 400_000):
+    def __init__(self, path: str, capacity: int = 200_000):
         self.path, self.capacity = path, capacity
         self._tokenizer = None
 
@@ -44,11 +76,17 @@ class Encoder:
         kinds = [p["type"] for p in pre.get("pretokenizers", [pre])] if pre else []
         self._pattern, self._normal = None, None
         if kinds == ["ByteLevel"] and normal is None and pre.get("use_regex") and not pre.get("add_prefix_space"):
-            self._pattern = regex.compile(_SPACED)
+            self._pattern = compiled(_SPACED)
         elif kinds == ["Split", "ByteLevel"]:
             split, byte_level = pre["pretokenizers"]
             if split["behavior"] == "Removed" and split["invert"] and "Regex" in split["pattern"] and not byte_level["use_regex"] and not byte_level["add_prefix_space"]:
-                self._pattern, self._normal = regex.compile(split["pattern"]["Regex"]), self._tokenizer.normalizer
+                self._pattern, self._normal = compiled(split["pattern"]["Regex"]), self._tokenizer.normalizer
+
+        # ids that begin (with a blank) or end (with the model's mark) a piece
+        vocabulary, mark = self._tokenizer.get_vocab(), spec["model"].get("end_of_word_suffix")
+        self._border = np.zeros(max(vocabulary.values()) + 1, bool)
+        edge = (lambda t: t.startswith("Ġ")) if self._normal is None else (lambda t: bool(mark) and t.endswith(mark))
+        self._border[[i for t, i in vocabulary.items() if edge(t)]] = True
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
@@ -57,14 +95,48 @@ class Encoder:
         texts = [t or "" for t in texts]
         if self._pattern is None:
             return [np.array(e.ids, "<u4").tobytes() for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        odd = [i for i, t in enumerate(texts) if not t.isascii() and _UNSETTLED.search(t)]
+        if odd:
+            whole = dict(zip(odd, (np.array(e.ids, "<u4").tobytes() for e in self._tokenizer.encode_batch_fast([texts[i] for i in odd], add_special_tokens=False))))
+            rest = iter(self.encode([t for i, t in enumerate(texts) if i not in whole]))
+            return [whole[i] if i in whole else next(rest) for i in range(len(texts))]
         if self._normal is not None:
             texts = [t.lower() if t.isascii() else self._normal.normalize_str(t) for t in texts]
         cut = [self._pattern.findall(t) for t in texts]
         memory = self._memory
-        new = [p for p in set(chain.from_iterable(cut)) if p not in memory]
-        got = dict(zip(new, (np.array(e.ids, "<u4").tobytes() for e in self._tokenizer.encode_batch_fast(new, add_special_tokens=False)))) if new else {}
-        if len(memory) + len(got) <= self.capacity:
-            memory.update(got)
-            get = memory.__getitem__
-            return [b"".join(map(get, pieces)) for pieces in cut]
-        return [b"".join([got[p] if p in got else memory[p] for p in pieces]) for pieces in cut]
+        got = self._new(list(set(chain.from_iterable(cut)).difference(memory)))
+        memory.update(got)
+        get = memory.__getitem__
+        out = [b"".join(map(get, pieces)) for pieces in cut]
+        if len(memory) > self.capacity:
+            for piece in got:
+                del memory[piece]
+        return out
+
+    def _new(self, pieces: list[str], run: int = 4000) -> dict[str, bytes]:
+        """Ids of distinct pieces: many joined to one text, where they stay pieces of their own.
+
+        Joined pieces part where an id begins with a blank, or ends a word.
+        """
+        spaced = self._normal is not None  # blanks are dropped, so any may part two pieces
+        joint = pieces if spaced else [p for p in pieces if p[0] == " " and len(p) > 1 and not p[1].isspace()]
+        out: dict[str, bytes] = {}
+        runs = [joint[k : k + run] for k in range(0, len(joint), run)] if self._border.any() else []
+        texts = [(" " if spaced else "").join(some) for some in runs]
+        for some, encoded in zip(runs, self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            ids = np.array(encoded.ids, "<u4")
+            border = np.flatnonzero(self._border[ids])
+            if len(border) == len(some):
+                cuts = [0, *(4 * border + 4).tolist()] if spaced else [*(4 * border).tolist(), 4 * len(ids)]
+                flat = ids.tobytes()
+                out.update((p, flat[a:b]) for p, a, b in zip(some, cuts, cuts[1:]))
+        rest = [p for p in pieces if p not in out]
+        if rest:
+            out.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(rest, self._tokenizer.encode_batch_fast(rest, add_special_tokens=False)))
+        return out
+
+
+@lru_cache(maxsize=4)
+def shared(path: str) -> Encoder:
+    """One encoder for each file and worker process, so that later tasks find its memory."""
+    return Encoder(path)
