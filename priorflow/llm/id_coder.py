@@ -2,20 +2,23 @@
 
 A block's ids are coded one after another. For each id the model
 
-* asks whether it is the id last seen after the two ids before (order 2) or, where there is
-  none, after the one before (order 1); the probability mixes both orders' adaptive
-  estimates in the logistic domain, with weights that learn from each answer;
-* else asks whether it is the order-1 id, if that is another;
-* else codes it by order 0: an adaptive distribution over ranges of ids, and the place
-  within the range.
-
-All decisions drive one range coder with a 64-bit low end and 16-bit output words. Every
-block starts from the same empty model and carries the crc32 of its ids. Blocks of a file
-are independent, so they are worked in step, one numpy lane each. All model arithmetic is
-in integers, so every machine decodes alike.
+* takes the id last seen after the two ids before (order 2) or, where there is none, after
+  the one before (order 1) as its first guess; evidence of both orders, by how often in a
+  row each held and whether they agree, is mixed in the logistic domain with weights that
+  learn from each answer;
+* takes the order-1 id, if that is another, as its second guess, with an adaptive share of
+  what the first leaves;
+* gives the rest to order 0: an adaptive distribution over bins of ids, counted anew every
+  few ids. Bins are powers of two wide, and the place within a bin is plain bits.
+
+One step of the range coder (48-bit range, 16-bit words, carries added up at the end) codes
+which of these it is. Every block starts from the same empty model and carries the crc32 of
+its ids. Blocks of a file are independent, so they are worked in step, one numpy lane each,
+without branches. All model arithmetic is in integers, so every machine decodes alike.
 
 File image: ``IDCM`` and then little-endian unsigned 32-bit integers: version, vocabulary
-size, block size, number of blocks; for each block ids, words and crc32; then all words.
+size, block size, number of blocks; for each block ids, coder words, plain words and crc32;
+then each block's coder words and plain words.
 """
 
 from __future__ import annotations
@@ -26,24 +29,27 @@ import zlib
 import numpy as np
 
 BLOCK = 2048
-_MAGIC, _VERSION = b"IDCM", 1
-_TOP, _BOT = np.uint64(1 << 48), np.uint64(1 << 32)
-_16, _48 = np.uint64(16), np.uint64(48)
+_MAGIC, _VERSION = b"IDCM", 2
 _SLOTS = 1024
-_RANGES = 64
+_NONE = -1  # packed slot of no id yet: id -1, run 15
+_LOW32 = (1 << 32) - 1
+_SQUASH = np.clip(np.rint(65536 / (1 + np.exp(-np.arange(-2047, 2048) / 256))), 32, 61440).astype(np.int32)
+
 
-_P = (np.arange(4096) + 0.5) / 4096
-_STRETCH = np.rint(np.log(_P / (1 - _P)) * 256).astype(np.int64)
-_SQUASH = np.clip(np.rint(65536 / (1 + np.exp(-np.arange(-2047, 2048) / 256))), 32, 65504).astype(np.int64)
+class _Bins:
+    """Ids below 8 alone, then four bins for each power of two."""
 
+    def __init__(self, vocabulary: int):
+        if not 0 < vocabulary <= 1 << 18:
+            raise ValueError("vocabularies of 1 to 262144 ids are supported")
+        bits = np.maximum(np.arange(72) // 4 - 1, 0)
+        start = np.where(np.arange(72) < 8, np.arange(72), (4 + np.arange(72) % 4) << bits)
+        self.n = int((start < vocabulary).sum())
+        self.bits, self.start = bits[: self.n].astype(np.int32), start[: self.n].astype(np.int32)
+        self.width = 1 << (self.n).bit_length()  # entries of a row of sums, over n
 
-def _edges(vocabulary: int) -> np.ndarray:
-    """Ends of up to 64 ranges of ids, finer for smaller ids, none wider than 2**16."""
-    if not 0 < vocabulary <= 1 << 18:
-        raise ValueError("vocabularies of 1 to 262144 ids are supported")
-    grow = np.floor(8 * (max(vocabulary, 16) / 8) ** (np.arange(1, _RANGES + 1) / _RANGES)).astype(np.int64)
-    ends = np.unique(np.concatenate((grow[grow < vocabulary], [vocabulary])))
-    return np.concatenate(([0], ends))
+    def of(self, ids: np.ndarray) -> np.ndarray:
+        return (np.searchsorted(self.start, ids, "right") - 1).astype(np.uint8)
 
 
 class _Model:
@@ -52,176 +58,130 @@ class _Model:
     A context's slot packs the id last seen there and how often it held in a row (4 bits).
     """
 
-    def __init__(self, lanes: int, vocabulary: int):
-        self.edges = _edges(vocabulary)
-        self.width = np.diff(self.edges)
-        n = len(self.width)
-        self.lane = np.arange(lanes)
-        self.at_slot, self.at_state = self.lane * _SLOTS, self.lane * 32
-        self.slots1, self.slots2 = np.full(lanes * _SLOTS, -16, np.int32), np.full(lanes * _SLOTS, -16, np.int32)
-        self.est1, self.est2 = np.full(lanes * 32, 16384, np.int32), np.full(lanes * 32, 24576, np.int32)
-        self.other = np.full((lanes, 16), 8192, np.int64)
-        self.weight1, self.weight2 = np.full(lanes, 30000, np.int64), np.full(lanes, 30000, np.int64)
-        self.seen = np.ones((lanes, n), np.int32)
-        self.number = np.arange(n + 1, dtype=np.int32)
-        self.prev1, self.prev2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+    def __init__(self, lanes: int, bins: _Bins):
+        self.bins = bins
+        lane = np.arange(lanes, dtype=np.int32)
+        self.at_slot, self.at_state, self.at_row, self.at_bin = lane * _SLOTS, lane * 32, lane * bins.width, lane * bins.n
+        self.slots1, self.slots2 = np.full(lanes * _SLOTS, _NONE, np.int32), np.full(lanes * _SLOTS, _NONE, np.int32)
+        start1, start2 = np.full(32, -4000, np.int32), np.arange(32, dtype=np.int32) // 2 * 1200
+        start1[30:], start2[30:] = -30000, 0
+        self.mix1, self.mix2 = np.tile(start1, lanes), np.tile(start2, lanes)
+        self.share = np.full(lanes * 32, 6000, np.int32)
+        self.seen = np.ones((lanes, bins.n), np.int32)
+        self.sums = np.full((lanes, bins.width), 1 << 30, np.int32)
+        self.prev1, self.prev2 = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
+
+    def count(self, step: int) -> None:
+        """Sums of the order-0 bins in 2048ths, anew at steps 0, 8, 16 and every 32."""
+        if step % 32 and step not in (8, 16):
+            return
+        n, row = self.bins.n, np.zeros((len(self.seen), self.bins.n + 1), np.int32)
+        np.cumsum(self.seen, axis=1, out=row[:, 1:])
+        row *= 2048 - n
+        row //= row[:, -1:] // (2048 - n)
+        self.sums[:, : n + 1] = row + np.arange(n + 1, dtype=np.int32)
+        self.flat = self.sums.ravel()
+        if step and step % 256 == 0:
+            self.seen -= self.seen >> 1
 
     def look(self, m: int) -> None:
-        """Predictions and the mixed probability of the first question, for ``m`` lanes."""
-        near = self.prev1[:m] * 0x9E5
-        self.slot1 = self.at_slot[:m] + (near & (_SLOTS - 1))
-        self.slot2 = self.at_slot[:m] + (((self.prev2[:m] * 0x3C6F + near) * 0x2545F491 >> 20) & (_SLOTS - 1))
+        """Guesses and their bounds in 65536ths, for ``m`` lanes."""
+        p1, p2 = self.prev1[:m], self.prev2[:m]
+        self.slot1 = (self.at_slot[:m] + ((p1 * 0x2545F491) >> 19 & (_SLOTS - 1))).astype(np.intp)
+        self.slot2 = (self.at_slot[:m] + (((p2 * 0x3C6F + p1) * 0x2545F491) >> 19 & (_SLOTS - 1))).astype(np.intp)
         held1, held2 = self.slots1.take(self.slot1), self.slots2.take(self.slot2)
-        self.guess1, self.guess2, self.c1, self.c2 = held1 >> 4, held2 >> 4, held1 & 15, held2 & 15
-        second = self.guess2 >= 0
-        self.first = np.where(second, self.guess2, self.guess1)
-        agree = self.guess1 == self.guess2
-        self.x1 = self.at_state[:m] + (self.c1 * 2 + agree)
-        self.x2 = self.at_state[:m] + (self.c2 * 2 + agree) * second
-        self.e1, self.e2 = self.est1.take(self.x1), self.est2.take(self.x2)
-        self.s1, self.s2 = _STRETCH.take(self.e1 >> 4), _STRETCH.take(self.e2 >> 4)
-        dot = (self.weight1[:m] * self.s1 + self.weight2[:m] * self.s2) >> 16
-        self.p = _SQUASH.take(np.minimum(np.maximum(dot, -2047), 2047) + 2047)
-
-    def learn_first(self, m: int, hit: np.ndarray, asked: np.ndarray) -> None:
-        answer = hit.astype(np.int64) << 16
-        error = (answer - self.p) * asked
-        for weight, s in ((self.weight1, self.s1), (self.weight2, self.s2)):
-            weight[:m] = np.minimum(np.maximum(weight[:m] + ((s * error) >> 13), -200_000), 200_000)
-        for est, x, e in ((self.est1, self.x1, self.e1), (self.est2, self.x2, self.e2)):
-            est[x] = np.minimum(np.maximum(e + ((answer - e) >> 5) * asked, 64), 65472)
-
-    def learn_id(self, m: int, ids: np.ndarray) -> None:
+        self.guess1, guess2 = held1 >> 4, held2 >> 4
+        self.run1, self.run2 = held1 & 15, held2 & 15
+        self.guess2 = guess2
+        self.first = np.where(guess2 < 0, self.guess1, guess2)
+        self.differ = self.guess1 != self.first
+        state = self.at_state[:m] + self.differ
+        self.x1, self.x2 = (state + self.run1 * 2).astype(np.intp), (state + self.run2 * 2).astype(np.intp)
+        self.w1, self.w2 = self.mix1.take(self.x1), self.mix2.take(self.x2)
+        mixed = (self.w1 + self.w2) >> 4
+        self.p = _SQUASH.take(np.minimum(np.maximum(mixed, -2047), 2047) + 2047)
+        self.q = self.share.take(self.x1)
+        self.base = self.p + ((65536 - self.p) * (self.q >> 4) >> 12) * self.differ
+        self.left = 65536 - self.base
+
+    def learn(self, m: int, ids: np.ndarray, at: np.ndarray, hit: np.ndarray, second: np.ndarray, rest: np.ndarray) -> None:
+        move = (hit * np.int32(65536) - self.p) >> 4
+        self.mix1[self.x1], self.mix2[self.x2] = np.minimum(np.maximum(self.w1 + move, -60000), 60000), np.minimum(np.maximum(self.w2 + move, -60000), 60000)
+        q = self.q + ((second * np.int32(65536) - self.q) >> 5) * (self.differ & ~hit)
+        self.share[self.x1] = np.minimum(np.maximum(q, 256), 32768)
         packed = ids << 4
-        for slots, slot, guess, c in ((self.slots1, self.slot1, self.guess1, self.c1), (self.slots2, self.slot2, self.guess2, self.c2)):
-            slots[slot] = packed + np.minimum(c + 1, 15) * (guess == ids)
+        self.slots1[self.slot1] = packed + np.minimum(self.run1 + 1, 14) * (self.guess1 == ids)
+        self.slots2[self.slot2] = packed + np.minimum(self.run2 + 1, 14) * (self.guess2 == ids)
+        self.seen.ravel()[self.at_bin[:m] + at] += rest * np.int32(16)
         self.prev2[:m], self.prev1[:m] = self.prev1[:m], ids
 
-    def ranges(self, lanes: np.ndarray) -> np.ndarray:
-        """Starts (with the end) of all ranges in 16 bits, for the lanes given."""
-        out = np.zeros((len(lanes), len(self.width) + 1), np.int32)
-        np.cumsum(self.seen[lanes], axis=1, out=out[:, 1:])
-        scale = (65536 - len(self.width)) / out[:, -1:]  # correctly rounded, so equal everywhere
-        return (out * scale).astype(np.int32) + self.number
-
-    def learn_range(self, lanes: np.ndarray, at: np.ndarray) -> None:
-        self.seen[lanes, at] += 24
-
-
-class _Encoder:
-    def __init__(self, lanes: int):
-        self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
-        self.out, self.n = np.zeros((lanes, 2 * BLOCK), np.uint16), np.zeros(lanes, np.int64)
-
-    def put(self, lanes: np.ndarray, start: np.ndarray, freq: np.ndarray) -> None:
-        r = self.range[lanes] >> _16
-        self.low[lanes] += r * start.astype(np.uint64)
-        self.range[lanes] = r * freq.astype(np.uint64)
-        while True:
-            low, span = self.low[lanes], self.range[lanes]
-            apart = (low ^ (low + span)) >= _TOP
-            need = ~apart | (span < _BOT)
-            if not need.any():
-                return
-            lanes, low, span, apart = lanes[need], low[need], span[need], apart[need]
-            span = np.where(apart, (~low + np.uint64(1)) & (_BOT - np.uint64(1)), span)
-            self._word(lanes, low)
-            self.low[lanes], self.range[lanes] = low << _16, span << _16
-
-    def _word(self, lanes: np.ndarray, low: np.ndarray) -> None:
-        at = self.n[lanes]
-        if len(at) and at.max() >= self.out.shape[1]:
-            self.out = np.concatenate((self.out, np.zeros_like(self.out)), axis=1)
-        self.out[lanes, at] = (low >> _48).astype(np.uint16)
-        self.n[lanes] += 1
-
-    def finish(self) -> None:
-        every = np.arange(len(self.low))
-        for _ in range(4):
-            self._word(every, self.low)
-            self.low <<= _16
-
-
-class _Decoder:
-    def __init__(self, words: np.ndarray, begins: np.ndarray):
-        lanes = len(begins)
-        self.words = np.concatenate((words, np.zeros(8, np.uint16))).astype(np.uint64)
-        self.at = begins.copy()
-        self.low, self.range, self.code = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64), np.zeros(lanes, np.uint64)
-        for _ in range(4):
-            self.code = (self.code << _16) | self.words[np.minimum(self.at, len(self.words) - 1)]
-            self.at += 1
-
-    def value(self, lanes: np.ndarray) -> np.ndarray:
-        self._r = self.range[lanes] >> _16
-        return np.minimum((self.code[lanes] - self.low[lanes]) // self._r, np.uint64(65535)).astype(np.int64)
-
-    def take(self, lanes: np.ndarray, start: np.ndarray, freq: np.ndarray) -> None:
-        self.low[lanes] += self._r * start.astype(np.uint64)
-        self.range[lanes] = self._r * freq.astype(np.uint64)
-        while True:
-            low, span = self.low[lanes], self.range[lanes]
-            apart = (low ^ (low + span)) >= _TOP
-            need = ~apart | (span < _BOT)
-            if not need.any():
-                return
-            lanes, low, span, apart = lanes[need], low[need], span[need], apart[need]
-            span = np.where(apart, (~low + np.uint64(1)) & (_BOT - np.uint64(1)), span)
-            self.code[lanes] = (self.code[lanes] << _16) | self.words[np.minimum(self.at[lanes], len(self.words) - 1)]
-            self.at[lanes] += 1
-            self.low[lanes], self.range[lanes] = low << _16, span << _16
-
 
 def encode(ids: np.ndarray, vocabulary: int, block: int = BLOCK) -> bytes:
     """The file image of ``ids``, all below ``vocabulary``."""
-    ids = np.ascontiguousarray(ids, "<u4")
+    ids, bins = np.ascontiguousarray(ids, "<u4"), _Bins(vocabulary)
     if len(ids) and int(ids.max()) >= vocabulary:
         raise ValueError("an id is outside the vocabulary")
     lanes = -(-len(ids) // block)
+    if not lanes:
+        return _MAGIC + struct.pack("<4I", _VERSION, vocabulary, block, 0)
     sizes = np.full(lanes, block, np.int64)
-    if lanes:
-        sizes[-1] = len(ids) - (lanes - 1) * block
-    grid = np.zeros(lanes * block, np.int64)
+    sizes[-1] = len(ids) - (lanes - 1) * block
+    grid = np.zeros(lanes * block, np.int32)
     grid[: len(ids)] = ids
     grid = np.ascontiguousarray(grid.reshape(lanes, block).T)
-    model, coder = _Model(lanes, vocabulary), _Encoder(lanes)
-    for j in range(block if lanes else 0):
+    bin_of = np.take(bins.of(np.arange(vocabulary)), grid)
+    model = _Model(lanes, bins)
+    low, span = np.zeros(lanes, np.int64), np.full(lanes, 1 << 48, np.int64)
+    out, row = np.zeros((lanes, block + 2), np.uint32), np.arange(lanes) * (block + 2)
+    flat, end = out.ravel(), row.copy()
+    bits = np.zeros((lanes, block + 1), np.uint16)
+    bit_row = np.arange(lanes) * (block + 1)
+    bit_flat, bit_end = bits.ravel(), bit_row.copy()
+    held, n_held = np.zeros(lanes, np.int64), np.zeros(lanes, np.int32)
+    for j in range(block):
         m = lanes if j < sizes[-1] else lanes - 1
         if not m:
             break
-        now, lane = grid[j, :m], model.lane[:m]
+        now, at = grid[j, :m], bin_of[j, :m]
+        model.count(j)
         model.look(m)
-        asked = model.first >= 0
-        hit = asked & (model.first == now)
-        if asked.any():
-            some = lane[asked]
-            p = model.p[asked]
-            coder.put(some, np.where(hit[asked], 0, p), np.where(hit[asked], p, 65536 - p))
-        model.learn_first(m, hit, asked)
-        ask_other = ~hit & (model.guess1 >= 0) & (model.guess1 != model.first)
-        other = ask_other & (model.guess1 == now)
-        if ask_other.any():
-            some, c = lane[ask_other], model.c1[ask_other]
-            p, yes = model.other[some, c], other[ask_other]
-            coder.put(some, np.where(yes, 0, p), np.where(yes, p, 65536 - p))
-            model.other[some, c] = np.clip(p + (((yes.astype(np.int64) << 16) - p) >> 5), 64, 65472)
-        rest = ~hit & ~other
-        if rest.any():
-            some, value = lane[rest], now[rest]
-            at = np.searchsorted(model.edges, value, "right") - 1
-            starts = model.ranges(some)
-            row = np.arange(len(some))
-            coder.put(some, starts[row, at], starts[row, at + 1] - starts[row, at])
-            model.learn_range(some, at)
-            width, place = model.width[at], value - model.edges[at]
-            begin = place * 65536 // width
-            coder.put(some, begin, (place + 1) * 65536 // width - begin)
-        model.learn_id(m, now)
-    coder.finish()
-    head = [_MAGIC, struct.pack("<4I", _VERSION, vocabulary, block, lanes)]
-    for k in range(lanes):
-        head.append(struct.pack("<3I", sizes[k], coder.n[k], zlib.crc32(ids[k * block : k * block + sizes[k]])))
-    return b"".join(head + [coder.out[k, : coder.n[k]].astype("<u2").tobytes() for k in range(lanes)])
+        hit = model.first == now
+        second = (model.guess1 == now) & ~hit
+        rest = ~(hit | second)
+        place = (model.at_row[:m] + at).astype(np.intp)
+        begin = model.base + (model.left * model.flat.take(place) >> 11)
+        finish = model.base + (model.left * model.flat.take(place + 1) >> 11)
+        begin = np.where(hit, 0, np.where(second, model.p, begin))
+        finish = np.where(hit, model.p, np.where(second, model.base, finish))
+        unit = span[:m] >> 16
+        a, b = low[:m] + unit * begin, unit * (finish - begin)
+        short = b <= _LOW32
+        flat[end[:m]] = a >> 32
+        low[:m] = np.where(short, (a & _LOW32) << 16, a)
+        span[:m] = b << (short * 16)
+        end[:m] += short
+        n = bins.bits.take(at) * rest
+        held[:m] = held[:m] << n | (now - bins.start.take(at)) * rest
+        n += n_held[:m]
+        full = n >= 16
+        bit_flat[bit_end[:m]] = held[:m] >> np.maximum(n - 16, 0) & 65535
+        bit_end[:m] += full
+        n_held[:m] = n & 15
+        model.learn(m, now, at, hit, second, rest)
+    tail = low + 65535
+    flat[end], flat[end + 1] = tail >> 32, tail >> 16 & 65535
+    words, longest = end + 2 - row, int((end - row).max()) + 2
+    digits = np.where(np.arange(longest) < words[:, None], out[:, :longest], np.uint32(0))
+    while (carry := digits >> np.uint32(16)).any():
+        digits &= np.uint32(65535)
+        digits[:, :-1] += carry[:, 1:]
+    bit_flat[bit_end] = held << (16 - n_held) & 65535
+    bit_words = bit_end - bit_row + (n_held > 0)
+    crcs = [zlib.crc32(ids[k * block : k * block + n]) for k, n in enumerate(sizes.tolist())]
+    table = np.stack((sizes, words, bit_words, crcs), axis=1).astype("<u4")
+    coded, bits = digits.astype("<u2"), bits.astype("<u2", copy=False)
+    body = [part for k in range(lanes) for part in (coded[k, : words[k]], bits[k, : bit_words[k]])]
+    return b"".join((_MAGIC, struct.pack("<4I", _VERSION, vocabulary, block, lanes), table.tobytes(), np.concatenate(body).tobytes()))
 
 
 def decode(image: bytes) -> np.ndarray:
@@ -233,55 +193,53 @@ def decode(image: bytes) -> np.ndarray:
         raise ValueError(f"unknown version {version}")
     if not lanes:
         return np.zeros(0, "<u4")
-    table = np.frombuffer(image, "<u4", 3 * lanes, 20).reshape(lanes, 3).astype(np.int64)
-    words = np.frombuffer(image, "<u2", -1, 20 + 12 * lanes)
-    sizes, begins = table[:, 0], np.cumsum(table[:, 1]) - table[:, 1]
-    model, coder = _Model(lanes, vocabulary), _Decoder(words, begins)
-    grid = np.zeros((block, lanes), np.int64)
+    table = np.frombuffer(image, "<u4", 4 * lanes, 20).reshape(lanes, 4).astype(np.int64)
+    words = np.concatenate((np.frombuffer(image, "<u2", -1, 20 + 16 * lanes), np.zeros(4, "<u2"))).astype(np.int64)
+    pairs = words[:-1] << 16 | words[1:]
+    sizes, end = table[:, 0], np.cumsum(table[:, 1] + table[:, 2])
+    next_word, next_bit = end - table[:, 1] - table[:, 2], (end - table[:, 2]) * 16
+    bins = _Bins(vocabulary)
+    model = _Model(lanes, bins)
+    steps = [1 << k for k in reversed(range(bins.width.bit_length() - 1))]
+    code, span = np.zeros(lanes, np.int64), np.full(lanes, 1 << 48, np.int64)
+    for _ in range(3):
+        code = code << 16 | words.take(next_word, mode="clip")
+        next_word += 1
+    grid = np.zeros((block, lanes), np.int32)
     for j in range(block):
         m = lanes if j < sizes[-1] else lanes - 1
         if not m:
             break
-        now, lane = np.full(m, -1, np.int64), model.lane[:m]
+        model.count(j)
         model.look(m)
-        asked = model.first >= 0
-        hit = np.zeros(m, bool)
-        if asked.any():
-            some, p = lane[asked], model.p[asked]
-            yes = coder.value(some) < p
-            coder.take(some, np.where(yes, 0, p), np.where(yes, p, 65536 - p))
-            hit[asked] = yes
-        now[hit] = model.first[hit]
-        model.learn_first(m, hit, asked)
-        ask_other = ~hit & (model.guess1 >= 0) & (model.guess1 != model.first)
-        other = np.zeros(m, bool)
-        if ask_other.any():
-            some, c = lane[ask_other], model.c1[ask_other]
-            p = model.other[some, c]
-            yes = coder.value(some) < p
-            coder.take(some, np.where(yes, 0, p), np.where(yes, p, 65536 - p))
-            model.other[some, c] = np.clip(p + (((yes.astype(np.int64) << 16) - p) >> 5), 64, 65472)
-            other[ask_other] = yes
-        now[other] = model.guess1[other]
-        rest = ~hit & ~other
-        if rest.any():
-            some = lane[rest]
-            starts = model.ranges(some)
-            value = coder.value(some)
-            at = (starts[:, 1:-1] <= value[:, None]).sum(axis=1)
-            row = np.arange(len(some))
-            coder.take(some, starts[row, at], starts[row, at + 1] - starts[row, at])
-            model.learn_range(some, at)
-            width = model.width[at]
-            place = ((coder.value(some) + 1) * width - 1) // 65536
-            begin = place * 65536 // width
-            coder.take(some, begin, (place + 1) * 65536 // width - begin)
-            now[rest] = model.edges[at] + place
-        model.learn_id(m, now)
+        unit = span[:m] >> 16
+        value = np.minimum(code[:m] / unit, 65535).astype(np.int32)  # exact: both are below 2**53, and units below 2**33
+        hit = value < model.p
+        second = (value < model.base) & ~hit
+        rest = value >= model.base
+        goal = ((value - model.base + 1) * rest * 2048 - rest) // model.left
+        row = model.at_row[:m].astype(np.intp)
+        place = row.copy()
+        for step in steps:
+            place += (model.flat.take(place + step, mode="clip") <= goal) * step
+        begin = model.base + (model.left * model.flat.take(place) >> 11)
+        finish = model.base + (model.left * model.flat.take(place + 1) >> 11)
+        begin = np.where(hit, 0, np.where(second, model.p, begin))
+        finish = np.where(hit, model.p, np.where(second, model.base, finish))
+        at = np.minimum(place - row, bins.n - 1)
+        a, b = code[:m] - unit * begin, unit * (finish - begin)
+        short = b <= _LOW32
+        code[:m] = np.where(short, a << 16 | words.take(next_word[:m], mode="clip"), a)
+        span[:m] = b << (short * 16)
+        next_word[:m] += short
+        n, bit = bins.bits.take(at) * rest, next_bit[:m]
+        offset = pairs.take(bit >> 4, mode="clip") >> (32 - (bit & 15) - n) & ((1 << n) - 1)
+        next_bit[:m] += n
+        now = np.where(hit, model.first, np.where(second, model.guess1, bins.start.take(at) + offset)).astype(np.int32)
+        model.learn(m, now, at, hit, second, rest)
         grid[j, :m] = now
-    flat = grid.T.astype("<u4")
-    out = [np.ascontiguousarray(flat[k, : sizes[k]]) for k in range(lanes)]
-    for k, ids in enumerate(out):
-        if zlib.crc32(ids) != table[k, 2]:
+    flat = np.ascontiguousarray(grid.T).view("<u4")
+    for k, n in enumerate(sizes.tolist()):
+        if zlib.crc32(flat[k, :n]) != table[k, 3]:
             raise ValueError(f"checksum of block {k} doesn't hold")
-    return np.concatenate(out)
+    return flat.ravel()[: int(sizes.sum())]

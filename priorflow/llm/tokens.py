@@ -11,6 +11,7 @@ go to the library.
 from __future__ import annotations
 
 import re
+import unicodedata
 from functools import lru_cache
 from itertools import chain
 
@@ -24,6 +25,16 @@ _SPACED = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Characters whose class all Unicode versions in use agree on; texts with others go to the library.
 _UNSETTLED = re.compile("[^\x00-\u052f\u2000-\u206f\u20a0-\u20bf\u2190-\u21ff]")
 
+#: Steps of the normalizer that :func:`_fold` stands for (fixed value); blanks don't count, as pieces have none.
+_FOLDED = [("NFC", None, None), ("Replace", {"Regex": r"\s+"}, " "), ("Lowercase", None, None)]
+
+
+def _fold(text: str, normal) -> str:
+    """Composed and lower-cased; a capital sigma, which ``lower`` treats by its place, is left to the library."""
+    if text.isascii():
+        return text.lower()
+    return text.lower() if unicodedata.is_normalized("NFC", text) and "\u03a3" not in text else normal.normalize_str(text)
+
 
 def _ranges(category: str) -> str:
     """The settled characters of a category, as ranges of a character class."""
@@ -79,7 +90,8 @@ class Encoder:
             self._pattern = compiled(_SPACED)
         elif kinds == ["Split", "ByteLevel"]:
             split, byte_level = pre["pretokenizers"]
-            if split["behavior"] == "Removed" and split["invert"] and "Regex" in split["pattern"] and not byte_level["use_regex"] and not byte_level["add_prefix_space"]:
+            steps = [(p["type"], p.get("pattern"), p.get("content")) for p in (normal or {}).get("normalizers", [])]
+            if steps == _FOLDED and split["behavior"] == "Removed" and split["invert"] and "Regex" in split["pattern"] and not byte_level["use_regex"] and not byte_level["add_prefix_space"]:
                 self._pattern, self._normal = compiled(split["pattern"]["Regex"]), self._tokenizer.normalizer
 
         # ids that begin (with a blank) or end (with the model's mark) a piece
@@ -101,7 +113,7 @@ class Encoder:
             rest = iter(self.encode([t for i, t in enumerate(texts) if i not in whole]))
             return [whole[i] if i in whole else next(rest) for i in range(len(texts))]
         if self._normal is not None:
-            texts = [t.lower() if t.isascii() else self._normal.normalize_str(t) for t in texts]
+            texts = [_fold(t, self._normal) for t in texts]
         cut = [self._pattern.findall(t) for t in texts]
         memory = self._memory
         got = self._new(list(set(chain.from_iterable(cut)).difference(memory)))

@@ -141,7 +141,7 @@ def test_coder_checks():
 @settings(max_examples=80, deadline=None)
 @given(texts=st.lists(st.text(max_size=80), max_size=5))
 def test_memory_equals_library(path, texts):
-    texts = texts + ["it's  a\n\n b's 'll ''t 12３ x", "  ", "İ ﬁ é", "<|endoftext|>"]
+    texts = texts + ["it's  a\n\n b's 'll ''t 12３ x", "  ", "İ ﬁ é", "ΑΣ Σ É e\u0301 ǅ", "<|endoftext|>"]
     plain = tokens.load(path)
     want = [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
     encoder = tokens.Encoder(path, capacity=40)
