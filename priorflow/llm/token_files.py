@@ -48,7 +48,7 @@ def write_files(
 
         total = 0
         for batch in batches:
-            for i, rows in bytewords.slices(batch.column(1)):
+            for i, rows in bytewords.slices(batch.column(1), 2 << 20):
                 for doc, coded in zip(batch.column(0).slice(i, len(rows)).to_pylist(), shared(tokenizer_path).encode(rows.to_pylist())):
                     ids.append(doc)
                     kept.append(coded + end)

@@ -1,11 +1,10 @@
 """Token ids of whole texts by the tokenizers library, with repeated pieces encoded once.
 
-Byte-pair encoding treats each pre-token (about a word) by itself. Text is cut at its
-pre-tokens, each distinct one is encoded by the library, many in one call, and a bounded
-memory of them serves repeats; the ids equal those of one call on the whole text (tests
-compare them). Where the
-tokenizer isn't of a kind known here, or a text has letters that Unicode got late, whole texts
-go to the library.
+Byte-pair encoding treats each pre-token (about a word) by itself. Texts are cut at their
+pre-tokens, many texts in one pass of array operations; each distinct piece is encoded by the
+library, many in one call, and a bounded memory of them serves repeats; the ids equal those of
+one call on the whole text (tests compare them). Where the tokenizer isn't of a kind known
+here, or a text has letters that Unicode got late, whole texts go to the library.
 """
 
 from __future__ import annotations
@@ -13,20 +12,25 @@ from __future__ import annotations
 import re
 import unicodedata
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 import regex
 from tokenizers import Tokenizer
 
-#: Pre-token pattern of byte-level tokenizers whose pieces keep their leading blank (fixed value).
-_SPACED = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Pre-token pattern of the split tokenizers that :func:`cut` stands for (fixed value).
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+#: Steps of the normalizer that :func:`_fold` stands for (fixed value); blanks don't count, as pieces have none.
+_FOLDED = [("NFC", None, None), ("Replace", {"Regex": r"\s+"}, " "), ("Lowercase", None, None)]
 
 #: Characters whose class all Unicode versions in use agree on; texts with others go to the library.
 _UNSETTLED = re.compile("[^\x00-\u052f\u2000-\u206f\u20a0-\u20bf\u2190-\u21ff]")
 
-#: Steps of the normalizer that :func:`_fold` stands for (fixed value); blanks don't count, as pieces have none.
-_FOLDED = [("NFC", None, None), ("Replace", {"Regex": r"\s+"}, " "), ("Lowercase", None, None)]
+#: Stands after each text while many are cut together; it is no settled character.
+_END = "\ue000"
+_OTHER, _LETTER, _NUMBER, _BLANK, _STOP = range(5)
+_CHUNK = 1 << 21
 
 
 def _fold(text: str, normal) -> str:
@@ -36,29 +40,48 @@ def _fold(text: str, normal) -> str:
     return text.lower() if unicodedata.is_normalized("NFC", text) and "\u03a3" not in text else normal.normalize_str(text)
 
 
-def _ranges(category: str) -> str:
-    """The settled characters of a category, as ranges of a character class."""
-    test, runs = regex.compile(category), []
-    for c in (c for c in range(0x2200) if not _UNSETTLED.match(chr(c)) and test.match(chr(c))):
-        if runs and runs[-1][1] == c - 1:
-            runs[-1][1] = c
-        else:
-            runs.append([c, c])
-    return "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in runs)
-
-
-def compiled(pattern: str) -> re.Pattern:
-    """A pre-token pattern for settled characters, by the faster of the two engines."""
-    known = {name: _ranges(name) for name in (r"\p{L}", r"\p{N}", r"\s")}
-    known[r"\S"] = "^" + known[r"\s"]
-    out, inside = [], False
-    for part in regex.findall(r"\\p\{[LN]\}|\\[sS]|\[\^?|\]|.", pattern, regex.DOTALL):
-        if part in known:
-            out.append(known[part] if inside else f"[{known[part]}]")
-        else:
-            inside = part[0] == "[" or inside and part != "]"
-            out.append(part)
-    return re.compile("".join(out))
+@lru_cache(maxsize=1)
+def _kinds() -> np.ndarray:
+    """Class of each character below U+2200; the last entry is that of the end mark."""
+    every = "".join(map(chr, range(0x2200)))
+    kinds = np.full(0x2201, _OTHER, np.uint8)
+    for kind, category in ((_LETTER, r"\p{L}"), (_NUMBER, r"\p{N}"), (_BLANK, r"\s")):
+        kinds[[m.start() for m in regex.finditer(category, every)]] = kind
+    kinds[0x2200] = _STOP
+    return kinds
+
+
+def cut(texts: list[str], spaced: bool) -> tuple[pa.StringArray, np.ndarray]:
+    """All pieces of settled texts, with an end mark after each text, and which pieces are end marks.
+
+    Pieces are runs of letters, of numbers and of other characters, with English contractions
+    apart. ``spaced``: a run takes a blank just before it along, and other blanks are pieces of
+    their own; else numbers are cut at each digit.
+    """
+    joined = _END.join([*texts, ""])
+    chars = np.frombuffer(joined.encode("utf-32-le"), "<u4")
+    kind = _kinds().take(np.minimum(chars, 0x2200))
+    edge = np.ones(len(chars) + 1, bool)
+    np.not_equal(kind[1:], kind[:-1], out=edge[1:-1])
+    edge[:-1] |= kind == _STOP
+    if not spaced:
+        edge[:-1] |= kind == _NUMBER
+    mark = np.flatnonzero(chars[:-1] == ord("'"))
+    mark = mark[(kind[mark + 1] == _LETTER) & edge[mark] & ~(spaced & (chars[mark - 1] == 32))]
+    one, two = chars[mark + 1], chars[np.minimum(mark + 2, len(chars) - 1)]
+    length = np.isin(one, [ord(c) for c in "stmd"]) + 2 * (((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l")))
+    mark, length = mark[length > 0], length[length > 0]
+    edge[mark + 1] = False
+    edge[mark + 1 + length] = True
+    if spaced:
+        last = np.flatnonzero((kind[:-1] == _BLANK) & (kind[1:] < _BLANK))
+        edge[last] = True
+        edge[last + 1] = chars[last] != 32
+    starts = np.flatnonzero(edge)
+    ends = np.zeros(len(chars) + 1, np.int32)
+    np.cumsum(1 + (chars > 0x7F).view(np.int8) + (chars > 0x7FF).view(np.int8), out=ends[1:], dtype=np.int32)
+    pieces = pa.StringArray.from_buffers(len(starts) - 1, pa.py_buffer(ends[starts]), pa.py_buffer(joined.encode()))
+    return pieces, kind[starts[:-1]] == _STOP
 
 
 def load(path: str) -> Tokenizer:
@@ -81,18 +104,18 @@ class Encoder:
         import json
 
         self._tokenizer = load(self.path)
-        self._memory: dict[str, bytes] = {}
+        self._memory: dict[str, bytes] = {_END: b""}
         spec = json.loads(self._tokenizer.to_str())
         pre, normal = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
         kinds = [p["type"] for p in pre.get("pretokenizers", [pre])] if pre else []
-        self._pattern, self._normal = None, None
+        self._known, self._normal = False, None
         if kinds == ["ByteLevel"] and normal is None and pre.get("use_regex") and not pre.get("add_prefix_space"):
-            self._pattern = compiled(_SPACED)
+            self._known = True
         elif kinds == ["Split", "ByteLevel"]:
             split, byte_level = pre["pretokenizers"]
             steps = [(p["type"], p.get("pattern"), p.get("content")) for p in (normal or {}).get("normalizers", [])]
-            if steps == _FOLDED and split["behavior"] == "Removed" and split["invert"] and "Regex" in split["pattern"] and not byte_level["use_regex"] and not byte_level["add_prefix_space"]:
-                self._pattern, self._normal = compiled(split["pattern"]["Regex"]), self._tokenizer.normalizer
+            if steps == _FOLDED and split["behavior"] == "Removed" and split["invert"] and split["pattern"] == {"Regex": _SPLIT} and not byte_level["use_regex"] and not byte_level["add_prefix_space"]:
+                self._known, self._normal = True, self._tokenizer.normalizer
 
         # ids that begin (with a blank) or end (with the model's mark) a piece
         vocabulary, mark = self._tokenizer.get_vocab(), spec["model"].get("end_of_word_suffix")
@@ -105,7 +128,7 @@ class Encoder:
         if self._tokenizer is None:
             self._load()
         texts = [t or "" for t in texts]
-        if self._pattern is None:
+        if not self._known:
             return [np.array(e.ids, "<u4").tobytes() for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         odd = [i for i, t in enumerate(texts) if not t.isascii() and _UNSETTLED.search(t)]
         if odd:
@@ -114,16 +137,39 @@ class Encoder:
             return [whole[i] if i in whole else next(rest) for i in range(len(texts))]
         if self._normal is not None:
             texts = [_fold(t, self._normal) for t in texts]
-        cut = [self._pattern.findall(t) for t in texts]
-        memory = self._memory
-        got = self._new(list(set(chain.from_iterable(cut)).difference(memory)))
-        memory.update(got)
-        get = memory.__getitem__
-        out = [b"".join(map(get, pieces)) for pieces in cut]
-        if len(memory) > self.capacity:
-            for piece in got:
-                del memory[piece]
-        return out
+        out, some, size = [], [], 0
+        for text in texts:
+            some.append(text)
+            size += len(text)
+            if size >= _CHUNK:
+                out += self._encode(some)
+                some, size = [], 0
+        return out + self._encode(some) if some else out
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        pieces, stops = cut(texts, self._normal is None)
+        coded = pieces.dictionary_encode()
+        distinct, memory = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), self._memory
+        found = list(map(memory.get, distinct))
+        gaps = [i for i, ids in enumerate(found) if ids is None]
+        if self._normal is not None:  # blanks have no ids
+            kinds = _kinds()
+            for i in gaps:
+                if kinds[min(ord(distinct[i][0]), 0x2200)] == _BLANK:
+                    found[i] = memory[distinct[i]] = b""
+            gaps = [i for i in gaps if found[i] is None]
+        new = self._new([distinct[i] for i in gaps])
+        for i in gaps:
+            found[i] = new[distinct[i]]
+        if len(memory) + len(new) <= self.capacity:
+            memory.update(new)
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        at, flat, which = np.cumsum(size) - size, np.frombuffer(b"".join(found), "<u4"), coded.indices.to_numpy()
+        length = size[which]
+        ends = np.cumsum(length)
+        ids = flat[np.repeat(at[which] - ends + length, length) + np.arange(ends[-1])].tobytes()
+        cuts = [0, *(4 * ends[stops]).tolist()]
+        return [ids[a:b] for a, b in zip(cuts, cuts[1:])]
 
     def _new(self, pieces: list[str], run: int = 4000) -> dict[str, bytes]:
         """Ids of distinct pieces: many joined to one text, where they stay pieces of their own.
