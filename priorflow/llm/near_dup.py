@@ -9,12 +9,13 @@ Texts with equal word sequences form a *node*. A node's weighted set holds its s
 
 Improved consistent weighted sampling draws 64 samples of each set: two sets share a sample
 with a probability of their weighted Jaccard similarity. Samples are banded (16 bands of 4);
-nodes of a band's bucket are compared with the bucket's least node, never with one another,
-and pairs are verified by the exact weighted Jaccard similarity of all shingles. Buckets
-whose nodes are still in several classes are compared with two other heads in each of the
-next ``rounds``, chosen anew per bucket. Two similar texts share about six buckets, so a link
-is missed only if all heads of all of these fail it. Classes are connected components of
-verified links.
+nodes of a band's bucket are first compared with the bucket's least node, and pairs are
+verified by the exact weighted Jaccard similarity of all shingles. Nodes of buckets that
+still hold several classes are dealt anew by the rare shingles of which two similar sets
+must share one (prefix filter), and each in turn is a head there, compared with all nodes
+of other classes, until every bucket has one class or all its nodes were heads. So two
+similar nodes of a band's bucket always end in one class; a link is missed only if no band
+proposes it. Classes are connected components of verified links.
 
 Sampling draws one table of (r, c, beta) triples for each possible weight and looks hashes
 up there; equal shingles with equal weights so get equal samples in every task.
@@ -268,12 +269,81 @@ def _relabelled(labels: DataFrame | None, found: DataFrame) -> DataFrame:
     return scratch.keep(kept.unionByName(added), "labels")
 
 
+def _prefixes(sets: DataFrame, threshold: float) -> DataFrame:
+    """(bucket, node): the shingles, rarest first, of which two sets that reach ``threshold`` share one.
+
+    The overlap of such sets is at least ``threshold`` times either weight, so it can't lie
+    only in a rest that weighs less.
+    """
+
+    def cut(batches):
+        for batch in batches:
+            nodes, hashes, levels = batch.columns
+            places, found = [], []
+            for i, (h, v) in enumerate(zip(hashes, levels)):
+                h, v = np.frombuffer(h.as_buffer(), np.uint64), np.frombuffer(v.as_buffer(), np.uint8)
+                order = np.lexsort((h, v % 5))
+                weight = Weights.weight(v[order])
+                rest = weight.sum() - np.cumsum(weight) + weight  # from each shingle on
+                own = h[order][rest >= threshold * weight.sum() - 1e-6]
+                places.append(np.full(len(own), i))
+                found.append(own)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), nodes.take(pa.array(np.concatenate(places)))], names=["bucket", "node"])
+
+    return sets.mapInArrow(cut, "bucket long, node binary")
+
+
+def _rooted(members: DataFrame, labels: DataFrame, turn: int = 0) -> DataFrame:
+    """``members`` with their ``root``, of buckets that hold several classes and a head of ``turn`` or later."""
+    named = members.drop("root").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    ends = named.groupBy("bucket").agg(F.max("turn").alias("last"), F.min("root").alias("x"), F.max("root").alias("y"))
+    return named.join(ends.filter((F.col("x") != F.col("y")) & (F.col("last") >= turn)).select("bucket"), "bucket")
+
+
+def _links(members: DataFrame, sets: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Verified links (a, b, similarity) of ``members`` (bucket, node), and (node, root)."""
+    heads = members.groupBy("bucket").agg(F.min("node").alias("head"))
+    pairs = members.join(heads, "bucket").filter("node != head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
+    seen = scratch.keep(pairs, "pairs")
+    links = scratch.keep(_verified(seen, sets, threshold), "verified")
+    labels = components(links)
+
+    open_nodes = _rooted(members.withColumn("turn", F.lit(0)), labels).select("node").distinct()
+    parts = scratch.keep(_prefixes(sets.join(open_nodes, "node", "left_semi"), threshold), "prefixes")
+    sizes = parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    # a hash deals the nodes of a bucket to turns of about 3, 12, 48, ... heads
+    place = F.pmod(F.xxhash64("node", "bucket"), F.lit(1 << 30)) / float(1 << 30) * F.col("size")
+    dealt = parts.join(sizes, "bucket").withColumn("turn", F.floor(F.log2(place + 1) / 2).cast("int"))
+    live, turn = scratch.keep(_rooted(dealt, labels), "live"), 0
+    while not live.isEmpty():
+        salts = F.ceil(F.col("size") / 1000)
+        ahead = live.filter(F.col("turn") == turn).select(
+            "bucket", F.col("node").alias("head"), F.col("root").alias("head_root"), F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt")
+        )
+        pairs = (
+            live.filter(F.col("turn") >= turn).withColumn("salt", F.pmod(F.xxhash64("node"), salts)).join(ahead, ["bucket", "salt"])
+            .filter(F.col("root") != F.col("head_root"))
+            .select(F.greatest("node", "head").alias("a"), F.least("node", "head").alias("b"))
+            .distinct()
+        )
+        pairs = scratch.keep(pairs.join(seen, ["a", "b"], "left_anti"), "pairs")
+        seen = seen.unionByName(pairs)
+        found = scratch.keep(_verified(pairs, sets, threshold), "verified")
+        if not found.isEmpty():
+            links, labels = links.unionByName(found), _relabelled(labels, found)
+        turn += 1
+        live = scratch.keep(_rooted(live, labels, turn), "live")
+    return links, labels
+
+
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, width: int = WIDTH, rounds: int = 3
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, width: int = WIDTH
 ) -> DataFrame:
     """One row per row of ``docs``: (id, node, class_id, class_size, links).
 
-    ``class_size`` counts rows, ``links`` the verified links of the row's text to others.
+    ``class_size`` counts rows, ``links`` the verified links of the row's text to others; pairs
+    that other links had put in one class before aren't compared and don't count.
     """
     spark = docs.sparkSession
     scratch.small_batches(spark)
@@ -290,28 +360,7 @@ def near_duplicates(
     texts = docs.select(id_col, text_col).join(ids, docs[id_col].eqNullSafe(ids[id_col]), "left_semi").select(text_col)
     sets = scratch.keep(_weighted_sets(texts, weights, width).join(needed, "node", "left_semi").dropDuplicates(["node"]), "weighted-sets")
 
-    links = labels = None
-    for turn in range(rounds):
-        named = members.withColumn("root", F.col("node"))
-        if labels is not None:
-            named = members.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        order = F.col("node") if turn == 0 else F.xxhash64("node", "bucket", F.lit(turn))
-        ends = named.groupBy("bucket").agg(
-            F.min_by(F.struct("node", "root"), order).alias("head"), F.max_by(F.struct("node", "root"), order).alias("tail"), F.min("root").alias("x"), F.max("root").alias("y")
-        )
-        heads = F.array("head", "tail") if turn else F.array("head")
-        ends = ends.filter("x != y").select("bucket", F.explode(heads).alias("head"))
-        pairs = (
-            named.join(ends, "bucket")
-            .filter((F.col("node") != F.col("head.node")) & (F.col("root") != F.col("head.root")))
-            .select(F.greatest("node", "head.node").alias("a"), F.least("node", "head.node").alias("b"))
-            .distinct()
-        )
-        found = scratch.keep(_verified(scratch.keep(pairs, "pairs"), sets, threshold), "verified")
-        if turn and found.isEmpty():
-            break
-        links = found if links is None else links.unionByName(found)
-        labels = _relabelled(labels, found)
+    links, labels = _links(members, sets, threshold)
     links = links.select("a", "b").distinct()
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
     placed = nodes.select("node", "least", "n").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -209,6 +209,20 @@ def test_near_duplicates_brute(spark):
     assert got == brute_classes(rows)
 
 
+def test_near_duplicates_hot_buckets(spark):
+    """Pairs of copies among many classes that share boilerplate, and beside a giant class."""
+    rng = np.random.default_rng(5)
+    words = lambda tag, n: [f"{tag}{x}" for x in rng.integers(0, 1 << 40, n)]
+    shared, giant = words("b", 160), words("g", 24)
+    rows = [(i, " ".join(shared + giant + words("v", 3))) for i in range(150)]
+    for pair in range(150):
+        own = words("o", 24)
+        rows += [(1000 + 2 * pair + k, " ".join(shared + own + words("v", 3))) for k in range(2)]
+    got = {r.id: r.class_id for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {got[i] for i in range(150)} == {0}
+    assert [got[1001 + 2 * p] for p in range(150)] == [1000 + 2 * p for p in range(150)]
+
+
 def test_near_duplicates_odd(spark):
     odd = odd_docs(spark)
     rows = near_dup.near_duplicates(odd).collect()
