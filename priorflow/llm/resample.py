@@ -7,9 +7,11 @@ good quality that aren't toxic, and one of raw text, all documents. A document's
 is the sum of its n-grams' log ratios target / raw, where
 
 * ratios near 1, and those that chance explains, are shrunk to a log of 0;
-* only evidence against a document counts, so that length alone earns nothing.
+* only evidence against a document counts, so that length alone earns nothing;
+* what target text of the same length has is allowed for: its mean per n-gram times the
+  length, and ``margin`` times the root of the length, as chance spreads.
 
-``margin``, fitted so that nearly all target documents reach importance 0, is added, and
+``margin`` is fitted so that nearly all target documents reach importance 0, and
 importance, multiplied by ``sharpness``, ends at 0. The resampler draws without replacement by Gumbel top-k: the ``k``
 largest ``importance + Gumbel noise`` stay, with ``k`` the sum of importance weights (the
 effective number of documents). The noise is a hash of id and text, so runs repeat.
@@ -38,6 +40,8 @@ N_BUCKETS = TOKENS + PAIRS + 1
 _BLOCK = 1 << 14
 #: At most about so many labelled documents are used to fit the target model.
 MAX_LABELS = 60_000
+#: Added to the number of n-grams, so that one chance n-gram in a short text weighs little.
+STEADY = 64
 
 #: Byte -> itself within a token: words, and apart from them runs of marks; 0 for blanks.
 _KIND = np.array([0 if c <= 32 or c == 127 else 1 if 48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c >= 128 else 2 for c in range(256)], np.uint8)
@@ -123,17 +127,20 @@ def _ratios(docs: DataFrame, text_col: str, target: str) -> np.ndarray:
     return np.where(ratio < -1 - 3 * noise, ratio, 0.0)
 
 
-def _scored(docs: DataFrame, text_col: str, ratios, name: str) -> DataFrame:
+def _scored(docs: DataFrame, text_col: str, ratios, name: str, length: str) -> DataFrame:
+    """``docs`` with the sum of log ratios and the number of n-grams."""
+
     def score(batches):
         own = ratios.value
         for batch in batches:
-            out = np.zeros(batch.num_rows)
+            out, grams = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
             for i, rows in bytewords.slices(batch.column(text_col)):
                 bucket, owner = features(rows)
                 out[i : i + len(rows)] = np.bincount(owner, own[bucket], len(rows))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*batch.schema.names, name])
+                grams[i : i + len(rows)] = np.bincount(owner, minlength=len(rows))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out), pa.array(grams)], names=[*batch.schema.names, name, length])
 
-    return docs.mapInArrow(score, T.StructType(docs.schema.fields + [T.StructField(name, T.DoubleType())]))
+    return docs.mapInArrow(score, T.StructType(docs.schema.fields + [T.StructField(name, T.DoubleType()), T.StructField(length, T.LongType())]))
 
 
 def kth_largest(keys: DataFrame, k: int, digits: int = 3, width: int = 4096) -> float:
@@ -175,15 +182,18 @@ def resample(
     and ``kept`` (with underscores added where such columns exist)."""
     spark = docs.sparkSession
     scratch.small_batches(spark)
-    target, evidence, importance, key, kept = scratch.free_names(docs, "target", "evidence", "importance", "gumbel_key", "kept")
+    target, evidence, length, importance, key, kept = scratch.free_names(docs, "target", "evidence", "n_grams", "importance", "gumbel_key", "kept")
     known = _labelled(docs, labels, id_col, max_labels, target)
     ratios = spark.sparkContext.broadcast(_ratios(known, text_col, target))
-    scored = scratch.keep(_scored(known, text_col, ratios, evidence), "scored")
-    good = scored.filter(F.col(target) == 1).agg(F.percentile_approx(evidence, F.lit(1 - keep_target), F.lit(100_000))).first()[0]
+    scored = scratch.keep(_scored(known, text_col, ratios, evidence, length), "scored")
+    sums = scored.filter(F.col(target) == 1).agg(F.sum(evidence), F.sum(length)).first()
+    mean = (sums[0] or 0.0) / max(sums[1] or 0, 1)
+    beyond, spread = F.col(evidence) - F.col(length) * F.lit(mean), F.sqrt(F.col(length) + F.lit(STEADY))
+    good = scored.filter(F.col(target) == 1).agg(F.percentile_approx(beyond / spread, F.lit(1 - keep_target), F.lit(100_000))).first()[0]
     margin = -min(good if good is not None else 0.0, 0.0)
     bits = F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.col(text_col), F.lit(seed)), 12).cast("double")
     gumbel = -F.log(-F.log((bits + 0.5) / float(1 << 52)))
-    keyed = scored.withColumn(importance, F.least((F.col(evidence) + F.lit(margin)) * F.lit(sharpness), F.lit(0.0)))
+    keyed = scored.withColumn(importance, F.least((beyond + spread * F.lit(margin)) * F.lit(sharpness), F.lit(0.0)))
     keyed = keyed.withColumn(key, F.col(importance) + gumbel)
     total = keyed.agg(F.sum(F.exp(importance)), F.count(F.lit(1))).first()
     k = min(total[1], round(total[0] or 0))

@@ -100,6 +100,18 @@ def test_resampling_keeps_clean_and_rejects_junk(spark):
     assert len(clean - kept) <= 5 and len(kept - clean) <= 5
 
 
+def test_resampling_by_length(spark):
+    """Short texts with a few bad words go; very long clean texts, with as few a word as the target's own, stay."""
+    rng = np.random.default_rng(4)
+    clean = lambda n: " ".join("zzbad" if x < 1 else f"w{x}" for x in rng.integers(0, 1000, n))
+    toxic = lambda: " ".join("zzbad" if k % 5 == 2 else f"w{x}" for k, x in enumerate(rng.integers(1, 1000, 20)))
+    rows = [(i, clean(2000 if i % 10 == 0 else 100)) for i in range(200)] + [(1000 + i, toxic()) for i in range(150)] + [(2000 + i, clean(20_000)) for i in range(3)]
+    labels = [(i, 1, 0) for i in range(200)] + [(1000 + i, 1, 1) for i in range(75)]
+    docs, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    kept = {r.doc_id for r in resample.resample(docs, lab).filter("kept").collect()}
+    assert len([i for i in kept if 1000 <= i < 2000]) <= 3 and {2000, 2001, 2002} <= kept and len([i for i in kept if i < 200]) >= 197
+
+
 def test_resampling_odd(spark):
     odd, lab = odd_docs(spark), spark.createDataFrame([(1, 1, 0), (4, 1, None), (None, 1, 0), (5, None, 0), (6, 0, 1), (6, 1, 0)], "doc_id long, quality int, toxic int")
     out = resample.resample(odd, lab)
