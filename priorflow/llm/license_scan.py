@@ -118,7 +118,7 @@ class Finder:
         return out
 
     def find_fuzzy(self, text: str) -> list[tuple[int, int, int, int]]:
-        """(notice, start, end, edits) for the best match of each separate candidate region."""
+        """(notice, start, end, edits) of separate matches in each candidate region, best ones first taken."""
         regions: dict[int, list[list[int]]] = {}
         for end, (n, uses) in self.seeds.iter(text):
             for i, offset in uses:
@@ -134,10 +134,13 @@ class Finder:
         for i in sorted(regions):
             pattern = self.fuzzy[i][3]
             for lo, hi in regions[i]:
-                at = lo
-                while match := pattern.search(text, at, hi):
-                    out.append((i, match.start(), match.end(), sum(match.fuzzy_counts)))
-                    at = max(match.end(), at + 1)
+                found, todo = [], [(lo, hi)]
+                while todo:  # the best match of a stretch, then the stretches before and after it
+                    a, b = todo.pop()
+                    if match := pattern.search(text, a, b):
+                        found.append((i, match.start(), match.end(), sum(match.fuzzy_counts)))
+                        todo += [(a, match.start()), (max(match.end(), a + 1), b)]
+                out += sorted(found)
         return out
 
     def scan(self, text: str | None) -> dict:

@@ -73,6 +73,16 @@ def test_license_base_and_fuzzy(spark, odd, none):
     assert license_scan.scan_licenses(odd).count() == odd.count() and license_scan.scan_licenses(none).count() == 0
 
 
+def test_license_neighbours():
+    """A worse notice just before or after a better one is found too."""
+    f = license_scan.Finder()
+    worse, better = "the mozila public licence", "the mozilla public license"
+    for text in (f"{worse} or {better} now", f"{better} or {worse} now", f"{worse} or {better} or {worse} now"):
+        want = [(text.index("mozil", m.start()), m.group()[4:]) for m in re.finditer(f"{worse}|{better}", text)]
+        got = [(m["start"], text[m["start"] : m["end"]]) for m in f.scan(text)["matches"] if m["label"] == "mpl"]
+        assert got == want
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.data())
 def test_seeds_lose_no_match(data):
