@@ -30,6 +30,8 @@ from pyspark.sql import Window as W
 from . import scratch
 
 DEGREE, BEAM, ALPHA, SHARD_ROWS, QUERY_BLOCK = 24, 64, 1.2, 4096, 4096
+#: A dim of fewer shards has copies of them, up to so many tasks.
+TASKS = 64
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -206,10 +208,15 @@ def search(
     def pack(key, table):
         points = _matrix(table.column("v").combine_chunks())
         ids = table.column("id").to_numpy()
-        return pa.table({"dim": pa.array([key[0].as_py()], pa.int32()), "qids": pa.array([ids.tobytes()], pa.binary()), "q": pa.array([points.tobytes()], pa.binary())})
-
-    packed = scratch.keep(blocks.groupBy("dim", "block").applyInArrow(pack, "dim int, qids binary, q binary"), "query-blocks")
-    tasks = packed.join(index.hint("merge"), "dim").repartition(F.col("dim"), F.col("shard"), F.xxhash64("qids"))
+        return pa.table({"dim": pa.array([key[0].as_py()], pa.int32()), "block": pa.array([key[1].as_py()], pa.int32()), "qids": pa.array([ids.tobytes()], pa.binary()), "q": pa.array([points.tobytes()], pa.binary())})
+
+    packed = scratch.keep(blocks.groupBy("dim", "block").applyInArrow(pack, "dim int, block int, qids binary, q binary"), "query-blocks")
+    # each block goes to every shard of its dim; where shards are few, their copies share the blocks
+    last = index.groupBy("dim").agg(F.max("shard").alias("last"))
+    salts = F.greatest(F.lit(1), F.floor(F.lit(TASKS) / (F.col("last") + 1)).cast("int"))
+    asked_of = packed.join(F.broadcast(last), "dim").withColumn("salt", F.pmod(F.col("block"), salts)).withColumn("shard", F.explode(F.sequence(F.lit(0), "last")))
+    copies = packed.select("dim", "block").join(F.broadcast(last), "dim").select("dim", F.pmod(F.col("block"), salts).alias("salt")).distinct()
+    tasks = asked_of.join(index.join(F.broadcast(copies), "dim").hint("merge"), ["dim", "shard", "salt"])
 
     def run(batches):
         for batch in batches:

@@ -68,6 +68,22 @@ def test_vamana_recall_and_ties(spark):
     assert [v for v, _ in got[3000]] == [3001, 3002, 3003, 3004, 3005]
 
 
+def test_vamana_blocks_meet_single_shards(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(600, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    vamana.scratch.small_batches(spark)
+    index = vamana.build_index(df, 3, "vec_id", "embedding", 100)
+    found = vamana.search(index, df, 3, "vec_id", "embedding", block=50)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"SortMergeJoin \[dim#\d+, shard#\d+, ", plan)
+    want = brute_nearest(list(range(600)), x, list(range(600)), 3)
+    got = defaultdict(list)
+    for r in found.orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    assert sum(len(set(got[q]) & {i for _, i in want[q]}) for q in want) >= 0.97 * 1800 and all(len(v) == 3 for v in got.values())
+
+
 def test_vamana_odd(spark):
     rows = [(0, [1.0, 0.0]), (50, [1.0, 0.1]), (1, None), (2, [0.0, 0.0]), (3, [float("nan"), 1.0]), (4, [None, 1.0]), (5, []), (100, [1.0, 2.0, 3.0]), (7, [float("inf"), 1.0]), (8, [2.0, 0.2])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
