@@ -60,6 +60,19 @@ def slices(texts: pa.ChunkedArray | pa.Array, limit: int = 1 << 20) -> Iterator[
         i = j
 
 
+def gathered(batches: Iterator[pa.RecordBatch], column: int, limit: int) -> Iterator[pa.Table]:
+    """Batches put together until their texts have ``limit`` bytes."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.column(column).nbytes
+        if size >= limit:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 class Words:
     """Word starts, ends (byte offsets), hashes, and each text's range of words."""
 

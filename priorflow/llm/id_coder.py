@@ -1,24 +1,29 @@
 """Adaptive context-mixing range coder for token ids, in independently reset blocks.
 
-A block's ids are coded one after another. For each id the model
+A file's ids are first named by *rank*: ids of like frequency in the file together, the most
+frequent first. For each rank the model
 
-* takes the id last seen after the two ids before (order 2) or, where there is none, after
-  the one before (order 1) as its first guess; evidence of both orders, by how often in a
-  row each held and whether they agree, is mixed in the logistic domain with weights that
-  learn from each answer;
-* takes the order-1 id, if that is another, as its second guess, with an adaptive share of
-  what the first leaves;
-* gives the rest to order 0: an adaptive distribution over bins of ids, counted anew every
-  few ids. Bins are powers of two wide, and the place within a bin is plain bits.
+* guesses the rank last seen after the two ranks before (order 2) or, where there is none,
+  after the one before (order 1), or else the file's most frequent (order 0). How sure the
+  guess is comes from three predictions, mixed in the logistic domain with weights that
+  learn from each answer: how often in a row order 2 held here, how often order 1 did and
+  whether it agrees, and how order 0 fares with ranks of the guess's size;
+* takes the order-1 rank, if that is another, as its second guess, with a share of what the
+  first leaves;
+* gives the rest to order 0: an adaptive distribution over bins of ranks, counted anew every
+  few ids, from what the whole file has. Bins are half a power of two wide, so ranks in one
+  are nearly equally frequent: a place in it has equal chances, which plain bits code.
 
 One step of the range coder (48-bit range, 16-bit words, carries added up at the end) codes
-which of these it is. Every block starts from the same empty model and carries the crc32 of
-its ids. Blocks of a file are independent, so they are worked in step, one numpy lane each,
-without branches. All model arithmetic is in integers, so every machine decodes alike.
+which of these it is. Every block starts from the same model, known from the file's head,
+and carries the crc32 of its ids. Blocks of a file are independent, so they are worked in
+step, one numpy lane each, without branches. All model arithmetic is in integers, so every
+machine decodes alike.
 
 File image: ``IDCM`` and then little-endian unsigned 32-bit integers: version, vocabulary
-size, block size, number of blocks; for each block ids, coder words, plain words and crc32;
-then each block's coder words and plain words.
+size, block size, number of blocks, bytes of the rank table and their crc32; for each block
+ids, coder words, plain words and crc32; the rank table (zlib: number of bins, ids in each
+bin, all ids as steps from the one before); then each block's coder words and plain words.
 """
 
 from __future__ import annotations
@@ -29,183 +34,223 @@ import zlib
 import numpy as np
 
 BLOCK = 2048
-_MAGIC, _VERSION = b"IDCM", 2
+_MAGIC, _VERSION = b"IDCM", 3
 _SLOTS = 1024
-_NONE = -1  # packed slot of no id yet: id -1, run 15
-_LOW32 = (1 << 32) - 1
+_NONE = -1  # packed slot of no rank yet: rank -1, run 15
+_LOW32, _LOW48 = (1 << 32) - 1, (1 << 48) - 1
 _SQUASH = np.clip(np.rint(65536 / (1 + np.exp(-np.arange(-2047, 2048) / 256))), 32, 61440).astype(np.int32)
 
+#: Ranks below 4 alone, then two bins for each power of two.
+_N_BINS = 36
+_BITS = np.maximum(np.arange(_N_BINS) // 2 - 1, 0)
+_START = np.where(np.arange(_N_BINS) < 4, np.arange(_N_BINS), (2 + np.arange(_N_BINS) % 2) << _BITS)
 
-class _Bins:
-    """Ids below 8 alone, then four bins for each power of two."""
 
-    def __init__(self, vocabulary: int):
-        if not 0 < vocabulary <= 1 << 18:
-            raise ValueError("vocabularies of 1 to 262144 ids are supported")
-        bits = np.maximum(np.arange(72) // 4 - 1, 0)
-        start = np.where(np.arange(72) < 8, np.arange(72), (4 + np.arange(72) % 4) << bits)
-        self.n = int((start < vocabulary).sum())
-        self.bits, self.start = bits[: self.n].astype(np.int32), start[: self.n].astype(np.int32)
-        self.width = 1 << (self.n).bit_length()  # entries of a row of sums, over n
+#: Runs that held, up to 14, and 15 for an empty slot.
+_RUNS = np.arange(16)
+_RUN = np.minimum(_RUNS + 1, 14).astype(np.int32)
+#: Weights at a block's start, for each run where both orders agree and where they don't.
+_START1 = np.stack((np.where(_RUNS < 2, -7500 + 4400 * _RUNS, -1000), np.where(_RUNS < 1, -6500, -4400)), axis=1).ravel().astype(np.int32)
+_START2 = np.stack((np.where(_RUNS < 1, -3300, 2300 + 900 * _RUNS), np.where(_RUNS < 1, -7400, -1400 + 1100 * np.minimum(_RUNS, 4) + 700 * _RUNS)), axis=1).ravel().astype(np.int32)
+_START1[30:], _START2[30:] = (-9000, -11800), (-4000, 0)
+#: The second guess's share, in 4096ths, of what the first leaves; none where they are one.
+_SHARE = np.stack((0 * _RUNS, np.where(_RUNS < 1, 110, 420)), axis=1).ravel().astype(np.int32)
+_SHARE[31] = 1
 
-    def of(self, ids: np.ndarray) -> np.ndarray:
-        return (np.searchsorted(self.start, ids, "right") - 1).astype(np.uint8)
+
+class _Ranks:
+    """The ids by rank, and how many ids of the file fall in each bin."""
+
+    def __init__(self, ids: np.ndarray, counts: np.ndarray):
+        self.ids, self.counts = ids, counts
+        self.n = len(counts)
+        self.bin_of = np.repeat(np.arange(self.n), np.diff(np.append(_START[: self.n], max(len(ids), 1)))).astype(np.uint8)
+
+    @classmethod
+    def of(cls, ids: np.ndarray, vocabulary: int) -> _Ranks:
+        times = np.bincount(ids, minlength=vocabulary)
+        used = np.flatnonzero(times)
+        by_size = used[np.lexsort((used, -np.floor(4 * np.log2(times[used]))))]
+        n = int(np.searchsorted(_START, max(len(by_size), 1)))
+        return cls(by_size, np.add.reduceat(times[by_size], _START[:n]))
+
+    def pack(self) -> bytes:
+        return zlib.compress(np.concatenate(([self.n], self.counts, np.diff(self.ids, prepend=0))).astype("<i4").tobytes())
+
+    @classmethod
+    def unpack(cls, packed: bytes) -> _Ranks:
+        numbers = np.frombuffer(zlib.decompress(packed), "<i4").astype(np.int64)
+        n = int(numbers[0])
+        return cls(np.cumsum(numbers[n + 1 :]), numbers[1 : n + 1])
 
 
 class _Model:
     """States of all lanes, flat; only the first ``m`` lanes are worked in a step.
 
-    A context's slot packs the id last seen there and how often it held in a row (4 bits).
+    An entry of all lanes lies together, as lanes often need the same. A context's slot packs the rank last seen there and how often it held in a row (4 bits).
     """
 
-    def __init__(self, lanes: int, bins: _Bins):
-        self.bins = bins
-        lane = np.arange(lanes, dtype=np.int32)
-        self.at_slot, self.at_state, self.at_row, self.at_bin = lane * _SLOTS, lane * 32, lane * bins.width, lane * bins.n
-        self.slots1, self.slots2 = np.full(lanes * _SLOTS, _NONE, np.int32), np.full(lanes * _SLOTS, _NONE, np.int32)
-        start1, start2 = np.full(32, -4000, np.int32), np.arange(32, dtype=np.int32) // 2 * 1200
-        start1[30:], start2[30:] = -30000, 0
-        self.mix1, self.mix2 = np.tile(start1, lanes), np.tile(start2, lanes)
-        self.share = np.full(lanes * 32, 6000, np.int32)
-        self.seen = np.ones((lanes, bins.n), np.int32)
-        self.sums = np.full((lanes, bins.width), 1 << 30, np.int32)
-        self.prev1, self.prev2 = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
+    def __init__(self, lanes: int, ranks: _Ranks):
+        self.n, self.bin_of = ranks.n, ranks.bin_of.astype(np.intp)
+        self.width = 1 << self.n.bit_length()  # entries of a row of sums, over n
+        self.lanes, self.lane = lanes, np.arange(lanes)
+        self.slots1, self.slots2 = np.full(_SLOTS * lanes, _NONE, np.int32), np.full(_SLOTS * lanes, _NONE, np.int32)
+        self.mix1, self.mix2, self.mix0 = np.repeat(_START1, lanes), np.repeat(_START2, lanes), np.zeros(self.n * lanes, np.int32)
+        start = 4 + ranks.counts * 1020 // max(int(ranks.counts.sum()), 1)
+        self.seen = np.repeat(start.astype(np.int32), lanes)
+        self.sums = np.full(self.width * lanes, 1 << 30, np.int32)
+        self.slot1, self.slot2, self.last = self.lane.copy(), self.lane.copy(), np.zeros(lanes, np.int32)
 
     def count(self, step: int) -> None:
-        """Sums of the order-0 bins in 2048ths, anew at steps 0, 8, 16 and every 32."""
-        if step % 32 and step not in (8, 16):
+        """Sums of the order-0 bins in 2048ths, anew every 64 steps."""
+        if step % 64:
             return
-        n, row = self.bins.n, np.zeros((len(self.seen), self.bins.n + 1), np.int32)
-        np.cumsum(self.seen, axis=1, out=row[:, 1:])
+        n, row = self.n, self.sums.reshape(self.width, -1)[: self.n + 1]
+        row[0] = 0
+        np.cumsum(self.seen.reshape(n, -1), axis=0, out=row[1:])
         row *= 2048 - n
-        row //= row[:, -1:] // (2048 - n)
-        self.sums[:, : n + 1] = row + np.arange(n + 1, dtype=np.int32)
-        self.flat = self.sums.ravel()
-        if step and step % 256 == 0:
+        row //= row[-1] // (2048 - n)
+        row += np.arange(n + 1, dtype=np.int32)[:, None]
+        if step % 256 == 192:
             self.seen -= self.seen >> 1
 
     def look(self, m: int) -> None:
         """Guesses and their bounds in 65536ths, for ``m`` lanes."""
-        p1, p2 = self.prev1[:m], self.prev2[:m]
-        self.slot1 = (self.at_slot[:m] + ((p1 * 0x2545F491) >> 19 & (_SLOTS - 1))).astype(np.intp)
-        self.slot2 = (self.at_slot[:m] + (((p2 * 0x3C6F + p1) * 0x2545F491) >> 19 & (_SLOTS - 1))).astype(np.intp)
-        held1, held2 = self.slots1.take(self.slot1), self.slots2.take(self.slot2)
-        self.guess1, guess2 = held1 >> 4, held2 >> 4
-        self.run1, self.run2 = held1 & 15, held2 & 15
-        self.guess2 = guess2
-        self.first = np.where(guess2 < 0, self.guess1, guess2)
-        self.differ = self.guess1 != self.first
-        state = self.at_state[:m] + self.differ
-        self.x1, self.x2 = (state + self.run1 * 2).astype(np.intp), (state + self.run2 * 2).astype(np.intp)
-        self.w1, self.w2 = self.mix1.take(self.x1), self.mix2.take(self.x2)
-        mixed = (self.w1 + self.w2) >> 4
-        self.p = _SQUASH.take(np.minimum(np.maximum(mixed, -2047), 2047) + 2047)
-        self.q = self.share.take(self.x1)
-        self.base = self.p + ((65536 - self.p) * (self.q >> 4) >> 12) * self.differ
+        self.held1, self.held2 = self.slots1.take(self.slot1[:m]), self.slots2.take(self.slot2[:m])
+        self.guess1, self.guess2 = self.held1 >> 4, self.held2 >> 4
+        first = self.guess2 ^ ((self.guess1 ^ self.guess2) & (self.held2 >> 31))
+        differ = self.guess1 != first
+        y1, y2 = ((self.held1 & 15) << 1) + differ, ((self.held2 & 15) << 1) + differ
+        self.first = np.maximum(first, 0)
+        lane = self.lane[:m]
+        self.x1, self.x2, self.x0 = y1 * self.lanes + lane, y2 * self.lanes + lane, self.bin_of.take(self.first) * self.lanes + lane
+        self.w0, self.w1, self.w2 = self.mix0.take(self.x0), self.mix1.take(self.x1), self.mix2.take(self.x2)
+        self.p = _SQUASH.take((self.w0 + self.w1 + self.w2 + 32752) >> 4, mode="clip")
+        self.base = self.p + ((65536 - self.p) * _SHARE.take(y1) >> 12)
         self.left = 65536 - self.base
 
-    def learn(self, m: int, ids: np.ndarray, at: np.ndarray, hit: np.ndarray, second: np.ndarray, rest: np.ndarray) -> None:
-        move = (hit * np.int32(65536) - self.p) >> 4
-        self.mix1[self.x1], self.mix2[self.x2] = np.minimum(np.maximum(self.w1 + move, -60000), 60000), np.minimum(np.maximum(self.w2 + move, -60000), 60000)
-        q = self.q + ((second * np.int32(65536) - self.q) >> 5) * (self.differ & ~hit)
-        self.share[self.x1] = np.minimum(np.maximum(q, 256), 32768)
-        packed = ids << 4
-        self.slots1[self.slot1] = packed + np.minimum(self.run1 + 1, 14) * (self.guess1 == ids)
-        self.slots2[self.slot2] = packed + np.minimum(self.run2 + 1, 14) * (self.guess2 == ids)
-        self.seen.ravel()[self.at_bin[:m] + at] += rest * np.int32(16)
-        self.prev2[:m], self.prev1[:m] = self.prev1[:m], ids
+    def bounds(self, place: np.ndarray, hit: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Begin and size, in 65536ths, of what ``hit`` and ``rest`` (masks, 0 or -1) say was met."""
+        second = ~(hit | rest)
+        sums = self.sums.take(place), self.sums.take(place + self.lanes)
+        begin, finish = (self.base + (self.left * x >> 11) for x in sums)
+        begin = (begin & rest) | (self.p & second)
+        return begin, ((finish & rest) | (self.p & hit) | (self.base & second)) - begin
+
+    def learn(self, m: int, now: np.ndarray, at: np.ndarray, hit: np.ndarray, rest: np.ndarray) -> None:
+        move = ((hit & 65536) - self.p) >> 4
+        self.mix0[self.x0] = self.w0 + (move >> 2) - (self.w0 >> 7)
+        self.mix1[self.x1] = self.w1 + move - (self.w1 >> 7)
+        self.mix2[self.x2] = self.w2 + move - (self.w2 >> 7)
+        packed = now << 4
+        self.slots1[self.slot1[:m]] = packed + _RUN.take(self.held1 & 15) * (self.guess1 == now)
+        self.slots2[self.slot2[:m]] = packed + _RUN.take(self.held2 & 15) * (self.guess2 == now)
+        self.seen[at] += rest & 16
+        hashed = now * np.int32(0x2545F491) >> 19 & (_SLOTS - 1)
+        np.add(self.lane[:m], hashed * self.lanes, out=self.slot1[:m])
+        np.add(self.lane[:m], (hashed ^ self.last[:m]) * self.lanes, out=self.slot2[:m])
+        self.last[:m] = hashed * 21 + 7 & (_SLOTS - 1)
 
 
 def encode(ids: np.ndarray, vocabulary: int, block: int = BLOCK) -> bytes:
     """The file image of ``ids``, all below ``vocabulary``."""
-    ids, bins = np.ascontiguousarray(ids, "<u4"), _Bins(vocabulary)
+    if not 0 < vocabulary <= 1 << 18:
+        raise ValueError("vocabularies of 1 to 262144 ids are supported")
+    ids = np.ascontiguousarray(ids, "<u4")
     if len(ids) and int(ids.max()) >= vocabulary:
         raise ValueError("an id is outside the vocabulary")
     lanes = -(-len(ids) // block)
     if not lanes:
-        return _MAGIC + struct.pack("<4I", _VERSION, vocabulary, block, 0)
+        return _MAGIC + struct.pack("<6I", _VERSION, vocabulary, block, 0, 0, 0)
+    ranks = _Ranks.of(ids, vocabulary)
+    rank_of = np.zeros(vocabulary, np.int32)
+    rank_of[ranks.ids] = np.arange(len(ranks.ids))
     sizes = np.full(lanes, block, np.int64)
     sizes[-1] = len(ids) - (lanes - 1) * block
     grid = np.zeros(lanes * block, np.int32)
-    grid[: len(ids)] = ids
+    rank_of.take(ids, out=grid[: len(ids)])
     grid = np.ascontiguousarray(grid.reshape(lanes, block).T)
-    bin_of = np.take(bins.of(np.arange(vocabulary)), grid)
-    model = _Model(lanes, bins)
+    bits, start = _BITS.astype(np.int32), _START.astype(np.int32)
+    model = _Model(lanes, ranks)
     low, span = np.zeros(lanes, np.int64), np.full(lanes, 1 << 48, np.int64)
-    out, row = np.zeros((lanes, block + 2), np.uint32), np.arange(lanes) * (block + 2)
-    flat, end = out.ravel(), row.copy()
-    bits = np.zeros((lanes, block + 1), np.uint16)
-    bit_row = np.arange(lanes) * (block + 1)
-    bit_flat, bit_end = bits.ravel(), bit_row.copy()
-    held, n_held = np.zeros(lanes, np.int64), np.zeros(lanes, np.int32)
+    # words in the order (place, lane), as lanes stand at nearly the same place
+    coded, plain = np.zeros((block + 2) * lanes, np.int64), np.zeros((block + 1) * lanes, np.int32)
+    end, bit_end = model.lane.copy(), model.lane.copy()
+    held, n_held = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
     for j in range(block):
         m = lanes if j < sizes[-1] else lanes - 1
         if not m:
             break
-        now, at = grid[j, :m], bin_of[j, :m]
+        now = grid[j, :m]
+        at, lane = model.bin_of.take(now), model.lane[:m]
         model.count(j)
         model.look(m)
-        hit = model.first == now
-        second = (model.guess1 == now) & ~hit
-        rest = ~(hit | second)
-        place = (model.at_row[:m] + at).astype(np.intp)
-        begin = model.base + (model.left * model.flat.take(place) >> 11)
-        finish = model.base + (model.left * model.flat.take(place + 1) >> 11)
-        begin = np.where(hit, 0, np.where(second, model.p, begin))
-        finish = np.where(hit, model.p, np.where(second, model.base, finish))
+        hit = -(model.first == now).astype(np.int32)
+        rest = ~(hit | -(model.guess1 == now).astype(np.int32))
+        place = at * lanes + lane
+        begin, size = model.bounds(place, hit, rest)
         unit = span[:m] >> 16
-        a, b = low[:m] + unit * begin, unit * (finish - begin)
-        short = b <= _LOW32
-        flat[end[:m]] = a >> 32
-        low[:m] = np.where(short, (a & _LOW32) << 16, a)
-        span[:m] = b << (short * 16)
-        end[:m] += short
-        n = bins.bits.take(at) * rest
-        held[:m] = held[:m] << n | (now - bins.start.take(at)) * rest
+        a, b = low[:m] + unit * begin, unit * size
+        short = (b <= _LOW32).astype(np.int64)
+        shift = short << 4
+        coded[end[:m]] = a >> 32
+        low[:m] = (a << shift) & ((short - 1) | _LOW48)
+        span[:m] = b << shift
+        end[:m] += short * lanes
+        n = bits.take(at) & rest
+        held[:m] = held[:m] << n | (now - start.take(at)) & rest
         n += n_held[:m]
-        full = n >= 16
-        bit_flat[bit_end[:m]] = held[:m] >> np.maximum(n - 16, 0) & 65535
-        bit_end[:m] += full
+        plain[bit_end[:m]] = held[:m] >> np.maximum(n - 16, 0)
+        bit_end[:m] += (n >> 4) * lanes
         n_held[:m] = n & 15
-        model.learn(m, now, at, hit, second, rest)
+        model.learn(m, now, place, hit, rest)
     tail = low + 65535
-    flat[end], flat[end + 1] = tail >> 32, tail >> 16 & 65535
-    words, longest = end + 2 - row, int((end - row).max()) + 2
-    digits = np.where(np.arange(longest) < words[:, None], out[:, :longest], np.uint32(0))
-    while (carry := digits >> np.uint32(16)).any():
-        digits &= np.uint32(65535)
-        digits[:, :-1] += carry[:, 1:]
-    bit_flat[bit_end] = held << (16 - n_held) & 65535
-    bit_words = bit_end - bit_row + (n_held > 0)
+    coded[end], coded[end + lanes] = tail >> 32, tail >> 16 & 65535
+    plain[bit_end] = held << (16 - n_held)
+    words, bit_words = end // lanes + 2, bit_end // lanes + (n_held > 0)
+    rows = lambda flat, sizes: np.where(np.arange(sizes.max()) < sizes[:, None], flat[: sizes.max() * lanes].reshape(-1, lanes).T, 0)
+    coded, plain = rows(coded, words), rows(plain, bit_words).astype("<u2")
+    while (carry := coded >> 16).any():
+        coded &= 65535
+        coded[:, :-1] += carry[:, 1:]
     crcs = [zlib.crc32(ids[k * block : k * block + n]) for k, n in enumerate(sizes.tolist())]
-    table = np.stack((sizes, words, bit_words, crcs), axis=1).astype("<u4")
-    coded, bits = digits.astype("<u2"), bits.astype("<u2", copy=False)
-    body = [part for k in range(lanes) for part in (coded[k, : words[k]], bits[k, : bit_words[k]])]
-    return b"".join((_MAGIC, struct.pack("<4I", _VERSION, vocabulary, block, lanes), table.tobytes(), np.concatenate(body).tobytes()))
+    table, names = np.stack((sizes, words, bit_words, crcs), axis=1).astype("<u4"), ranks.pack()
+    coded = coded.astype("<u2")
+    body = [part for k in range(lanes) for part in (coded[k, : words[k]], plain[k, : bit_words[k]])]
+    head = struct.pack("<6I", _VERSION, vocabulary, block, lanes, len(names), zlib.crc32(names))
+    return b"".join((_MAGIC, head, table.tobytes(), names, np.concatenate(body).tobytes()))
 
 
 def decode(image: bytes) -> np.ndarray:
-    """The ids of a file image; raises ValueError if a block's checksum doesn't hold."""
+    """The ids of a file image; raises ValueError if a checksum doesn't hold."""
     if image[:4] != _MAGIC:
         raise ValueError("not an id file")
-    version, vocabulary, block, lanes = struct.unpack_from("<4I", image, 4)
+    version, _, block, lanes, n_names, names_crc = struct.unpack_from("<6I", image, 4)
     if version != _VERSION:
         raise ValueError(f"unknown version {version}")
     if not lanes:
         return np.zeros(0, "<u4")
-    table = np.frombuffer(image, "<u4", 4 * lanes, 20).reshape(lanes, 4).astype(np.int64)
-    words = np.concatenate((np.frombuffer(image, "<u2", -1, 20 + 16 * lanes), np.zeros(4, "<u2"))).astype(np.int64)
-    pairs = words[:-1] << 16 | words[1:]
+    table = np.frombuffer(image, "<u4", 4 * lanes, 28).reshape(lanes, 4).astype(np.int64)
+    names = image[28 + 16 * lanes :][:n_names]
+    if zlib.crc32(names) != names_crc:
+        raise ValueError("checksum of the rank table doesn't hold")
+    ranks = _Ranks.unpack(names)
+    flat = np.concatenate((np.frombuffer(image, "<u2", -1, 28 + 16 * lanes + n_names), np.zeros(4, "<u2"))).astype(np.int64)
     sizes, end = table[:, 0], np.cumsum(table[:, 1] + table[:, 2])
-    next_word, next_bit = end - table[:, 1] - table[:, 2], (end - table[:, 2]) * 16
-    bins = _Bins(vocabulary)
-    model = _Model(lanes, bins)
-    steps = [1 << k for k in reversed(range(bins.width.bit_length() - 1))]
+    # words in the order (place, lane), as lanes stand at nearly the same place
+    rows = lambda first, n: flat.take(np.add.outer(np.arange(n.max() + 4), first), mode="clip")
+    words, plain = rows(end - table[:, 1] - table[:, 2], table[:, 1]), rows(end - table[:, 2], table[:, 2])
+    words, pairs = words.ravel(), (plain[:-1] << 16 | plain[1:]).ravel()
+    bits, start = _BITS, _START.astype(np.int32)
+    model = _Model(lanes, ranks)
+    steps = [lanes << k for k in reversed(range(model.width.bit_length() - 1))]
+    next_word, next_bit = model.lane.copy(), np.zeros(lanes, np.int64)
     code, span = np.zeros(lanes, np.int64), np.full(lanes, 1 << 48, np.int64)
     for _ in range(3):
         code = code << 16 | words.take(next_word, mode="clip")
-        next_word += 1
+        next_word += lanes
     grid = np.zeros((block, lanes), np.int32)
+    top, last_place = len(ranks.ids) - 1, model.n * lanes - 1
     for j in range(block):
         m = lanes if j < sizes[-1] else lanes - 1
         if not m:
@@ -214,31 +259,28 @@ def decode(image: bytes) -> np.ndarray:
         model.look(m)
         unit = span[:m] >> 16
         value = np.minimum(code[:m] / unit, 65535).astype(np.int32)  # exact: both are below 2**53, and units below 2**33
-        hit = value < model.p
-        second = (value < model.base) & ~hit
-        rest = value >= model.base
-        goal = ((value - model.base + 1) * rest * 2048 - rest) // model.left
-        row = model.at_row[:m].astype(np.intp)
-        place = row.copy()
+        hit, rest = -(value < model.p).astype(np.int32), -(value >= model.base).astype(np.int32)
+        goal = ((((value - model.base + 1) << 11) - 1) & rest) // model.left
+        lane = model.lane[:m]
+        place = lane
         for step in steps:
-            place += (model.flat.take(place + step, mode="clip") <= goal) * step
-        begin = model.base + (model.left * model.flat.take(place) >> 11)
-        finish = model.base + (model.left * model.flat.take(place + 1) >> 11)
-        begin = np.where(hit, 0, np.where(second, model.p, begin))
-        finish = np.where(hit, model.p, np.where(second, model.base, finish))
-        at = np.minimum(place - row, bins.n - 1)
-        a, b = code[:m] - unit * begin, unit * (finish - begin)
-        short = b <= _LOW32
-        code[:m] = np.where(short, a << 16 | words.take(next_word[:m], mode="clip"), a)
-        span[:m] = b << (short * 16)
-        next_word[:m] += short
-        n, bit = bins.bits.take(at) * rest, next_bit[:m]
-        offset = pairs.take(bit >> 4, mode="clip") >> (32 - (bit & 15) - n) & ((1 << n) - 1)
+            place = place + (model.sums.take(place + step, mode="clip") <= goal) * step
+        begin, size = model.bounds(place, hit, rest)
+        at = (place - lane) // lanes
+        a, b = code[:m] - unit * begin, unit * size
+        short = (b <= _LOW32).astype(np.int64)
+        shift = short << 4
+        code[:m] = (a << shift) | (words.take(next_word[:m], mode="clip") & -short)
+        span[:m] = b << shift
+        next_word[:m] += short * lanes
+        n, bit = bits.take(at, mode="clip") & rest, next_bit[:m]
+        offset = pairs.take((bit >> 4) * lanes + lane, mode="clip") >> (32 - (bit & 15) - n) & ((1 << n) - 1)
         next_bit[:m] += n
-        now = np.where(hit, model.first, np.where(second, model.guess1, bins.start.take(at) + offset)).astype(np.int32)
-        model.learn(m, now, at, hit, second, rest)
+        now = ((start.take(at, mode="clip") + offset) & rest) | (model.first & hit) | (model.guess1 & ~(hit | rest))
+        now = np.minimum(np.maximum(now, 0), top).astype(np.int32)  # beyond these only in a damaged block
+        model.learn(m, now, np.minimum(place, last_place), hit, rest)
         grid[j, :m] = now
-    flat = np.ascontiguousarray(grid.T).view("<u4")
+    flat = ranks.ids.astype("<u4").take(grid.T)
     for k, n in enumerate(sizes.tolist()):
         if zlib.crc32(flat[k, :n]) != table[k, 3]:
             raise ValueError(f"checksum of block {k} doesn't hold")

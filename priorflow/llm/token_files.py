@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from . import bytewords, id_coder, scratch
 from .tokens import load, shared
 
-FILE_IDS = 1 << 22
+FILE_IDS = 1 << 23
 
 
 def write_files(
@@ -47,9 +47,9 @@ def write_files(
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types)], names=names)
 
         total = 0
-        for batch in batches:
-            for i, rows in bytewords.slices(batch.column(1), 2 << 20):
-                for doc, coded in zip(batch.column(0).slice(i, len(rows)).to_pylist(), shared(tokenizer_path).encode(rows.to_pylist())):
+        for table in bytewords.gathered(batches, 1, 4 << 20):
+            for i, rows in bytewords.slices(table.column(1), 4 << 20):
+                for doc, coded in zip(table.column(0).slice(i, len(rows)).to_pylist(), shared(tokenizer_path).encode(rows.to_pylist())):
                     ids.append(doc)
                     kept.append(coded + end)
                     sizes.append(len(kept[-1]) // 4)

@@ -9,14 +9,16 @@ here, or a text has letters that Unicode got late, whole texts go to the library
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import regex
-from tokenizers import Tokenizer
+from tokenizers import Regex, Tokenizer, pre_tokenizers
 
 #: Pre-token pattern of the split tokenizers that :func:`cut` stands for (fixed value).
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -30,7 +32,7 @@ _UNSETTLED = re.compile("[^\x00-\u052f\u2000-\u206f\u20a0-\u20bf\u2190-\u21ff]")
 #: Stands after each text while many are cut together; it is no settled character.
 _END = "\ue000"
 _OTHER, _LETTER, _NUMBER, _BLANK, _STOP = range(5)
-_CHUNK = 1 << 21
+_CHUNK = 1 << 22
 
 
 def _fold(text: str, normal) -> str:
@@ -40,6 +42,11 @@ def _fold(text: str, normal) -> str:
     return text.lower() if unicodedata.is_normalized("NFC", text) and "\u03a3" not in text else normal.normalize_str(text)
 
 
+@lru_cache(maxsize=1)
+def _blanks() -> frozenset[str]:
+    return frozenset(map(chr, np.flatnonzero(_kinds() == _BLANK).tolist()))
+
+
 @lru_cache(maxsize=1)
 def _kinds() -> np.ndarray:
     """Class of each character below U+2200; the last entry is that of the end mark."""
@@ -93,7 +100,7 @@ def load(path: str) -> Tokenizer:
 class Encoder:
     """``path``: a tokenizer file that every worker can read, or a public vocabulary's name."""
 
-    def __init__(self, path: str, capacity: int = 200_000):
+    def __init__(self, path: str, capacity: int = 300_000):
         self.path, self.capacity = path, capacity
         self._tokenizer = None
 
@@ -101,10 +108,10 @@ class Encoder:
         return {"path": self.path, "capacity": self.capacity, "_tokenizer": None}
 
     def _load(self) -> None:
-        import json
-
         self._tokenizer = load(self.path)
-        self._memory: dict[str, bytes] = {_END: b""}
+        # pieces in memory, by number: where their ids begin in the pool, and how many they are
+        self._memory: dict[str, int] = {_END: 0}
+        self._pool, self._at, self._size = np.zeros(0, "<u4"), np.zeros(1, np.int64), np.zeros(1, np.int64)
         spec = json.loads(self._tokenizer.to_str())
         pre, normal = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
         kinds = [p["type"] for p in pre.get("pretokenizers", [pre])] if pre else []
@@ -117,6 +124,14 @@ class Encoder:
             if steps == _FOLDED and split["behavior"] == "Removed" and split["invert"] and split["pattern"] == {"Regex": _SPLIT} and not byte_level["use_regex"] and not byte_level["add_prefix_space"]:
                 self._known, self._normal = True, self._tokenizer.normalizer
 
+        # pieces are cut and folded already, so blanks are all that parts joined ones
+        self._joint = load(self.path)
+        if self._known:
+            spaced = self._normal is not None
+            self._joint.normalizer = None
+            parted = pre_tokenizers.WhitespaceSplit() if spaced else pre_tokenizers.Split(Regex(" "), "merged_with_next")
+            self._joint.pre_tokenizer = pre_tokenizers.Sequence([parted, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+
         # ids that begin (with a blank) or end (with the model's mark) a piece
         vocabulary, mark = self._tokenizer.get_vocab(), spec["model"].get("end_of_word_suffix")
         self._border = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -149,49 +164,52 @@ class Encoder:
     def _encode(self, texts: list[str]) -> list[bytes]:
         pieces, stops = cut(texts, self._normal is None)
         coded = pieces.dictionary_encode()
-        distinct, memory = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), self._memory
-        found = list(map(memory.get, distinct))
-        gaps = [i for i, ids in enumerate(found) if ids is None]
-        if self._normal is not None:  # blanks have no ids
-            kinds = _kinds()
-            for i in gaps:
-                if kinds[min(ord(distinct[i][0]), 0x2200)] == _BLANK:
-                    found[i] = memory[distinct[i]] = b""
-            gaps = [i for i in gaps if found[i] is None]
-        new = self._new([distinct[i] for i in gaps])
-        for i in gaps:
-            found[i] = new[distinct[i]]
-        if len(memory) + len(new) <= self.capacity:
-            memory.update(new)
-        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        at, flat, which = np.cumsum(size) - size, np.frombuffer(b"".join(found), "<u4"), coded.indices.to_numpy()
-        length = size[which]
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        number = np.fromiter(map(self._memory.get, distinct, repeat(-1)), np.int64, len(distinct))
+        gaps = np.flatnonzero(number < 0).tolist()
+        pool, at, size = self._pool, self._at, self._size
+        if gaps:
+            order, sizes, ids = self._new([distinct[i] for i in gaps])
+            number[np.array(gaps)[order]] = np.arange(len(at), len(at) + len(gaps))
+            pool, at, size = np.concatenate((pool, ids)), np.concatenate((at, len(pool) + np.cumsum(sizes) - sizes)), np.concatenate((size, sizes))
+            if len(at) <= self.capacity:
+                self._memory.update(zip([distinct[gaps[k]] for k in order], range(len(self._at), len(at))))
+                self._pool, self._at, self._size = pool, at, size
+        which = coded.indices.to_numpy()
+        length, begin = size[number][which], at[number][which]
         ends = np.cumsum(length)
-        ids = flat[np.repeat(at[which] - ends + length, length) + np.arange(ends[-1])].tobytes()
+        ids = pool[np.repeat(begin - ends + length, length) + np.arange(ends[-1])].tobytes()
         cuts = [0, *(4 * ends[stops]).tolist()]
         return [ids[a:b] for a, b in zip(cuts, cuts[1:])]
 
-    def _new(self, pieces: list[str], run: int = 4000) -> dict[str, bytes]:
-        """Ids of distinct pieces: many joined to one text, where they stay pieces of their own.
+    def _new(self, pieces: list[str], run: int = 4000) -> tuple[list[int], np.ndarray, np.ndarray]:
+        """Ids of distinct pieces: (numbers of the pieces in the order worked, how many ids each has, ids).
 
-        Joined pieces part where an id begins with a blank, or ends a word.
+        Many are joined to one text, where they stay pieces of their own: joined pieces part
+        where an id begins with a blank, or ends a word.
         """
-        spaced = self._normal is not None  # blanks are dropped, so any may part two pieces
-        joint = pieces if spaced else [p for p in pieces if p[0] == " " and len(p) > 1 and not p[1].isspace()]
-        out: dict[str, bytes] = {}
+        spaced, blanks = self._normal is not None, _blanks()
+        if spaced:  # blanks have no ids, so any may part two pieces
+            joint = [k for k, p in enumerate(pieces) if p[0] not in blanks]
+            other = [k for k, p in enumerate(pieces) if p[0] in blanks]
+            order, sizes, ids = other, [np.zeros(len(other), np.int64)], []
+        else:
+            joint = [k for k, p in enumerate(pieces) if p[0] == " " and len(p) > 1 and p[1] not in blanks]
+            order, sizes, ids = [], [], []
         runs = [joint[k : k + run] for k in range(0, len(joint), run)] if self._border.any() else []
-        texts = [(" " if spaced else "").join(some) for some in runs]
-        for some, encoded in zip(runs, self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-            ids = np.array(encoded.ids, "<u4")
-            border = np.flatnonzero(self._border[ids])
+        texts = [(" " if spaced else "").join([pieces[k] for k in some]) for some in runs]
+        for some, encoded in zip(runs, self._joint.encode_batch_fast(texts, add_special_tokens=False)):
+            found = np.array(encoded.ids, "<u4")
+            border = np.flatnonzero(self._border[found])
             if len(border) == len(some):
-                cuts = [0, *(4 * border + 4).tolist()] if spaced else [*(4 * border).tolist(), 4 * len(ids)]
-                flat = ids.tobytes()
-                out.update((p, flat[a:b]) for p, a, b in zip(some, cuts, cuts[1:]))
-        rest = [p for p in pieces if p not in out]
-        if rest:
-            out.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(rest, self._tokenizer.encode_batch_fast(rest, add_special_tokens=False)))
-        return out
+                sizes.append(np.diff(border, prepend=-1) if spaced else np.diff(border, append=len(found)))
+                order = order + some
+                ids.append(found)
+        rest = sorted(set(range(len(pieces))).difference(order))
+        each = [e.ids for e in self._tokenizer.encode_batch_fast([pieces[k] for k in rest], add_special_tokens=False)]
+        sizes.append(np.fromiter(map(len, each), np.int64, len(each)))
+        ids.append(np.array([i for some in each for i in some], "<u4"))
+        return order + rest, np.concatenate(sizes), np.concatenate(ids)
 
 
 @lru_cache(maxsize=4)
