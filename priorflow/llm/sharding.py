@@ -1,15 +1,19 @@
 """Sharding by fixed virtual slots and a versioned slot-to-shard map.
 
-Records hash into a fixed number of slots, far more than shards. Bytes are added up per
-slot, and a small table, one row per slot and version, says which shard holds each slot.
-Rebalancing and growing edit that table: only records of moved slots move.
+Records hash, by id and text, into a fixed number of slots, far more than shards. Version 1
+of the map, a small table of one row per slot and version, deals slots to shards in turn.
+Bytes are added up per slot, and rebalancing edits the map into version 2: only records of
+moved slots move. Growing edits it again. Records are placed by the map's newest version.
+
+A slot that holds far more than others, as copies of one record all hash alike, is *heavy*:
+its records are dealt anew over all slots by their row, so that copies spread, too.
 
 Records are only read once: their key, size and digest columns are kept as a narrow table
 in the shared folder. Everything here is built-in DataFrame functions; the map's edits run
 on the driver over ``n_slots`` numbers, whatever the input's size.
 
-Defined results: null ids take the slot of their text's hash; null texts have one byte
-(the end mark); repeated rows get places of their own; an empty table gives no rows and a
+Defined results: null ids hash like any other value; null texts have one byte (the end
+mark); repeated rows get places of their own; an empty table gives no rows and a
 map with empty slots; other columns are ignored.
 """
 
@@ -26,22 +30,15 @@ from . import scratch
 N_SLOTS = 4096
 
 
-def slot_of(key, n_slots: int = N_SLOTS):
-    return F.pmod(F.xxhash64(key), F.lit(n_slots)).cast("int")
+#: A slot with more than this part of a shard's bytes is heavy.
+HEAVY = 0.02
 
 
-def balanced(sizes: list[int], n_shards: int) -> list[int]:
-    """A new map: slots by falling size, each to the shard with the fewest bytes."""
-    heap = [(0, 0, shard) for shard in range(n_shards)]
-    out = [0] * len(sizes)
-    for slot in sorted(range(len(sizes)), key=lambda s: (-sizes[s], s)):
-        load, count, shard = heapq.heappop(heap)
-        out[slot] = shard
-        heapq.heappush(heap, (load + sizes[slot], count + 1, shard))
-    return out
+def slot_of(*key, n_slots: int = N_SLOTS):
+    return F.pmod(F.xxhash64(*key), F.lit(n_slots)).cast("int")
 
 
-def rebalanced(sizes: list[int], shards: list[int], n_shards: int, tolerance: float = 0.01) -> list[int]:
+def rebalanced(sizes: list[int], shards: list[int], n_shards: int, tolerance: float = 0.002) -> list[int]:
     """The map edited for ``n_shards``: slots leave shards that hold more than their part
     (or are no longer there) for those that hold less, largest slots first; all others stay. A
     shard more only takes slots into itself."""
@@ -102,13 +99,13 @@ def slot_bytes(records: DataFrame, n_slots: int = N_SLOTS) -> list[int]:
 
 
 def shard_records(
-    docs: DataFrame, n_shards: int = 8, n_slots: int = N_SLOTS, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, spread: int = 64
+    docs: DataFrame, n_shards: int = 8, n_slots: int = N_SLOTS, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, part_rows: int = 200_000
 ) -> DataFrame:
     """Each record's shard and its place there: (id, size, text_crc32, vslot, shard, slot).
 
     ``slot`` counts from 0 without gaps in each shard. Places are counted in two steps, by
     (virtual slot, part) and over those counts, so no task sees a whole shard, nor all
-    records of one hot key.
+    records of one slot; parts hold about ``part_rows`` records, however many there are.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -116,14 +113,22 @@ def shard_records(
         F.col(id_col).alias("id"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
-        F.when(F.col(id_col).isNull(), slot_of(text, n_slots)).otherwise(slot_of(F.col(id_col), n_slots)).alias("vslot"),
+        slot_of(F.col(id_col), text, n_slots=n_slots).alias("vslot"),
         F.monotonically_increasing_id().alias("row"),
     )
-    records = scratch.keep(narrow, "shard-records").withColumn("part", F.pmod(F.xxhash64("row"), F.lit(spread)).cast("int"))
+    records = scratch.keep(narrow, "shard-records")
     sizes = slot_bytes(records, n_slots)
+    heavy = [slot for slot, size in enumerate(sizes) if size > HEAVY * sum(sizes) / n_shards]
+    if heavy:
+        records = records.withColumn("vslot", F.when(F.col("vslot").isin(heavy), slot_of(F.col("vslot"), F.col("row"), n_slots=n_slots)).otherwise(F.col("vslot")))
+        sizes = slot_bytes(records, n_slots)
     slot_map = SlotMap(spark, path or scratch.new_path(spark, "slot-map"))
-    slot_map.write(1, balanced(sizes, n_shards), sizes)
-    chart = slot_map.read(1).select(F.col("slot").alias("vslot"), "shard")
+    dealt = [slot % n_shards for slot in range(n_slots)]
+    slot_map.write(1, dealt, sizes)
+    slot_map.write(2, rebalanced(sizes, dealt, n_shards), sizes)
+    chart = slot_map.read().select(F.col("slot").alias("vslot"), "shard")
+    parts = max(1, -(-records.count() // (n_slots * part_rows)))
+    records = records.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int"))
     groups = records.groupBy("vslot", "part").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(chart), "vslot")
     in_shard = W.partitionBy("shard").orderBy("vslot", "part").rowsBetween(W.unboundedPreceding, -1)
     groups = groups.select("vslot", "part", "shard", F.coalesce(F.sum("n").over(in_shard), F.lit(0)).alias("before"))
