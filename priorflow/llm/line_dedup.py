@@ -1,12 +1,14 @@
 """Line deduplication over levelled sorted runs of line hashes.
 
-A store holds *runs*: tables sorted by a 128-bit line hash, with the number of documents
-that hold the line and the largest id among them. ``LineStore.add`` takes one batch: its
-own hashes are merge-anti-joined with the runs (``is_new`` marks hashes no earlier batch
-had) and written as a run of level 0. As soon as a level has ``fan_out`` runs they are
-compacted into one run of the next level. ``merged`` gives one row for each hash.
+A store holds *runs*: tables bucketed and sorted by a 128-bit line hash. ``LineStore.add``
+takes one batch: its hashes are merge-anti-joined with the hashes that runs own, and the
+batch's run owns those that are new (``is_new``); for the others it holds only what the
+batch adds to them (documents, and the largest id). As soon as a level has ``fan_out`` runs
+they are compacted into one run of the next level: owners take in what was added, by merge
+joins of sorted runs. ``merged`` is one such merge of all runs, owners alone.
 
-Everything here is built-in DataFrame functions.
+All runs are bucketed alike, so a batch is shuffled once, when its own hashes are counted,
+and no merge shuffles. Everything here is built-in DataFrame functions.
 
 A *key* is a line stripped of ``[ \\t-\\r]`` at both ends, with A-Z lower-cased. Each row
 counts as one document. Defined results: a null or empty text is one empty line; rows that
@@ -16,6 +18,8 @@ count as smaller than all others; an empty table gives no rows; other columns pa
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,41 +43,46 @@ def key_hash(key: Column) -> Column:
 
 
 class LineStore:
-    """Levelled runs in the shared folder; ``fan_out`` runs of a level become one of the next."""
+    """Levelled runs in the shared folder; ``fan_out`` runs of a level become one of the next.
+
+    Buckets are as many as shuffle partitions, so that counted batches lie as the runs do.
+    """
 
     def __init__(self, spark: SparkSession, fan_out: int = 2):
         self.spark, self.fan_out = spark, fan_out
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[DataFrame]] = [[]]
+        self._tables: list[str] = []
 
     def runs(self) -> list[DataFrame]:
         return [run for level in self.levels for run in level]
 
-    def _write(self, entries: DataFrame, level: int) -> DataFrame:
-        return scratch.keep(entries.sortWithinPartitions("h1", "h2"), f"line-run-{level}")
-
-    def _merge(self, runs: list[DataFrame]) -> DataFrame:
-        rows = runs[0]
+    def _write(self, entries: DataFrame) -> DataFrame:
+        name = f"priorflow_line_run_{uuid.uuid4().hex}"
+        writer = entries.write.format("parquet").option("compression", "zstd").option("path", scratch.new_path(self.spark, "line-run"))
+        writer.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").saveAsTable(name)
+        self._tables.append(name)
+        return self.spark.table(name)
+
+    @staticmethod
+    def _merge(runs: list[DataFrame]) -> DataFrame:
+        """All entries of ``runs``, one for each hash: what is added joins its owner's entry."""
+        out = runs[0]
         for run in runs[1:]:
-            rows = rows.unionByName(run)
-        return rows.groupBy("h1", "h2").agg(
-            F.sum("n_docs").alias("n_docs"), F.max("max_id").alias("max_id"), F.max("is_new").alias("is_new")
-        )
+            other = run.select("h1", "h2", F.col("n_docs").alias("n"), F.col("max_id").alias("m"), F.col("is_new").alias("new"))
+            out = out.hint("merge").join(other, ["h1", "h2"], "full_outer").select(
+                "h1", "h2", (F.coalesce("n_docs", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("n_docs"), F.greatest("max_id", "m").alias("max_id"),
+                (F.coalesce("is_new", F.lit(False)) | F.coalesce("new", F.lit(False))).alias("is_new"),
+            )
+        return out
 
     def add(self, postings: DataFrame) -> DataFrame:
         """Merge a batch of (h1, h2, id), a row per document and key; returns the batch's run."""
-        own = postings.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("id").alias("max_id"))
-        known = self.runs()
-        if known:
-            seen = known[0].select("h1", "h2")
-            for run in known[1:]:
-                seen = seen.unionByName(run.select("h1", "h2"))
-            own = scratch.keep(own, "line-batch")
-            fresh = own.join(seen, ["h1", "h2"], "left_anti").withColumn("is_new", F.lit(True))
-            again = own.join(seen, ["h1", "h2"], "left_semi").withColumn("is_new", F.lit(False))
-            entries = fresh.unionByName(again)
-        else:
-            entries = own.withColumn("is_new", F.lit(True))
-        run = self._write(entries, 0)
+        entries = postings.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("id").alias("max_id")).withColumn("is_new", F.lit(True))
+        for known in self.runs():
+            owned = known.filter("is_new").select("h1", "h2", F.lit(True).alias("owned"))
+            entries = entries.hint("merge").join(owned, ["h1", "h2"], "left").select("h1", "h2", "n_docs", "max_id", (F.col("is_new") & F.col("owned").isNull()).alias("is_new"))
+        run = self._write(entries)
         self.levels[0].append(run)
         self._compact()
         return run
@@ -84,12 +93,28 @@ class LineStore:
                 return
             if level + 1 == len(self.levels):
                 self.levels.append([])
-            self.levels[level + 1].append(self._write(self._merge(self.levels[level]), level + 1))
+            self.levels[level + 1].append(self._write(self._merge(self.levels[level])))
             self.levels[level] = []
 
     def merged(self) -> DataFrame:
         """(h1, h2, n_docs, max_id), one row for each hash ever added."""
-        return self._merge(self.runs())
+        return self._merge(self.runs()).filter("is_new").drop("is_new")
+
+    def close(self) -> None:
+        """Take the runs' names out of the session's catalog."""
+        for name in self._tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def _among(value: Column, groups: Column) -> Column:
+    """Whether a hash is in ``groups``, lists by its remainder: fewer to look through than in one list."""
+    return F.array_contains(F.get(groups, F.pmod(value, F.size(groups)).cast("int")), value)
+
+
+def _grouped(values: Column) -> Column:
+    """Lists of hashes by their remainder, about as many lists as a list has hashes."""
+    n = F.ceil(F.sqrt(F.size(values))).cast("int")
+    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.filter(values, lambda v: F.pmod(v, n) == i))
 
 
 def dedup_lines(
@@ -100,14 +125,15 @@ def dedup_lines(
     min_docs: int = 3,
     batches: int = 4,
     fan_out: int = 2,
-    spread: int = 16,
+    part_docs: int = 20_000,
 ) -> DataFrame:
     """``docs`` with repeated lines removed from the text, and two more columns at the end,
     ``n_lines`` and ``n_dropped`` (with underscores added where such columns exist).
 
     Keys of ``min_length`` code points or more that ``min_docs`` documents or more hold lose
     all their lines but those of the largest id. Documents go through the store in
-    ``batches`` batches by a hash of the id.
+    ``batches`` batches by a hash of the id. A line in more than ``part_docs`` documents is
+    dealt to a task for about every so many.
     """
     spark = docs.sparkSession
     doc, body = F.col(id_col), F.col(text_col)
@@ -123,29 +149,36 @@ def dedup_lines(
     store = LineStore(spark, fan_out)
     for batch in range(batches):
         store.add(postings.filter(F.col("batch") == batch).select("h1", "h2", "id"))
-    repeated = store.merged().filter(F.col("n_docs") >= min_docs).select("h1", "h2", "max_id")
-    # a line that a third of all documents hold is dealt to ``spread`` tasks
-    repeated = repeated.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
+    # a line of many documents is dealt to several tasks; such lines are few, whatever the input's size
+    part_docs = max(part_docs, postings.count() // 100_000)
+    repeated = scratch.keep(store.merged().filter(F.col("n_docs") >= min_docs).withColumn("parts", F.ceil(F.col("n_docs") / part_docs)), "repeated-lines")
+    store.close()
+    hot = repeated.filter("parts > 1").select("h1", "h2", F.col("parts").alias("n"))
+    lines = repeated.select("h1", "h2", "max_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
     lost = (
-        postings.withColumn("part", F.pmod("row", F.lit(spread)).cast("int"))
-        .join(repeated, ["h1", "h2", "part"])
+        postings.join(F.broadcast(hot), ["h1", "h2"], "left")
+        .withColumn("part", F.coalesce(F.pmod("row", F.col("n")), F.lit(0)))
+        .join(lines, ["h1", "h2", "part"])
         .filter(~F.col("id").eqNullSafe(F.col("max_id")))
         .groupBy("row")
-        .agg(F.collect_set(F.struct("h1", "h2")).alias("lost"))
+        .agg(F.collect_set("h1").alias("lost1"), F.collect_set("h2").alias("lost2"))
     )
-    row, lost_col, parts, left, n_lines, n_dropped = scratch.free_names(docs, "line_row", "line_lost", "line_parts", "line_left", "n_lines", "n_dropped")
-    lost = lost.select(F.col("row").alias(row), F.col("lost").alias(lost_col))
+    row, lost1, lost2, parts, left, n_lines, n_dropped = scratch.free_names(docs, "line_row", "line_lost1", "line_lost2", "line_parts", "line_left", "n_lines", "n_dropped")
+    lost = lost.select(F.col("row").alias(row), _grouped(F.col("lost1")).alias(lost1), _grouped(F.col("lost2")).alias(lost2))
     joined = docs.withColumn(row, rowkey).join(lost, row, "left").withColumn(parts, lines_of(body))
-    kept = F.filter(
-        F.col(parts),
-        lambda x: F.when(F.length(line_key(x)) < min_length, F.lit(True)).otherwise(~F.array_contains(F.col(lost_col), key_hash(line_key(x)))),
-    )
-    joined = joined.withColumn(left, F.when(F.col(lost_col).isNull(), F.col(parts)).otherwise(kept))
+
+    def stays(line: Column) -> Column:
+        key = line_key(line)
+        hashed = key_hash(key)
+        return (F.length(key) < min_length) | ~(_among(hashed["h1"], F.col(lost1)) & _among(hashed["h2"], F.col(lost2)))
+
+    kept = F.filter(F.col(parts), stays)
+    joined = joined.withColumn(left, F.when(F.col(lost1).isNull(), F.col(parts)).otherwise(kept))
     others = [F.col(c) for c in docs.columns if c != text_col]
     clean = F.array_join(F.col(left), "\n")
     return joined.select(
         *others,
-        F.when(F.col(lost_col).isNull(), F.coalesce(body, F.lit(""))).otherwise(clean).alias(text_col),
+        F.when(F.col(lost1).isNull(), F.coalesce(body, F.lit(""))).otherwise(clean).alias(text_col),
         F.size(parts).cast("long").alias(n_lines),
         (F.size(parts) - F.size(left)).cast("long").alias(n_dropped),
     )
