@@ -34,7 +34,13 @@ DEGREE, BEAM, ALPHA, SHARD_ROWS, QUERY_BLOCK = 24, 64, 1.2, 4096, 4096
 TASKS = 64
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Each vector by a power of two, so that its largest part is near 1: cosines stay, and no square overflows or vanishes."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1, initial=0))[1][:, None])
+
+
 def unit(vectors: np.ndarray) -> np.ndarray:
+    vectors = scaled(vectors)
     norms = np.sqrt(np.einsum("ij,ij->i", vectors, vectors, dtype=np.float64))
     return (vectors / norms[:, None]).astype(np.float32)
 
@@ -192,8 +198,10 @@ def build_index(vectors: DataFrame, k: int, id_col: str, vector_col: str, shard_
              "points": pa.array([points.tobytes()], pa.binary()), "graph": pa.array([graph.astype(np.int32).tobytes()], pa.binary()), "ids": pa.array([ids.tobytes()], pa.binary())}
         )
 
+    # a count of its own, as small shards gathered in one task take as long as all their graphs
+    total = sum(max(1, -(-n // shard_rows)) for n in sizes.values()) or 1
     schema = "dim int, shard int, n long, entry long, points binary, graph binary, ids binary"
-    return scratch.keep(shards.groupBy("dim", "shard").applyInArrow(build, schema), "vector-graphs")
+    return scratch.keep(shards.repartition(2 * total, "dim", "shard").groupBy("dim", "shard").applyInArrow(build, schema), "vector-graphs")
 
 
 def search(
@@ -222,11 +230,11 @@ def search(
         for batch in batches:
             for row in batch.to_pylist():
                 dim = row["dim"]
-                raw = np.frombuffer(row["points"], np.float64).reshape(-1, dim)
+                raw = scaled(np.frombuffer(row["points"], np.float64).reshape(-1, dim))
                 points = unit(raw)
                 graph = np.frombuffer(row["graph"], np.int32).reshape(len(raw), -1).astype(np.int64)
                 ids = np.frombuffer(row["ids"], np.int64).reshape(len(raw), -1)
-                asked, q = np.frombuffer(row["qids"], np.int64), np.frombuffer(row["q"], np.float64).reshape(-1, dim)
+                asked, q = np.frombuffer(row["qids"], np.int64), scaled(np.frombuffer(row["q"], np.float64).reshape(-1, dim))
                 for a in range(0, len(q), 512):
                     yield _answers(points, raw, graph, row["entry"], ids, asked[a : a + 512], q[a : a + 512], k, beam)
 
