@@ -51,6 +51,25 @@ NOTICES = {
     "this is free and unencumbered software released into the public domain": "unlicense",
     "permission to use copy modify and or distribute this software for any purpose": "isc",
     "all rights reserved": "proprietary",
+    "this program is free software you can redistribute it and or modify it": "gpl",
+    "you should have received a copy of the gnu general public license": "gpl",
+    "you may not use this file except in compliance with the license": "apache",
+    "this source code form is subject to the terms of the mozilla public license": "mpl",
+    "the software is provided as is without warranty of any kind": "mit",
+    "neither the name of the copyright holder nor the names of its contributors": "bsd",
+    "boost software license": "bsl",
+    "academic free license": "afl",
+    "artistic license": "artistic",
+    "european union public licence": "eupl",
+    "common development and distribution license": "cddl",
+    "do what the fuck you want to public license": "wtfpl",
+    "gnu free documentation license": "gfdl",
+    "sil open font license": "ofl",
+    "python software foundation license": "psf",
+    "this work is licensed under a creative commons attribution": "cc-by",
+    "creative commons attribution sharealike": "cc-by-sa",
+    "creative commons attribution noncommercial": "cc-by-nc",
+    "released into the public domain": "public-domain",
 }
 
 MATCH = T.StructType(
@@ -119,21 +138,22 @@ class Finder:
 
     def find_fuzzy(self, text: str) -> list[tuple[int, int, int, int]]:
         """(notice, start, end, edits) of separate matches in each candidate region, best ones first taken."""
-        regions: dict[int, list[list[int]]] = {}
+        windows: dict[int, list[tuple[int, int]]] = {}
         for end, (n, uses) in self.seeds.iter(text):
             for i, offset in uses:
                 phrase, _, k, _ = self.fuzzy[i]
                 lo = max(0, end + 1 - n - offset - k - 1)
                 hi = min(len(text), end + 1 - n - offset + len(phrase) + k + 1)
-                mine = regions.setdefault(i, [])
-                if mine and lo <= mine[-1][1]:
-                    mine[-1][1] = max(mine[-1][1], hi)
-                else:
-                    mine.append([lo, hi])
+                windows.setdefault(i, []).append((lo, hi))
         out = []
-        for i in sorted(regions):
-            pattern = self.fuzzy[i][3]
-            for lo, hi in regions[i]:
+        for i in sorted(windows):
+            pattern, regions = self.fuzzy[i][3], []
+            for lo, hi in sorted(windows[i]):
+                if regions and lo <= regions[-1][1]:
+                    regions[-1][1] = max(regions[-1][1], hi)
+                else:
+                    regions.append([lo, hi])
+            for lo, hi in regions:
                 found, todo = [], [(lo, hi)]
                 while todo:  # the best match of a stretch, then the stretches before and after it
                     a, b = todo.pop()
