@@ -6,22 +6,24 @@ number of buckets: one of target text, the labelled documents of
 good quality that aren't toxic, and one of raw text, all documents. A document's importance
 is the sum of its n-grams' log ratios target / raw, where
 
-* ratios near 1, and those that chance explains, are shrunk to a log of 0;
-* only evidence against a document counts, so that length alone earns nothing;
-* what target text of the same length has is allowed for: its mean per n-gram times the
-  length, and ``margin`` times the root of the length, as chance spreads.
-
-``margin`` is fitted so that nearly all target documents reach importance 0, and
-importance, multiplied by ``sharpness``, ends at 0. The resampler draws without replacement by Gumbel top-k: the ``k``
-largest ``importance + Gumbel noise`` stay, with ``k`` the sum of importance weights (the
-effective number of documents). The noise is a hash of id and text, so runs repeat.
+* ratios near 1, and those that chance explains, are shrunk to a log of 0, for and against
+  the target alike;
+* the sum is told from what target text of the same length has: its mean per n-gram times
+  the length, in units of the root of the length, as chance spreads; so length alone earns
+  nothing, and ``margin`` is added.
+
+``margin`` is fitted so that nearly all target documents have an importance above 0, and
+``sharpness`` multiplies it. The resampler draws without replacement by Gumbel top-k: the
+``k`` largest ``importance + Gumbel noise`` stay. Unless ``k`` is given it is the sum of
+``min(1, exp(importance))``: about the number of documents no less like the target than
+target documents are. The noise is a hash of id and text, so runs repeat.
 
 The k-th largest key is found by counting keys in ranges, three times, never by sorting all.
 
-Defined results: null and empty texts have importance 0 plus the margin's 0 (no evidence
-against them); equal rows have equal keys, and ties at the cut are settled by row; without
-labels nothing is known against any document and all stay; an empty table gives no rows;
-other columns pass through.
+Defined results: null and empty texts have the margin alone (no evidence against them);
+equal rows have equal keys, and stay or go together: all that tie with the k-th stay;
+without labels nothing is known against any document and all stay; an empty table gives no
+rows; other columns pass through.
 """
 
 from __future__ import annotations
@@ -89,7 +91,7 @@ def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, max_labels: int,
 
 
 def _ratios(docs: DataFrame, text_col: str, target: str) -> np.ndarray:
-    """Log ratios of the two models, 0 or less, from counts over all documents."""
+    """Log ratios of the two models, from counts over all documents; 0 where they don't differ surely."""
     n_blocks = -(-N_BUCKETS // _BLOCK)
 
     def packed(totals: dict[int, np.ndarray]):
@@ -124,7 +126,7 @@ def _ratios(docs: DataFrame, text_col: str, target: str) -> np.ndarray:
     expected = raw * (target.sum() / raw.sum())
     ratio = np.log((target + 0.5) / (expected + 0.5))
     noise = 1 / np.sqrt(np.minimum(target, expected) + 1)
-    return np.where(ratio < -1 - 3 * noise, ratio, 0.0)
+    return np.where(np.abs(ratio) > 1 + 3 * noise, ratio, 0.0)
 
 
 def _scored(docs: DataFrame, text_col: str, ratios, name: str, length: str) -> DataFrame:
@@ -173,13 +175,14 @@ def resample(
     labels: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
+    k: int | None = None,
     max_labels: int = MAX_LABELS,
     keep_target: float = 0.999,
-    sharpness: float = 10.0,
+    sharpness: float = 100.0,
     seed: int = 7,
 ) -> DataFrame:
-    """``docs`` and three more columns at the end: ``importance`` (0 or less), ``gumbel_key``
-    and ``kept`` (with underscores added where such columns exist)."""
+    """``docs`` and three more columns at the end: ``importance``, ``gumbel_key`` and ``kept``
+    (with underscores added where such columns exist)."""
     spark = docs.sparkSession
     scratch.small_batches(spark)
     target, evidence, length, importance, key, kept = scratch.free_names(docs, "target", "evidence", "n_grams", "importance", "gumbel_key", "kept")
@@ -193,9 +196,9 @@ def resample(
     margin = -min(good if good is not None else 0.0, 0.0)
     bits = F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.col(text_col), F.lit(seed)), 12).cast("double")
     gumbel = -F.log(-F.log((bits + 0.5) / float(1 << 52)))
-    keyed = scored.withColumn(importance, F.least((beyond + spread * F.lit(margin)) * F.lit(sharpness), F.lit(0.0)))
+    keyed = scored.withColumn(importance, (beyond / spread + F.lit(margin)) * F.lit(sharpness))
     keyed = keyed.withColumn(key, F.col(importance) + gumbel)
-    total = keyed.agg(F.sum(F.exp(importance)), F.count(F.lit(1))).first()
-    k = min(total[1], round(total[0] or 0))
+    total = keyed.agg(F.sum(F.exp(F.least(F.col(importance), F.lit(0.0)))), F.count(F.lit(1))).first()
+    k = min(total[1], round(total[0] or 0) if k is None else k)
     cut = kth_largest(keyed.select(F.col(key).alias("key")), k) if 0 < k < total[1] else float("-inf") if k else float("inf")
     return keyed.withColumn(kept, F.col(key) >= F.lit(cut)).select(*docs.columns, importance, key, kept)
