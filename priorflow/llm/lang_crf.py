@@ -231,11 +231,16 @@ def held_out(id_col: str) -> F.Column:
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
-def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, max_docs: int, max_words: int) -> tuple[list[str], list[str]]:
+def training_sample(
+    docs: DataFrame, id_col: str, text_col: str, lang_col: str, max_docs: int, max_words: int, max_languages: int = 1000
+) -> tuple[list[str], list[str]]:
     """(texts, languages): about ``max_docs`` documents, equally many of each language, chosen
-    by a hash of the id, each cut to a run of ``max_words`` words somewhere in the text."""
+    by a hash of the id, each cut to a run of ``max_words`` words somewhere in the text. More
+    than ``max_languages`` languages are an error, as all have weights in one model."""
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col))
-    sizes = {r[0]: r[1] for r in rows.groupBy(lang_col).count().orderBy(F.desc("count")).limit(1000).collect()}
+    sizes = {r[0]: r[1] for r in rows.groupBy(lang_col).count().limit(max_languages + 1).collect()}
+    if len(sizes) > max_languages:
+        raise ValueError(f"more than {max_languages} languages; raise max_languages")
     if not sizes:
         return [], []
     share = max(1, max_docs // len(sizes))
@@ -248,6 +253,36 @@ def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
     return [r.text for r in picked], [r.lang for r in picked]
 
 
+def identify_words(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = 1600, max_words: int = 120
+) -> DataFrame:
+    """(id, words) of every row of ``docs``: each word's start and end in the text's UTF-8
+    bytes, its label and the label's posterior; no words where nothing can be learned."""
+    spark = docs.sparkSession
+    scratch.small_batches(spark)
+    model = spark.sparkContext.broadcast(fit(*training_sample(docs, id_col, text_col, lang_col, max_docs, max_words)))
+    word = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("label", pa.string()), ("score", pa.float64())])
+
+    def label(batches):
+        own = model.value
+        for batch in batches:
+            for i, rows in bytewords.slices(batch.column(1), 1 << 19):
+                words = bytewords.Words(rows, _LETTERS)
+                if own.languages and len(words.starts):
+                    post = own.posteriors(own.emissions(words), words.first)
+                    begin = np.repeat(words.offsets[:-1], np.diff(words.first))
+                    names = pa.array(own.languages).take(pa.array(post.argmax(axis=1)))
+                    flat = pa.StructArray.from_arrays([pa.array(words.starts - begin), pa.array(words.ends - begin), names, pa.array(post.max(axis=1))], fields=list(word))
+                    found = pa.ListArray.from_arrays(pa.array(words.first, pa.int32()), flat)
+                else:
+                    found = pa.array([[]] * len(rows), pa.list_(word))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(rows)), found], names=["id", "words"])
+
+    parts = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("label", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("words", T.ArrayType(parts))])
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(label, schema)
+
+
 def identify(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = 1600, max_words: int = 120
 ) -> DataFrame:
