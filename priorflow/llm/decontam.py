@@ -9,8 +9,9 @@ windows are cut into several automata of that size, and each document is scanned
 with the same result.
 
 Defined results: null and empty texts have no words and no hits; repeated items count by
-item id; an item without words gives no window; empty tables give no hits; other columns
-of the documents pass through.
+item id, a string; words of an item without id are hit, but it isn't named; an item without
+words gives no window; empty tables give no hits; other columns of the documents pass
+through.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ HITS = T.StructType(
     [
         T.StructField("n_words", T.LongType(), False),
         T.StructField("n_hit", T.LongType(), False),
-        T.StructField("items", T.ArrayType(T.LongType()), False),
+        T.StructField("items", T.ArrayType(T.StringType()), False),
         T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])), False),
     ]
 )
@@ -55,12 +56,12 @@ def windows(words: list[bytes], size: int) -> list[str]:
 class Scanner:
     """Automata over the windows of (item id, text) pairs, cut at ``max_bytes`` of patterns."""
 
-    def __init__(self, items: list[tuple[int, str | None]], size: int = 13, max_bytes: int = 32 << 20):
-        held: dict[str, set[int]] = {}
+    def __init__(self, items: list[tuple[str | None, str | None]], size: int = 13, max_bytes: int = 32 << 20):
+        held: dict[str, set[str]] = {}
         for item, text in items:
             for window in windows(normal_words(text), size):
-                held.setdefault(window, set()).add(item)
-        self.tables: list[list[tuple[str, int, tuple[int, ...]]]] = [[]]
+                held.setdefault(window, set()).update([] if item is None else [item])
+        self.tables: list[list[tuple[str, int, tuple[str, ...]]]] = [[]]
         room = max_bytes
         for window in sorted(held):
             room -= len(window)
@@ -85,7 +86,7 @@ class Scanner:
                     self._automata.append(automaton)
         return self._automata
 
-    def scan(self, text: str | None) -> tuple[int, int, list[int], list[tuple[int, int]]]:
+    def scan(self, text: str | None) -> tuple[int, int, list[str], list[tuple[int, int]]]:
         """(words, hit words, items with occurring windows, hit spans of the original text)."""
         words = normal_words(text)
         found = [match for a in self._built() for match in a.iter(joined(words))] if words else []
@@ -93,7 +94,7 @@ class Scanner:
             return len(words), 0, [], []
         ends = np.cumsum([len(w) + 1 for w in words])  # place of the space that ends each word
         hit = np.zeros(len(words) + 1, np.int64)
-        items: set[int] = set()
+        items: set[str] = set()
         for end, (n, ids) in found:
             last = int(np.searchsorted(ends, end))
             hit[last + 1 - n] += 1
@@ -131,14 +132,14 @@ def benchmark_hits(
     """
     spark = docs.sparkSession
     scratch.small_batches(spark)
-    items = benchmark.select(F.col(item_col).cast("long"), F.col(item_text_col)).limit(max_items + 1).collect()
+    items = benchmark.select(F.col(item_col).cast("string"), F.col(item_text_col)).limit(max_items + 1).collect()
     if len(items) > max_items:
         raise ValueError(f"more than {max_items} benchmark items; raise max_items")
     scanner = spark.sparkContext.broadcast(Scanner([tuple(r) for r in items], size, max_bytes))
     (name,) = scratch.free_names(docs, out)
     schema = T.StructType(docs.schema.fields + [T.StructField(name, HITS, False)])
     arrow = pa.struct(
-        [("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.int64())), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
+        [("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
     )
 
     def scan(batches):

@@ -2,32 +2,20 @@
 
 from __future__ import annotations
 
-import os
 import zlib
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import decontam, lang_crf, license_scan, line_dedup, near_dup, packing, resample, scratch, sharding, token_files, vamana
 
-#: Folder of the public vocabulary files on every machine; set this variable where it differs.
-VOCABULARIES = os.environ.get("PRIORFLOW_VOCABULARIES", "/opt/tokenizers")
-
-
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _vocabulary(name: str) -> str:
-    if os.path.isdir(VOCABULARIES):
-        return os.path.join(VOCABULARIES, name)
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 def op1_vamana_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return vamana.nearest(vectors, vectors.filter(F.col("vec_id") % 50 == 0), k=5)
@@ -52,7 +40,7 @@ def op3_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch.new_path(spark, "token-files")
-    token_files.write_files(_table(spark, sf_dir, "documents"), path, _vocabulary("word_bpe_49k.json"), end_id=2)
+    token_files.write_files(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     digest = T.StructType([T.StructField("ids_crc32", T.LongType())])
     return token_files.read_files(spark, path, zlib.crc32, digest).withColumnRenamed("id", "doc_id")
 
@@ -65,7 +53,7 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     digest = lambda ids, start, length: F.crc32(F.substring(ids, (4 * start + 1).cast("int"), (4 * length).cast("int")))
-    pieces = packing.pack_documents(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), end_id=0, size=1024, payload=digest)
+    pieces = packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0, size=1024, payload=digest)
     return pieces.select(
         F.col("id").alias("doc_id"), "start", "length", F.col("payload").alias("ids_crc32"), F.col("n_tokens").alias("doc_tokens"), "sequence_id", "offset"
     )
@@ -80,7 +68,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     marked = decontam.benchmark_hits(docs, _table(spark, sf_dir, "benchmark")).drop("text")
     hits = F.col("hits")
-    ids = F.array_join(F.array_sort(F.transform(hits["items"], lambda i: i.cast("string"))), ",")
+    ids = F.array_join(F.array_sort(hits["items"]), ",")
     return marked.select(
         "doc_id", hits["n_words"].alias("n_words"), hits["n_hit"].alias("n_hit"), F.size(hits["items"]).cast("long").alias("n_items"),
         F.sha2(ids, 256).alias("items_sha256"), decontam.contaminated(hits).alias("contaminated"),
@@ -126,13 +114,23 @@ dw AS (
 ),
 m AS (SELECT rid, i, dw.n, item_id FROM dw JOIN bw ON dw.win = bw.win AND dw.n = bw.n),
 hit AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS p FROM m) GROUP BY rid),
-it AS (SELECT rid, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids FROM (SELECT DISTINCT rid, item_id::VARCHAR AS s FROM m) GROUP BY rid)
+it AS (SELECT rid, count(s) AS n_items, string_agg(s, ',' ORDER BY s) AS ids FROM (SELECT DISTINCT rid, item_id::VARCHAR AS s FROM m) GROUP BY rid)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN hit USING (rid) LEFT JOIN it USING (rid)
 """
 
+#: The columns of op2 that don't depend on the fuzzy search.
+OP2_BASE_SQL = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS rid, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+phrases(phrase, label) AS (VALUES {", ".join(f"('{p}', '{label}')" for p, label in license_scan.BASE.items())}),
+p AS (SELECT phrase, label, len(string_split(phrase, ' ')) AS n FROM phrases),
+m AS (SELECT rid, i - 1 AS place, label FROM (SELECT rid, w, p.*, unnest(range(1, len(w) - n + 2)) AS i FROM d, p WHERE len(w) >= n) WHERE array_to_string(w[i : i + n - 1], ' ') = phrase),
+g AS (SELECT rid, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM m GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels FROM d LEFT JOIN g USING (rid)
+"""
+
 OP9_SQL = """
 WITH d AS (SELECT doc_id, row_number() OVER () AS rid, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
 l AS (
