@@ -8,6 +8,7 @@ folder used.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import pathlib
 import shutil
 import tempfile
@@ -17,6 +18,8 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: list[str] = []
+#: Tables written within :func:`passing`, innermost last.
+_PASSING: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,8 +35,24 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _LOCAL[0]
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+def new_path(spark: SparkSession, name: str, stays: bool = False) -> str:
+    """A path of its own; unless it ``stays``, :func:`passing` removes it at its end."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _PASSING and not stays:
+        _PASSING[-1].append(path)
+    return path
+
+
+@contextlib.contextmanager
+def passing(spark: SparkSession):
+    """Removes the intermediate tables made within it, once nothing reads them any more."""
+    _PASSING.append([])
+    try:
+        yield
+    finally:
+        for path in _PASSING.pop():
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def keep(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
@@ -58,7 +77,8 @@ def free_names(df: DataFrame, *wanted: str) -> list[str]:
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Ready a session for Arrow functions here: the package is there, and one Arrow batch
-    has few enough rows that long texts fit a Python worker."""
+    has few enough rows that long texts fit a Python worker. The setting stays, as results
+    are read later."""
     ship_package(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

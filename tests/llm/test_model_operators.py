@@ -92,6 +92,29 @@ def test_vamana_odd(spark):
     assert vamana.nearest(df.limit(0), df.limit(0), 5).count() == 0
 
 
+def test_vamana_extreme_lengths(spark):
+    """Cosines don't depend on lengths, even where squares would overflow or vanish."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 6))
+    scale = 10.0 ** rng.choice([-200, -160, 0, 160, 200], 300)
+    schema = "vec_id long, embedding array<double>"
+    plain, far = (spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(y)], schema) for y in (x, x * scale[:, None]))
+    one, two = ({(r.query_id, r.rank): (r.vec_id, round(r.score, 9)) for r in vamana.nearest(d, d.filter("vec_id % 50 = 0"), 5).collect()} for d in (plain, far))
+    assert one == two and len(one) == 30
+
+
+@pytest.mark.parametrize("shard_rows", [64, 4096])
+def test_vamana_recall_on_embeddings(spark, sf, shard_rows):
+    df = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding")
+    rows = [(r.vec_id, r.embedding) for r in df.collect() if r.embedding and any(r.embedding)]
+    ids, x = [i for i, _ in rows], np.array([v for _, v in rows], np.float64)
+    asked = [i for i in ids if i % 10 == 0]
+    want, got = brute_nearest(ids, x, asked, 5), defaultdict(set)
+    for r in vamana.nearest(df, df.filter("vec_id % 10 = 0"), 5, shard_rows=shard_rows).collect():
+        got[r.query_id].add(r.vec_id)
+    assert sum(len(got[q] & {i for _, i in want[q]}) for q in asked) >= 0.95 * 5 * len(asked)
+
+
 def test_robust_prune_covers():
     points = vamana.unit(np.array([[1, 0], [1, 0.1], [1, 0.11], [0, 1.0]], np.float64))
     d = 1 - points[0] @ points.T
@@ -128,6 +151,46 @@ def test_resampling_by_length(spark):
     assert len([i for i in kept if 1000 <= i < 2000]) <= 3 and {2000, 2001, 2002} <= kept and len([i for i in kept if i < 200]) >= 197
 
 
+def test_resampling_brute(spark):
+    """Importances against counts in plain dictionaries, and the top k of importance and noise."""
+    rng = np.random.default_rng(6)
+    vocabulary = [f"v{i}" for i in range(60)]
+    rows = []
+    for i in range(240):
+        p = np.ones(60)
+        p[:6] = 0.01 if i % 3 else 8.0  # words of the bad third
+        rows.append((i, " ".join(rng.choice(vocabulary, 50, p=p / p.sum()))))
+    labels = [(i, int(i % 3 > 0), 0) for i in range(0, 240, 2)]
+    docs, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    out = {r.doc_id: r for r in resample.resample(docs, lab, k=100).collect()}
+
+    def grams(text):
+        buckets, _ = resample.features(pa.array([text]))
+        return buckets.tolist()
+
+    raw, target = Counter(), Counter()
+    for i, text in rows:
+        raw.update(grams(text))
+        if i % 2 == 0 and i % 3:
+            target.update(grams(text))
+    scale = sum(target.values()) / sum(raw.values())
+    ratio = {}
+    for g, n in raw.items():
+        x = np.log((target[g] + 0.5) / (n * scale + 0.5))
+        ratio[g] = x if abs(x) > 1 + 3 / np.sqrt(min(target[g], n * scale) + 1) else 0.0
+    evidence = {i: sum(ratio[g] for g in grams(text)) for i, text in rows}
+    length = {i: len(grams(text)) for i, text in rows}
+    good = [i for i, q, _ in labels if q]
+    mean = sum(evidence[i] for i in good) / sum(length[i] for i in good)
+    beyond = {i: (evidence[i] - length[i] * mean) / np.sqrt(length[i] + resample.STEADY) for i, _ in rows}
+    margin = -min(0.0, min(beyond[i] for i in good))
+    for i, r in out.items():
+        assert r.importance == pytest.approx(100 * (beyond[i] + margin), abs=1e-5)
+    ranked = sorted(out, key=lambda i: -out[i].gumbel_key)
+    assert {i for i in out if out[i].kept} == set(ranked[:100])
+    assert any(v > 0 for v in ratio.values()) or any(v < 0 for v in ratio.values())
+
+
 def test_resampling_odd(spark):
     odd, lab = odd_docs(spark), spark.createDataFrame([(1, 1, 0), (4, 1, None), (None, 1, 0), (5, None, 0), (6, 0, 1), (6, 1, 0)], "doc_id long, quality int, toxic int")
     out = resample.resample(odd, lab)
@@ -360,6 +423,43 @@ def test_code_switching_labels_words():
     assert best.tolist() == [0] * 5 + [1] * 5
 
 
+def test_language_predictions_brute(spark, sf):
+    """Each document's mean of word posteriors, by a plain forward-backward pass word by word."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(40)
+    got = {r.id: r for r in lang_crf.identify(docs).collect()}
+    model = lang_crf.fit(*lang_crf.training_sample(docs, "doc_id", "text", "lang", 1600, 120))
+    for r in docs.collect():
+        found = bytewords.Words(pa.array([r.text or ""]), lang_crf._LETTERS)
+        if not len(found.starts):
+            assert got[r.doc_id].lang_pred == "und"
+            continue
+        score = np.zeros((len(found.starts), len(model.languages)))
+        for i in range(len(found.starts)):  # one word at a time
+            _, feature = lang_crf.word_features(found, np.array([i]))
+            score[i] = model.weights[feature].sum(0)
+        e, t = np.exp(score - score.max(1, keepdims=True)), np.exp(model.transitions)
+        forward, back = [e[0] / e[0].sum()], [np.ones(e.shape[1])]
+        for i in range(1, len(e)):
+            f = (forward[-1] @ t) * e[i]
+            forward.append(f / f.sum())
+        for i in range(len(e) - 1, 0, -1):
+            b = t @ (back[0] * e[i])
+            back.insert(0, b / b.sum())
+        post = np.array(forward) * np.array(back)
+        mean = (post / post.sum(1, keepdims=True)).mean(0)
+        assert got[r.doc_id].score == pytest.approx(mean.max(), abs=1e-6) and got[r.doc_id].lang_pred == model.languages[mean.argmax()]
+
+
+def test_language_word_labels(spark):
+    rows = [(i, "der hund und die katze schlafen nicht zusammen", "de") for i in range(0, 60, 2)] + [(i, "the dog and the cat never sleep together", "en") for i in range(1, 61, 2)] + [(100, "die Katze é: the dog!", None), (101, None, None)]
+    got = {r.id: r.words for r in lang_crf.identify_words(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    text = rows[-2][1].encode()
+    assert [text[w.start : w.end].decode() for w in got[100]] == ["die", "Katze", "é", "the", "dog"]
+    assert [w.label for w in got[100] if w.end - w.start > 2] == ["de", "de", "en", "en"] and got[101] == []
+    with pytest.raises(ValueError):
+        lang_crf.training_sample(spark.createDataFrame([(i, "a b", f"l{i}") for i in range(30)], "doc_id long, text string, lang string"), "doc_id", "text", "lang", 100, 10, max_languages=3)
+
+
 def test_language_odd(spark):
     odd = odd_docs(spark)
     rows = lang_crf.identify(odd).collect()
@@ -388,6 +488,56 @@ def test_pipeline_stages(spark, sf, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "line_dedup", "near_duplicates", "decontamination", "packing"]
 
 
+def test_pipeline_brute(spark, sf, tmp_path):
+    """Every stage's rows against a plain Python version of its rule, on what the stage before kept."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = {r.doc_id: r.text for r in docs.collect()}
+    split = lambda text: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    out = {}
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, sf).write.parquet(str(tmp_path / name))
+        docs = out[name] = spark.read.parquet(str(tmp_path / name))
+    text = {name: {r.doc_id: r.text for r in out[name].collect()} for name in list(out)[:4]}
+
+    drawn = resample.resample(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")).filter("kept").collect()
+    assert text["quality"] == {r.doc_id: rows[r.doc_id] for r in drawn}
+
+    holders = defaultdict(set)
+    fold = lambda line: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in line.strip(" \t\n\x0b\x0c\r"))
+    for i, t in text["quality"].items():
+        for line in (t or "").split("\n"):
+            if len(fold(line)) >= 20:
+                holders[fold(line)].add(i)
+    for i, t in text["quality"].items():
+        want = "\n".join(x for x in (t or "").split("\n") if len(holders.get(fold(x), ())) < 3 or max(holders[fold(x)]) == i)
+        assert (text["line_dedup"][i] or "") == want
+
+    classes = {r.id: r.class_id for r in near_dup.near_duplicates(out["line_dedup"]).collect()}
+    assert set(text["near_duplicates"]) == set(classes.values()) and all(text["near_duplicates"][i] == text["line_dedup"][i] for i in text["near_duplicates"])
+
+    windows = set()
+    for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect():
+        w = split(r.text)
+        windows |= {tuple(w[k : k + 13]) for k in range(max(1, len(w) - 12))} if w else set()
+    clean = set()
+    for i, t in text["near_duplicates"].items():
+        w, hit = split(t), set()
+        for n in {len(x) for x in windows}:
+            for k in range(len(w) - n + 1):
+                if tuple(w[k : k + n]) in windows:
+                    hit.update(range(k, k + n))
+        if not (hit and 20 * len(hit) >= len(w)):
+            clean.add(i)
+    assert set(text["decontamination"]) == clean
+
+    plain = tokens.load(public_tokenizers.path("byte_bpe_50k.json"))
+    pieces = defaultdict(list)
+    for r in out["packing"].collect():
+        pieces[r.doc_id].append((r.start, np.frombuffer(r.ids, "<u4").tolist()))
+    for i, t in text["decontamination"].items():
+        assert [x for _, part in sorted(pieces[i]) for x in part] == plain.encode(t or "", add_special_tokens=False).ids + [0]
+
+
 def test_pipeline_odd(spark, sf, tmp_path):
     docs = odd_docs(spark).select("doc_id", "text", "lang", "source", "n_chars")
     for empty in (False, True):

@@ -1,6 +1,7 @@
 """Licence scan, decontamination, line dedup, sharding against brute force."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -11,6 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from compare import assert_equal_rows
+from conftest_docs import words
 from priorflow.llm import decontam, license_scan, line_dedup, queries, sharding
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -131,7 +133,21 @@ def test_line_store_levels(spark):
         run = store.add(spark.createDataFrame([(k, 0, 10 * b) for k in range(b, b + 3)], "h1 long, h2 long, id long"))
         assert {r.h1 for r in run.filter("is_new").collect()} == ({0, 1, 2} if b == 0 else {b + 2})
     assert [len(level) for level in store.levels] == [1, 0, 1]
-    assert {(r.h1, r.n_docs, r.max_id) for r in store.merged().collect()} >= {(0, 1, 0), (2, 3, 20), (4, 3, 40)}
+    merged = store.merged()
+    assert {(r.h1, r.n_docs, r.max_id) for r in merged.collect()} == {(k, min(k + 1, 3, 7 - k), 10 * min(k, 4)) for k in range(7)}
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" in plan
+    store.close()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("priorflow_line_run")]
+
+
+def test_hot_lines(spark):
+    """A line of all documents is dealt to several tasks; long lists of lost lines are looked through in parts."""
+    line = "a line that every document holds"
+    rows = [(i, f"{line}\nown text of document {i:09d}") for i in range(300)] + [(300 + i, "\n".join([f"shared line number {k:05d} of many" for k in range(400)] + [f"own {i} line of twenty"] )) for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in line_dedup.dedup_lines(df, part_docs=40).collect())
+    assert got == sorted(brute_lines(rows))
 
 
 def test_sharding(spark, sf, odd, none):
@@ -152,9 +168,25 @@ def test_sharding(spark, sf, odd, none):
     assert sharding.shard_records(none).count() == 0
 
 
+def test_sharding_hot_rows(spark, tmp_path):
+    """A third of all rows share an id, a third are one repeated row; bytes stay near equal by the edited map."""
+    rows = [(1, "hot id " + words(20, i)) for i in range(1000)] + [(2, "one row " + words(20, 0))] * 1000 + [(i, words(20, i)) for i in range(10, 1010)]
+    got = sharding.shard_records(spark.createDataFrame(rows, "doc_id long, text string"), 8, path=str(tmp_path / "map")).collect()
+    loads, counts = Counter(), Counter(r.shard for r in got)
+    for r in got:
+        loads[r.shard] += r.size
+    assert len(got) == 3000 and max(loads.values()) < 1.01 * min(loads.values())
+    assert all(sorted(r.slot for r in got if r.shard == s) == list(range(counts[s])) for s in range(8))
+    store = sharding.SlotMap(spark, str(tmp_path / "map"))
+    first, second = store.shards(1), store.shards(2)
+    assert first == [s % 8 for s in range(sharding.N_SLOTS)] and 0 < sum(a != b for a, b in zip(first, second)) < sharding.N_SLOTS / 4
+    chart = dict(enumerate(second))
+    assert all(chart[r.vslot] == r.shard for r in got)
+
+
 def test_slot_map_versions(spark, tmp_path):
     sizes = [((i * 7919) % 101) + 1 for i in range(512)]
-    first = sharding.balanced(sizes, 8)
+    first = [slot % 8 for slot in range(512)]
     grown = sharding.rebalanced(sizes, first, 9)
     assert all(b in (a, 8) for a, b in zip(first, grown)) and grown.count(8) > 0
     loads = [sum(s for s, x in zip(sizes, grown) if x == k) for k in range(9)]
@@ -172,5 +204,49 @@ def test_items_digest(spark, sf):
     assert row.items_sha256 == hashlib.sha256(b"").hexdigest() and not row.contaminated
 
 
+def test_items_of_any_kind(spark):
+    """Text ids, and items without one: their words are hit, but they aren't named."""
+    items = spark.createDataFrame([("b", "one two three"), ("a", "two three"), (None, "five six")], "item_id string, text string")
+    docs = spark.createDataFrame([(1, "x one two three y"), (2, "five six")], "doc_id long, text string")
+    got = {r.doc_id: (list(r.hits["items"]), r.hits.n_hit) for r in decontam.benchmark_hits(docs, items).collect()}
+    assert got == {1: (["a", "b"], 3), 2: ([], 2)}
+
+
+def test_licences_against_plain_search():
+    """Every window of text that is within the edits of a notice is found, as by the regex library on all text."""
+    rng = random.Random(8)
+    finder = license_scan.Finder()
+    finder._build()
+    for trial in range(60):
+        i = rng.randrange(len(finder.fuzzy))
+        phrase, _, k, pattern = finder.fuzzy[i]
+        made = []
+        for _ in range(3):
+            chars = list(phrase)
+            for _ in range(rng.randint(0, k)):
+                at = rng.randrange(1, len(chars) - 1)
+                kind = rng.randrange(3)
+                if kind == 0:
+                    del chars[at]
+                elif kind == 1:
+                    chars.insert(at, rng.choice("abcdefg"))
+                else:
+                    chars[at] = rng.choice("abcdefg")
+            made += ["".join(chars), words(rng.randint(0, 3), trial)]
+        flat = license_scan.joined(license_scan.normal_words(" ".join(made)))
+        covered = [False] * (len(flat) + 1)
+        for j, a, b, _ in finder.find_fuzzy(flat):
+            if j == i:
+                covered[a:b] = [True] * (b - a)
+        for a in range(len(flat)):  # every match that begins here overlaps one that was reported
+            if flat[a - 1 : a] == " " and (m := pattern.match(flat, a)):
+                assert any(covered[m.start() : m.end()]), (phrase, flat)
+
+
+def test_licence_base_against_sql(spark, sf):
+    got = queries.op2_license_scan(spark, sf).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+    assert_equal_rows(got, queries.OP2_BASE_SQL, sf)
+
+
 def test_packed_rows_are_whole(spark, odd):
     assert license_scan.scan_licenses(odd.select("doc_id", "text")).filter(F.col("license.n_words") > 50_000).count() == 1
