@@ -2,19 +2,26 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a table that is written as Parquet and
 read as the next stage's ``docs``. All but the last return the columns of documents; the
-last returns packed pieces. Null texts stay null until packing, where they are the end id
-alone.
+last returns packed pieces.
+
+Defined results: null texts stay null until packing, where they are the end id alone; they
+and empty ones pass quality, hold no line that could go, are classes of their own and have
+no benchmark words. Rows that repeat go through quality and line dedup each, then one of
+each class of near-duplicates stays, the smallest doc_id's (null ids last, and of rows that
+tie any one). Very long texts are worked whole and cut into pieces only by packing. More
+columns pass through every stage but the last, whatever their names. Empty tables give no
+rows; without labels all documents pass quality, without a benchmark all decontamination.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from priorflow.llm import decontam, line_dedup, near_dup, packing, resample, scratch
-from priorflow.llm.queries import _vocabulary
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +52,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of at most 1024 tokens, with their ids."""
-    pieces = packing.pack_documents(docs, _vocabulary("byte_bpe_50k.json"), end_id=0, size=1024)
+    pieces = packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0, size=1024)
     return pieces.select(F.col("id").alias("doc_id"), "start", "length", F.col("payload").alias("ids"), F.col("n_tokens").alias("doc_tokens"), "sequence_id", "offset")
 
 
@@ -57,7 +64,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", pack),
 ]
 
-#: Resampling, consistent sampling and packing aren't SQL; tests compare brute-force versions.
+#: Resampling, consistent sampling and packing aren't SQL; tests compare each stage's brute-force version.
 ORACLE_SQL = None
 
 
@@ -65,5 +72,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = scratch.keep(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scratch.passing(spark):
+            made = stage(spark, docs, sf_dir)
+            docs = scratch.keep(made, f"stage-{name}", scratch.new_path(spark, f"stage-{name}", stays=True))
     return docs
