@@ -45,12 +45,13 @@ def key_hash(key: Column) -> Column:
 class LineStore:
     """Levelled runs in the shared folder; ``fan_out`` runs of a level become one of the next.
 
-    Buckets are as many as shuffle partitions, so that counted batches lie as the runs do.
+    Batches are counted with as many shuffle partitions as runs have buckets, so that they
+    lie as the runs do.
     """
 
-    def __init__(self, spark: SparkSession, fan_out: int = 2):
+    def __init__(self, spark: SparkSession, fan_out: int = 2, buckets: int | None = None):
         self.spark, self.fan_out = spark, fan_out
-        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[DataFrame]] = [[]]
         self._tables: list[str] = []
 
@@ -60,7 +61,8 @@ class LineStore:
     def _write(self, entries: DataFrame) -> DataFrame:
         name = f"priorflow_line_run_{uuid.uuid4().hex}"
         writer = entries.write.format("parquet").option("compression", "zstd").option("path", scratch.new_path(self.spark, "line-run"))
-        writer.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").saveAsTable(name)
+        with scratch.shuffle_partitions(self.spark, self.buckets):
+            writer.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").saveAsTable(name)
         self._tables.append(name)
         return self.spark.table(name)
 
@@ -124,16 +126,18 @@ def dedup_lines(
     min_length: int = 20,
     min_docs: int = 3,
     batches: int = 4,
-    fan_out: int = 2,
+    fan_out: int = 4,
     part_docs: int = 20_000,
+    bucket_rows: int = 2_000_000,
 ) -> DataFrame:
     """``docs`` with repeated lines removed from the text, and two more columns at the end,
     ``n_lines`` and ``n_dropped`` (with underscores added where such columns exist).
 
     Keys of ``min_length`` code points or more that ``min_docs`` documents or more hold lose
     all their lines but those of the largest id. Documents go through the store in
-    ``batches`` batches by a hash of the id. A line in more than ``part_docs`` documents is
-    dealt to a task for about every so many.
+    ``batches`` batches by a hash of the id; buckets of runs hold up to about ``bucket_rows``
+    lines. A line in more than ``part_docs`` documents is dealt to a task for about every so
+    many.
     """
     spark = docs.sparkSession
     doc, body = F.col(id_col), F.col(text_col)
@@ -146,11 +150,12 @@ def dedup_lines(
         .select("id", "row", "batch", "k.h1", "k.h2"),
         "line-postings",
     )
-    store = LineStore(spark, fan_out)
+    total = postings.count()
+    store = LineStore(spark, fan_out, min(100_000, max(spark.sparkContext.defaultParallelism, total // bucket_rows)))
     for batch in range(batches):
         store.add(postings.filter(F.col("batch") == batch).select("h1", "h2", "id"))
     # a line of many documents is dealt to several tasks; such lines are few, whatever the input's size
-    part_docs = max(part_docs, postings.count() // 100_000)
+    part_docs = max(part_docs, total // 100_000)
     repeated = scratch.keep(store.merged().filter(F.col("n_docs") >= min_docs).withColumn("parts", F.ceil(F.col("n_docs") / part_docs)), "repeated-lines")
     store.close()
     hot = repeated.filter("parts > 1").select("h1", "h2", F.col("parts").alias("n"))

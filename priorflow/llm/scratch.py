@@ -63,6 +63,18 @@ def keep(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def shuffle_partitions(spark: SparkSession, n: int):
+    """Runs what is written within it with ``n`` shuffle partitions."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def free_names(df: DataFrame, *wanted: str) -> list[str]:
     """The wanted names, with underscores added where ``df`` has such a column."""
     have = {c.lower() for c in df.columns}
