@@ -54,14 +54,33 @@ def quantile(lam: Column, r: Column | None, q: float) -> Column:
     return F.when(lam > 0, F.aggregate(F.sequence(F.lit(0), top), start, walk, lambda acc: acc["k"]))
 
 
+def _quantiles(lam: Column, r: Column, low: float, high: float) -> Column:
+    """Struct low, high: both quantiles in one pass, each the number of counts whose sum is still below it."""
+    nb = r.isNotNull()
+    top = F.ceil(lam + 12 * F.sqrt(F.when(nb, lam + lam * lam / r).otherwise(lam)) + 20).cast("int")
+    first = F.when(nb, r * (F.log(r) - F.log(r + lam))).otherwise(-lam)
+    rate = F.log(lam / F.when(nb, r + lam).otherwise(1.0))
+    start = F.struct(first.alias("log"), F.lit(0.0).alias("sum"), F.lit(-1).alias("low"), F.lit(-1).alias("high"), rate.alias("rate"), r.alias("r"))
+    walk = lambda acc, i: F.struct(
+        (acc["log"] + acc["rate"] + F.log(F.coalesce(acc["r"] + i, F.lit(1.0)) / (i + 1))).alias("log"), (acc["sum"] + F.exp(acc["log"])).alias("sum"),
+        (acc["low"] + (acc["sum"] < low).cast("int")).alias("low"), (acc["high"] + (acc["sum"] < high).cast("int")).alias("high"), acc["rate"].alias("rate"), acc["r"].alias("r"),
+    )
+    return F.aggregate(F.sequence(F.lit(0), top), start, walk, lambda acc: F.struct(acc["low"].alias("low"), acc["high"].alias("high")))
+
+
 def line_grid(mean: Column, r: Column | None) -> Column:
     """Half lines from the 1 % to the 99 % quantile and one more, trimmed at both ends to 14."""
-    low = F.greatest(quantile(mean, r, LOW_Q) - 1, F.lit(0))
-    high = quantile(mean, r, HIGH_Q) + 1
+    r = F.lit(None).cast("double") if r is None else r
+    # an array of one, so that the pass is made once and not for each use
+    both = F.array(_quantiles(mean.cast("double"), r.cast("double"), LOW_Q, HIGH_Q))
+    return F.when(mean > 0, F.transform(both, _lines)[0]).otherwise(F.array().cast("array<double>"))
+
+
+def _lines(q: Column) -> Column:
+    low, high = F.greatest(q["low"] - 1, F.lit(0)), q["high"] + 1
     lines = F.transform(F.sequence(low, high - 1), lambda x: x + 0.5)
     excess = F.greatest(F.size(lines) - MAX_LINES, F.lit(0))
-    trimmed = F.slice(lines, F.floor(excess / 2).cast("int") + 1, F.least(F.size(lines), F.lit(MAX_LINES)))
-    return F.when(mean > 0, trimmed).otherwise(F.array().cast("array<double>"))
+    return F.slice(lines, F.floor(excess / 2).cast("int") + 1, F.least(F.size(lines), F.lit(MAX_LINES))).cast("array<double>")
 
 
 def line_difficulty(line: Column, lam: Column, r: Column | None) -> Column:

@@ -10,61 +10,77 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_SET = r"^(\d+)-(\d+)(?:\((\d+)\))?$"
-_BREAKER = r"^\[(\d+)-(\d+)\]$"
+_PLAYED = r"^(\[)?(\d+)-(\d+)(?:\((\d+)\))?(\])?$"
 #: Status words (fixed values).
 _STATUS = [("walkover", r"^(W/O|WALKOVER)$"), ("abandoned", r"^ABD\.?$"), ("defaulted", r"^DEF\.?$"), ("retired", r"^RET.*$")]
 
 
+def _read(token: Column) -> Column:
+    """A token's parts: one look at the pattern for each."""
+    part = lambda k: F.regexp_extract(token, _PLAYED, k)
+    return F.struct(F.upper(token).alias("up"), (part(1) != "").alias("left"), part(2).try_cast("int").alias("a"), part(3).try_cast("int").alias("b"), (part(4) != "").alias("points"), (part(5) != "").alias("right"), (part(3) != "").alias("played"))
+
+
 def _token(t: Column) -> Column:
-    """(kind, a, b, tiebreak, finished) of one token."""
-    up = F.upper(t)
-    kind = F.when(t.rlike(_SET), "set").when(t.rlike(_BREAKER), "breaker")
+    """(kind, a, b, tie, done) of a token's parts; kind is NULL where it is none known."""
+    breaker = t["left"] & t["right"] & ~t["points"]
+    kind = F.when(t["played"] & breaker, "breaker").when(t["played"] & ~t["left"] & ~t["right"], "set")
     for name, pattern in _STATUS:
-        kind = kind.when(up.rlike(pattern), name)
-    a = F.when(t.rlike(_BREAKER), F.regexp_extract(t, _BREAKER, 1)).otherwise(F.regexp_extract(t, _SET, 1)).try_cast("int")
-    b = F.when(t.rlike(_BREAKER), F.regexp_extract(t, _BREAKER, 2)).otherwise(F.regexp_extract(t, _SET, 2)).try_cast("int")
-    high, low = F.greatest(a, b), F.least(a, b)
-    done = F.when(t.rlike(_BREAKER), (high >= 10) & (high - low >= 2)).otherwise(((high >= 6) & (high - low >= 2)) | ((high == 7) & (high - low == 1)))
-    tie = (high == 7) & (high - low == 1) | (F.regexp_extract(t, _SET, 3) != "")
-    return F.struct(kind.alias("kind"), a.alias("a"), b.alias("b"), F.coalesce(tie, F.lit(False)).alias("tie"), F.coalesce(done, F.lit(False)).alias("done"))
+        kind = kind.when(t["up"].rlike(pattern), name)
+    high, low = F.greatest(t["a"], t["b"]), F.least(t["a"], t["b"])
+    seven = (high == 7) & (high - low == 1)
+    done = F.when(breaker, (high >= 10) & (high - low >= 2)).otherwise(((high >= 6) & (high - low >= 2)) | seven)
+    return F.struct(kind.alias("kind"), t["a"].alias("a"), t["b"].alias("b"), F.coalesce(seven | t["points"], F.lit(False)).alias("tie"), F.coalesce(done, F.lit(False)).alias("done"))
+
+
+#: What a pass over the tokens adds up, all from 0.
+_SUMS = ("unknown", "sets", "breakers", "finished", "partial", "won_a", "won_b", "games_a", "games_b", "ties", "breakers_done")
+
+
+def _add(acc: Column, t: Column) -> Column:
+    is_set, is_breaker = F.coalesce(t["kind"] == "set", F.lit(False)), F.coalesce(t["kind"] == "breaker", F.lit(False))
+    played = is_set | is_breaker
+    full_set, full = is_set & t["done"], played & t["done"]
+    steps = {
+        "unknown": t["kind"].isNull(), "sets": is_set, "breakers": is_breaker, "finished": full, "partial": played & ~t["done"], "won_a": full & (t["a"] > t["b"]), "won_b": full & (t["a"] < t["b"]),
+        "games_a": F.when(full_set, t["a"]).otherwise(0), "games_b": F.when(full_set, t["b"]).otherwise(0), "ties": full_set & t["tie"], "breakers_done": is_breaker & t["done"],
+    }
+    word = F.when(t["kind"].isNotNull() & ~played, t["kind"]).otherwise(acc["word"])
+    return F.struct(*[(acc[k] + F.coalesce(steps[k].cast("int"), F.lit(0))).alias(k) for k in _SUMS], word.alias("word"))
 
 
 def parse_score(score: Column) -> Column:
-    """Struct of 16 fields; winner's side first. Games are those of finished sets."""
+    """Struct of 16 fields; winner's side first. Games are those of finished sets.
+
+    Tokens are read once each and added up in one pass, so that nothing is evaluated anew for
+    every field.
+    """
+    words = F.filter(F.split(F.coalesce(F.trim(score), F.lit("")), r"\s+"), lambda t: t != "")
+    tokens = F.transform(F.transform(words, _read), _token)
+    start = F.struct(*[F.lit(0).alias(k) for k in _SUMS], F.lit(None).cast("string").alias("word"))
     raw = F.trim(score)
-    tokens = F.transform(F.filter(F.split(F.coalesce(raw, F.lit("")), r"\s+"), lambda t: t != ""), _token)
-    of = lambda kinds: F.filter(tokens, lambda t: F.coalesce(t["kind"].isin(*kinds), F.lit(False)))
-    words, sets, breakers = of([n for n, _ in _STATUS]), of(["set"]), of(["breaker"])
-    played = F.concat(sets, breakers)
-    unknown = F.size(F.filter(tokens, lambda t: t["kind"].isNull()))
-    done = lambda rows: F.filter(rows, lambda t: t["done"])
-    count = lambda rows, test: F.size(F.filter(rows, test))
-    games = lambda f: F.when(F.size(sets) > 0, F.aggregate(done(sets), F.lit(0), lambda n, t: n + f(t)))
-    missing = raw.isNull() | (raw == "")
-    status = (
-        F.when(missing, "missing")
-        .when((unknown > 0) & (F.size(played) == 0), "unparseable")
-        .when(F.size(words) > 0, F.try_element_at(words, F.lit(-1))["kind"])
-        .otherwise("completed")
-    )
-    finished, partial = F.size(done(played)), count(played, lambda t: ~t["done"]) > 0
-    ties = count(done(sets), lambda t: t["tie"])
-    return F.struct(
-        raw.alias("raw"),
-        status.alias("status"),
-        ((status == "completed") & (unknown == 0) & ~partial & (finished > 0)).alias("complete"),
-        finished.alias("n_sets_completed"),
-        count(done(played), lambda t: t["a"] > t["b"]).alias("sets_won_winner"),
-        count(done(played), lambda t: t["a"] < t["b"]).alias("sets_won_loser"),
-        games(lambda t: t["a"] + t["b"]).alias("total_games"),
-        games(lambda t: t["a"]).alias("winner_games"),
-        games(lambda t: t["b"]).alias("loser_games"),
-        games(lambda t: t["a"] - t["b"]).alias("game_diff"),
-        (ties > 0).alias("has_tiebreak"),
-        ties.alias("n_tiebreaks"),
-        (F.size(breakers) > 0).alias("has_match_tiebreak"),
-        F.size(done(breakers)).alias("n_match_tiebreaks_completed"),
-        partial.alias("has_partial_trailing_set"),
-        (~missing & (unknown == 0)).alias("parse_ok"),
-    )
+
+    def fields(s: Column) -> Column:
+        missing = raw.isNull() | (raw == "")
+        status = F.when(missing, "missing").when((s["unknown"] > 0) & (s["sets"] + s["breakers"] == 0), "unparseable").otherwise(F.coalesce(s["word"], F.lit("completed")))
+        games = lambda c: F.when(s["sets"] > 0, c)
+        return F.struct(
+            raw.alias("raw"),
+            status.alias("status"),
+            ((status == "completed") & (s["unknown"] == 0) & (s["partial"] == 0) & (s["finished"] > 0)).alias("complete"),
+            s["finished"].alias("n_sets_completed"),
+            s["won_a"].alias("sets_won_winner"),
+            s["won_b"].alias("sets_won_loser"),
+            games(s["games_a"] + s["games_b"]).alias("total_games"),
+            games(s["games_a"]).alias("winner_games"),
+            games(s["games_b"]).alias("loser_games"),
+            games(s["games_a"] - s["games_b"]).alias("game_diff"),
+            (s["ties"] > 0).alias("has_tiebreak"),
+            s["ties"].alias("n_tiebreaks"),
+            (s["breakers"] > 0).alias("has_match_tiebreak"),
+            s["breakers_done"].alias("n_match_tiebreaks_completed"),
+            (s["partial"] > 0).alias("has_partial_trailing_set"),
+            (~missing & (s["unknown"] == 0)).alias("parse_ok"),
+        )
+
+    return F.aggregate(tokens, start, _add, fields)

@@ -21,6 +21,12 @@ def unpivot_predictions(df: DataFrame, ids: Sequence[str], columns: dict[str, tu
     return df.select(*ids, F.explode(rows).alias("_p")).select(*ids, "_p.*")
 
 
+def flatten(df: DataFrame, structs: Sequence[str]) -> DataFrame:
+    """Struct columns as columns of their own, named ``struct_field``."""
+    flat = [F.col(f"{s}.{f}").alias(f"{s}_{f}") for s in structs for f in df.schema[s].dataType.names]
+    return df.select(*[c for c in df.columns if c not in structs], *flat)
+
+
 def prediction_columns(prefix: str, variants: dict[str, Sequence[str]]) -> dict[str, tuple[str, str]]:
     """Column name to (variant, window) for every variant and its windows."""
     return {f"{prefix}_{v}_{w}": (v, w) for v, windows in variants.items() for w in windows}

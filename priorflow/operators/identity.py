@@ -5,8 +5,9 @@ from __future__ import annotations
 import difflib
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions.text import minted_id, normalize_name
 
@@ -21,12 +22,55 @@ def name_index(players: DataFrame, group: str, ident: str, name: str) -> DataFra
     return rows.filter("norm != ''")
 
 
+def _grams(name: Column, n: int) -> Column:
+    return F.when(F.length(name) >= n, F.transform(F.sequence(F.lit(1), F.length(name) - (n - 1)), lambda i: F.substr(name, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+
+def close_candidates(left: DataFrame, right: DataFrame, group: str, cutoff: float) -> DataFrame:
+    """(group, norm, close): all pairs whose similarity may reach the cutoff; none that does is lost.
+
+    A similarity of ``cutoff`` leaves ``e <= (1 - cutoff) * (m + n)`` letters of both names
+    unmatched, so matching blocks are at most ``e + 1``, and names share a number of q-grams
+    that follows from their lengths: 3-grams of names from 12 letters on, 2-grams up to 15
+    (one of a pair longer than 15 has a partner from 12 on). Only as many of a name's rarest
+    q-grams are joined as that number needs (prefix filter); what meets is held against the
+    number itself before any name is compared.
+    """
+    reach = (2 - cutoff) / cutoff  # longest length a name may have, as a multiple of the other's
+
+    def needed(total: Column, q: int) -> Column:
+        """Least number of shared q-grams of names with ``total`` letters together."""
+        matched = F.ceil(total * cutoff / 2 - 1e-9)
+        return matched - (q - 1) * (total - 2 * matched + 1)
+
+    sides = [left.select(group, F.col("norm").alias("name"), F.lit(0).alias("side")), right.select(group, F.col("close").alias("name"), F.lit(1).alias("side"))]
+    names = sides[0].unionByName(sides[1]).withColumn("len", F.length("name"))
+    partner = F.ceil(F.col("len") / reach - 1e-9)
+    two = F.struct(F.lit(2).alias("q"), _grams(F.col("name"), 2).alias("all"), needed(F.col("len") + F.greatest(partner, F.lit(1)), 2).alias("shared"))
+    three = F.struct(F.lit(3).alias("q"), _grams(F.col("name"), 3).alias("all"), needed(F.col("len") + F.greatest(partner, F.lit(12)), 3).alias("shared"))
+    kinds = F.filter(F.array(F.when(F.col("len") <= 15, two), F.when(F.col("len") >= 12, three)), lambda x: x.isNotNull())
+    parts = names.select(group, "side", "name", "len", F.explode(kinds).alias("k")).select(group, "side", "name", "len", "k.q", F.array_distinct("k.all").alias("grams"), F.size("k.all").alias("total"), "k.shared")
+    # sets overlap by as many fewer as grams repeat in a name
+    parts = parts.withColumn("repeats", F.col("total") - F.size("grams")).drop("total")
+    long = parts.withColumn("gram", F.explode("grams"))
+    often = long.filter("side = 1").groupBy(group, "q", "gram").agg(F.count(F.lit(1)).alias("often"))
+    ranked = long.join(often, [group, "q", "gram"]).groupBy(group, "side", "name", "len", "q", "grams", "shared", "repeats").agg(F.array_sort(F.collect_list(F.struct("often", "gram"))).alias("rare"))
+    # grams that no name of the other side has would come first, so they use up places
+    room = F.size("rare") - F.greatest(F.col("shared") - F.col("repeats"), F.lit(1)) + 1
+    rare = ranked.select(group, "side", "name", "len", "q", "grams", "repeats", F.explode(F.slice("rare", 1, F.greatest(room, F.lit(0)).cast("int"))).alias("_g"))
+    side = lambda k, name, n, g, r: rare.filter(f"side = {k}").select(group, "q", F.col("_g.gram").alias("gram"), F.col("name").alias(name), F.col("len").alias(n), F.col("grams").alias(g), F.col("repeats").alias(r))
+    near = (F.col("n") <= F.col("m") * reach) & (F.col("m") <= F.col("n") * reach)
+    pairs = side(0, "norm", "m", "ga", "ra").join(side(1, "close", "n", "gb", "rb"), [group, "q", "gram"]).filter(near)
+    total = F.col("m") + F.col("n")
+    least = F.when(F.col("q") == 2, needed(total, 2)).otherwise(needed(total, 3)) - F.least("ra", "rb")
+    return pairs.filter(F.size(F.array_intersect("ga", "gb")) >= least).select(group, "norm", "close").distinct()
+
+
 def resolve_names(requests: DataFrame, players: DataFrame, group: str, raw: str, ident: str, name: str, cutoff: float = CUTOFF) -> DataFrame:
     """``requests`` with resolved_id, method, matched_name and n_candidates.
 
-    Each level joins on pre-aggregated keys. The fuzzy level only meets names of its group
-    whose lengths let the similarity reach the cutoff, blocked by first and last letters' sum
-    of counts in the comparing function, and accepts only if all close names are one id.
+    Each level joins on pre-aggregated keys. The fuzzy level compares only what
+    :func:`close_candidates` leaves, and accepts only if the three closest names are one id.
     """
     index = name_index(players, group, ident, name)
     asked = requests.select(group, raw).distinct().withColumn("norm", normalize_name(F.col(raw)))
@@ -40,11 +84,9 @@ def resolve_names(requests: DataFrame, players: DataFrame, group: str, raw: str,
     alias = tried.join(surnames, [group, "letter", "tail"]).groupBy(group, "norm").agg(F.collect_set(ident).alias("alias_ids"), F.min("full").alias("alias_name"))
     out = out.join(alias, [group, "norm"], "left")
 
-    left = out.filter(F.col("exact_ids").isNull() & F.col("alias_ids").isNull() & (F.col("norm") != "")).select(group, "norm", F.length("norm").alias("n"))
-    reach = (2 - cutoff) / cutoff  # longest length a name may have, as a multiple of the other's
-    spread = F.sequence(F.ceil(F.col("n") / reach).cast("int"), F.floor(F.col("n") * reach).cast("int"))
-    names = index.groupBy(group, "norm").agg(F.collect_set(ident).alias("ids")).select(group, F.col("norm").alias("close"), "ids", F.length("norm").alias("len"))
-    pairs = left.select(group, "norm", F.explode(spread).alias("len")).join(names, [group, "len"])
+    left = out.filter(F.col("exact_ids").isNull() & F.col("alias_ids").isNull() & (F.col("norm") != "")).select(group, "norm")
+    names = index.groupBy(group, "norm").agg(F.collect_set(ident).alias("ids")).withColumnRenamed("norm", "close")
+    pairs = close_candidates(left, names.select(group, "close"), group, cutoff).join(names, [group, "close"])
 
     @F.pandas_udf("double")
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -55,7 +97,9 @@ def resolve_names(requests: DataFrame, players: DataFrame, group: str, raw: str,
         return pd.Series([one(x, y) for x, y in zip(a, b)], dtype=float)
 
     close = pairs.withColumn("ratio", ratio("norm", "close")).filter(F.col("ratio") >= cutoff)
-    top = close.groupBy(group, "norm").agg(F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("ratio", "close", "ids")))), 1, 3).alias("top"))
+    nth = F.row_number().over(W.partitionBy(group, "norm").orderBy(F.desc("ratio"), F.desc("close")))
+    first = close.withColumn("nth", nth).filter("nth <= 3")
+    top = first.groupBy(group, "norm").agg(F.array_sort(F.collect_list(F.struct("nth", "close", "ids"))).alias("top"))
     fuzzy = top.select(group, "norm", F.array_distinct(F.flatten(F.transform("top", lambda t: t["ids"]))).alias("fuzzy_ids"), F.col("top")[0]["close"].alias("fuzzy_name"))
     out = out.join(fuzzy, [group, "norm"], "left")
 

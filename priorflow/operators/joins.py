@@ -26,6 +26,20 @@ def assert_unique(df: DataFrame, key: Sequence[str]) -> DataFrame:
     return df.withColumn("_ok", check).filter("_ok").drop("_ok")
 
 
+def unique_merge(left: DataFrame, right: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Inner join of two tables in each of which a key has one row."""
+    return assert_unique(left, key).join(assert_unique(right, key), list(key))
+
+
+def enrich(df: DataFrame, tables: Sequence[tuple[DataFrame, Sequence[str], str]]) -> DataFrame:
+    """Left joins with one table after another, (table, key, suffix of its other columns); rows never multiply."""
+    for right, key, suffix in tables:
+        others = [c for c in right.columns if c not in key]
+        one = right.groupBy(*key).agg(F.min(F.struct(*others)).alias("_r"))
+        df = df.join(one.select(*key, *[F.col(f"_r.{c}").alias(f"{c}{suffix}") for c in others]), list(key), "left")
+    return df
+
+
 def opponent_join(df: DataFrame, match: Sequence[str], own: str, other: str, columns: Sequence[str], prefix: str = "opponent_") -> DataFrame:
     """The ``columns`` of the row of the same match whose ``own`` is this row's ``other``."""
     right = df.select(*[F.col(m).alias(f"_m_{m}") for m in match], F.col(own).alias("_own"), *[F.col(c).alias(prefix + c) for c in columns])

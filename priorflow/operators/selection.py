@@ -84,17 +84,24 @@ def dependency_decision(df: DataFrame, by: Sequence[str], least: float = 0.03) -
 
 
 def seeded_groups(df: DataFrame, key: Sequence[str], n: int, seed: int) -> DataFrame:
-    """All rows of ``n`` groups chosen by a hash of the key: the same for the same seed."""
-    chosen = df.select(*key).distinct().orderBy(F.xxhash64(*key, F.lit(seed)), *key).limit(n)
+    """All rows of ``n`` groups chosen by the md5 of key and seed: the same for the same seed."""
+    chosen = df.select(*key).distinct().orderBy(F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in key], F.lit(str(seed)))), *key).limit(n)
     return df.join(F.broadcast(chosen), list(key), "left_semi")
 
 
-def listing(df: DataFrame, order: Sequence[str], limit: int, offset: int = 0, **groups: Sequence[str] | None) -> tuple[DataFrame, int]:
-    """A page, newest first, of rows whose columns are in the groups given, and the total."""
+def listing(df: DataFrame, order: Sequence[str], limit: int, offset: int = 0, **groups: Sequence[str] | None) -> DataFrame:
+    """A page, newest first, of rows whose columns are in the groups given, each with their ``total``."""
     for column, values in groups.items():
         if values:
             df = df.filter(F.col(column).isin(*values))
-    return df.orderBy(*[F.desc(c) for c in order]).offset(offset).limit(limit), df.count()
+    total = df.agg(F.count(F.lit(1)).alias("total"))
+    page = df.orderBy(*[F.desc(c) for c in order]).offset(offset).limit(limit)
+    return page.crossJoin(F.broadcast(total))  # one row
+
+
+def rejected(df: DataFrame, columns: Sequence[str], state: str = "classification") -> DataFrame:
+    """Discarded rows, with those of the columns that there are."""
+    return df.filter(F.col(state) == "DESCARTAR").select(*[c for c in columns if c in df.columns])
 
 
 def between_days(df: DataFrame, utc: str, zone: str, first: str | None = None, last: str | None = None, **equal: str | None) -> DataFrame:

@@ -109,3 +109,19 @@ def test_fuzzy_level_is_ratcliff(spark):
     got = {r.asked: (r.resolved_id, r.method) for r in identity.resolve_names(asked, players, "g", "asked", "id", "name").collect()}
     assert difflib.SequenceMatcher(None, "jelena ostapenco", "jelena ostapenko").ratio() >= 0.87
     assert got == {"Jelena Ostapenco": (1, "fuzzy_review"), "J. Ostapenko": (1, "alias"), "K Pliskova": (None, "unresolved"), "KAROLINA MUCHOVA": (2, "exact"), "Nobody Known": (None, "unresolved"), "": (None, "unresolved")}
+
+
+def test_close_candidates_lose_nothing(spark):
+    """Every pair that difflib finds similar enough is a candidate, for names of all lengths."""
+    import random
+
+    from priorflow.operators import identity
+
+    rng = random.Random(5)
+    names = {"".join(rng.choice("abcde ") for _ in range(rng.randint(2, 34))).strip() or "x" for _ in range(150)}
+    names |= {n[:k] + rng.choice("abcxyz") + n[k + rng.randint(0, 1) :] for n in list(names) for k in [rng.randrange(len(n))]}
+    names = sorted(names)
+    want = {(a, b) for a in names for b in names if difflib.SequenceMatcher(None, b, a).ratio() >= identity.CUTOFF}
+    left = spark.createDataFrame([("g", n) for n in names], "g string, norm string")
+    got = {(r.norm, r.close) for r in identity.close_candidates(left, left.withColumnRenamed("norm", "close"), "g", identity.CUTOFF).collect()}
+    assert want - {(n, n) for n in names} <= got and len(got) < len(names) ** 2 / 4
