@@ -11,9 +11,9 @@ Improved consistent weighted sampling draws 64 samples of each set: two sets sha
 with a probability of their weighted Jaccard similarity. Samples are banded (16 bands of 4);
 nodes of a band's bucket are first compared with the bucket's least node, and pairs are
 verified by the exact weighted Jaccard similarity of all shingles. Nodes of buckets that
-still hold several classes are dealt anew by the rare shingles of which two similar sets
+still hold several classes are dealt anew by the rarest shingles of which two similar sets
 must share one (prefix filter), and each in turn is a head there, compared with all nodes
-of other classes, until every bucket has one class or all its nodes were heads. So two
+of other classes that share enough with any set to be similar, until every bucket has one class or all its nodes were heads. So two
 similar nodes of a band's bucket always end in one class; a link is missed only if no band
 proposes it. Classes are connected components of verified links.
 
@@ -269,29 +269,51 @@ def _relabelled(labels: DataFrame | None, found: DataFrame) -> DataFrame:
     return scratch.keep(kept.unionByName(added), "labels")
 
 
+def _cells(sets: DataFrame) -> DataFrame:
+    """(bucket, node, weight, total) of every shingle; ``total`` is its set's weight."""
+
+    def open_up(batches):
+        for batch in batches:
+            nodes, hashes, levels = batch.columns
+            sizes = [len(v.as_buffer()) for v in levels]
+            flat = np.frombuffer(b"".join(h.as_buffer() for h in hashes), np.int64)
+            weight = Weights.weight(np.frombuffer(b"".join(v.as_buffer() for v in levels), np.uint8))
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            total = np.bincount(owner, weight, len(sizes))
+            yield pa.RecordBatch.from_arrays([pa.array(flat), nodes.take(pa.array(owner)), pa.array(weight.astype(np.float32)), pa.array(total[owner])], names=["bucket", "node", "weight", "total"])
+
+    return sets.select("node", "hashes", "levels").mapInArrow(open_up, "bucket long, node binary, weight float, total double")
+
+
 def _prefixes(sets: DataFrame, threshold: float) -> DataFrame:
-    """(bucket, node): the shingles, rarest first, of which two sets that reach ``threshold`` share one.
+    """(bucket, node, total, common): the shingles, rarest in ``sets`` first, of which two sets
+    that reach ``threshold`` share one.
 
     The overlap of such sets is at least ``threshold`` times either weight, so it can't lie
-    only in a rest that weighs less.
+    only in a rest that weighs less. Shingles that one set alone has are no buckets, and what
+    the others weigh, ``common``, bounds a set's overlap with any other.
     """
 
     def cut(batches):
         for batch in batches:
-            nodes, hashes, levels = batch.columns
-            places, found = [], []
-            for i, (h, v) in enumerate(zip(hashes, levels)):
-                h, v = np.frombuffer(h.as_buffer(), np.uint64), np.frombuffer(v.as_buffer(), np.uint8)
-                order = np.lexsort((h, v % 5))
-                weight = Weights.weight(v[order])
-                rest = weight.sum() - np.cumsum(weight) + weight  # from each shingle on
-                own = h[order][rest >= threshold * weight.sum() - 1e-6]
-                places.append(np.full(len(own), i))
-                found.append(own)
+            nodes, totals, cells = batch.columns
+            common, places, found = [], [], []
+            for i, (total, own) in enumerate(zip(totals.to_pylist(), cells)):
+                n, bucket, weight = (own.values.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+                order = np.lexsort((bucket, n))
+                rest = np.cumsum(weight[order][::-1].astype(np.float64))[::-1]  # from each shingle on
+                kept = bucket[order][rest >= threshold * total - 1e-3]
+                common.append(rest[0])
+                places.append(np.full(len(kept), i))
+                found.append(kept)
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), nodes.take(pa.array(np.concatenate(places)))], names=["bucket", "node"])
+                at = pa.array(np.concatenate(places))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), nodes.take(at), totals.take(at), pa.array(common).take(at)], names=["bucket", "node", "total", "common"])
 
-    return sets.mapInArrow(cut, "bucket long, node binary")
+    cells = scratch.keep(_cells(sets), "cells")
+    counts = cells.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    lists = cells.join(counts, "bucket").groupBy("node").agg(F.first("total").alias("total"), F.collect_list(F.struct("n", "bucket", "weight")).alias("cells"))
+    return lists.select("node", "total", "cells").mapInArrow(cut, "bucket long, node binary, total double, common double")
 
 
 def _rooted(members: DataFrame, labels: DataFrame, turn: int = 0) -> DataFrame:
@@ -315,15 +337,17 @@ def _links(members: DataFrame, sets: DataFrame, threshold: float) -> tuple[DataF
     # a hash deals the nodes of a bucket to turns of about 3, 12, 48, ... heads
     place = F.pmod(F.xxhash64("node", "bucket"), F.lit(1 << 30)) / float(1 << 30) * F.col("size")
     dealt = parts.join(sizes, "bucket").withColumn("turn", F.floor(F.log2(place + 1) / 2).cast("int"))
+    # no overlap is beyond what either set shares with any other
+    may_reach = (1 + threshold) * F.least("common", "head_common") >= threshold * (F.col("total") + F.col("head_total")) - 1e-3
     live, turn = scratch.keep(_rooted(dealt, labels), "live"), 0
     while not live.isEmpty():
         salts = F.ceil(F.col("size") / 1000)
         ahead = live.filter(F.col("turn") == turn).select(
-            "bucket", F.col("node").alias("head"), F.col("root").alias("head_root"), F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt")
+            "bucket", F.col("node").alias("head"), F.col("root").alias("head_root"), F.col("total").alias("head_total"), F.col("common").alias("head_common"), F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt")
         )
         pairs = (
             live.filter(F.col("turn") >= turn).withColumn("salt", F.pmod(F.xxhash64("node"), salts)).join(ahead, ["bucket", "salt"])
-            .filter(F.col("root") != F.col("head_root"))
+            .filter((F.col("root") != F.col("head_root")) & may_reach)
             .select(F.greatest("node", "head").alias("a"), F.least("node", "head").alias("b"))
             .distinct()
         )
