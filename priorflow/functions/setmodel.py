@@ -51,8 +51,17 @@ def set_expectation(p_hold_a: pd.Series, p_hold_b: pd.Series) -> pd.DataFrame:
     return made.reindex(p_hold_a.index)
 
 
-def match_expectation(s: Column, best_of: int) -> Column:
-    """Struct p_match, sets, games, game_diff, p_any_tiebreak, p_full_distance of a set struct."""
+def match_expectation(s: Column, best_of: Column | int) -> Column:
+    """Struct p_match, sets, games, game_diff, p_any_tiebreak, p_full_distance of a set struct.
+
+    A column gives each row's own length: 5, or else 3, also where it isn't known; then the
+    probability of the full distance is NULL.
+    """
+    if not isinstance(best_of, int):
+        three, five = match_expectation(s, 3), match_expectation(s, 5)
+        fields = ("p_match", "sets", "games", "game_diff", "p_any_tiebreak", "p_full_distance")
+        full = F.when(best_of == 5, five["p_full_distance"]).when(best_of == 3, three["p_full_distance"])
+        return F.struct(*[(full if f == "p_full_distance" else F.when(best_of == 5, five[f]).otherwise(three[f])).alias(f) for f in fields])
     need, p, q = (best_of + 1) // 2, s["p_set"], 1 - s["p_set"]
     p_match, sets, last = F.lit(0.0), F.lit(0.0), F.lit(0.0)
     for lost in range(need):

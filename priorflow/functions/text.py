@@ -90,7 +90,32 @@ def line_and_side(market: Column, display: Column) -> Column:
 
 def split_list(s: Column, separator: str) -> Column:
     """Parts of a joined list without empty ones."""
-    return F.filter(F.transform(F.split(F.coalesce(s, F.lit("")), separator), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(s, F.lit("")), separator), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def safe_slug(s: Column) -> Column:
+    """A slug for file names, with ``_``."""
+    return slug(s, "_")
+
+
+def value_after(lines: Column, label: str) -> Column:
+    """What follows ``label:`` in the first line that begins so."""
+    found = F.filter(lines, lambda x: F.startswith(F.trim(x), F.lit(f"{label}:")))
+    return F.trim(F.substring_index(F.get(found, F.lit(0)), f"{label}:", -1))
+
+
+def clean_number(s: Column) -> Column:
+    """The number in a text with a sign, a comma or dot, and what is around it."""
+    return parse_decimal(F.nullif(F.regexp_extract(s, r"([-+]?\d+(?:[.,]\d+)?)", 1), F.lit("")))
+
+
+def parse_report(text: Column, labels: dict[str, str], start: str) -> Column:
+    """Blocks of a text report: a struct for each, of the values after its labels.
+
+    A block begins at a line with ``start``; what comes before the first isn't one.
+    """
+    blocks = F.filter(F.split(text, f"(?m)^(?={start})"), lambda b: F.startswith(b, F.lit(start)))
+    return F.transform(blocks, lambda b: F.struct(*[value_after(F.split(b, "\n"), label).alias(name) for name, label in labels.items()]))
 
 
 def bilingual(key: Column, labels: dict[str, str]) -> Column:

@@ -78,7 +78,7 @@ def filled_report(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def schema_drift(headers: DataFrame, source: str, header: str) -> DataFrame:
     """Columns that each source lacks or adds against the commonest header (ties: least)."""
     counted = headers.groupBy(header).count().orderBy(F.desc("count"), header).limit(1).select(F.col(header).alias("_ref"))
-    cols = lambda c: F.transform(F.split(c, ","), F.trim)
+    cols = lambda c: F.transform(F.split(c, ","), lambda x: F.trim(x))
     return headers.crossJoin(F.broadcast(counted)).select(source, F.array_except(cols(F.col("_ref")), cols(F.col(header))).alias("missing"), F.array_except(cols(F.col(header)), cols(F.col("_ref"))).alias("added"))
 
 

@@ -17,18 +17,19 @@ RELIABLE = ("exact", "alias")
 MIN_ODDS, STRONG_RANK = 1.30, 4
 
 
-def _yes(c: Column) -> Column:
+def yes(c: Column) -> Column:
+    """A nullable condition as a filter: NULL is no."""
     return F.coalesce(c, F.lit(False))
 
 
 def _reasons(tests: Sequence[tuple[Column | str, Column]]) -> Column:
     """Names or texts of the tests that fail."""
-    marks = [F.when(~_yes(ok), F.lit(text) if isinstance(text, str) else text) for text, ok in tests]
+    marks = [F.when(~yes(ok), F.lit(text) if isinstance(text, str) else text) for text, ok in tests]
     return F.filter(F.array(*marks), lambda x: x.isNotNull())
 
 
 def sample_quality(matches: Column, service: Column, returns: Column, surface: Column, consistent: Column) -> Column:
-    known = matches.isNotNull() & service.isNotNull() & returns.isNotNull() & surface.isNotNull() & _yes(consistent)
+    known = matches.isNotNull() & service.isNotNull() & returns.isNotNull() & surface.isNotNull() & yes(consistent)
     high = (matches >= 50) & (service >= 300) & (returns >= 300) & (surface >= 10)
     medium = (matches >= 10) & (service >= 60) & (returns >= 60)
     return F.when(~known, "LOW").when(high, "HIGH").when(medium, "MEDIUM").otherwise("LOW")
@@ -49,7 +50,7 @@ def flag_candidates(df: DataFrame, buckets: Sequence[str] = ("medium_10_49", "la
 
 def decision_state(is_candidate: Column, blockers: Column) -> Column:
     """CONFERIR_ODDS; OBSERVAR if a trivial probability is the only blocker; DESCARTADO."""
-    return F.when(_yes(is_candidate), "CONFERIR_ODDS").when(blockers == "probabilidade_nao_trivial", "OBSERVAR").otherwise("DESCARTADO")
+    return F.when(yes(is_candidate), "CONFERIR_ODDS").when(blockers == "probabilidade_nao_trivial", "OBSERVAR").otherwise("DESCARTADO")
 
 
 def evaluate_opportunities(df: DataFrame, floors: dict[str, str] | None = None) -> DataFrame:
@@ -60,16 +61,16 @@ def evaluate_opportunities(df: DataFrame, floors: dict[str, str] | None = None)
     """
     floors = floors or MARKET_FLOOR
     c = F.col
-    consistent = ~(_yes(c("cold_start")) | _yes(c("insufficient_history")) | _yes(c("calibrator_insufficient_sample")))
+    consistent = ~(yes(c("cold_start")) | yes(c("insufficient_history")) | yes(c("calibrator_insufficient_sample")))
     quality = sample_quality(c("prior_matches_career"), c("prior_service_points_career"), c("prior_return_points_career"), c("surface_prior_matches"), consistent)
     days = c("data_staleness_days")
     bucket = staleness(days)
-    matched = _yes(c("matched"))
+    matched = yes(c("matched"))
     text = lambda x, other: F.coalesce(x, F.lit(other))
     gates = [
         (F.concat(F.lit("mercado_aprovado: "), text(c("market"), "?")), c("market").isin(*MARKET_FLOOR)),
         (F.concat(F.lit("linha_existe_na_distribuicao: "), text(c("match_reason"), "motivo nao registrado")), matched),
-        (F.concat(F.lit("previsao_nao_restrita: "), text(c("restricted_motivo"), "restricao herdada")), ~_yes(c("restricted"))),
+        (F.concat(F.lit("previsao_nao_restrita: "), text(c("restricted_motivo"), "restricao herdada")), ~yes(c("restricted"))),
         ("identidade_confiavel", matched & c("resolution_method_player").isin(*RELIABLE) & c("resolution_method_opponent").isin(*RELIABLE)),
         ("probabilidade_operacional_valida", matched & (c("operational_probability") > 0) & (c("operational_probability") < 1)),
         ("odd_acima_do_limite_configurado", c("decimal_odds") >= MIN_ODDS),
@@ -93,7 +94,7 @@ def evaluate_opportunities(df: DataFrame, floors: dict[str, str] | None = None)
         F.array(
             F.when(c("model_edge").isNotNull(), F.format_string("edge = %+.1f p.p.", c("model_edge") * 100)).otherwise("edge = N/A"),
             F.concat(F.lit("amostra = "), quality),
-            F.when(_yes(c("method_selected") != "unavailable"), "calibração aprovada").otherwise("calibração indisponível"),
+            F.when(yes(c("method_selected") != "unavailable"), "calibração aprovada").otherwise("calibração indisponível"),
             F.when(c("surface_ctx") != "", F.concat(F.lower("surface_ctx"), F.lit(" court"))),
         ),
         lambda x: x.isNotNull(),
@@ -103,7 +104,7 @@ def evaluate_opportunities(df: DataFrame, floors: dict[str, str] | None = None)
         F.array(
             F.when(capped, F.concat(F.lit("CANDIDATO_FORTE bloqueado por staleness: "), late)),
             F.when((bucket != "ATUAL") & (passed | days.isNotNull()), late),
-            F.when(passed & _yes(c("extreme_probability")), "probabilidade extrema (>=90%)"),
+            F.when(passed & yes(c("extreme_probability")), "probabilidade extrema (>=90%)"),
         ),
         lambda x: x.isNotNull(),
     )
@@ -127,9 +128,9 @@ def sensitivity(df: DataFrame, by: Sequence[str], uniform: str = "ATINGE_EDGE_5"
 def classify_market(wins: Column, folds: Column, gain: Column, strong: Column, covered: Column, flagged: Column, least_gain: float = 0.03) -> Column:
     """PAUSAR, EXPERIMENTAL or CANDIDATO from wins over folds."""
     return (
-        F.when(~_yes(covered), "PAUSAR")
+        F.when(~yes(covered), "PAUSAR")
         .when((wins <= 1) | (gain <= 0), "PAUSAR")
-        .when((wins == folds) & (strong == folds) & (gain >= least_gain) & ~_yes(flagged), "CANDIDATO")
+        .when((wins == folds) & (strong == folds) & (gain >= least_gain) & ~yes(flagged), "CANDIDATO")
         .otherwise("EXPERIMENTAL")
     )
 
@@ -214,7 +215,31 @@ def reading_status(df: DataFrame, upload: str) -> DataFrame:
 
 def screenshot_label(classification: Column, matched: Column) -> Column:
     """PASSOU, OBSERVAR, NAO_PASSOU, or SEM_AVALIACAO where there was no line to compare."""
-    return F.when(~_yes(matched), "SEM_AVALIACAO").when(classification.startswith("CANDIDATO"), "PASSOU").when(classification == "OBSERVAR", "OBSERVAR").otherwise("NAO_PASSOU")
+    return F.when(~yes(matched), "SEM_AVALIACAO").when(classification.startswith("CANDIDATO"), "PASSOU").when(classification == "OBSERVAR", "OBSERVAR").otherwise("NAO_PASSOU")
+
+
+def confirm_readings(raw: DataFrame, edited: DataFrame, upload: str, fields: Sequence[str]) -> DataFrame:
+    """Per upload: CONFIRMED, or BLOCKED by an edited reading with a structural error, and whether
+    the edited readings are ``corrected``, other than the raw ones whatever their order."""
+    listed = lambda df, name: df.groupBy(upload).agg(F.collect_list(F.struct(*fields)).alias(name))
+    bad = edited.groupBy(upload).agg(F.bool_or(structural_error(F.col("warnings"))).alias("bad"))
+    both = listed(edited, "confirmed").join(listed(raw, "raw"), upload, "left").join(bad, upload)
+    from .selection import confirmed_changes
+
+    return both.select(upload, F.when(F.col("bad"), "BLOCKED").otherwise("CONFIRMED").alias("confirmation"), F.when(~F.col("bad"), confirmed_changes(F.coalesce("raw", F.expr("slice(confirmed, 1, 0)")), F.col("confirmed"))).alias("corrected"))
+
+
+def evaluate_confirmed(readings: DataFrame, prices: DataFrame, context: DataFrame, group: Sequence[str], player: str = "player") -> DataFrame:
+    """Confirmed readings against the model's lines: matched, evaluated by all rules, and labelled.
+
+    ``prices`` are priced lines and ``context`` the columns the rules need of each match.
+    """
+    from .joins import enrich, match_lines
+
+    matched = match_lines(readings, prices, group, name=player)
+    rows = enrich(matched, [(context, ["matched_id"], "")])
+    out = evaluate_opportunities(rows)
+    return out.withColumn("label", screenshot_label(F.col("classification"), F.col("matched")))
 
 
 def http_status(code: Column) -> Column:
@@ -223,6 +248,6 @@ def http_status(code: Column) -> Column:
 
 def schema_adequacy(header: Column, required: Sequence[str]) -> Column:
     """Struct missing, adequate of a comma-joined header line."""
-    have = F.transform(F.split(F.coalesce(header, F.lit("")), ","), F.trim)
+    have = F.transform(F.split(F.coalesce(header, F.lit("")), ","), lambda x: F.trim(x))
     missing = F.array_except(F.array(*[F.lit(r) for r in required]), have)
     return F.struct(missing.alias("missing"), F.when(header.isNull(), "unavailable").when(F.size(missing) == 0, "adequate").otherwise("inadequate_schema").alias("status"))

@@ -2,11 +2,31 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
+_LOCAL: list[str] = []
+
 
 def get_session(app: str = "priorflow", **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true")
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()
+
+
+def work_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder of ``spark.checkpoint.dir``; in tests, without one, in a local folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        if not _LOCAL:
+            _LOCAL.append(tempfile.mkdtemp(prefix="priorflow-work-"))
+            atexit.register(shutil.rmtree, _LOCAL[0], True)
+        base = "file://" + _LOCAL[0]
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

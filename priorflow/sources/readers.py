@@ -17,9 +17,29 @@ def union_csv(spark: SparkSession, paths: Sequence[str], schema: T.StructType) -
 
 
 def text_csv(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
-    """All columns as text, with the row's number in reading order per file."""
+    """All columns as text, with the row's place in its file, ``row_seq``.
+
+    Files are split for reading, and places grow in reading order without being gapless, so
+    nothing is gathered to count them.
+    """
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    return spark.read.schema(schema).option("enforceSchema", "false").csv(path, header=True)
+    return spark.read.schema(schema).option("enforceSchema", "false").csv(path, header=True).withColumn("row_seq", F.monotonically_increasing_id())
+
+
+def metric_rows(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A report's rows by a declared schema; texts trimmed, blank ones NULL."""
+    df = spark.read.schema(schema).csv(path, header=True)
+    return df.select(*[F.nullif(F.trim(F.col(f.name)), F.lit("")).alias(f.name) if isinstance(f.dataType, T.StringType) else F.col(f.name) for f in schema])
+
+
+def history(spark: SparkSession, path: str, override: str | None = None) -> DataFrame:
+    """A stage's table, or the one that takes its place."""
+    return spark.read.parquet(override or path)
+
+
+def fold_rows(spark: SparkSession, path: str, tour: str, folds: Sequence[str]) -> DataFrame:
+    """Predictions of some folds: only their partitions are read."""
+    return spark.read.parquet(path).filter((F.col("tour") == tour) & F.col("fold").isin(*folds))
 
 
 def validated(df: DataFrame, required: Sequence[str], domains: dict[str, Sequence[str]] | None = None, not_blank: Sequence[str] = ()) -> DataFrame:
@@ -53,15 +73,22 @@ def player_dimension(raw: DataFrame, group: str, ident: str = "player_id", first
     return raw.select(canonical_id(F.lit(group), F.col(ident)).alias("player_id"), F.trim(F.concat_ws(" ", first, last)).alias("player_name"), parse_day(F.col(born)).alias("dob"), *[c for c in raw.columns if c not in (ident, first, last, born)])
 
 
-def rankings(parts: Sequence[DataFrame], date: str = "ranking_date", rank: str = "rank") -> DataFrame:
-    out = schema_evolution_union(parts).withColumn(date, parse_day(F.col(date)))
-    return out.orderBy(F.col(date).asc_nulls_last(), F.col(rank).asc_nulls_last())
+def duplicate_ids(df: DataFrame, ident: str) -> DataFrame:
+    """One row: ids that more than one row has, and how many rows those are."""
+    often = df.groupBy(ident).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return often.agg(F.count(F.lit(1)).alias("n_ids"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"))
+
+
+def rankings(parts: Sequence[DataFrame], date: str = "ranking_date") -> DataFrame:
+    """Rankings of all parts; readers order by date and rank in their windows."""
+    return schema_evolution_union(parts).withColumn(date, parse_day(F.col(date)))
 
 
 def newest_file(spark: SparkSession, folder: str, pattern: str) -> str | None:
-    """The last of a folder's files by name, through Spark's own listing."""
-    names = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path")
-    return names.agg(F.max("path")).first()[0]
+    """The last by name of a folder's files or tables; only names are listed."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{pattern}")
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where)
+    return max((f.getPath().toString() for f in found or []), default=None)
 
 
 def inspect_text(df: DataFrame, line: str = "value", source: str = "source", number: str = "line_no") -> DataFrame:
@@ -77,6 +104,11 @@ def json_records(spark: SparkSession, path: str, schema: T.StructType) -> DataFr
     return spark.read.schema(schema).json(path, multiLine=True)
 
 
+def calendar_files(spark: SparkSession, path: str, columns: Sequence[str], domains: dict[str, Sequence[str]], not_blank: Sequence[str], display: str) -> DataFrame:
+    """All calendar files of a path: validated text rows with UTC and display times."""
+    return calendar(validated(text_csv(spark, path, columns), columns, domains, not_blank), display)
+
+
 def calendar(df: DataFrame, display: str, local: str = "event_datetime_original", zone: str = "event_timezone") -> DataFrame:
     """UTC and display times of local ones."""
     both = to_zone(F.col(local).try_cast("timestamp_ntz").cast("timestamp"), F.col(zone), display)
@@ -96,7 +128,7 @@ def script_rows(html: Column, name: str) -> Column:
 
 def quoted_fields(row: Column) -> Column:
     """Fields of a comma-separated row, quotes removed."""
-    return F.transform(F.regexp_extract_all(row, F.lit(r"""("[^"]*"|'[^']*'|[^,]+)"""), F.lit(1)), lambda x: F.regexp_replace(F.trim(x), r"""^["']|["']$""", ""))
+    return F.transform(F.regexp_extract_all(row, F.lit(r"""\s*("[^"]*"|'[^']*'|[^,]+)"""), F.lit(1)), lambda x: F.regexp_replace(F.trim(x), r"""^["']|["']$""", ""))
 
 
 def normal_lines(text: Column) -> Column:

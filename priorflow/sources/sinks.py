@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import work_path
+
 
 def overwrite(df: DataFrame, path: str, by: Sequence[str] = ()) -> None:
     df.write.mode("overwrite").partitionBy(*by).parquet(path) if by else df.write.mode("overwrite").parquet(path)
@@ -37,6 +39,32 @@ def content_addressed(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     return incoming.join(old, "path", "left").select("path", "sha256", action.alias("action"))
 
 
+def save_beside(df: DataFrame, path: str, originals: Sequence[str]) -> None:
+    """Write a combined table to a folder of its own; one that holds an original, or lies in one, is an error."""
+    inside = lambda a, b: a.rstrip("/") == b.rstrip("/") or a.startswith(b.rstrip("/") + "/")
+    if any(inside(path, o) or inside(o, path) for o in originals):
+        raise ValueError(f"{path} would overwrite an original")
+    df.write.mode("errorifexists").parquet(path)
+
+
+def store_contents(spark: SparkSession, incoming: DataFrame, folder: str, stamp: str) -> DataFrame:
+    """Append what is new of ``incoming`` (path, content) to a store that is never overwritten.
+
+    Equal content is skipped; other content of a path that is there is kept beside it, as
+    ``path.conflict-stamp``. Returns what was done: (path, sha256, action, stored_as).
+    """
+    from ..streaming.ledgers import read_or_empty
+
+    hashed = incoming.select("path", "content", F.sha2("content", 256).alias("sha256"))
+    stored = read_or_empty(spark, folder, hashed.withColumn("stored_as", F.col("path")).schema)
+    plan = content_addressed(hashed, stored.filter("path = stored_as")).withColumn("stored_as", F.when(F.col("action") == "conflict", F.concat("path", F.lit(f".conflict-{stamp}"))).when(F.col("action") == "store", F.col("path")))
+    done = work_path(spark, "store-plan")
+    plan.write.parquet(done)
+    plan = spark.read.schema(plan.schema).parquet(done)
+    hashed.join(plan.filter("stored_as IS NOT NULL").select("path", "stored_as"), "path").write.mode("append").parquet(folder)
+    return plan
+
+
 def markdown_table(df: DataFrame, order: Sequence[str], limit: int = 1000) -> str:
     """A small report as Markdown; at most ``limit`` rows, as people read it."""
     rows = df.orderBy(*order).limit(limit).collect()

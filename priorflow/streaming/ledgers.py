@@ -74,6 +74,32 @@ def register(existing: DataFrame, incoming: DataFrame, ident: str, frozen: dict[
     return rows.select(*incoming.columns, status.alias("status"), differing.alias("differing"))
 
 
+#: How a match may have ended (fixed values).
+MATCH_STATUS = ("completed", "retirement", "walkover")
+
+
+def record_results(existing: DataFrame, incoming: DataFrame, key: str, parts: dict[str, tuple[str, str]], fields: Sequence[str], order: Sequence[str], status: str = "match_status") -> DataFrame:
+    """Results as added, skipped or rejected; an unknown status is rejected before anything else.
+
+    ``parts`` names totals and the two columns they add up from, where they aren't given.
+    """
+    total = lambda name, a, b: F.coalesce(F.col(name), F.col(a) + F.col(b)).alias(name)
+    full = incoming.select(*[c for c in incoming.columns if c not in parts], *[total(n, a, b) for n, (a, b) in parts.items()])
+    known = F.coalesce(F.col(status).isin(*MATCH_STATUS), F.lit(False))
+    kinds = {f: "text" if full.schema[f].dataType == T.StringType() else "number" for f in fields}
+    good = register(existing, full.filter(known), key, kinds, order)
+    bad = full.filter(~known).select("*", F.lit("rejected").alias("status"), F.array(F.lit(status)).alias("differing"))
+    return good.unionByName(bad)
+
+
+def run_day(predictions: DataFrame, results: DataFrame, log: DataFrame, outcome: Callable[[], Column], key: Sequence[str], settled_at: Column, by: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """One day's work over DataFrames: the settlement events to append to the log, and the
+    dashboard as it is after them."""
+    events = settlement_events(predictions, results, log, outcome, key, settled_at)
+    state = log.select("prediction_id", "settlement", "settled_at").unionByName(events.filter("event != 'rejected'").select("prediction_id", "settlement", "settled_at"))
+    return events, dashboard(predictions, latest(state, ["prediction_id"], ["settled_at"]), by)
+
+
 def settlement_events(predictions: DataFrame, results: DataFrame, log: DataFrame, outcome: Callable[[], Column], key: Sequence[str], settled_at: Column) -> DataFrame:
     """What settling writes now: prediction_id, settlement, event (settled, changed or rejected).
 
