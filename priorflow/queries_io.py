@@ -136,7 +136,7 @@ def line_sections(spark, sf):
     return table(spark, sf, "events").select("event_id", F.explode(pair).alias("p")).select("event_id", "p.*")
 
 
-@query("""SELECT event_id, 'aces' AS market, (event_id % 9)::VARCHAR || '+' AS bookmaker_display, 1.5 + event_id % 3 AS decimal_odds FROM events WHERE event_id % 4 > 0""")
+@query("""SELECT event_id, 'aces' AS market, (event_id % 9)::VARCHAR || '+' AS bookmaker_display, (1.5 + event_id % 3)::DOUBLE AS decimal_odds FROM events WHERE event_id % 4 > 0""")
 def model_answers(spark, sf):
     """Readings in a model's fenced JSON answer; incomplete ones and other markets are left out."""
     k = F.col("event_id")

@@ -295,7 +295,7 @@ def selected_methods(spark, sf):
 @query("""
 WITH e AS (SELECT event_id, event_id % 11 = 0 AS bad_player, event_id % 2 = 0 AS has_over, event_id % 3 = 0 AS has_under FROM events),
 s AS (SELECT event_id, bad_player, has_over OR has_under AS priced, CASE WHEN has_over THEN 1.9 END AS o, CASE WHEN has_under THEN CASE WHEN event_id % 5 = 0 THEN 1.0 ELSE 2.1 END END AS u FROM e)
-SELECT event_id, array_to_string(list_filter([CASE WHEN bad_player THEN 'player' END, CASE WHEN NOT priced THEN 'side' END, CASE WHEN u <= 1 THEN 'under_odds' END], lambda x: x IS NOT NULL), ',') AS errors, side, odds AS decimal_odds
+SELECT event_id, array_to_string(list_filter([CASE WHEN bad_player THEN 'player' END, CASE WHEN NOT priced THEN 'side' END, CASE WHEN u <= 1 THEN 'under_odds' END], lambda x: x IS NOT NULL), ',') AS errors, side, odds::DOUBLE AS decimal_odds
 FROM (SELECT *, unnest(['over', 'under']) AS side, unnest([o, u]) AS odds FROM s) WHERE odds IS NOT NULL""")
 def price_entries(spark, sf):
     """What is wrong with each observed price, and a row per priced side."""
@@ -320,7 +320,7 @@ def _readings(spark, sf):
 @query(f"""
 WITH a AS (SELECT u, pos, CASE WHEN NOT bad AND n > 0 THEN n - 0.5 END AS line, cheap, CASE WHEN cheap THEN 1.0 ELSE 2.0 END AS odds FROM {_READ}),
 w AS (SELECT *, lag(line) OVER (PARTITION BY u ORDER BY pos) AS pl, lag(odds) OVER (PARTITION BY u ORDER BY pos) AS po, count(*) OVER (PARTITION BY u, line) AS same FROM a)
-SELECT u, pos, line AS model_line, array_to_string(list_filter([CASE WHEN line IS NULL THEN 'format' END, CASE WHEN cheap THEN 'odds' END, CASE WHEN same > 1 THEN 'duplicate' END, CASE WHEN line <= pl THEN 'line_order' END, CASE WHEN line > pl AND odds < po THEN 'odds_order' END], lambda x: x IS NOT NULL), ',') AS warnings FROM w""")
+SELECT u, pos, line::DOUBLE AS model_line, array_to_string(list_filter([CASE WHEN line IS NULL THEN 'format' END, CASE WHEN cheap THEN 'odds' END, CASE WHEN same > 1 THEN 'duplicate' END, CASE WHEN line <= pl THEN 'line_order' END, CASE WHEN line > pl AND odds < po THEN 'odds_order' END], lambda x: x IS NOT NULL), ',') AS warnings FROM w""")
 def checked_readings(spark, sf):
     """Readings of an upload with all their warnings; none is dropped."""
     out = rules.validate_readings(_readings(spark, sf), "u", "pos", "market", "player", "display", "odds", ["p"])
