@@ -42,6 +42,8 @@ _SIZE, _DEPTH, _BLOCK = 1 << 19, 2, 1 << 13
 _SHARES = (2.0**-10, 2.0**-8, 2.0**-6, 2.0**-4)
 _TABLE = 14  # bits of a row of random triples
 _TF_LEVELS = 24
+#: Nodes from which on a bucket of shingles is large.
+_LARGE = 64
 
 
 def _combine(columns: list[np.ndarray]) -> np.ndarray:
@@ -336,18 +338,22 @@ def _links(members: DataFrame, sets: DataFrame, threshold: float) -> tuple[DataF
     sizes = parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     # a hash deals the nodes of a bucket to turns of about 3, 12, 48, ... heads
     place = F.pmod(F.xxhash64("node", "bucket"), F.lit(1 << 30)) / float(1 << 30) * F.col("size")
-    dealt = parts.join(sizes, "bucket").withColumn("turn", F.floor(F.log2(place + 1) / 2).cast("int"))
+    dealt = scratch.keep(parts.join(sizes, "bucket").withColumn("turn", F.floor(F.log2(place + 1) / 2).cast("int")), "dealt")
+    # two nodes that share several large buckets only meet in the least of them
+    large = dealt.filter(F.col("size") >= _LARGE).groupBy("node").agg(F.collect_list("bucket").alias("large"))
+    lesser = F.when(F.col("size") >= _LARGE, F.filter("large", lambda b: b < F.col("bucket"))).otherwise(F.array().cast("array<long>"))
+    dealt = dealt.join(large, "node", "left").withColumn("lesser", lesser).drop("large")
     # no overlap is beyond what either set shares with any other
     may_reach = (1 + threshold) * F.least("common", "head_common") >= threshold * (F.col("total") + F.col("head_total")) - 1e-3
     live, turn = scratch.keep(_rooted(dealt, labels), "live"), 0
     while not live.isEmpty():
         salts = F.ceil(F.col("size") / 1000)
         ahead = live.filter(F.col("turn") == turn).select(
-            "bucket", F.col("node").alias("head"), F.col("root").alias("head_root"), F.col("total").alias("head_total"), F.col("common").alias("head_common"), F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt")
+            "bucket", F.col("node").alias("head"), F.col("root").alias("head_root"), F.col("total").alias("head_total"), F.col("common").alias("head_common"), F.col("lesser").alias("head_lesser"), F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt")
         )
         pairs = (
             live.filter(F.col("turn") >= turn).withColumn("salt", F.pmod(F.xxhash64("node"), salts)).join(ahead, ["bucket", "salt"])
-            .filter((F.col("root") != F.col("head_root")) & may_reach)
+            .filter((F.col("root") != F.col("head_root")) & may_reach & ~F.arrays_overlap("lesser", "head_lesser"))
             .select(F.greatest("node", "head").alias("a"), F.least("node", "head").alias("b"))
             .distinct()
         )
