@@ -353,7 +353,7 @@ def _links(members: DataFrame, sets: DataFrame, threshold: float) -> tuple[DataF
         )
         pairs = (
             live.filter(F.col("turn") >= turn).withColumn("salt", F.pmod(F.xxhash64("node"), salts)).join(ahead, ["bucket", "salt"])
-            .filter((F.col("root") != F.col("head_root")) & may_reach & ~F.arrays_overlap("lesser", "head_lesser"))
+            .filter((F.col("root") != F.col("head_root")) & may_reach & ~F.arrays_overlap("lesser", "head_lesser") & ((F.col("turn") > turn) | (F.col("node") > F.col("head"))))
             .select(F.greatest("node", "head").alias("a"), F.least("node", "head").alias("b"))
             .distinct()
         )
