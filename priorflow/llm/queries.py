@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import decontam, lang_crf, license_scan, line_dedup, near_dup, packing, resample, scratch, sharding, token_files, vamana
+from . import decontam, filter_audit, lang_crf, license_scan, line_dedup, near_dup, packing, resample, scratch, sharding, token_files, vamana
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -85,6 +85,11 @@ def op10_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return filter_audit.all_orders(filter_audit.failed_filters(docs, _table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_vamana_neighbours": op1_vamana_neighbours,
     "op2_license_scan": op2_license_scan,
@@ -96,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_line_dedup": op9_line_dedup,
     "op10_language_crf": op10_language_crf,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 _WORDS = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -145,4 +151,35 @@ SELECT d.doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE gone)::BIGI
 FROM kept JOIN d USING (rid) GROUP BY d.rid, d.doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op8_decontamination": OP8_SQL, "op9_line_dedup": OP9_SQL}
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+l AS (SELECT doc_id, bool_or(quality = 1) AS g, bool_or(toxic = 1) AS x FROM labels GROUP BY doc_id),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, min(doc_id) OVER (PARTITION BY t) AS least FROM d),
+m AS (
+  SELECT part, coalesce(g, false) AS good, coalesce(x, false) AS toxic,
+         [len(ws) < 50, 100 * len(list_distinct(ws)) < 65 * len(ws), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t), regexp_matches(t, '[#$%&*|]'), coalesce(w.doc_id > least, false)] AS f
+  FROM w LEFT JOIN l ON w.doc_id = l.doc_id
+),
+c AS (SELECT part, good, toxic, f, count(*) AS n FROM m GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS a),
+orders AS (
+  SELECT [a.a, b.a, c.a, d.a, e.a] AS o FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.a, b.a, c.a, d.a, e.a])) = 5
+),
+steps AS (SELECT array_to_string(o, '') AS filter_order, s::INT AS step, o[s] AS letter, o[: s - 1] AS before FROM orders, range(1, 6) AS r(s)),
+r AS (
+  SELECT part, filter_order, step, letter, n, good, toxic,
+         f[instr('ABCDE', letter)] AS fails, len(list_filter(before, lambda x: f[instr('ABCDE', x)])) > 0 AS gone, len(list_filter(f, lambda x: x)) AS k
+  FROM c, steps
+),
+g AS (
+  SELECT part, filter_order, step, letter, coalesce(sum(n) FILTER (WHERE NOT fails AND NOT gone), 0)::BIGINT AS kept,
+         coalesce(sum(n) FILTER (WHERE fails AND NOT gone), 0)::BIGINT AS removed, coalesce(sum(n) FILTER (WHERE fails AND gone), 0)::BIGINT AS redundant,
+         coalesce(sum(n) FILTER (WHERE fails AND k = 1), 0)::BIGINT AS unique_fails,
+         coalesce(sum(n) FILTER (WHERE fails AND NOT gone AND good), 0)::BIGINT AS good_lost, coalesce(sum(n) FILTER (WHERE fails AND NOT gone AND toxic), 0)::BIGINT AS toxic_lost
+  FROM r GROUP BY ALL
+)
+SELECT * EXCLUDE (letter), (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley FROM g
+"""
+
+ORACLE_SQL: dict[str, str] = {"op8_decontamination": OP8_SQL, "op9_line_dedup": OP9_SQL, "op13_filter_audit": OP13_SQL}
