@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import decontam, filter_audit, lang_crf, license_scan, line_dedup, near_dup, packing, resample, scratch, sharding, token_files, vamana
+from . import chat_format, decontam, divergence, filter_audit, lang_crf, license_scan, line_dedup, near_dup, packing, resample, scratch, sharding, token_files, vamana
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -85,6 +85,25 @@ def op10_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(_table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation, formatted and read back."""
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    same = "</s>[INST] ok [/INST]"
+    more = spark.range(2).select(F.lit(-7).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(same).alias("text"))
+    made = chat_format.format_chains(rows.unionByName(more))
+    template = chat_format.CHATML
+    turns = F.transform(template.pieces(F.col("formatted")), template.read)
+    read = made.select(F.col("tree").alias("conv_id"), turns.alias("read"), "formatted", template.learnt(F.col("formatted"), F.col("turns")).alias("learnt"))
+    return read.select(
+        "conv_id", F.size("read").cast("long").alias("n_turns"), F.sha2(F.array_join(F.transform("read", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),
+        F.char_length("learnt").cast("long").alias("loss_chars"), F.sha2("learnt", 256).alias("loss_sha256"), F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return filter_audit.all_orders(filter_audit.failed_filters(docs, _table(spark, sf_dir, "labels")))
@@ -101,6 +120,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_line_dedup": op9_line_dedup,
     "op10_language_crf": op10_language_crf,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_chat_format": op12_chat_format,
     "op13_filter_audit": op13_filter_audit,
 }
 
@@ -151,6 +172,46 @@ SELECT d.doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE gone)::BIGI
 FROM kept JOIN d USING (rid) GROUP BY d.rid, d.doc_id
 """
 
+OP11_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS t FROM documents),
+o AS (SELECT rid, lang, source, unnest(regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term FROM o GROUP BY ALL HAVING count(DISTINCT rid) >= 3),
+g AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT g.lang, count(term) AS v FROM (SELECT DISTINCT lang FROM g) g LEFT JOIN kept USING (lang) GROUP BY ALL),
+n AS (SELECT lang, source, term, count(*) AS n FROM o SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+cell AS (SELECT g.lang, source, term, coalesce(n, 0) AS n FROM g JOIN kept USING (lang) LEFT JOIN n USING (lang, source, term)),
+p AS (SELECT lang, source, term, n, 1 + (1000000000::HUGEINT * (n + 1)) // (sum(n) OVER (PARTITION BY lang, source) + v) AS p FROM cell JOIN v USING (lang)),
+q AS (
+  SELECT lang, term, 1 + (1000000000::HUGEINT * (n + 1)) // (sum(n) OVER (PARTITION BY lang) + v) AS q
+  FROM (SELECT lang, term, sum(n) AS n FROM cell GROUP BY ALL) JOIN v USING (lang)
+),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(sum((x.p - y.p) * (x.p - y.p) // y.p), 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN p x ON x.lang = a.lang AND x.source = a.source LEFT JOIN p y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term
+  GROUP BY ALL
+),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q) // q)::BIGINT AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)
+SELECT * FROM (SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank FROM (FROM pairs UNION ALL FROM terms))
+WHERE part = 'pair' OR rank <= 200
+"""
+
+OP12_SQL = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, t, CASE t WHEN 0 THEN 'user' ELSE 'assistant' END, '</s>[INST] ok [/INST]' FROM range(2) AS r(t)
+),
+e AS (
+  SELECT *, regexp_replace(replace(replace(role, '%', '%25'), chr(10), '%0A'), p, '\1\2\\\3', 'g') AS er, regexp_replace(text, p, '\1\2\\\3', 'g') AS et
+  FROM rows, (SELECT '([<\[])(\\*)(\|im_start\|>|\|im_end\|>|\|endoftext\|>|s>|/s>|INST\]|/INST\]|<SYS>>|</SYS>>)' AS p)
+)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(length('<|im_start|>') + length(er) + 1 + length(et) + length('<|im_end|>') + 1)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
 OP13_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
 l AS (SELECT doc_id, bool_or(quality = 1) AS g, bool_or(toxic = 1) AS x FROM labels GROUP BY doc_id),
@@ -182,4 +243,4 @@ g AS (
 SELECT * EXCLUDE (letter), (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley FROM g
 """
 
-ORACLE_SQL: dict[str, str] = {"op8_decontamination": OP8_SQL, "op9_line_dedup": OP9_SQL, "op13_filter_audit": OP13_SQL}
+ORACLE_SQL: dict[str, str] = {"op8_decontamination": OP8_SQL, "op9_line_dedup": OP9_SQL, "op11_source_divergence": OP11_SQL, "op12_chat_format": OP12_SQL, "op13_filter_audit": OP13_SQL}
