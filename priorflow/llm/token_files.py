@@ -49,7 +49,7 @@ def write_files(
         total = 0
         for table in bytewords.gathered(batches, 1, 4 << 20):
             for i, rows in bytewords.slices(table.column(1), 4 << 20):
-                for doc, coded in zip(table.column(0).slice(i, len(rows)).to_pylist(), shared(tokenizer_path).encode(rows.to_pylist())):
+                for doc, coded in zip(table.column(0).slice(i, len(rows)).to_pylist(), shared(tokenizer_path).encode(rows.to_pylist()), strict=True):
                     ids.append(doc)
                     kept.append(coded + end)
                     sizes.append(len(kept[-1]) // 4)

@@ -49,12 +49,11 @@ def _blanks() -> frozenset[str]:
 
 @lru_cache(maxsize=1)
 def _kinds() -> np.ndarray:
-    """Class of each character below U+2200; the last entry is that of the end mark."""
+    """Class of each character below U+2200, and one entry for all others."""
     every = "".join(map(chr, range(0x2200)))
     kinds = np.full(0x2201, _OTHER, np.uint8)
     for kind, category in ((_LETTER, r"\p{L}"), (_NUMBER, r"\p{N}"), (_BLANK, r"\s")):
         kinds[[m.start() for m in regex.finditer(category, every)]] = kind
-    kinds[0x2200] = _STOP
     return kinds
 
 
@@ -68,6 +67,7 @@ def cut(texts: list[str], spaced: bool) -> tuple[pa.StringArray, np.ndarray]:
     joined = _END.join([*texts, ""])
     chars = np.frombuffer(joined.encode("utf-32-le"), "<u4")
     kind = _kinds().take(np.minimum(chars, 0x2200))
+    kind[chars == ord(_END)] = _STOP
     edge = np.ones(len(chars) + 1, bool)
     np.not_equal(kind[1:], kind[:-1], out=edge[1:-1])
     edge[:-1] |= kind == _STOP
@@ -145,13 +145,15 @@ class Encoder:
         texts = [t or "" for t in texts]
         if not self._known:
             return [np.array(e.ids, "<u4").tobytes() for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        odd = [i for i, t in enumerate(texts) if not t.isascii() and _UNSETTLED.search(t)]
-        if odd:
-            whole = dict(zip(odd, (np.array(e.ids, "<u4").tobytes() for e in self._tokenizer.encode_batch_fast([texts[i] for i in odd], add_special_tokens=False))))
-            rest = iter(self.encode([t for i, t in enumerate(texts) if i not in whole]))
-            return [whole[i] if i in whole else next(rest) for i in range(len(texts))]
-        if self._normal is not None:
-            texts = [_fold(t, self._normal) for t in texts]
+        # folding may lead out of the settled characters, so what it gives is looked at, too
+        odd = {i for i, t in enumerate(texts) if not t.isascii() and _UNSETTLED.search(t)}
+        folded = texts if self._normal is None else [t if i in odd else _fold(t, self._normal) for i, t in enumerate(texts)]
+        odd |= {i for i, t in enumerate(folded) if i not in odd and not t.isascii() and _UNSETTLED.search(t)}
+        found = iter(self._in_chunks([t for i, t in enumerate(folded) if i not in odd]))
+        library = iter(self._tokenizer.encode_batch_fast([texts[i] for i in sorted(odd)], add_special_tokens=False) if odd else ())
+        return [np.array(next(library).ids, "<u4").tobytes() if i in odd else next(found) for i in range(len(texts))]
+
+    def _in_chunks(self, texts: list[str]) -> list[bytes]:
         out, some, size = [], [], 0
         for text in texts:
             some.append(text)
@@ -163,6 +165,8 @@ class Encoder:
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         pieces, stops = cut(texts, self._normal is None)
+        if np.count_nonzero(stops) != len(texts):
+            raise ValueError("texts were not told apart")
         coded = pieces.dictionary_encode()
         distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         number = np.fromiter(map(self._memory.get, distinct, repeat(-1)), np.int64, len(distinct))

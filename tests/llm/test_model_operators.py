@@ -239,6 +239,25 @@ def test_memory_equals_library(path, texts):
     assert encoder.encode(texts) == want and encoder.encode(texts) == want
 
 
+@pytest.mark.parametrize("path", [BYTE_BPE, WORD_BPE])
+def test_every_settled_character(path):
+    """Each alone, and between other texts; case mappings that leave the settled ones (U+023A) included."""
+    every = [chr(c) for a, b in ((0, 0x530), (0x2000, 0x2070), (0x20A0, 0x20C0), (0x2190, 0x2200)) for c in range(a, b)]
+    texts = [t for c in every for t in (c, f"a{c}b 1{c}{c} '{c}s", "next text")] + ["\ue000", "a\ue000b", "Ⱥ Ⱦ", "ꙮ"]
+    plain = tokens.load(path)
+    want = [np.array(e.ids, "<u4").tobytes() for e in plain.encode_batch_fast(texts, add_special_tokens=False)]
+    got = tokens.Encoder(path).encode(texts)
+    assert len(got) == len(want) and [t for t, a, b in zip(texts, got, want) if a != b] == []
+
+
+def test_token_files_case_mappings(spark, tmp_path):
+    rows = [(1, "first"), (2, "aȾb"), (3, "third Ⱥ"), (4, "İstanbul ΑΣ"), (5, "fifth")]
+    token_files.write_files(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), str(tmp_path / "ids"), WORD_BPE, 2)
+    plain = tokens.load(WORD_BPE)
+    got = {r.id: r.tokens for r in token_files.read_files(spark, str(tmp_path / "ids")).collect()}
+    assert got == {i: plain.encode(t, add_special_tokens=False).ids + [2] for i, t in rows}
+
+
 def test_token_files(spark, tmp_path):
     odd, path = odd_docs(spark), str(tmp_path / "ids")
     token_files.write_files(odd, path, WORD_BPE, 2, file_ids=5000)
