@@ -8,14 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import distributions as dist
 from ..functions.numeric import EDGE_LEVELS, fair_odds, minimum_odds, nan_mean, safe_ratio
 from ..functions.scores import parse_score
 from ..functions.text import canonical_id, parse_day
-from ..operators.joins import mirror, opponent_join
+from ..operators.joins import mirror, opponent_pair
 from ..operators.windows import DEFAULT_WINDOWS, Prior, Timeline
 
 #: Statistics of a side in the raw table: suffix and name (fixed values).
@@ -76,6 +76,26 @@ def player_matches(raw: DataFrame, tour: str) -> DataFrame:
     return mirror(clean, shared, sides).drop("side")
 
 
+def write_player_matches(raw: DataFrame, tour: str, path: str) -> dict[str, int]:
+    """Write :func:`player_matches` to ``path`` and return its diagnostics.
+
+    What is counted is counted by the job that writes: matches read, left out for a missing id,
+    rows and missing values of every statistic. Match ids that repeat are counted from the one
+    column of the table written.
+    """
+    taken, made = Observation("matches"), Observation("rows")
+    missing = F.col("winner_id").isNull() | F.col("loser_id").isNull()
+    seen = raw.observe(taken, F.count(F.lit(1)).alias("n_raw_matches"), F.count_if(missing).alias("n_matches_missing_player_id"))
+    rows = player_matches(seen, tour)
+    counted = rows.observe(made, F.count(F.lit(1)).alias("n_player_match_rows"), *[F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in STATS.values()])
+    counted.write.mode("errorifexists").parquet(path)
+    out = taken.get | made.get
+    used = out["n_raw_matches"] - out["n_matches_missing_player_id"]
+    ids = raw.sparkSession.read.parquet(path).groupBy("match_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 2")
+    repeated = ids.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // 2
+    return out | {"n_matches_used": used, "expected_rows": 2 * used, "rows_match_expected": int(out["n_player_match_rows"] == 2 * used), "n_duplicate_match_ids": repeated}
+
+
 def derived(df: DataFrame) -> DataFrame:
     """Counts that follow from others; NULL where a part is."""
     c = F.col
@@ -110,7 +130,7 @@ def profile(df: DataFrame, windows: Sequence[Prior] = tuple(DEFAULT_WINDOWS)) ->
 def matchup(df: DataFrame) -> DataFrame:
     """Opponents' rates, differences, and adjustment by the strength of opponents faced."""
     own = [f"player_{k}_{m}_{w}" for w in HEADLINE for k, ms in (("serve", SERVE), ("return", RETURN)) for m in ms]
-    renamed = opponent_join(df, ["match_id"], "player_id", "opponent_id", own, prefix="_o_")
+    renamed = opponent_pair(df, ["match_id"], "player_id", "opponent_id", "result", own, prefix="_o_")
     out = renamed.select(*df.columns, *[F.col(f"_o_{c}").alias(c.replace("player_", "opponent_", 1)) for c in own])
     c = F.col
     diffs = []
@@ -144,28 +164,51 @@ def with_targets(df: DataFrame) -> DataFrame:
     return out
 
 
-def rate_predictions(df: DataFrame, windows: Sequence[str]) -> DataFrame:
-    """Predicted aces and double faults: rates times service points per match, by variant."""
-    c = F.col
+def _service(window: str):
+    return safe_ratio(F.col(f"prior_service_points_{window}"), F.col(f"prior_matches_{window}"))
+
+
+def isolated_predictions(df: DataFrame, windows: Sequence[str]) -> DataFrame:
+    """Predicted aces and double faults of a side alone: rates times service points per match."""
     made = []
     for w in windows:
-        service = safe_ratio(c(f"prior_service_points_{w}"), c(f"prior_matches_{w}"))
-        iso = c(f"player_serve_ace_rate_{w}")
-        made += [(iso * service).alias(f"pred_aces_isolated_{w}"), (c(f"player_serve_double_fault_rate_{w}") * service).alias(f"pred_double_faults_isolated_{w}")]
-        if w in HEADLINE:
-            both = nan_mean(iso, c(f"opponent_return_ace_allowed_rate_{w}")) * service
-            made.append(both.alias(f"pred_aces_matchup_{w}"))
-            if w in ADJUSTED:
-                made.append((both + c(f"opponent_adjusted_ace_rate_{w}") * service).alias(f"pred_aces_oppadj_{w}"))
+        made += [(F.col(f"player_serve_{rate}_{w}") * _service(w)).alias(f"pred_{name}_isolated_{w}") for name, rate in (("aces", "ace_rate"), ("double_faults", "double_fault_rate"))]
     return df.select("*", *made)
 
 
+def adjusted_predictions(df: DataFrame, windows: Sequence[str]) -> DataFrame:
+    """Predicted aces with what the opponent allows, and with the strength of those faced before."""
+    made = []
+    for w in [w for w in windows if w in HEADLINE]:
+        both = nan_mean(F.col(f"player_serve_ace_rate_{w}"), F.col(f"opponent_return_ace_allowed_rate_{w}")) * _service(w)
+        made.append(both.alias(f"pred_aces_matchup_{w}"))
+        if w in ADJUSTED:
+            made.append((both + F.col(f"opponent_adjusted_ace_rate_{w}") * _service(w)).alias(f"pred_aces_oppadj_{w}"))
+    return df.select("*", *made)
+
+
+def rate_predictions(df: DataFrame, windows: Sequence[str]) -> DataFrame:
+    """All variants of predictions from rates."""
+    return adjusted_predictions(isolated_predictions(df, windows), windows)
+
+
 def total_predictions(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Both sides' predictions added; NULL if either is missing."""
-    out = opponent_join(df, ["match_id"], "player_id", "opponent_id", columns, prefix="_o_")
+    out = opponent_pair(df, ["match_id"], "player_id", "opponent_id", "result", columns, prefix="_o_")
     return out.select(*df.columns, *[(F.col(x) + F.col(f"_o_{x}")).alias(f"total_{x}") for x in columns])
 
 
+def chain(facts: DataFrame, windows: Sequence[str] = ADJUSTED) -> DataFrame:
+    """From player matches to features, predictions and targets.
+
+    Three shuffles: by player for all windows, by match for opponents and totals, and by player
+    again, as averages over opponents faced need what those had before their matches.
+    """
+    base = isolated_predictions(profile(derived(facts)), windows)
+    base = total_predictions(base, [f"pred_aces_isolated_{w}" for w in windows])
+    return with_targets(adjusted_predictions(matchup(base), windows))
+
+
 def lines(df: DataFrame, lam: str, r: str, mean: str) -> DataFrame:
     """A row per line of each group's grid: (…, line, p_poisson, p_negbin, difficulty).
 

@@ -864,4 +864,4 @@ def seeded_groups(spark, sf):
     return selection.seeded_groups(table(spark, sf, "orders").select("o_custkey", "o_orderkey"), ["o_custkey"], 10, 20260922)
 
 
-from . import queries_io, queries_rules  # noqa: E402, F401  (they register theirs)
+from . import queries_chain, queries_io, queries_rules  # noqa: E402, F401  (they register theirs)
