@@ -1,54 +1,64 @@
 """Exact expectation of a set from both sides' hold probabilities, and of a match from it.
 
-A set is a Markov chain over the score of games, side A serving at even totals. All rows of
-an Arrow batch walk the chain together in numpy; matches of independent sets are closed
-forms in plain columns.
+A set is a Markov chain over the score of games, side A serving at even totals. The chain is
+a fold over the number of games: level ``n`` is an array of the probabilities of reaching x
+games to ``n - x``; what ends at a level is added up as it goes. Matches of independent sets
+are closed forms.
 """
 
 from __future__ import annotations
 
 from math import comb
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-_SET_SCHEMA = T.StructType([T.StructField(n, T.DoubleType()) for n in ("p_set", "games_a", "games_b", "p_tiebreak")])
-
-
-def set_table(pa: np.ndarray, pb: np.ndarray) -> dict[str, np.ndarray]:
-    """Arrays of the set's win probability for A, mean games and tie-break probability."""
-    inside = (pa > 0) & (pa < 1) & (pb > 0) & (pb < 1)
-    a, b = np.where(inside, pa, np.clip(pa, 1e-6, 1 - 1e-6)), np.where(inside, pb, np.clip(pb, 1e-6, 1 - 1e-6))
-    reach = np.zeros((8, 8, len(a)))
-    reach[0, 0] = 1
-    won, games_a, games_b = np.zeros(len(a)), np.zeros(len(a)), np.zeros(len(a))
-    for total in range(13):
-        serve_a = total % 2 == 0
-        p = a if serve_a else 1 - b
-        for x in range(max(0, total - 7), min(7, total) + 1):
-            y = total - x
-            over = max(x, y) >= 6 and abs(x - y) >= 2
-            if over:
-                won += reach[x, y] * (x > y)
-                games_a += reach[x, y] * x
-                games_b += reach[x, y] * y
-            elif total < 12:
-                reach[x + 1, y] += reach[x, y] * p
-                reach[x, y + 1] += reach[x, y] * (1 - p)
-    tie = reach[6, 6]
-    win_tie = a / (a + b)
-    return {"p_set": won + tie * win_tie, "games_a": games_a + tie * (6 + win_tie), "games_b": games_b + tie * (7 - win_tie), "p_tiebreak": tie}
-
-
-@F.pandas_udf(_SET_SCHEMA)
-def set_expectation(p_hold_a: pd.Series, p_hold_b: pd.Series) -> pd.DataFrame:
-    """NULL in, NULL out."""
-    both = p_hold_a.notna() & p_hold_b.notna()
-    made = pd.DataFrame(set_table(p_hold_a[both].to_numpy(float), p_hold_b[both].to_numpy(float)), index=p_hold_a.index[both])
-    return made.reindex(p_hold_a.index)
+
+
+def _held(p: Column) -> Column:
+    return F.when((p > 0) & (p < 1), p).otherwise(F.least(F.greatest(p, F.lit(1e-6)), F.lit(1 - 1e-6)))
+
+
+def set_expectation(p_hold_a: Column | str, p_hold_b: Column | str) -> Column:
+    """Struct p_set, games_a, games_b, p_tiebreak: the set's win probability for A, mean games
+    and the probability of a tie-break. NULL in, NULL out."""
+    a, b = (F.col(p) if isinstance(p, str) else p for p in (p_hold_a, p_hold_b))
+    zero = F.lit(0.0)
+    start = F.struct(F.array(F.lit(1.0), *[zero] * 7).alias("level"), zero.alias("won"), zero.alias("games_a"), zero.alias("games_b"))
+
+    def step(t: Column, acc: Column, p: Column) -> Column:
+        level = acc["level"]
+        going = lambda x, y: F.when((x >= 0) & (y >= 0) & ~((F.greatest(x, y) >= 6) & (F.abs(x - y) >= 2)), F.get(level, x)).otherwise(0.0)
+        following = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda x: going(x - 1, t - x + 1) * p + F.when(x <= t, going(x, t - x)).otherwise(0.0) * (1 - p))
+        return F.get(F.transform(F.array(following), lambda made: ended(t + 1, acc, made)), F.lit(0))
+
+    def ended(n: Column, acc: Column, level: Column) -> Column:
+        # sets end at 6 to 4 or less, and at 7 to 5
+        early, late = (n >= 6) & (n <= 10), n == 12
+        wins = F.when(early, F.get(level, F.lit(6))).when(late, F.get(level, F.lit(7))).otherwise(0.0)
+        loses = F.when(early, F.get(level, n - 6)).when(late, F.get(level, F.lit(5))).otherwise(0.0)
+        most = F.when(late, 7).otherwise(6)
+        least = n - most
+        return F.struct(level.alias("level"), (acc["won"] + wins).alias("won"), (acc["games_a"] + wins * most + loses * least).alias("games_a"), (acc["games_b"] + wins * least + loses * most).alias("games_b"))
+
+    def whole(held: Column) -> Column:
+        walk = F.aggregate(F.sequence(F.lit(0), F.lit(11)), start, lambda acc, t: step(t, acc, F.when(t % 2 == 0, held["a"]).otherwise(1 - held["b"])), lambda acc: acc)
+        share = held["a"] / (held["a"] + held["b"])
+
+        def done(s: Column) -> Column:
+            tie = F.get(s["level"], F.lit(6))
+            return F.struct((s["won"] + tie * share).alias("p_set"), (s["games_a"] + tie * (6 + share)).alias("games_a"), (s["games_b"] + tie * (7 - share)).alias("games_b"), tie.alias("p_tiebreak"))
+
+        return F.get(F.transform(F.array(walk), done), F.lit(0))
+
+    both = F.array(F.struct(_held(a).alias("a"), _held(b).alias("b")))
+    return F.when(a.isNotNull() & b.isNotNull(), F.get(F.transform(both, whole), F.lit(0)))
+
+
+def with_set(df: DataFrame, p_hold_a: str, p_hold_b: str, out: str = "set") -> DataFrame:
+    """``df`` with the set's struct, walked once for each distinct pair of probabilities."""
+    pairs = df.select(F.col(p_hold_a).alias("_a"), F.col(p_hold_b).alias("_b")).distinct().withColumn(out, set_expectation("_a", "_b"))
+    on = F.col(p_hold_a).eqNullSafe(F.col("_a")) & F.col(p_hold_b).eqNullSafe(F.col("_b"))
+    return df.join(pairs, on).drop("_a", "_b")
 
 
 def match_expectation(s: Column, best_of: Column | int) -> Column:

@@ -127,8 +127,11 @@ def mark_repeated(df: DataFrame, key: Sequence[str], out: str = "is_repeated") -
 def equity_curve(df: DataFrame, pnl: str, order: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """cumulative, peak, drawdown and loss_streak (runs of losses), in order, per ``by``.
 
-    A curve is one ordered sequence: without ``by`` all rows meet in one task.
+    A group of ``by`` is one task's; :func:`long_equity_curve` deals one sequence, or hot
+    groups, to many.
     """
+    if not by:
+        return long_equity_curve(df, pnl, order)
     w = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     df = df.withColumn("cumulative", F.sum(pnl).over(w)).withColumn("_run", F.sum(F.when(F.col(pnl) < 0, 0).otherwise(1)).over(w))
     peak = F.max("cumulative").over(w)
@@ -136,6 +139,40 @@ def equity_curve(df: DataFrame, pnl: str, order: Sequence[str], by: Sequence[str
     return df.select("*", peak.alias("peak"), (F.col("cumulative") - peak).alias("drawdown"), streak.cast("long").alias("loss_streak")).drop("_run")
 
 
+def long_equity_curve(df: DataFrame, pnl: str, order: Sequence[str], by: Sequence[str] = (), parts: int | None = None) -> DataFrame:
+    """As :func:`equity_curve`, for sequences of any length.
+
+    Rows are dealt to ranges of the order and kept as a table of ``parts`` ranges. Each range
+    has a summary: its sum, its peak, how many losses end it, and whether it is nothing but
+    losses. Running over the summaries gives each range what comes before it, and a second
+    pass adds that to windows within the range. A task holds a range's rows, and the summaries
+    are ``parts`` rows (and one more for each group). Rows that tie in the order may stand in
+    any order, as in any window.
+    """
+    from ..session import work_path
+
+    spark, by = df.sparkSession, list(by)
+    n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path, loss = work_path(spark, "curve-ranges"), F.col(pnl) < 0
+    df.repartitionByRange(n, *by, *order).withColumn("_part", F.spark_partition_id()).write.parquet(path)
+    rows = spark.read.parquet(path)
+    within = W.partitionBy("_part", *by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumn("_sum", F.coalesce(F.sum(pnl).over(within), F.lit(0.0))).withColumn("_run", F.sum(F.when(loss, 0).otherwise(1)).over(within))
+    in_run = W.partitionBy("_part", *by, "_run").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumn("_top", F.max("_sum").over(within)).withColumn("_streak", F.when(loss, F.sum(F.when(loss, 1).otherwise(0)).over(in_run)).otherwise(0))
+    ends = rows.groupBy("_part", *by).agg(F.sum(F.coalesce(F.col(pnl), F.lit(0.0))).alias("sum"), F.max("_top").alias("top"), F.max("_run").alias("runs"), F.max_by("_streak", F.struct(*order, "_streak")).alias("tail"))
+    before = W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    ends = ends.withColumn("_base", F.coalesce(F.sum("sum").over(before), F.lit(0.0))).withColumn("_chain", F.sum(F.when(F.col("runs") > 0, 1).otherwise(0)).over(W.partitionBy(*by).orderBy("_part")))
+    # losses that end a range: its own, and those of the ranges of nothing but losses before it
+    ends = ends.withColumn("_ending", F.sum("tail").over(W.partitionBy(*by, "_chain").orderBy("_part")))
+    ends = ends.select("_part", *by, "_base", F.max(F.col("_base") + F.col("top")).over(before).alias("_peak"), F.coalesce(F.lag("_ending").over(W.partitionBy(*by).orderBy("_part")), F.lit(0)).alias("_ended"))
+    ends = F.broadcast(ends) if not by else ends  # one row for each of ``parts`` ranges
+    joined = rows.join(ends, ["_part", *by])
+    cumulative, peak = F.col("_base") + F.col("_sum"), F.greatest(F.col("_base") + F.col("_top"), F.col("_peak"))
+    streak = F.when(loss, F.col("_streak") + F.when(F.col("_run") == 0, F.col("_ended")).otherwise(0)).otherwise(0)
+    return joined.select(*df.columns, cumulative.alias("cumulative"), peak.alias("peak"), (cumulative - peak).alias("drawdown"), streak.cast("long").alias("loss_streak"))
+
+
 def monotone_groups(df: DataFrame, key: Sequence[str], x: str, y: str, tolerance: float = 1e-9, tie: Sequence[str] = ()) -> DataFrame:
     """Per key with 2 rows or more: n, and whether y never rises along x."""
     ahead = F.lead(y).over(W.partitionBy(*key).orderBy(x, *tie))

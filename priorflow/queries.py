@@ -719,25 +719,64 @@ def html_fields(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.size(F.regexp_extract_all("html", F.lit('<a [^>]*href="([^"]*)"'), F.lit(1))).cast("long").alias("n_links"), F.size(F.regexp_extract_all("html", F.lit("<p[ >]"), F.lit(0))).cast("long").alias("n_paragraphs"))
 
 
-@query()
+def _level_sql(n: int) -> str:
+    """SQL of level ``n`` of the set's chain from the level before."""
+    p = "a" if n % 2 else "1 - b"
+    going = "NOT (greatest(x, y) >= 6 AND abs(x - y) >= 2)"
+    return f"l{n} AS (SELECT user_id, a, b, x, y, sum(p) AS p FROM (SELECT user_id, a, b, x + 1 AS x, y, p * ({p}) AS p FROM l{n - 1} WHERE {going} UNION ALL SELECT user_id, a, b, x, y + 1, p * (1 - ({p})) FROM l{n - 1} WHERE {going}) GROUP BY ALL)"
+
+
+@query(f"""
+WITH l0 AS (SELECT user_id, 0.5 + avg(value) / 1200 AS a, 0.5 + max(value) / 1200 AS b, 0 AS x, 0 AS y, 1.0::DOUBLE AS p FROM events GROUP BY 1), {", ".join(map(_level_sql, range(1, 13)))},
+e AS ({" UNION ALL ".join(f"SELECT * FROM l{n} WHERE greatest(x, y) >= 6 AND abs(x - y) >= 2" for n in range(6, 13))}), t AS (SELECT user_id, p AS tie, a / (a + b) AS w FROM l12 WHERE x = 6 AND y = 6),
+s AS (SELECT user_id, sum(p) FILTER (WHERE x > y) + any_value(tie * w) AS ps, sum(p * x) + any_value(tie * (6 + w)) AS ga, sum(p * y) + any_value(tie * (7 - w)) AS gb, any_value(tie) AS tie FROM e JOIN t USING (user_id) GROUP BY 1)
+SELECT user_id, round(ps, 6) AS p_set, round(ga, 6) AS games_a, round(gb, 6) AS games_b, round(tie, 6) AS p_tiebreak, round(ps * ps * (3 - 2 * ps), 6) AS p_match, round(2 + 2 * ps * (1 - ps), 6) AS sets, round((2 + 2 * ps * (1 - ps)) * (ga + gb), 6) AS games FROM s""")
 def set_model(spark, sf):
-    """A Markov chain per pair of rates; not SQL here, tests compare brute force."""
+    """A Markov chain per distinct pair of rates."""
     u = table(spark, sf, "events").groupBy("user_id").agg((0.5 + F.avg("value") / 1200).alias("a"), (0.5 + F.max("value") / 1200).alias("b"))
-    out = u.select("user_id", setmodel.set_expectation("a", "b").alias("s"))
+    out = setmodel.with_set(u, "a", "b", "s")
     return out.select("user_id", *[r(f"s.{c}").alias(c) for c in ("p_set", "games_a", "games_b", "p_tiebreak")], *[r(setmodel.match_expectation(F.col("s"), 3)[c]).alias(c) for c in ("p_match", "sets", "games")])
 
 
-@query()
+def _newton_sql(k: int) -> str:
+    """SQL of step ``k`` of all Platt curves."""
+    hit = "(1 / (1 + exp(-(a * z + b))))"
+    return f"""s{k} AS (SELECT t, a - (bb * ga - ab * gb) / (aa * bb - ab * ab) AS a, b - (aa * gb - ab * ga) / (aa * bb - ab * ab) AS b FROM (
+  SELECT t, a, b, sum((n * {hit} - s) * z) + a AS ga, sum(n * {hit} - s) AS gb, sum(n * {hit} * (1 - {hit}) * z * z) + 1 AS aa, sum(n * {hit} * (1 - {hit}) * z) AS ab, sum(n * {hit} * (1 - {hit})) AS bb
+  FROM tr JOIN s{k - 1} USING (t) GROUP BY t, a, b))"""
+
+
+_FOLDS_SQL = f"""
+WITH d AS (SELECT dense_rank() OVER (ORDER BY year(l_shipdate)) - 1 AS k, 'fold_' || year(l_shipdate)::VARCHAR AS fold, p, y FROM {_YP}),
+c AS (SELECT k, fold, p, count(*)::DOUBLE AS m, sum(y)::DOUBLE AS h FROM d GROUP BY ALL),
+tr AS MATERIALIZED (SELECT b.k AS t, a.p, sum(a.m) AS n, sum(a.h) AS s, ln(a.p / (1 - a.p)) AS z FROM c a JOIN (SELECT DISTINCT k FROM c) b ON a.k < b.k GROUP BY ALL),
+s0 AS (SELECT DISTINCT t, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b FROM tr), {", ".join(map(_newton_sql, range(1, calibrate.STEPS + 1)))},
+cu AS (SELECT t, p, sum(n) OVER w AS cn, sum(s) OVER w AS cs, sum(n) OVER w - n AS bn, sum(s) OVER w - s AS bs FROM tr WINDOW w AS (PARTITION BY t ORDER BY p)),
+lo AS (SELECT t, i.p, j.p AS q, min((k.cs - j.bs) / (k.cn - j.bn)) AS v FROM cu i JOIN cu j USING (t) JOIN cu k USING (t) WHERE j.p <= i.p AND k.p >= i.p GROUP BY ALL),
+iso AS MATERIALIZED (SELECT t, p, max(v) AS g FROM lo GROUP BY ALL),
+nb AS (SELECT c.k, c.p, max(iso.p) FILTER (WHERE iso.p <= c.p) AS p0, min(iso.p) FILTER (WHERE iso.p >= c.p) AS p1 FROM c LEFT JOIN iso ON c.k = iso.t GROUP BY ALL),
+cal AS (SELECT c.k, c.fold, c.p, c.m, c.h, CASE WHEN x.a > 0 THEN 1 / (1 + exp(-(x.a * ln(c.p / (1 - c.p)) + x.b))) ELSE c.p END AS platt,
+ CASE WHEN u.g IS NULL AND v.g IS NULL THEN c.p WHEN u.g IS NULL THEN v.g WHEN v.g IS NULL OR p1 = p0 THEN u.g ELSE u.g + (c.p - p0) / (p1 - p0) * (v.g - u.g) END AS isotonic
+ FROM c JOIN nb ON c.k = nb.k AND c.p = nb.p LEFT JOIN s{calibrate.STEPS} x ON x.t = c.k LEFT JOIN iso u ON u.t = c.k AND u.p = p0 LEFT JOIN iso v ON v.t = c.k AND v.p = p1)"""
+
+
+@query(_FOLDS_SQL + """,
+l AS (SELECT fold, m, h, unnest(['raw', 'platt', 'isotonic']) AS method, unnest([p, platt, isotonic]) AS v FROM cal), q AS (SELECT *, least(greatest(v, 1e-6), 1 - 1e-6) AS q FROM l)
+SELECT fold, method, sum(m)::BIGINT AS n, round(sum(h * (1 - q) ** 2 + (m - h) * q ** 2) / sum(m), 6) AS brier, round(-sum(h * ln(q) + (m - h) * ln(1 - q)) / sum(m), 6) AS log_loss FROM q GROUP BY ALL""")
 def walk_forward_calibration(spark, sf):
-    """Fitted curves; tests compare closed forms and pool-adjacent-violators."""
+    """Metrics of all methods in all folds, each calibrated by the folds before it."""
+    df = _yp(spark, sf).withColumn("fold", F.concat(F.lit("fold_"), F.year("l_shipdate")))
+    out = calibrate.walk_forward(df)
+    each = F.array(*[F.struct(F.lit(m).alias("method"), F.col(f"p_{m}").alias("q")) for m in ("raw", "platt", "isotonic")])
+    return rounded(ev.probability_metrics(out.select("fold", "y", F.explode(each).alias("x")).select("fold", "y", "x.*"), ["fold", "method"], p="q"))
+
+
+@query(_FOLDS_SQL + """
+SELECT DISTINCT fold, round(p, 6) AS p, round(platt, 6) AS p_platt, round(isotonic, 6) AS p_isotonic, CASE WHEN k = 0 THEN 'raw_sem_periodo_anterior' WHEN a > 0 THEN 'ok' ELSE 'raw_inclinacao_invalida' END AS status_platt FROM cal LEFT JOIN s""" + str(calibrate.STEPS) + """ x ON x.t = k""")
+def calibration_curves(spark, sf):
+    """Calibrated values of every probability in every fold."""
     df = _yp(spark, sf).withColumn("fold", F.concat(F.lit("fold_"), F.year("l_shipdate")))
-    folds = [row[0] for row in df.select("fold").distinct().orderBy("fold").collect()]
-    out = calibrate.walk_forward(df, folds[:3])
-    metrics = None
-    for m in ("raw", "platt", "isotonic"):
-        one = ev.probability_metrics(out, ["fold"], p=f"p_{m}").withColumn("method", F.lit(m))
-        metrics = one if metrics is None else metrics.unionByName(one)
-    return rounded(metrics)
+    return rounded(calibrate.walk_forward(df).select("fold", "p", "p_platt", "p_isotonic", "status_platt").distinct()).distinct()
 
 
 @query()

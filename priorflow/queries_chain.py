@@ -1,7 +1,7 @@
 """The match pipeline end to end on paired events, with SQL of the whole chain.
 
 A match is an order with two lines or more: its dearest line is the winner's side, its
-cheapest the loser's; suppliers are players. Orders of one line have no loser.
+cheapest the loser's; suppliers are players. Orders of one supplier have no loser.
 """
 
 from __future__ import annotations
@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import distributions as dist
-from .operators.windows import DEFAULT_WINDOWS
+from .operators.carried import Carried, CarriedStore
+from .operators.windows import DEFAULT_WINDOWS, long_equity_curve
 from .plans import matches
 from .registry import query, rounded, table
 from .session import work_path
@@ -28,7 +29,7 @@ _STAT = {
 def raw_matches(spark, sf):
     """Wide raw rows, a match each."""
     line = F.struct("l_extendedprice", "l_partkey", "l_suppkey", "l_quantity")
-    ends = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.max(line).alias("w"), F.min(line).alias("l"), F.count(F.lit(1)).alias("n"))
+    ends = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.max(line).alias("w"), F.min(line).alias("l"))
     pick = lambda values, k: F.element_at(F.array(*[F.lit(v) for v in values]), (k % len(values) + 1).cast("int"))
     k = F.col("o_orderkey")
     stats = []
@@ -38,7 +39,7 @@ def raw_matches(spark, sf):
             stats.append(F.when(F.col(f"{side}.l_quantity").cast("int") % 17 != 0, value).cast("int").alias(f"{side}_{name}"))
     who = []
     for side, name in (("w", "winner"), ("l", "loser")):
-        there = F.lit(True) if side == "w" else F.col("n") > 1
+        there = F.lit(True) if side == "w" else F.col("w.l_suppkey") != F.col("l.l_suppkey")
         of = lambda c: F.when(there, c)  # noqa: E731,B023
         who += [of(F.col(f"{side}.l_suppkey")).alias(f"{name}_id"), of(F.concat(F.lit("P"), F.col(f"{side}.l_suppkey").cast("string"))).alias(f"{name}_name"), of(F.lit("R")).alias(f"{name}_hand"), of(F.col(f"{side}.l_partkey").cast("int")).alias(f"{name}_rank"), of(F.lit(100)).alias(f"{name}_rank_points")]
     rows = table(spark, sf, "orders").join(ends, k == F.col("l_orderkey"))
@@ -63,7 +64,7 @@ def _sql_side(me: str, you: str, result: str) -> str:
 _FACTS = f"""
 ends AS (
   SELECT o_orderkey AS k, 'ATP:T' || (o_orderkey // 8)::VARCHAR || ':' || (o_orderkey % 8)::VARCHAR AS match_id, 'T' || (o_orderkey // 8)::VARCHAR AS tid, o_orderdate::DATE AS d,
-         [{", ".join("NULL" if s is None else repr(s.strip().capitalize()) for s in _SURFACES)}][1 + o_orderkey % {len(_SURFACES)}] AS surface, w, l, n
+         [{", ".join("NULL" if s is None else repr(s.strip().capitalize()) for s in _SURFACES)}][1 + o_orderkey % {len(_SURFACES)}] AS surface, w, l, CASE WHEN w.s <> l.s THEN n ELSE 1 END AS n
   FROM orders JOIN (
     SELECT l_orderkey, max({{'e': l_extendedprice, 'p': l_partkey, 's': l_suppkey, 'q': l_quantity}}) AS w, min({{'e': l_extendedprice, 'p': l_partkey, 's': l_suppkey, 'q': l_quantity}}) AS l, count(*) AS n FROM lineitem GROUP BY 1
   ) ON l_orderkey = o_orderkey
@@ -179,3 +180,75 @@ def fact_lines(spark, sf):
     groups = facts.groupBy("surface").agg(F.avg("aces").alias("mean"), dist.moments_r(F.avg("aces"), F.var_pop("aces")).alias("r"))
     rows = facts.select("match_id", "player_id", "result", "surface", F.col("pred_aces_isolated_career").alias("lam")).join(groups, "surface")
     return rounded(matches.lines(rows, "lam", "r", "mean").select("match_id", "player_id", "result", "line", "p_poisson", "p_negbin", "difficulty"), 8)
+
+
+_CUTS = ("1996-06-01", "1997-06-01")
+
+
+@query(f"""WITH {_FACTS.replace("FROM ends WHERE n > 1", "FROM ends WHERE n > 1 AND d < DATE '" + _CUTS[1] + "'")},
+coming AS (SELECT match_id, tid, d, surface, k, 'ATP-' || w.s::VARCHAR AS a, 'ATP-' || l.s::VARCHAR AS b FROM ends WHERE n > 1 AND d >= DATE '{_CUTS[1]}'),
+rows AS (
+  SELECT match_id, NULL AS tid, d, surface, player_id, NULL AS result, NULL::INT AS aces, NULL::INT AS service_points, NULL::INT AS service_games, NULL::INT AS service_games_held FROM (SELECT *, a AS player_id FROM coming UNION ALL SELECT *, b FROM coming)
+  UNION ALL SELECT match_id, tid, d, surface, player_id, result, aces, service_points, service_games, service_games_held FROM dv
+),
+al AS (SELECT *, date_diff('day', DATE '1970-01-01', d) AS day, (date_diff('day', DATE '1970-01-01', d) - max(date_diff('day', DATE '1970-01-01', d)) OVER (PARTITION BY player_id)) / 90.0 AS age FROM rows),
+w AS (SELECT match_id, player_id, result, {", ".join(f"round({_sql_rate(*_RATES[m], w)}, 8) AS {m}_{w}" for m in ("serve_ace_rate", "serve_hold_pct") for w in _WINDOWS)},
+ {", ".join(f"coalesce({_sql_sum('1', 'career' if w == 'decay90d' else w)}, 0)::BIGINT AS prior_matches_{w}" for w in _WINDOWS)} FROM al)
+SELECT * EXCLUDE (result) FROM w WHERE result IS NULL""".replace(_ORDER, "ORDER BY d, tid NULLS FIRST, match_id, result NULLS FIRST"))
+def future_profile(spark, sf):
+    """Features of coming matches from stored states, advanced by two batches, without their history."""
+    path = work_path(spark, "facts")
+    matches.derived(matches.player_matches(raw_matches(spark, sf), "ATP")).write.parquet(path)
+    facts, day = spark.read.parquet(path), F.col("tournament_date")
+    cuts = [F.lit(c).cast("date") for c in _CUTS]
+    carried = Carried(matches.timeline(), ["aces", "service_points", "service_games_held", "service_games"], DEFAULT_WINDOWS)
+    store = CarriedStore(spark, work_path(spark, "player-states"), carried)
+    store.advance(facts.filter(day < cuts[0]))
+    store.advance(facts.filter((day >= cuts[0]) & (day < cuts[1])))
+    after = facts.filter((day >= cuts[1]) & (F.col("result") == "W"))
+    upcoming = after.select("match_id", "tour", "tournament", "tournament_date", "round", "surface", F.col("player_id").alias("player_id_a"), F.col("opponent_id").alias("player_id_b"))
+    coming = matches.future_rows(upcoming, facts)
+    rates = {"serve_ace_rate": ("aces", "service_points"), "serve_hold_pct": ("service_games_held", "service_games")}
+    out = store.answer(coming, rates)
+    return rounded(out.select("match_id", "player_id", *[f"{m}_{w}" for m in rates for w in _WINDOWS], *[f"prior_matches_{w}" for w in _WINDOWS]), 8)
+
+
+@query(f"""WITH {_FACTS}, v AS (SELECT *, opponent_service_points - opponent_first_serves_in AS opponent_second_serves_in, service_points - first_serves_in AS second_serves_in, first_serve_points_won + second_serve_points_won AS service_points_won,
+ opponent_first_serves_in - opponent_first_serve_points_won AS first_serve_return_points_won, opponent_service_points - opponent_first_serves_in - opponent_second_serve_points_won AS second_serve_return_points_won FROM dv)
+{' UNION ALL '.join(f"SELECT '{c}' AS name, count({c}) AS n_present, coalesce(sum({c}), 0)::BIGINT AS total FROM v" for c in matches.value_columns())}""")
+def value_columns(spark, sf):
+    """Every numerator and denominator of the rates, once each, over all sides of all matches."""
+    facts = matches.derived(matches.player_matches(raw_matches(spark, sf), "ATP"))
+    long = facts.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("long").alias("v")) for c in matches.value_columns()])).alias("x"))
+    return long.groupBy("x.name").agg(F.count("x.v").alias("n_present"), F.coalesce(F.sum("x.v"), F.lit(0)).alias("total"))
+
+
+_CURVE = "SELECT *, CASE WHEN value > 250 THEN 1.5 WHEN value < 200 THEN -1.0 ELSE 0.0 END AS pnl FROM events"
+
+
+def _curve_sql(by: str) -> str:
+    part = f"PARTITION BY {by}" if by else ""
+    return f"""
+WITH a AS ({_CURVE}), b AS (SELECT *, sum(pnl) OVER w AS cumulative, sum(CASE WHEN pnl < 0 THEN 0 ELSE 1 END) OVER w AS run FROM a WINDOW w AS ({part} ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))
+SELECT event_id, cumulative, max(cumulative) OVER w AS peak, cumulative - max(cumulative) OVER w AS drawdown,
+ CASE WHEN pnl < 0 THEN sum(CASE WHEN pnl < 0 THEN 1 ELSE 0 END) OVER (PARTITION BY {by + ', ' if by else ''}run ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) ELSE 0 END::BIGINT AS loss_streak
+FROM b WINDOW w AS ({part} ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)"""
+
+
+def _with_pnl(spark, sf):
+    pnl = F.when(F.col("value") > 250, 1.5).when(F.col("value") < 200, -1.0).otherwise(0.0)
+    return table(spark, sf, "events").select("event_id", "ts", "event_type", pnl.alias("pnl"))
+
+
+@query(_curve_sql(""))
+def total_equity_curve(spark, sf):
+    """One curve over all events, dealt to ranges of time."""
+    out = long_equity_curve(_with_pnl(spark, sf), "pnl", ["ts", "event_id"])
+    return out.select("event_id", "cumulative", "peak", "drawdown", "loss_streak")
+
+
+@query(_curve_sql("event_type"))
+def hot_equity_curves(spark, sf):
+    """A curve for each of a few types of events, each dealt to ranges."""
+    out = long_equity_curve(_with_pnl(spark, sf), "pnl", ["ts", "event_id"], by=["event_type"])
+    return out.select("event_id", "cumulative", "peak", "drawdown", "loss_streak")

@@ -84,9 +84,19 @@ def test_set_model_against_walk():
         p = pa if (a + b) % 2 == 0 else 1 - pb
         return p * walk(pa, pb, a + 1, b) + (1 - p) * walk(pa, pb, a, b + 1)
 
-    for pa, pb in ((0.8, 0.7), (0.5, 0.5), (0.95, 0.6)):
-        t = setmodel.set_table(np.array([pa]), np.array([pb]))
-        assert np.allclose([t["p_set"][0], t["games_a"][0], t["games_b"][0], t["p_tiebreak"][0]], walk(pa, pb))
+    pairs = [(0.8, 0.7), (0.5, 0.5), (0.95, 0.6), (1.0, 0.4), (0.0, 0.3), (None, 0.5)]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs * 2)], "k int, a double, b double")
+    got = setmodel.with_set(df, "a", "b").collect()
+    assert len(got) == 12
+    for r in got:
+        if r.a is None:
+            assert r.set is None
+        else:
+            inside = 0 < r.a < 1 and 0 < r.b < 1
+            held = (r.a, r.b) if inside else tuple(min(max(p, 1e-6), 1 - 1e-6) for p in (r.a, r.b))
+            assert np.allclose([r.set.p_set, r.set.games_a, r.set.games_b, r.set.p_tiebreak], walk(*held))
+    plan = setmodel.with_set(df, "a", "b")._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Pandas" not in plan
 
 
 def test_extraction(spark):
