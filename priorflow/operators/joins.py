@@ -53,19 +53,26 @@ def opponent_values(df: DataFrame, match: Sequence[str], slot: str, columns: Seq
     return df.select("*", *[F.coalesce(F.lead(c).over(w), F.lag(c).over(w)).alias(prefix + c) for c in columns])
 
 
+def with_pair(df: DataFrame, own: str, other: str) -> DataFrame:
+    """``df`` with the unordered pair of two columns, as _pair_a and _pair_b."""
+    return df.withColumns({"_pair_a": F.least(own, other), "_pair_b": F.greatest(own, other)})
+
+
 def opponent_pair(df: DataFrame, match: Sequence[str], own: str, other: str, side: str, columns: Sequence[str], prefix: str = "opponent_") -> DataFrame:
     """As :func:`opponent_join` where a match is two rows that name each other and whose ``side``
-    differs: one window by match in place of a self-join, so nothing above is worked out twice.
+    differs: windows by match in place of a self-join, so nothing above is worked out twice.
 
-    Rows of a match that was delivered twice see the least row of the other side.
+    Rows of a match that was delivered twice see the least row of the other side. Tables that
+    :func:`with_pair` has been over share its shuffle among calls.
     """
-    w = W.partitionBy(*match, F.least(own, other), F.greatest(own, other))
-    names = [F.col(c).alias(f"c{i}") for i, c in enumerate(columns)]
-    first, last = F.min(side).over(w), F.max(side).over(w)
-    out = df.withColumn("_ends", F.struct(first.alias("first"), last.alias("last")))
-    mine = lambda end: F.min(F.when(F.col(side) == F.col(f"_ends.{end}"), F.struct(*names))).over(w)
-    out = out.select("*", mine("first").alias("_first"), mine("last").alias("_last"))
-    there = F.when(F.col("_ends.first") != F.col("_ends.last"), F.when(F.col(side) == F.col("_ends.first"), F.col("_last")).otherwise(F.col("_first")))
+    ready = df if "_pair_a" in df.columns else with_pair(df, own, other)
+    w = W.partitionBy(*match, "_pair_a", "_pair_b")
+    row = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)])
+    out = ready.select("*", F.min(side).over(w).alias("_first"), F.max(side).over(w).alias("_last"))
+    mine = lambda end: F.min(F.when(F.col(side) == F.col(end), row)).over(w)
+    out = out.select("*", mine("_first").alias("_row_first"), mine("_last").alias("_row_last"))
+    known = reduce(lambda a, b: a & b, [F.col(m).isNotNull() for m in match]) & (F.col("_first") != F.col("_last"))
+    there = F.when(known, F.when(F.col(side) == F.col("_first"), F.col("_row_last")).otherwise(F.col("_row_first")))
     return out.withColumn("_there", there).select(*df.columns, *[F.col(f"_there.c{i}").alias(prefix + c) for i, c in enumerate(columns)])
 
 

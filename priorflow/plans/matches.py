@@ -15,7 +15,7 @@ from ..functions import distributions as dist
 from ..functions.numeric import EDGE_LEVELS, fair_odds, minimum_odds, nan_mean, safe_ratio
 from ..functions.scores import parse_score
 from ..functions.text import canonical_id, parse_day
-from ..operators.joins import mirror, opponent_pair
+from ..operators.joins import mirror, opponent_pair, with_pair
 from ..operators.windows import DEFAULT_WINDOWS, Prior, Timeline
 
 #: Statistics of a side in the raw table: suffix and name (fixed values).
@@ -205,8 +205,8 @@ def chain(facts: DataFrame, windows: Sequence[str] = ADJUSTED) -> DataFrame:
     again, as averages over opponents faced need what those had before their matches.
     """
     base = isolated_predictions(profile(derived(facts)), windows)
-    base = total_predictions(base, [f"pred_aces_isolated_{w}" for w in windows])
-    return with_targets(adjusted_predictions(matchup(base), windows))
+    base = total_predictions(with_pair(base, "player_id", "opponent_id"), [f"pred_aces_isolated_{w}" for w in windows])
+    return with_targets(adjusted_predictions(matchup(base), windows)).drop("_pair_a", "_pair_b")
 
 
 def lines(df: DataFrame, lam: str, r: str, mean: str) -> DataFrame:
