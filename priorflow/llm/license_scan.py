@@ -3,10 +3,12 @@
 Two searches share one normalised form of the text, its words joined by single spaces:
 
 * base: phrases found word for word, at every place;
-* fuzzy: each notice of ``n`` characters may differ by ``k`` edits. Cut into ``k + 1``
-  pieces, one piece at least must occur unchanged (pigeonhole), so exact occurrences of
-  pieces (*seeds*), found by one Aho-Corasick automaton, give all candidate windows; in
-  those, the regex library's bounded-error matching decides and reports the span and edits.
+* fuzzy: each notice of ``n`` characters may differ by ``k`` edits. Cut into ``k + 2``
+  pieces, two pieces at least must occur unchanged (pigeonhole), no more than ``k``
+  characters out of their places to each other. So exact occurrences of pieces (*seeds*),
+  found by one Aho-Corasick automaton, give all candidate windows, two by two: a piece that
+  is common text costs nothing where it stands alone. In the windows, the regex library's
+  bounded-error matching decides and reports the span and edits.
 
 The notice list is fixed and small; it travels with the code.
 
@@ -36,7 +38,6 @@ BASE = {
 }
 
 #: Short notices for the fuzzy search and their labels (fixed values, public licence texts).
-#: Their pieces are seeds, so a notice with a piece that is common text costs a search at each.
 NOTICES = {
     "licensed under the apache license version 2 0": "apache",
     "released under the mit license": "mit",
@@ -54,9 +55,10 @@ NOTICES = {
     "all rights reserved": "proprietary",
     "this program is free software you can redistribute it and or modify it": "gpl",
     "you should have received a copy of the gnu general public license": "gpl",
-    "not use this file except in compliance": "apache",
+    "you may not use this file except in compliance with the license": "apache",
+    "this source code form is subject to the terms of the mozilla public license": "mpl",
     "the software is provided as is without warranty of any kind": "mit",
-    "names of its contributors": "bsd",
+    "neither the name of the copyright holder nor the names of its contributors": "bsd",
     "boost software license": "bsl",
     "academic free license": "afl",
     "artistic license": "artistic",
@@ -70,6 +72,47 @@ NOTICES = {
     "creative commons attribution sharealike": "cc-by-sa",
     "creative commons attribution noncommercial": "cc-by-nc",
     "released into the public domain": "public-domain",
+    "spdx license identifier mit": "mit",
+    "spdx license identifier apache 2 0": "apache",
+    "spdx license identifier bsd 2 clause": "bsd",
+    "spdx license identifier bsd 3 clause": "bsd",
+    "spdx license identifier gpl 2 0 only": "gpl",
+    "spdx license identifier gpl 3 0 or later": "gpl",
+    "spdx license identifier lgpl 2 1": "lgpl",
+    "spdx license identifier agpl 3 0": "agpl",
+    "spdx license identifier mpl 2 0": "mpl",
+    "spdx license identifier epl 2 0": "epl",
+    "spdx license identifier isc": "isc",
+    "spdx license identifier cc by 4 0": "cc-by",
+    "spdx license identifier cc by sa 4 0": "cc-by-sa",
+    "spdx license identifier cc0 1 0": "cc0",
+    "spdx license identifier unlicense": "unlicense",
+    "this file is part of a program licensed under the gnu general public license": "gpl",
+    "either version 2 of the license or at your option any later version": "gpl",
+    "either version 3 of the license or at your option any later version": "gpl",
+    "use of this source code is governed by a bsd style license": "bsd",
+    "use of this source code is governed by an mit style license": "mit",
+    "redistributions of source code must retain the above copyright notice": "bsd",
+    "the above copyright notice and this permission notice shall be included in all copies": "mit",
+    "permission is hereby granted without written agreement and without license": "mit",
+    "distributed under the boost software license version 1 0": "bsl",
+    "this software is provided as is without any express or implied warranty": "zlib",
+    "altered source versions must be plainly marked as such": "zlib",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license": "epl",
+    "this work is in the public domain": "public-domain",
+    "creative commons attribution 4 0 international": "cc-by",
+    "creative commons attribution sharealike 4 0 international": "cc-by-sa",
+    "creative commons attribution noncommercial 4 0 international": "cc-by-nc",
+    "creative commons attribution noderivatives": "cc-by-nd",
+    "creative commons attribution noncommercial sharealike": "cc-by-nc-sa",
+    "cc0 1 0 universal public domain dedication": "cc0",
+    "open data commons open database license": "odbl",
+    "open data commons attribution license": "odc-by",
+    "microsoft public license": "ms-pl",
+    "university of illinois ncsa open source license": "ncsa",
+    "apache software license version 1 1": "apache",
+    "the postgresql license": "postgresql",
+    "gnu all permissive license": "fsfap",
 }
 
 MATCH = T.StructType(
@@ -96,8 +139,8 @@ RESULT = T.StructType(
 
 
 def pieces(phrase: str, k: int) -> list[tuple[int, str]]:
-    """(offset, piece) for ``k + 1`` pieces of nearly equal length."""
-    cuts = [len(phrase) * i // (k + 1) for i in range(k + 2)]
+    """(offset, piece) for ``k + 2`` pieces of nearly equal length."""
+    cuts = [len(phrase) * i // (k + 2) for i in range(k + 3)]
     return [(a, phrase[a:b]) for a, b in zip(cuts, cuts[1:])]
 
 
@@ -136,15 +179,34 @@ class Finder:
                 at = text.find(phrase, at + 1)
         return out
 
+    @staticmethod
+    def _paired(found: list[tuple[int, int]], k: int) -> list[int]:
+        """Where a notice would begin, by seeds (begin, offset) in order, with another piece's seed
+        at most ``k`` away."""
+        out = []
+        for x, (at, offset) in enumerate(found):
+            for step in (1, -1):
+                y = x + step
+                while 0 <= y < len(found) and abs(found[y][0] - at) <= k and found[y][1] == offset:
+                    y += step
+                if 0 <= y < len(found) and abs(found[y][0] - at) <= k:
+                    out.append(at)
+                    break
+        return out
+
     def find_fuzzy(self, text: str) -> list[tuple[int, int, int, int]]:
         """(notice, start, end, edits) of separate matches in each candidate region, best ones first taken."""
-        windows: dict[int, list[tuple[int, int]]] = {}
+        hits: dict[int, list[tuple[int, int]]] = {}
         for end, (n, uses) in self.seeds.iter(text):
             for i, offset in uses:
+                hits.setdefault(i, []).append((end + 1 - n - offset, offset))
+        windows: dict[int, list[tuple[int, int]]] = {}
+        for i, found in hits.items():
+            if len(found) > 1:
                 phrase, _, k, _ = self.fuzzy[i]
-                lo = max(0, end + 1 - n - offset - k - 1)
-                hi = min(len(text), end + 1 - n - offset + len(phrase) + k + 1)
-                windows.setdefault(i, []).append((lo, hi))
+                begins = self._paired(sorted(found), k)
+                if begins:
+                    windows[i] = [(max(0, at - k - 1), min(len(text), at + len(phrase) + k + 1)) for at in begins]
         out = []
         for i in sorted(windows):
             pattern, regions = self.fuzzy[i][3], []
