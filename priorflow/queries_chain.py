@@ -14,6 +14,8 @@ from .operators.windows import DEFAULT_WINDOWS, long_equity_curve
 from .plans import matches
 from .registry import query, rounded, table
 from .session import work_path
+from .streaming.indexed import IndexedLedger
+from .streaming.outcomes import follow_outcomes, read_changes
 
 #: Scores that orders get in turn: text, status, whole, games, sets, difference, tie-break.
 _SCORES = [
@@ -252,3 +254,35 @@ def hot_equity_curves(spark, sf):
     """A curve for each of a few types of events, each dealt to ranges."""
     out = long_equity_curve(_with_pnl(spark, sf), "pnl", ["ts", "event_id"], by=["event_type"])
     return out.select("event_id", "cumulative", "peak", "drawdown", "loss_streak")
+
+
+@query("""
+WITH k AS (SELECT user_id, event_type, ts::DATE AS day, min_by(event_id, (event_id % 3, event_id)) AS event_id FROM events GROUP BY ALL)
+SELECT k.user_id, k.event_type, k.day, k.event_id, value FROM k JOIN events USING (event_id)""")
+def indexed_ledger(spark, sf):
+    """Three batches and one that comes twice, into a ledger with filters: the first row of each key stays."""
+    e = table(spark, sf, "events").select("event_id", "user_id", "event_type", F.to_date("ts").alias("day"), "value")
+    ledger = IndexedLedger(spark, work_path(spark, "ledger"), e.schema, ["user_id", "event_type", "day"], ["event_id"], buckets=16)
+    for k in (0, 1, 1, 2):
+        ledger.append(e.filter(F.col("event_id") % 3 == k))
+    return ledger.read().select("user_id", "event_type", "day", "event_id", "value")
+
+
+@query("""
+WITH e AS (SELECT user_id::VARCHAR || ':' || event_type AS key, event_id AS event, event_id % 2 AS load, CASE WHEN value > 250 THEN 'WIN' WHEN value < 200 THEN 'LOSS' END AS settlement FROM events),
+t AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY load, event) AS nth, first_value(settlement IGNORE NULLS) OVER (PARTITION BY key ORDER BY load, event ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS final,
+ count(settlement) OVER (PARTITION BY key ORDER BY load, event ROWS UNBOUNDED PRECEDING) AS decided FROM e)
+SELECT key, event, 'registered' AS change, settlement, NULL AS previous FROM t WHERE nth = 1
+UNION ALL SELECT key, event, 'settled', settlement, NULL FROM t WHERE settlement IS NOT NULL AND decided = 1
+UNION ALL SELECT key, event, 'rejected', settlement, final FROM t WHERE decided > 1 AND settlement <> final""")
+def streamed_outcomes(spark, sf):
+    """A stream over two loads of events, one of them delivered again, with state per key."""
+    folder, sink, checkpoint = (work_path(spark, name) for name in ("event-loads", "outcome-changes", "outcome-checkpoint"))
+    k, v = F.col("event_id"), F.col("value")
+    rows = table(spark, sf, "events").select(
+        F.concat_ws(":", F.col("user_id").cast("string"), "event_type").alias("key"), (k % 2).cast("long").alias("load"), k.alias("event"), F.when(v > 250, "WIN").when(v < 200, "LOSS").alias("settlement")
+    )
+    for load in (0, 1, 0):
+        rows.filter(F.col("load") == load).write.mode("append").parquet(folder)
+        follow_outcomes(spark.readStream.schema(rows.schema).parquet(folder), sink, checkpoint).awaitTermination()
+    return read_changes(spark, sink)
