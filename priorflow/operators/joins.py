@@ -115,6 +115,36 @@ def diff_full_outer(before: DataFrame, after: DataFrame, key: Sequence[str], num
     return out.select(*key, presence.alias("presence"), *[f"{c}_{s}" for c in (*numeric, *text) for s in ("before", "after")], reduce(lambda x, y: x | y, changes, one).alias("changed"))
 
 
+def _digest(df: DataFrame, key: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """The key and 128 bits of all ``columns``, NULLs told from values."""
+    parts = [p for c in columns for p in (F.col(c), F.col(c).isNull())]
+    return df.select(*key, F.struct(F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit(31), *parts).alias("b")).alias("_digest"))
+
+
+def diff_digests(before: DataFrame, after: DataFrame, key: Sequence[str], numeric: Sequence[str], text: Sequence[str] = (), tolerance: float = 1e-9) -> DataFrame:
+    """As :func:`diff_full_outer` for wide tables: presence, ``changed``, the names that differ,
+    and both sides' values as structs ``before`` and ``after`` where something does.
+
+    Both sides' keys and digests are joined first; columns are read for keys whose digests
+    differ, and only those rows are shuffled whole.
+    """
+    key, columns = list(key), [*numeric, *text]
+    b = _digest(after, key, columns).withColumnRenamed("_digest", "_other")
+    both = _digest(before, key, columns).join(b, key, "full_outer")
+    presence = F.when(F.col("_other").isNull(), "before_only").when(F.col("_digest").isNull(), "after_only").otherwise("both")
+    both = both.select(*key, presence.alias("presence"), (~F.col("_digest").eqNullSafe(F.col("_other"))).alias("_look"))
+    look = both.filter("_look").select(*key)
+    wide = lambda df, name: df.join(look, key, "left_semi").select(*key, F.struct(*columns).alias(name))
+    rows = both.filter("_look").join(wide(before, "before"), key, "left").join(wide(after, "after"), key, "left")
+    here = F.col("presence") == "both"
+    tests = [F.when(~here | F.coalesce(F.abs(F.col(f"before.{c}") - F.col(f"after.{c}")) > tolerance, F.lit(False)), F.lit(c)) for c in numeric]
+    tests += [F.when(~here | ~F.col(f"before.{c}").eqNullSafe(F.col(f"after.{c}")), F.lit(c)) for c in text]
+    rows = rows.select(*key, "presence", F.filter(F.array(*tests), lambda x: x.isNotNull()).alias("differing"), "before", "after")
+    rows = rows.select(*key, "presence", (~here | (F.size("differing") > 0)).alias("changed"), "differing", "before", "after")
+    alike = both.filter("NOT _look").select(*key, "presence", F.lit(False).alias("changed"), F.array().cast("array<string>").alias("differing"))
+    return rows.unionByName(alike, allowMissingColumns=True)
+
+
 def detect_existing(new: DataFrame, existing: DataFrame, keys: dict[str, Column | str], contexts: dict[str, tuple[Column, Column]]) -> DataFrame:
     """Flags ``dup_<name>`` for keys (same name on both sides) and contexts (new, existing expression), and ``is_duplicate``."""
     out = new
@@ -146,10 +176,43 @@ def distinct_right_join(df: DataFrame, right: DataFrame, key: Sequence[str], ord
     return first_match(df, right, key, order)
 
 
-def contains_join(left: DataFrame, right: DataFrame, equal: Sequence[tuple[str, str]], text: str, part: str) -> DataFrame:
-    """Equal keys, and the right's ``part`` within the left's ``text``."""
-    on = reduce(lambda a, b: a & b, [left[a] == right[b] for a, b in equal]) & F.contains(left[text], right[part])
-    return left.join(right, on)
+def _grams(text: Column, n: int) -> Column:
+    """Distinct substrings of ``n`` characters; '' for none."""
+    if n == 0:
+        return F.array(F.lit(""))
+    ahead = lambda chars: F.transform(chars, lambda c, i: F.concat(c, *[F.get(chars, i + k) for k in range(1, n)]))
+    found = F.get(F.transform(F.array(F.split(text, "")), ahead), F.lit(0))
+    return F.array_distinct(F.filter(found, lambda g: g.isNotNull() & (g != "")))
+
+
+def contains_join(left: DataFrame, right: DataFrame, equal: Sequence[tuple[str, str]], text: str, part: str, q: int = 3) -> DataFrame:
+    """Equal keys, and the right's ``part`` within the left's ``text``.
+
+    Only texts that hold the part's rarest ``q`` characters in a row (the whole part, if it is
+    shorter) are looked at: hashes of texts meet parts in a join on the keys and those
+    characters, and ``contains`` decides. An empty part is in every text; NULLs are in none.
+    """
+    keys = [f"_k{i}" for i in range(len(equal))]
+    same = lambda a, b: reduce(lambda x, y: x & y, [F.col(x) == F.col(y) for x, y in zip(a, b)], F.lit(True))
+    rows = left.withColumn("_id", F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(31), text).alias("b")))
+    parts = right.select(*[F.col(b).alias(k) for k, (_, b) in zip(keys, equal)], F.col(part).alias("_part")).filter("_part IS NOT NULL").distinct()
+    size = F.least(F.length("_part"), F.lit(q))
+    sizes = sorted(r.n for r in parts.select(size.alias("n")).distinct().collect())  # at most q + 1 numbers
+    if not sizes:
+        return left.join(right, F.lit(False))
+    own = F.coalesce(*[F.when(size == n, _grams(F.col("_part"), n)) for n in sizes])
+    wanted = parts.select(*keys, "_part", F.explode(own).alias("_gram"))
+    every = F.flatten(F.array(*[_grams(F.col(text), n) for n in sizes]))
+    held = rows.filter(F.col(text).isNotNull()).select(*[F.col(a).alias(k) for k, (a, _) in zip(keys, equal)], "_id", F.explode(every).alias("_gram"))
+    held = held.join(wanted.select(*keys, "_gram").distinct(), [*keys, "_gram"], "left_semi").distinct()
+    often = held.groupBy(*keys, "_gram").agg(F.count(F.lit(1)).alias("_n"))
+    # a part with characters that no text has is in none
+    rarest = wanted.join(often, [*keys, "_gram"]).groupBy(*keys, "_part").agg(F.min_by("_gram", F.struct("_n", "_gram")).alias("_gram"))
+    pairs = held.join(rarest, [*keys, "_gram"]).select(*keys, "_id", "_part")
+    found = rows.join(pairs.withColumnRenamed("_id", "_i"), same([a for a, _ in equal], keys) & (F.col("_id") == F.col("_i"))).filter(F.contains(text, "_part"))
+    other = right.select("*", *[F.col(b).alias(f"_r{k}") for k, (_, b) in zip(keys, equal)], F.col(part).alias("_r_part"))
+    on = same(keys, [f"_r{k}" for k in keys]) & (F.col("_part") == F.col("_r_part"))
+    return found.join(other, on).drop("_id", "_i", *keys, "_part", "_r_part", *[f"_r{k}" for k in keys])
 
 
 def pivot_map(df: DataFrame, key: Sequence[str], label: str, value: str) -> DataFrame:

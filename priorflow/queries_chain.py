@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import distributions as dist
+from .operators import joins
 from .operators.carried import Carried, CarriedStore
 from .operators.windows import DEFAULT_WINDOWS, long_equity_curve
 from .plans import matches
@@ -286,3 +287,33 @@ def streamed_outcomes(spark, sf):
         rows.filter(F.col("load") == load).write.mode("append").parquet(folder)
         follow_outcomes(spark.readStream.schema(rows.schema).parquet(folder), sink, checkpoint).awaitTermination()
     return read_changes(spark, sink)
+
+
+@query("""
+WITH b AS (SELECT * FROM orders WHERE o_orderkey % 3 <> 0),
+a AS (SELECT * REPLACE (CASE WHEN o_orderkey % 7 = 0 THEN o_totalprice + 1 WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_totalprice END AS o_totalprice, CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE o_orderdate END AS o_orderdate) FROM orders WHERE o_orderkey % 4 <> 0),
+j AS (SELECT coalesce(b.o_orderkey, a.o_orderkey) AS o_orderkey, CASE WHEN a.o_orderkey IS NULL THEN 'before_only' WHEN b.o_orderkey IS NULL THEN 'after_only' ELSE 'both' END AS presence, b.o_totalprice AS p_before, a.o_totalprice AS p_after,
+ [coalesce(abs(b.o_totalprice - a.o_totalprice) > 1e-9, false), b.o_custkey IS DISTINCT FROM a.o_custkey, b.o_orderstatus IS DISTINCT FROM a.o_orderstatus, b.o_orderdate IS DISTINCT FROM a.o_orderdate, b.o_orderpriority IS DISTINCT FROM a.o_orderpriority] AS f
+ FROM b FULL OUTER JOIN a ON a.o_orderkey = b.o_orderkey)
+SELECT o_orderkey, presence, presence <> 'both' OR list_contains(f, true) AS changed, CASE WHEN presence <> 'both' THEN 'o_totalprice,o_custkey,o_orderstatus,o_orderdate,o_orderpriority'
+ ELSE concat_ws(',', CASE WHEN f[1] THEN 'o_totalprice' END, CASE WHEN f[2] THEN 'o_custkey' END, CASE WHEN f[3] THEN 'o_orderstatus' END, CASE WHEN f[4] THEN 'o_orderdate' END, CASE WHEN f[5] THEN 'o_orderpriority' END) END AS differing,
+ CASE WHEN presence <> 'both' OR list_contains(f, true) OR p_before IS DISTINCT FROM p_after THEN p_before END AS p_before, CASE WHEN presence <> 'both' OR list_contains(f, true) OR p_before IS DISTINCT FROM p_after THEN p_after END AS p_after FROM j""")
+def wide_diff(spark, sf):
+    """All columns of two states of orders; rows are compared whole only where digests differ."""
+    k, o = F.col("o_orderkey"), table(spark, sf, "orders")
+    changed = {"o_totalprice": F.when(k % 7 == 0, F.col("o_totalprice") + 1).when(k % 11 == 0, None).otherwise(F.col("o_totalprice")), "o_orderstatus": F.when(k % 5 == 0, "X").otherwise(F.col("o_orderstatus")), "o_orderdate": F.when(k % 13 != 0, F.col("o_orderdate"))}
+    out = joins.diff_digests(o.filter(k % 3 != 0), o.filter(k % 4 != 0).withColumns(changed), ["o_orderkey"], ["o_totalprice"], ["o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority"])
+    return out.select("o_orderkey", "presence", "changed", F.array_join("differing", ",").alias("differing"), F.col("before.o_totalprice").alias("p_before"), F.col("after.o_totalprice").alias("p_after"))
+
+
+@query("""
+WITH p AS (SELECT item_id, substr(text, 1, 40) AS part FROM benchmark UNION ALL SELECT -1, 'th' UNION ALL SELECT -2, '' UNION ALL SELECT -3, 'no such text'),
+d AS (SELECT doc_id, lang, text FROM documents), l AS (SELECT DISTINCT lang FROM d)
+SELECT d.lang, doc_id, item_id FROM d JOIN (SELECT * FROM p, l) r ON d.lang = r.lang AND contains(d.text, r.part)""")
+def passages_within(spark, sf):
+    """Documents that hold a passage, by language."""
+    d = table(spark, sf, "documents").select("doc_id", "lang", "text")
+    p = table(spark, sf, "benchmark").select(F.col("item_id").cast("long").alias("item_id"), F.substring("text", 1, 40).alias("part"))
+    p = p.unionByName(spark.createDataFrame([(-1, "th"), (-2, ""), (-3, "no such text")], "item_id long, part string"))
+    each = joins.expand(p, [(x,) for x in sorted(r.lang for r in d.select("lang").distinct().collect())], ["language"])  # four languages
+    return joins.contains_join(d, each, [("lang", "language")], "text", "part").select("lang", "doc_id", "item_id")
