@@ -4,23 +4,24 @@ Two generative models of hashed n-grams (tokens, pairs of neighbours, and one n-
 token that repeats its neighbour; a token is a word or a run of marks) are fitted in a fixed
 number of buckets: one of target text, the labelled documents of
 good quality that aren't toxic, and one of raw text, all documents. A document's importance
-is the sum of its n-grams' log ratios target / raw, where
+is the log ratio of the two models, the sum over its n-grams of log(target / raw), where
 
-* ratios near 1, and those that chance explains, are shrunk to a log of 0, for and against
-  the target alike;
-* the sum is told from what target text of the same length has: its mean per n-gram times
-  the length, in units of the root of the length, as chance spreads; so length alone earns
-  nothing, and ``margin`` is added.
+* ratios near 1, and those that chance explains, count as 1, for and against the target alike;
+* the sum is taken from what target text of the same length has (its mean per n-gram times
+  the length) and brought to a text of ``REFERENCE`` n-grams by the root of the length, as
+  chance spreads; so length alone earns nothing, and a long text needs no more evidence
+  than a short one.
 
-``margin`` is fitted so that nearly all target documents have an importance above 0, and
-``sharpness`` multiplies it. The resampler draws without replacement by Gumbel top-k: the
-``k`` largest ``importance + Gumbel noise`` stay. Unless ``k`` is given it is the sum of
-``min(1, exp(importance))``: about the number of documents no less like the target than
-target documents are. The noise is a hash of id and text, so runs repeat.
+The resampler draws ``k`` documents without replacement by Gumbel top-k: the ``k`` largest
+``importance + Gumbel noise`` stay, so a document's chance to come next is in proportion to
+``exp(importance)``, its weight. Unless ``k`` is given it is the sum of the weights, each in
+units of a weight that all but ``1 - keep_target`` of the target documents have, and at most
+1: about the number of documents no less like the target than those are. The noise is a hash
+of id, text and seed, so runs repeat.
 
 The k-th largest key is found by counting keys in ranges, three times, never by sorting all.
 
-Defined results: null and empty texts have the margin alone (no evidence against them);
+Defined results: null and empty texts have importance 0 (no evidence against them);
 equal rows have equal keys, and stay or go together: all that tie with the k-th stay;
 without labels nothing is known against any document and all stay; an empty table gives no
 rows; other columns pass through.
@@ -30,7 +31,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,6 +45,8 @@ _BLOCK = 1 << 14
 MAX_LABELS = 60_000
 #: Added to the number of n-grams, so that one chance n-gram in a short text weighs little.
 STEADY = 64
+#: Number of n-grams of the text that importances are those of.
+REFERENCE = 200
 
 #: Byte -> itself within a token: words, and apart from them runs of marks; 0 for blanks.
 _KIND = np.array([0 if c <= 32 or c == 127 else 1 if 48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c >= 128 else 2 for c in range(256)], np.uint8)
@@ -170,6 +173,12 @@ def kth_largest(keys: DataFrame, k: int, digits: int = 3, width: int = 4096) ->
     return low
 
 
+def gumbel_noise(id_: Column, text: Column, seed: int | Column) -> Column:
+    """Standard Gumbel noise from 52 bits of a hash."""
+    bits = F.shiftrightunsigned(F.xxhash64(id_, text, seed if isinstance(seed, Column) else F.lit(seed)), 12).cast("double")
+    return -F.log(-F.log((bits + 0.5) / float(1 << 52)))
+
+
 def resample(
     docs: DataFrame,
     labels: DataFrame,
@@ -178,7 +187,6 @@ def resample(
     k: int | None = None,
     max_labels: int = MAX_LABELS,
     keep_target: float = 0.999,
-    sharpness: float = 100.0,
     seed: int = 7,
 ) -> DataFrame:
     """``docs`` and three more columns at the end: ``importance``, ``gumbel_key`` and ``kept``
@@ -191,14 +199,12 @@ def resample(
     scored = scratch.keep(_scored(known, text_col, ratios, evidence, length), "scored")
     sums = scored.filter(F.col(target) == 1).agg(F.sum(evidence), F.sum(length)).first()
     mean = (sums[0] or 0.0) / max(sums[1] or 0, 1)
-    beyond, spread = F.col(evidence) - F.col(length) * F.lit(mean), F.sqrt(F.col(length) + F.lit(STEADY))
-    good = scored.filter(F.col(target) == 1).agg(F.percentile_approx(beyond / spread, F.lit(1 - keep_target), F.lit(100_000))).first()[0]
-    margin = -min(good if good is not None else 0.0, 0.0)
-    bits = F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.col(text_col), F.lit(seed)), 12).cast("double")
-    gumbel = -F.log(-F.log((bits + 0.5) / float(1 << 52)))
-    keyed = scored.withColumn(importance, (beyond / spread + F.lit(margin)) * F.lit(sharpness))
-    keyed = keyed.withColumn(key, F.col(importance) + gumbel)
-    total = keyed.agg(F.sum(F.exp(F.least(F.col(importance), F.lit(0.0)))), F.count(F.lit(1))).first()
+    spread = F.sqrt((F.col(length) + F.lit(STEADY)) / F.lit(REFERENCE))
+    keyed = scored.withColumn(importance, (F.col(evidence) - F.col(length) * F.lit(mean)) / spread)
+    keyed = keyed.withColumn(key, F.col(importance) + gumbel_noise(F.col(id_col), F.col(text_col), seed))
+    least = keyed.filter(F.col(target) == 1).agg(F.percentile_approx(importance, F.lit(1 - keep_target), F.lit(100_000))).first()[0]
+    unit = min(least if least is not None else 0.0, 0.0)
+    total = keyed.agg(F.sum(F.exp(F.least(F.col(importance) - F.lit(unit), F.lit(0.0)))), F.count(F.lit(1))).first()
     k = min(total[1], round(total[0] or 0) if k is None else k)
     cut = kth_largest(keyed.select(F.col(key).alias("key")), k) if 0 < k < total[1] else float("-inf") if k else float("inf")
     return keyed.withColumn(kept, F.col(key) >= F.lit(cut)).select(*docs.columns, importance, key, kept)

@@ -1,6 +1,7 @@
 """Search, resampling, token files, near duplicates, packing, language, pipeline."""
 
 import itertools
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -152,43 +153,64 @@ def test_resampling_by_length(spark):
 
 
 def test_resampling_brute(spark):
-    """Importances against counts in plain dictionaries, and the top k of importance and noise."""
+    """Importances from counts of n-grams as strings, by the definition, and the top k with noise."""
     rng = np.random.default_rng(6)
-    vocabulary = [f"v{i}" for i in range(60)]
+    vocabulary = ["alpha", "beta", "gamma", "delta", "***", "omega", "bad", "worse"]
     rows = []
     for i in range(240):
-        p = np.ones(60)
-        p[:6] = 0.01 if i % 3 else 8.0  # words of the bad third
-        rows.append((i, " ".join(rng.choice(vocabulary, 50, p=p / p.sum()))))
+        p = np.ones(8)
+        p[6:] = 0.01 if i % 3 else 8.0  # words of the bad third
+        rows.append((i, " ".join(rng.choice(vocabulary, int(rng.integers(5, 120)), p=p / p.sum()))))
     labels = [(i, int(i % 3 > 0), 0) for i in range(0, 240, 2)]
     docs, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     out = {r.doc_id: r for r in resample.resample(docs, lab, k=100).collect()}
 
     def grams(text):
-        buckets, _ = resample.features(pa.array([text]))
-        return buckets.tolist()
+        w = text.split()
+        return w + ["repeat" if a == b else (a, b) for a, b in zip(w, w[1:])]
 
+    known = {g for _, text in rows for g in grams(text)}
+    buckets, _ = resample.features(pa.array([" ".join(text for _, text in rows)]))
+    assert len(set(buckets.tolist())) >= len(known)  # no two n-grams share a bucket here
     raw, target = Counter(), Counter()
     for i, text in rows:
         raw.update(grams(text))
         if i % 2 == 0 and i % 3:
             target.update(grams(text))
     scale = sum(target.values()) / sum(raw.values())
-    ratio = {}
+    log_ratio = {}
     for g, n in raw.items():
-        x = np.log((target[g] + 0.5) / (n * scale + 0.5))
-        ratio[g] = x if abs(x) > 1 + 3 / np.sqrt(min(target[g], n * scale) + 1) else 0.0
-    evidence = {i: sum(ratio[g] for g in grams(text)) for i, text in rows}
+        x = math.log((target[g] + 0.5) / (n * scale + 0.5))
+        log_ratio[g] = x if abs(x) > 1 + 3 / math.sqrt(min(target[g], n * scale) + 1) else 0.0
+    evidence = {i: sum(log_ratio[g] for g in grams(text)) for i, text in rows}
     length = {i: len(grams(text)) for i, text in rows}
     good = [i for i, q, _ in labels if q]
     mean = sum(evidence[i] for i in good) / sum(length[i] for i in good)
-    beyond = {i: (evidence[i] - length[i] * mean) / np.sqrt(length[i] + resample.STEADY) for i, _ in rows}
-    margin = -min(0.0, min(beyond[i] for i in good))
     for i, r in out.items():
-        assert r.importance == pytest.approx(100 * (beyond[i] + margin), abs=1e-5)
+        assert r.importance == pytest.approx((evidence[i] - length[i] * mean) / math.sqrt((length[i] + 64) / 200), abs=1e-6)
+    assert any(v != 0 for v in log_ratio.values())
     ranked = sorted(out, key=lambda i: -out[i].gumbel_key)
     assert {i for i in out if out[i].kept} == set(ranked[:100])
-    assert any(v > 0 for v in ratio.values()) or any(v < 0 for v in ratio.values())
+    # without k: as many as the sum of weights, in units of the weakest target document's
+    least = min(out[i].importance for i in good)
+    kept = resample.resample(docs, lab, keep_target=1.0).filter("kept").count()
+    assert kept == round(sum(min(1.0, math.exp(out[i].importance - min(least, 0.0))) for i in out))
+
+
+def test_noise_draws_by_weight(spark):
+    """Over many seeds the first drawn follows the weights, and the sets drawn are those of successive draws."""
+    weights = [8.0, 4.0, 2.0, 1.0, 1.0]
+    seeds = 20_000
+    rows = spark.createDataFrame([(i, f"text {i}", math.log(w)) for i, w in enumerate(weights)], "id long, text string, importance double")
+    keyed = rows.join(spark.range(seeds).withColumnRenamed("id", "seed")).withColumn("key", F.col("importance") + resample.gumbel_noise(F.col("id"), F.col("text"), F.col("seed")))
+    top = keyed.groupBy("seed").agg(F.reverse(F.sort_array(F.collect_list(F.struct("key", "id")))).alias("k")).select(F.col("k")[0]["id"].alias("a"), F.col("k")[1]["id"].alias("b"))
+    pairs = Counter((r.a, r.b) for r in top.collect())
+    for a, wa in enumerate(weights):
+        first = sum(n for (x, _), n in pairs.items() if x == a) / seeds
+        assert first == pytest.approx(wa / 16, abs=0.012)
+        for b, wb in enumerate(weights):
+            if a != b:
+                assert pairs[a, b] / seeds == pytest.approx(wa / 16 * wb / (16 - wa), abs=0.012)
 
 
 def test_resampling_odd(spark):
