@@ -10,6 +10,10 @@ joins of sorted runs. ``merged`` is one such merge of all runs, owners alone.
 All runs are bucketed alike, so a batch is shuffled once, when its own hashes are counted,
 and no merge shuffles. Everything here is built-in DataFrame functions.
 
+A store with a path of its own stays: a numbered manifest beside the runs lists them by level,
+so that a later job opens it and its batches meet all lines ever added. A writer that finds
+its number taken by another one fails.
+
 A *key* is a line stripped of ``[ \\t-\\r]`` at both ends, with A-Z lower-cased. Each row
 counts as one document. Defined results: a null or empty text is one empty line; rows that
 repeat count each; among equal ids all holders of the largest id keep the line; null ids
@@ -23,8 +27,11 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.manifest import Manifest
 from . import scratch
 
+#: Documents are dealt to so many slices; batches are ranges of them.
+SLICES = 4096
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -49,22 +56,40 @@ class LineStore:
     lie as the runs do.
     """
 
-    def __init__(self, spark: SparkSession, fan_out: int = 2, buckets: int | None = None):
+    def __init__(self, spark: SparkSession, fan_out: int = 2, buckets: int | None = None, path: str | None = None):
         self.spark, self.fan_out = spark, fan_out
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.levels: list[list[DataFrame]] = [[]]
+        self.path = path or scratch.new_path(spark, "line-store")
+        self.manifest = Manifest(spark, f"{self.path}/manifest")
+        self.version, entries = self.manifest.read()
+        self.buckets = entries[0]["buckets"] if entries else buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self._tables: list[str] = []
+        self._entries: list[list[dict]] = [[] for _ in range(1 + max((e["level"] for e in entries), default=0))]
+        self.levels: list[list[DataFrame]] = [[] for _ in self._entries]
+        for entry in entries:
+            self._entries[entry["level"]].append(entry)
+            self.levels[entry["level"]].append(self._opened(entry))
 
     def runs(self) -> list[DataFrame]:
         return [run for level in self.levels for run in level]
 
-    def _write(self, entries: DataFrame) -> DataFrame:
+    def _opened(self, entry: dict) -> DataFrame:
+        """A run written before, under a name in this session's catalog."""
         name = f"priorflow_line_run_{uuid.uuid4().hex}"
-        writer = entries.write.format("parquet").option("compression", "zstd").option("path", scratch.new_path(self.spark, "line-run"))
+        by = "CLUSTERED BY (h1, h2) SORTED BY (h1, h2)"
+        self.spark.sql(f"CREATE TABLE {name} ({entry['columns']}) USING parquet {by} INTO {self.buckets} BUCKETS LOCATION '{entry['path']}'")
+        self._tables.append(name)
+        return self.spark.table(name)
+
+    def _write(self, entries: DataFrame, level: int) -> DataFrame:
+        name, path = f"priorflow_line_run_{uuid.uuid4().hex}", f"{self.path}/runs/{uuid.uuid4().hex}"
+        writer = entries.write.format("parquet").option("compression", "zstd").option("path", path)
         with scratch.shuffle_partitions(self.spark, self.buckets):
             writer.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").saveAsTable(name)
         self._tables.append(name)
-        return self.spark.table(name)
+        run = self.spark.table(name)
+        self._entries[level].append({"level": level, "path": path, "buckets": self.buckets, "columns": ", ".join(f"{c} {t}" for c, t in run.dtypes)})
+        self.levels[level].append(run)
+        return run
 
     @staticmethod
     def _merge(runs: list[DataFrame]) -> DataFrame:
@@ -84,9 +109,9 @@ class LineStore:
         for known in self.runs():
             owned = known.filter("is_new").select("h1", "h2", F.lit(True).alias("owned"))
             entries = entries.hint("merge").join(owned, ["h1", "h2"], "left").select("h1", "h2", "n_docs", "max_id", (F.col("is_new") & F.col("owned").isNull()).alias("is_new"))
-        run = self._write(entries)
-        self.levels[0].append(run)
+        run = self._write(entries, 0)
         self._compact()
+        self.version = self.manifest.commit(self.version, [e for level in self._entries for e in level])
         return run
 
     def _compact(self) -> None:
@@ -95,8 +120,9 @@ class LineStore:
                 return
             if level + 1 == len(self.levels):
                 self.levels.append([])
-            self.levels[level + 1].append(self._write(self._merge(self.levels[level])))
-            self.levels[level] = []
+                self._entries.append([])
+            self._write(self._merge(self.levels[level]), level + 1)
+            self.levels[level], self._entries[level] = [], []
 
     def merged(self) -> DataFrame:
         """(h1, h2, n_docs, max_id), one row for each hash ever added."""
@@ -125,18 +151,21 @@ def dedup_lines(
     text_col: str = "text",
     min_length: int = 20,
     min_docs: int = 3,
-    batches: int = 4,
+    batches: int | None = None,
     fan_out: int = 4,
     part_docs: int = 20_000,
     bucket_rows: int = 2_000_000,
+    batch_rows: int = 500_000_000,
+    store: LineStore | None = None,
 ) -> DataFrame:
     """``docs`` with repeated lines removed from the text, and two more columns at the end,
     ``n_lines`` and ``n_dropped`` (with underscores added where such columns exist).
 
     Keys of ``min_length`` code points or more that ``min_docs`` documents or more hold lose
     all their lines but those of the largest id. Documents go through the store in
-    ``batches`` batches by a hash of the id; buckets of runs hold up to about ``bucket_rows``
-    lines. A line in more than ``part_docs`` documents is dealt to a task for about every so
+    batches by a hash of the id, of about ``batch_rows`` lines and four at least (or
+    ``batches``); buckets of runs hold up to about ``bucket_rows`` lines. With a ``store`` that
+    stays, lines of all documents ever added count, and these documents are added to them. A line in more than ``part_docs`` documents is dealt to a task for about every so
     many.
     """
     spark = docs.sparkSession
@@ -146,14 +175,17 @@ def dedup_lines(
         F.transform(F.filter(F.transform(lines_of(body), line_key), lambda k: F.length(k) >= min_length), key_hash)
     )
     postings = scratch.keep(
-        docs.select(doc.alias("id"), rowkey.alias("row"), F.pmod(F.xxhash64(doc), F.lit(batches)).cast("int").alias("batch"), F.explode(keyed).alias("k"))
-        .select("id", "row", "batch", "k.h1", "k.h2"),
+        docs.select(doc.alias("id"), rowkey.alias("row"), F.pmod(F.xxhash64(doc), F.lit(SLICES)).cast("int").alias("slice"), F.explode(keyed).alias("k"))
+        .select("id", "row", "slice", "k.h1", "k.h2")
+        .sortWithinPartitions("slice"),  # so that a batch reads its own part of each file
         "line-postings",
     )
     total = postings.count()
-    store = LineStore(spark, fan_out, min(100_000, max(spark.sparkContext.defaultParallelism, total // bucket_rows)))
+    batches = batches or min(SLICES, max(4, -(-total // batch_rows)))
+    store = store or LineStore(spark, fan_out, min(100_000, max(spark.sparkContext.defaultParallelism, total // bucket_rows)))
     for batch in range(batches):
-        store.add(postings.filter(F.col("batch") == batch).select("h1", "h2", "id"))
+        first, last = batch * SLICES // batches, (batch + 1) * SLICES // batches - 1
+        store.add(postings.filter(F.col("slice").between(first, last)).select("h1", "h2", "id"))
     # a line of many documents is dealt to several tasks; such lines are few, whatever the input's size
     part_docs = max(part_docs, total // 100_000)
     repeated = scratch.keep(store.merged().filter(F.col("n_docs") >= min_docs).withColumn("parts", F.ceil(F.col("n_docs") / part_docs)), "repeated-lines")

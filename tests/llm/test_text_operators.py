@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from compare import assert_equal_rows
 from conftest_docs import words
 from priorflow.llm import decontam, license_scan, line_dedup, queries, sharding
+from priorflow.sources.manifest import CommitConflict
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -141,6 +142,32 @@ def test_line_store_levels(spark):
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("priorflow_line_run")]
 
 
+def test_line_store_opened_again(spark, tmp_path):
+    """Batches of later jobs meet the runs of earlier ones, through levels, and the texts know all lines."""
+    schema, path = "h1 long, h2 long, id long", str(tmp_path / "store")
+    want = Counter()
+    for job in range(6):
+        store = line_dedup.LineStore(spark, fan_out=2, buckets=3 if job == 0 else None, path=path)
+        assert store.buckets == 3
+        run = store.add(spark.createDataFrame([(k, 0, job) for k in range(job, job + 4)], schema))
+        assert {r.h1 for r in run.filter("is_new").collect()} == {k for k in range(job, job + 4) if not want[k]}
+        want.update(range(job, job + 4))
+        store.close()
+    again = line_dedup.LineStore(spark, fan_out=2, path=path)
+    assert [len(level) for level in again.levels] == [0, 1, 1] and {r.h1: r.n_docs for r in again.merged().collect()} == want
+    assert "Exchange hashpartitioning" not in again.merged()._jdf.queryExecution().executedPlan().toString()
+    other = line_dedup.LineStore(spark, fan_out=2, path=path)
+    again.add(spark.createDataFrame([(99, 0, 1)], schema))
+    with pytest.raises(CommitConflict):
+        other.add(spark.createDataFrame([(98, 0, 1)], schema))
+
+    line, days = "a line that is long enough to count", str(tmp_path / "days")
+    rows = lambda a, b: spark.createDataFrame([(i, f"{line}\nown text number {i} of all the days") for i in range(a, b)], "doc_id long, text string")
+    first = line_dedup.dedup_lines(rows(0, 2), store=line_dedup.LineStore(spark, 4, 2, days)).collect()
+    second = line_dedup.dedup_lines(rows(2, 5), store=line_dedup.LineStore(spark, 4, 2, days)).collect()
+    assert {r.n_dropped for r in first} == {0} and {r.doc_id: r.n_dropped for r in second} == {2: 1, 3: 1, 4: 0}
+
+
 def test_hot_lines(spark):
     """A line of all documents is dealt to several tasks; long lists of lost lines are looked through in parts."""
     line = "a line that every document holds"
