@@ -1,0 +1,77 @@
+"""Similarity of names by matching blocks, for whole Arrow batches at once.
+
+The ratio is twice the letters in matching blocks by all letters: the longest block that two
+texts share (the earliest in the first one, then in the second), then the longest blocks
+before it and after it, and so on. All pairs of a batch are arrays of code points; a round
+looks for the longest block of every open stretch of every pair together, letter by letter of
+the first text, and opens the stretches left and right of what it found.
+"""
+
+from __future__ import annotations
+
+import difflib
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: From this length of the second text on, the reference measure skips frequent letters; such pairs are rare and go to it.
+LONG = 200
+
+
+def _letters(texts: list[str]) -> np.ndarray:
+    """(texts, longest) code points, 0 where a text has ended."""
+    width = max(1, *map(len, texts)) if texts else 1
+    return np.array(texts, dtype=f"U{width}").view(np.uint32).reshape(len(texts), width)
+
+
+def _longest(a: np.ndarray, b: np.ndarray, open_: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Size and both begins of the longest block of each stretch (pair, a from, a to, b from, b to)."""
+    pair, a0, a1, b0, b1 = open_.T
+    n, j = len(pair), np.arange(b.shape[1])
+    inside = (j >= b0[:, None]) & (j < b1[:, None])
+    there = b[pair]
+    size, at_a, at_b = np.zeros(n, np.int64), a0.copy(), b0.copy()
+    run = np.zeros((n, b.shape[1] + 1), np.int16)
+    for i in range(int((a1 - a0).max(initial=0))):
+        here = a0 + i
+        letter = a[pair, np.minimum(here, a.shape[1] - 1)]
+        same = inside & (there == letter[:, None]) & (here < a1)[:, None]
+        run[:, 1:] = np.where(same, run[:, :-1] + 1, 0)
+        best = run[:, 1:].argmax(1)
+        length = run[np.arange(n), best + 1].astype(np.int64)
+        more = length > size
+        size[more], at_a[more], at_b[more] = length[more], (here - length + 1)[more], (best - length + 1)[more]
+    return size, at_a, at_b
+
+
+def ratios(first: list[str], second: list[str]) -> np.ndarray:
+    """The similarity of each pair of texts, 1.0 where both are empty."""
+    total = np.array([len(x) + len(y) for x, y in zip(first, second)], float)
+    matched = np.zeros(len(first), np.int64)
+    short = np.array([len(y) < LONG and "\0" not in x + y for x, y in zip(first, second)], bool)
+    rows = np.flatnonzero(short)
+    a, b = _letters([first[i] for i in rows]), _letters([second[i] for i in rows])
+    stretches = np.array([[k, 0, len(first[i]), 0, len(second[i])] for k, i in enumerate(rows)], np.int64).reshape(-1, 5)
+    while len(stretches := stretches[(stretches[:, 1] < stretches[:, 2]) & (stretches[:, 3] < stretches[:, 4])]):
+        size, at_a, at_b = _longest(a, b, stretches)
+        found = size > 0
+        stretches, size, at_a, at_b = stretches[found], size[found], at_a[found], at_b[found]
+        np.add.at(matched, rows[stretches[:, 0]], size)
+        left, right = stretches.copy(), stretches.copy()
+        left[:, 2], left[:, 4], right[:, 1], right[:, 3] = at_a, at_b, at_a + size, at_b + size
+        stretches = np.concatenate((left, right))
+    out = np.where(total > 0, 2 * matched / np.maximum(total, 1), 1.0)
+    for i in np.flatnonzero(~short):
+        out[i] = difflib.SequenceMatcher(None, first[i], second[i]).ratio()
+    return out
+
+
+@F.pandas_udf(T.DoubleType())
+def similarity(first: pd.Series, second: pd.Series) -> pd.Series:
+    """NULL where either is."""
+    both = (first.notna() & second.notna()).to_numpy()
+    out = np.full(len(first), np.nan)
+    out[both] = ratios(first[both].tolist(), second[both].tolist())
+    return pd.Series(out).where(both, None)

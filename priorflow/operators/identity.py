@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import difflib
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.similarity import similarity
 from ..functions.text import minted_id, normalize_name
 
 CUTOFF = 0.87
@@ -88,15 +86,7 @@ def resolve_names(requests: DataFrame, players: DataFrame, group: str, raw: str,
     names = index.groupBy(group, "norm").agg(F.collect_set(ident).alias("ids")).withColumnRenamed("norm", "close")
     pairs = close_candidates(left, names.select(group, "close"), group, cutoff).join(names, [group, "close"])
 
-    @F.pandas_udf("double")
-    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        def one(x: str, y: str) -> float:
-            m = difflib.SequenceMatcher(None, y, x)
-            return m.ratio() if m.real_quick_ratio() >= cutoff and m.quick_ratio() >= cutoff else 0.0
-
-        return pd.Series([one(x, y) for x, y in zip(a, b)], dtype=float)
-
-    close = pairs.withColumn("ratio", ratio("norm", "close")).filter(F.col("ratio") >= cutoff)
+    close = pairs.withColumn("ratio", similarity("close", "norm")).filter(F.col("ratio") >= cutoff)
     nth = F.row_number().over(W.partitionBy(group, "norm").orderBy(F.desc("ratio"), F.desc("close")))
     first = close.withColumn("nth", nth).filter("nth <= 3")
     top = first.groupBy(group, "norm").agg(F.array_sort(F.collect_list(F.struct("nth", "close", "ids"))).alias("top"))
