@@ -124,14 +124,19 @@ def benchmark_hits(
     max_bytes: int = 32 << 20,
     out: str = "hits",
     max_items: int = 1_000_000,
+    max_text_bytes: int = 32 << 20,
 ) -> DataFrame:
     """``docs`` with a struct ``out``: n_words, n_hit, items, spans (original code points).
 
-    Benchmarks are small by nature; more than ``max_items`` items is an error, since they
-    are gathered on the driver to build the automaton.
+    Benchmarks are small by nature; more than ``max_items`` items, or more than
+    ``max_text_bytes`` of them, is an error, since they are gathered on the driver to build the
+    automaton, and all workers hold it (about 13 times the items' bytes).
     """
     spark = docs.sparkSession
     scratch.small_batches(spark)
+    held = benchmark.agg(F.sum(F.octet_length(F.col(item_text_col)).cast("long"))).first()[0] or 0
+    if held > max_text_bytes:
+        raise ValueError(f"{held} bytes of benchmark items; raise max_text_bytes, or scan for some of them at a time")
     items = benchmark.select(F.col(item_col).cast("string"), F.col(item_text_col)).limit(max_items + 1).collect()
     if len(items) > max_items:
         raise ValueError(f"more than {max_items} benchmark items; raise max_items")

@@ -4,8 +4,12 @@ Texts with equal word sequences form a *node*. A node's weighted set holds its s
 ``width`` consecutive words (all words, if fewer), weighted by TF times IDF:
 
 * TF is ``1 + floor(log2(count))``;
-* IDF falls in steps of 0.05 from 1.0 to 0.8 with the share of documents that hold the
-  shingle. Shares come from a count-min sketch over all documents, whose size is fixed.
+* IDF is 1 less 0.05 for every factor of 4 by which the share of documents that hold the
+  shingle exceeds 2**-12, and 0.8 at least: a logarithm of the share, in whole steps, that no
+  group of copies can bring so low that its members' other words decide. Shares come from a
+  count-min sketch over all documents. Its size is fixed, and each cell is freed of what
+  other shingles put there on average, so that a shingle of its own keeps 1.0 however long
+  texts are.
 
 Improved consistent weighted sampling draws 64 samples of each set: two sets share a sample
 with a probability of their weighted Jaccard similarity. Samples are banded (16 bands of 4);
@@ -37,7 +41,7 @@ from pyspark.sql import types as T
 from . import bytewords, scratch
 
 WIDTH, THRESHOLD, BANDS, ROWS = 5, 0.8, 16, 4
-_SIZE, _DEPTH, _BLOCK = 1 << 19, 2, 1 << 13
+_SIZE, _DEPTH, _BLOCK = 1 << 19, 4, 1 << 13
 #: Shares of documents above which a shingle's IDF falls by one step.
 _SHARES = (2.0**-10, 2.0**-8, 2.0**-6, 2.0**-4)
 _TABLE = 14  # bits of a row of random triples
@@ -75,7 +79,7 @@ def shingles(words: np.ndarray, first: np.ndarray, width: int = WIDTH) -> tuple[
 
 def _places(hashes: np.ndarray) -> list[np.ndarray]:
     bits = np.uint64(64 - _SIZE.bit_length() + 1)
-    return [((hashes * np.uint64(m)) >> bits).astype(np.int64) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
+    return [((hashes * np.uint64(m)) >> bits).astype(np.int64) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
 class Weights:
@@ -160,12 +164,19 @@ def _document_shares(docs: DataFrame, text_col: str, width: int) -> np.ndarray:
 
     schema = "block int, counts binary, n long"
     parts = docs.select(text_col).mapInArrow(count, schema)
-    blocks = parts.repartition("block").mapInArrow(add, schema).collect()  # 2 * size / block rows of 64 KB
-    steps, n = np.zeros((_DEPTH * _SIZE // _BLOCK, _BLOCK), np.uint8), max([1, *(b.n for b in blocks)])
+    blocks = parts.repartition("block").mapInArrow(add, schema).collect()  # _DEPTH * _SIZE / _BLOCK rows of 64 KB, whatever the input
+    cells, n = np.zeros((_DEPTH * _SIZE // _BLOCK, _BLOCK), np.int64), max([1, *(b.n for b in blocks)])
     for b in blocks:
-        share = np.frombuffer(b.counts, np.int64) / n
-        steps[b.block] = sum((share > s).astype(np.uint8) for s in _SHARES)
-    return steps.reshape(_DEPTH, _SIZE)
+        cells[b.block] = np.frombuffer(b.counts, np.int64)
+    return idf_steps(cells.reshape(_DEPTH, _SIZE), n)
+
+
+def idf_steps(cells: np.ndarray, n: int) -> np.ndarray:
+    """IDF steps of a sketch of ``n`` documents; a cell's count is less what the other cells
+    have on average, rounded to whole documents."""
+    others = np.rint((cells.sum(1, keepdims=True) - cells) / (cells.shape[1] - 1))
+    share = (cells - others) / n
+    return sum((share > s).astype(np.uint8) for s in _SHARES)
 
 
 def _signatures(docs: DataFrame, id_col: str, text_col: str, weights, width: int) -> DataFrame:

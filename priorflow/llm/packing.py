@@ -98,13 +98,20 @@ def places(patterns: list[tuple[int, tuple[int, ...]]]) -> list[tuple[int, int,
     return out
 
 
-def pack(tokens: DataFrame, size: int = 1024, spread: int = 64, payload=None) -> DataFrame:
+#: Up to so many rows of ranks' beginnings are broadcast; more are joined as the ranks lie.
+MOST_OFFSETS = 1_000_000
+
+
+def pack(tokens: DataFrame, size: int = 1024, spread: int | None = None, payload=None, part_rows: int = 200_000) -> DataFrame:
     """Pieces of :func:`tokenise` rows: (row, id, n_tokens, start, length, sequence_id, offset, ...).
 
     ``payload(ids, start, length)`` says what is kept of each piece's bytes: the bytes
-    themselves, unless given.
+    themselves, unless given. Documents whose last pieces are equally long are ranked in
+    ``spread`` parts, unless given as many as keep a part near ``part_rows`` documents even if
+    all were equally long.
     """
     spark = tokens.sparkSession
+    spread = spread or max(64, -(-tokens.count() // part_rows))
     if payload is None:
         payload = lambda ids, start, length: F.substring(ids, (4 * start + 1).cast("int"), (4 * length).cast("int"))
     full = F.floor(F.col("n_tokens") / size)
@@ -129,7 +136,7 @@ def pack(tokens: DataFrame, size: int = 1024, spread: int = 64, payload=None) ->
     ranked = (
         rows.withColumn("nth", F.row_number().over(own) - 1)
         .withColumn("full_nth", F.coalesce(F.sum("n_full").over(own.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-        .join(F.broadcast(offsets), ["rest", "part"])
+        .join(F.broadcast(offsets) if spread * size <= MOST_OFFSETS else offsets, ["rest", "part"])
         .join(F.broadcast(base_of), "rest")
         .withColumn("rank", F.col("rank_from") + F.col("nth"))
     )

@@ -326,6 +326,19 @@ def brute_classes(rows):
     return {i: root(i) for i, _ in rows}
 
 
+def test_idf_of_long_texts():
+    """Shingles of their own keep an IDF of 1.0 however many a text has; shared ones get their share's step."""
+    rng, n = np.random.default_rng(3), 4000
+    for length in (300, 1500, 4000):
+        cells = rng.poisson(n * length / near_dup._SIZE, (near_dup._DEPTH, near_dup._SIZE))
+        shared = rng.choice(near_dup._SIZE, 50, replace=False)
+        cells[:, shared] += n // 8
+        steps = near_dup.idf_steps(cells, n).min(0)
+        own = np.delete(steps, shared)
+        assert (own == 0).mean() > 0.99 and (steps[shared] == 4).all()
+    assert near_dup.idf_steps(np.zeros((2, 8), np.int64), 1).max() == 0
+
+
 def test_near_duplicates_brute(spark):
     rows = []
     for i in range(40):

@@ -63,6 +63,12 @@ def test_decontamination_odd(spark, odd, none):
     assert out.schema.names[:-1] == odd.columns
 
 
+def test_benchmarks_beyond_the_bound(spark, odd):
+    bench = spark.createDataFrame([(1, "some words of an item")], "item_id long, text string")
+    with pytest.raises(ValueError, match="bytes of benchmark items"):
+        decontam.benchmark_hits(odd, bench, max_text_bytes=10)
+
+
 def test_license_base_and_fuzzy(spark, odd, none):
     f = license_scan.Finder()
     row = f.scan("X. MIT License MIT license! cc-by Apache Licence")
