@@ -16,6 +16,7 @@ from .operators import identity, joins, quality, rules, selection
 from .operators import windows as win
 from .plans import calibrate
 from .registry import QUERIES, SQL, query, r, rounded, table
+from .session import work_path
 from .sources import readers
 from .streaming import ledgers
 
@@ -548,7 +549,10 @@ WITH late AS (SELECT * FROM events WHERE ts >= TIMESTAMP '2024-01-05'), seen AS
 SELECT min(event_id) AS event_id, user_id, event_type, min_by(value, event_id) AS value FROM late ANTI JOIN seen USING (user_id, event_type) GROUP BY user_id, event_type""")
 def keyed_append(spark, sf):
     e = table(spark, sf, "events").select("event_id", "user_id", "event_type", "value", (F.col("ts") < F.lit("2024-01-05").cast("timestamp_ntz")).alias("early"))
-    return ledgers.new_rows(e.filter("early"), e.filter("NOT early"), ["user_id", "event_type"], ["event_id"]).drop("early")
+    path, key, order = work_path(spark, "keyed"), ["user_id", "event_type"], ["event_id"]
+    ledgers.append(spark, path, e.filter("early"), key, order)
+    ledgers.append(spark, path, e.filter("NOT early"), key, order)
+    return spark.read.parquet(path).filter("NOT early").drop("early")
 
 
 _PRE = "(SELECT o_orderkey, o_custkey, 1.2 + (o_orderkey % 37) / 10.0 AS decimal_odds, (o_orderkey % 40) + 0.5 * (o_orderkey % 2) AS line, CASE WHEN o_orderkey % 3 = 0 THEN 'under' ELSE 'over' END AS side, l.actual, CASE WHEN l.actual IS NULL THEN NULL WHEN o_orderkey % 19 = 0 THEN 'retirement' ELSE 'completed' END AS st FROM orders LEFT JOIN (SELECT l_orderkey, max(l_quantity) AS actual FROM lineitem GROUP BY 1) l ON l_orderkey = o_orderkey)"
@@ -781,7 +785,7 @@ def calibration_curves(spark, sf):
 
 @query()
 def logistic_model(spark, sf):
-    """L2 logistic regression on four features; tests compare a direct fit."""
+    """L2 logistic regression on three features; tests compare a direct fit."""
     df = _yp(spark, sf)
     train, test = df.filter("l_orderkey % 2 = 0"), df.filter("l_orderkey % 2 = 1")
     out = calibrate.logistic_predictions(train, test, ["l_quantity", "l_discount", "l_tax"], "y")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -162,29 +161,36 @@ def report_sample(spark, sf):
     return readers.union_csv(spark, [path], _struct("o_orderkey long, o_totalprice double")).drop("_source_file")
 
 
-@query("""SELECT count(*) AS n, max(o_orderkey) AS top FROM orders""")
+@query("""SELECT o_orderpriority AS priority, count(*) AS n, max(o_orderkey) AS top, NULL::VARCHAR AS note FROM orders GROUP BY 1""")
 def summary_json(spark, sf):
-    one = json.loads(sinks.summary_json(table(spark, sf, "orders").agg(F.count(F.lit(1)).alias("n"), F.max("o_orderkey").alias("top"))))
-    return spark.createDataFrame([(one["n"], one["top"])], "n long, top long")
+    """Diagnostics of orders written as JSON and read back."""
+    path = work_path(spark, "summary")
+    rows = table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("priority")).agg(F.count(F.lit(1)).alias("n"), F.max("o_orderkey").alias("top"), F.lit(None).cast("string").alias("note"))
+    sinks.summary_json(rows, path)
+    return spark.read.schema("priority string, n long, top long, note string").json(path)
 
 
-@query("""SELECT n_nationkey AS place, '| ' || n_nationkey::VARCHAR || ' | ' || n_name || ' |' AS line FROM nation""")
+@query("""SELECT '| ' || c_custkey::VARCHAR || ' | ' || c_name || ' | ' || CASE WHEN c_nationkey % 5 = 0 THEN '' ELSE c_mktsegment || '\\|' || c_nationkey::VARCHAR END || ' |' AS line FROM customer UNION ALL SELECT '| c_custkey | c_name | segment |' UNION ALL SELECT '|---|---|---|'""")
 def markdown_lines(spark, sf):
-    lines = sinks.markdown_table(table(spark, sf, "nation").select("n_nationkey", "n_name"), ["n_nationkey"]).split("\n")
-    return spark.createDataFrame(list(enumerate(lines[2:])), "place int, line string")
+    """All customers as a Markdown table, written in order by Spark and read back."""
+    path, k = work_path(spark, "markdown"), F.col("c_nationkey")
+    rows = table(spark, sf, "customer").select("c_custkey", "c_name", F.when(k % 5 != 0, F.concat("c_mktsegment", F.lit("|"), k.cast("string"))).alias("segment"))
+    sinks.markdown_table(rows, path, ["c_custkey"])
+    return spark.read.text(path).select(F.col("value").alias("line"))
 
 
-@query("""SELECT 'abc' AS id, 3::BIGINT AS n, true AS refused""")
+@query("""SELECT o_orderstatus AS id, count(*) AS n, round(sum(o_totalprice), 2) AS total, true AS refused FROM orders GROUP BY 1""")
 def stored_record(spark, sf):
-    """A record in a folder of its own; the same id again is refused."""
+    """A record for each status of orders in a folder of its own; the same folder again is refused."""
     path = work_path(spark, "record")
-    sinks.store_record(spark, path, {"id": "abc", "n": 3})
+    rows = table(spark, sf, "orders").groupBy(F.col("o_orderstatus").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    sinks.store_record(rows, path, "id")
     try:
-        sinks.store_record(spark, path, {"id": "abc", "n": 4})
+        sinks.store_record(rows.withColumn("n", F.lit(0)), path, "id")
         refused = False
     except Exception as error:  # noqa: BLE001  (Spark's own error classes differ by version)
         refused = "already exists" in str(error)
-    return readers.json_records(spark, path, _struct("id string, n long")).withColumn("refused", F.lit(refused))
+    return readers.json_records(spark, path, _struct("n long, total double, id string")).withColumn("refused", F.lit(refused))
 
 
 @query("""

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import work_path
@@ -16,15 +15,15 @@ def overwrite(df: DataFrame, path: str, by: Sequence[str] = ()) -> None:
 
 
 def report_csv(df: DataFrame, path: str, order: Sequence[str], last: int | None = None) -> None:
-    """One CSV file of a small report; ``last`` keeps the last rows by order."""
+    """One CSV file of a report that people open: its rows meet in one task, so give ``last``
+    (keeps the last rows by order) where a table has more than some 10**5 rows."""
     df = df.orderBy(*[F.desc(c) for c in order]).limit(last) if last else df.orderBy(*order)
     df.coalesce(1).write.mode("overwrite").csv(path, header=True)
 
 
-def summary_json(df: DataFrame) -> str:
-    """The first row of a one-row diagnostic table as JSON."""
-    row = df.first()
-    return json.dumps(row.asDict(True) if row else {}, default=str, sort_keys=True)
+def summary_json(df: DataFrame, path: str) -> None:
+    """A diagnostic table as JSON, an object for each row, NULLs written out; rows may be many."""
+    df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
 
 
 def predictions_by_fold(df: DataFrame, keep: Sequence[str], path: str) -> None:
@@ -65,13 +64,23 @@ def store_contents(spark: SparkSession, incoming: DataFrame, folder: str, stamp:
     return plan
 
 
-def markdown_table(df: DataFrame, order: Sequence[str], limit: int = 1000) -> str:
-    """A small report as Markdown; at most ``limit`` rows, as people read it."""
-    rows = df.orderBy(*order).limit(limit).collect()
-    lines = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
-    return "\n".join(lines + ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows])
+def markdown_rows(df: DataFrame) -> Column:
+    """A row as a line of a Markdown table; NULLs are empty, and what would end a cell is escaped."""
+    cell = lambda c: F.replace(F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))
+    return F.concat(F.lit("| "), F.concat_ws(" | ", *[cell(c) for c in df.columns]), F.lit(" |"))
 
 
-def store_record(spark: SparkSession, path: str, record: dict) -> None:
-    """One JSON record in a folder of its own id; an id that is there already is an error."""
-    spark.createDataFrame([(json.dumps(record, sort_keys=True),)], "value string").coalesce(1).write.mode("errorifexists").text(path)
+def markdown_table(df: DataFrame, path: str, order: Sequence[str]) -> None:
+    """A Markdown table as text files in order: the head in a first file, then ranges of rows.
+
+    Spark sorts and writes; nothing comes to the driver, so a table of any size can be told.
+    """
+    spark = df.sparkSession
+    head = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
+    spark.createDataFrame([("\n".join(head),)], "value string").coalesce(1).write.mode("errorifexists").text(f"{path}/part=0")
+    df.orderBy(*order).select(markdown_rows(df).alias("value")).write.mode("errorifexists").text(f"{path}/part=1")
+
+
+def store_record(records: DataFrame, path: str, ident: str) -> None:
+    """Records as JSON, each in a folder of its own id; a store that is there already is an error."""
+    records.write.mode("errorifexists").partitionBy(ident).json(path)
