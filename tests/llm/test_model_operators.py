@@ -327,8 +327,9 @@ def brute_classes(rows):
 
 
 def test_idf_of_long_texts():
-    """Shingles of their own keep an IDF of 1.0 however many a text has; shared ones get their share's step."""
-    rng, n = np.random.default_rng(3), 4000
+    """Shingles of their own keep an IDF of 1.0 however many a text has, once there are documents
+    enough that chance loads stay below the first share; shared ones get their share's step."""
+    rng, n = np.random.default_rng(3), 100_000
     for length in (300, 1500, 4000):
         cells = rng.poisson(n * length / near_dup._SIZE, (near_dup._DEPTH, near_dup._SIZE))
         shared = rng.choice(near_dup._SIZE, 50, replace=False)
