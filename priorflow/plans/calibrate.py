@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import logit
-from ..session import work_path
+from ..session import ship_package, work_path
 
 MIN_TRAIN = 500
 #: Newton steps of a Platt curve; they double the digits each, so fewer would do.
@@ -163,6 +163,7 @@ def isotonic_fits(train: DataFrame) -> DataFrame:
 
     Ranges of probability are pooled on their own, so what meets in a target is its blocks.
     """
+    ship_package(train.sparkSession)
     blocks = train.select("target", F.col("p").alias("lo"), F.col("p").alias("hi"), F.col("n").alias("w"), "s")
     local = blocks.repartitionByRange("target", "lo").sortWithinPartitions("target", "lo").mapInPandas(_pool, _BLOCKS)
     whole = local.repartition("target").sortWithinPartitions("target", "lo").mapInPandas(_pool, _BLOCKS)

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import pathlib
 import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -30,3 +32,18 @@ def work_path(spark: SparkSession, name: str) -> str:
             atexit.register(shutil.rmtree, _LOCAL[0], True)
         base = "file://" + _LOCAL[0]
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to Python workers, once for each session; they may run where it isn't installed."""
+    context = spark.sparkContext
+    if getattr(context, "_priorflow_shipped", False):
+        return
+    root = pathlib.Path(__file__).resolve().parent
+    folder = pathlib.Path(tempfile.mkdtemp(prefix="priorflow-zip-"))
+    atexit.register(shutil.rmtree, str(folder), True)
+    with zipfile.ZipFile(folder / "priorflow_package.zip", "w") as archive:
+        for file in sorted(root.rglob("*.py")):
+            archive.write(file, file.relative_to(root.parent))
+    context.addPyFile(str(folder / "priorflow_package.zip"))
+    context._priorflow_shipped = True

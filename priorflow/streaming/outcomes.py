@@ -9,9 +9,11 @@ of one key meets in one worker, as its order decides.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -60,6 +62,8 @@ def follow_outcomes(stream: DataFrame, path: str, checkpoint: str):
     """
     spark, name = stream.sparkSession, "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(name)
+    # the worker that readies the state reads this class before shipped files are there
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     changes = stream.groupBy("key").transformWithStateInPandas(Outcomes(), CHANGE, "Update", "None")
 
     def write(df: DataFrame, batch: int) -> None:

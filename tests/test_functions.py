@@ -136,19 +136,3 @@ def test_close_candidates_lose_nothing(spark):
     left = spark.createDataFrame([("g", n) for n in names], "g string, norm string")
     got = {(r.norm, r.close) for r in identity.close_candidates(left, left.withColumnRenamed("norm", "close"), "g", identity.CUTOFF).collect()}
     assert want - {(n, n) for n in names} <= got and len(got) < len(names) ** 2 / 4
-
-
-def test_similarity_equals_the_plain_measure(spark):
-    from priorflow.functions.similarity import ratios, similarity
-
-    rng = random.Random(4)
-    name = lambda alphabet: "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 30)))
-    pairs = [(name(a), name(a)) for a in ("ab", "abc ", "abcdefghij é😀") for _ in range(700)]
-    for x, y in list(pairs[:500]):  # edited copies
-        k = rng.randint(0, len(x))
-        pairs.append((x, x[:k] + y[:2] + x[k + rng.randint(0, 2) :]))
-    pairs += [("", ""), ("", "a"), ("a" * 250, "ab" * 120), ("x\0y", "x\0z")]
-    want = [difflib.SequenceMatcher(None, a, b).ratio() for a, b in pairs]
-    assert ratios([a for a, _ in pairs], [b for _, b in pairs]).tolist() == want
-    df = spark.createDataFrame([("anna", "hanna"), (None, "a")], "a string, b string").select(similarity("a", "b").alias("r"))
-    assert [r.r for r in df.collect()] == [8 / 9, None]
