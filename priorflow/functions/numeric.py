@@ -33,6 +33,11 @@ def safe_ratio(num: Column, den: Column) -> Column:
     return F.when(den > 0, num / den)
 
 
+def float_ratio(num: Column, den: Column) -> Column:
+    """``num / den`` as floating point has it: by 0 infinite, and 0 by 0 NaN. NULL in, NULL out."""
+    return F.when(den != 0, num / den).when(den == 0, num * F.lit(float("inf")))
+
+
 def no_nan(x: Column) -> Column:
     """NaN becomes NULL; used where floats enter or leave."""
     return F.when(~F.isnan(x), x)
@@ -91,8 +96,9 @@ def pnl_units(settlement: Column, odds: Column, stake: Column | float = 1.0) ->
 
 
 def closing_line_value(used: Column, closing: Column) -> Column:
-    """Struct clv_pct, prob_diff of the price used against the closing price."""
-    return F.struct(((used / closing - 1) * 100).alias("clv_pct"), (1 / closing - 1 / used).alias("prob_diff"))
+    """Struct clv_pct, prob_diff of the price used against the closing price; prices of 0 divide as floats do."""
+    one = F.lit(1.0)
+    return F.struct(((float_ratio(used, closing) - 1) * 100).alias("clv_pct"), (float_ratio(one, closing) - float_ratio(one, used)).alias("prob_diff"))
 
 
 def range_bucket(x: Column, ranges: Sequence[tuple[int, int | None, str]]) -> Column:
