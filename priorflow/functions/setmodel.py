@@ -18,9 +18,10 @@ def _held(p: Column) -> Column:
     return F.when((p > 0) & (p < 1), p).otherwise(F.least(F.greatest(p, F.lit(1e-6)), F.lit(1 - 1e-6)))
 
 
-def set_expectation(p_hold_a: Column | str, p_hold_b: Column | str) -> Column:
+def set_expectation(p_hold_a: Column | str, p_hold_b: Column | str, bounded: bool = True) -> Column:
     """Struct p_set, games_a, games_b, p_tiebreak: the set's win probability for A, mean games
-    and the probability of a tie-break. NULL in, NULL out."""
+    and the probability of a tie-break. NULL in, NULL out. Unless ``bounded``, rates that are no
+    probabilities go through the chain as they are."""
     a, b = (F.col(p) if isinstance(p, str) else p for p in (p_hold_a, p_hold_b))
     zero = F.lit(0.0)
     start = F.struct(F.array(F.lit(1.0), *[zero] * 7).alias("level"), zero.alias("won"), zero.alias("games_a"), zero.alias("games_b"))
@@ -50,15 +51,15 @@ def set_expectation(p_hold_a: Column | str, p_hold_b: Column | str) -> Column:
 
         return F.get(F.transform(F.array(walk), done), F.lit(0))
 
-    both = F.array(F.struct(_held(a).alias("a"), _held(b).alias("b")))
+    held = _held if bounded else (lambda p: p)
+    both = F.array(F.struct(held(a).alias("a"), held(b).alias("b")))
     return F.when(a.isNotNull() & b.isNotNull(), F.get(F.transform(both, whole), F.lit(0)))
 
 
-def with_set(df: DataFrame, p_hold_a: str, p_hold_b: str, out: str = "set") -> DataFrame:
-    """``df`` with the set's struct, walked once for each distinct pair of probabilities."""
-    pairs = df.select(F.col(p_hold_a).alias("_a"), F.col(p_hold_b).alias("_b")).distinct().withColumn(out, set_expectation("_a", "_b"))
-    on = F.col(p_hold_a).eqNullSafe(F.col("_a")) & F.col(p_hold_b).eqNullSafe(F.col("_b"))
-    return df.join(pairs, on).drop("_a", "_b")
+def with_set(df: DataFrame, p_hold_a: str, p_hold_b: str, out: str = "set", bounded: bool = True) -> DataFrame:
+    """``df`` with the set's struct, walked in its own row: means that are worked out twice need
+    not be equal to the last bit, so distinct pairs can't be joined back."""
+    return df.withColumn(out, set_expectation(p_hold_a, p_hold_b, bounded))
 
 
 def match_expectation(s: Column, best_of: Column | int) -> Column:
