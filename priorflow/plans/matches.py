@@ -209,13 +209,20 @@ def chain(facts: DataFrame, windows: Sequence[str] = ADJUSTED) -> DataFrame:
     return with_targets(adjusted_predictions(matchup(base), windows)).drop("_pair_a", "_pair_b")
 
 
-def lines(df: DataFrame, lam: str, r: str, mean: str) -> DataFrame:
+def with_grids(groups: DataFrame, r: str, mean: str, out: str = "grid") -> DataFrame:
+    """Groups that have a dispersion, with their lines."""
+    return groups.filter(F.col(r).isNotNull()).withColumn(out, dist.line_grid(F.col(mean), F.col(r)))
+
+
+def lines(df: DataFrame, lam: str, r: str, mean: str, grid: str | None = None) -> DataFrame:
     """A row per line of each group's grid: (…, line, p_poisson, p_negbin, difficulty).
 
-    Grids are made once per distinct (mean, r); groups without a dispersion give no rows.
+    ``grid`` names a column of lines that :func:`with_grids` made once per group; without it
+    each row makes its own. Nothing is joined on mean or dispersion, as a table that is worked
+    out twice may differ in their last bits. Groups without a dispersion give no rows.
     """
-    grids = df.select(mean, r).distinct().filter(F.col(r).isNotNull()).withColumn("_lines", dist.line_grid(F.col(mean), F.col(r)))
-    out = df.join(grids, [mean, r]).select("*", F.explode("_lines").alias("line")).drop("_lines")
+    ready = df.filter(F.col(r).isNotNull()) if grid else with_grids(df, r, mean, "_lines")
+    out = ready.select("*", F.explode(grid or "_lines").alias("line")).drop(grid or "_lines")
     return out.select("*", dist.over_probability(F.col(lam), None, F.col("line")).alias("p_poisson"), dist.over_probability(F.col(lam), F.col(r), F.col("line")).alias("p_negbin"), dist.line_difficulty(F.col("line"), F.col(lam), F.col(r)).alias("difficulty"))
 
 

@@ -181,8 +181,9 @@ def fact_lines(spark, sf):
     """Every line of each surface's grid for every side of every match, with its probabilities."""
     facts = matches.isolated_predictions(matches.profile(matches.derived(matches.player_matches(raw_matches(spark, sf), "ATP"))), ["career"])
     groups = facts.groupBy("surface").agg(F.avg("aces").alias("mean"), dist.moments_r(F.avg("aces"), F.var_pop("aces")).alias("r"))
+    groups = matches.with_grids(groups, "r", "mean")
     rows = facts.select("match_id", "player_id", "result", "surface", F.col("pred_aces_isolated_career").alias("lam")).join(groups, "surface")
-    return rounded(matches.lines(rows, "lam", "r", "mean").select("match_id", "player_id", "result", "line", "p_poisson", "p_negbin", "difficulty"), 8)
+    return rounded(matches.lines(rows, "lam", "r", "mean", "grid").select("match_id", "player_id", "result", "line", "p_poisson", "p_negbin", "difficulty"), 8)
 
 
 _CUTS = ("1996-06-01", "1997-06-01")
