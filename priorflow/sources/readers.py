@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -136,18 +136,30 @@ def normal_lines(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, r"\r?\n"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x != "")
 
 
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def section(lines: Column, start: str, stop: Sequence[str]) -> Column:
     """Lines after the first equal to ``start`` up to the next that is in ``stop``."""
-    begin = F.array_position(lines, start).cast("int")
-    rest = F.slice(lines, begin + 1, F.greatest(F.size(lines) - begin, F.lit(0)))
-    ends = F.filter(F.transform(rest, lambda x, i: F.when(x.isin(*stop), i)), lambda x: x.isNotNull())
-    return F.when(begin > 0, F.when(F.size(ends) > 0, F.slice(rest, 1, ends[0])).otherwise(rest)).otherwise(F.array().cast("array<string>"))
+    def rest(x: Column, begin: Column) -> Column:
+        return F.when(begin > 0, _with(F.slice(x, begin + 1, F.greatest(F.size(x) - begin, F.lit(0))), cut)).otherwise(F.array().cast("array<string>"))
+
+    def cut(x: Column) -> Column:
+        ends = F.filter(F.transform(x, lambda y, i: F.when(y.isin(*stop), i)), lambda i: i.isNotNull())
+        return _with(ends, lambda e: F.when(F.size(e) > 0, F.slice(x, F.lit(1), e[0])).otherwise(x))
+
+    return _with(lines, lambda x: _with(F.array_position(x, start).cast("int"), lambda begin: rest(x, begin)))
 
 
 def plus_pairs(lines: Column) -> Column:
     """Structs (display, odds) of a line like '6+' followed by a number."""
-    both = F.transform(lines, lambda x, i: F.struct(x.alias("display"), parse_decimal(F.get(lines, i + 1)).alias("odds")))
-    return F.filter(both, lambda p: p["display"].rlike(r"^\d+\+$|(?i)^(mais|menos) de \d+([.,]\d+)?$") & p["odds"].isNotNull())
+    def pairs(x: Column) -> Column:
+        shown = F.transform(x, lambda y, i: F.when(y.rlike(r"^\d+\+$|(?i)^(mais|menos) de \d+([.,]\d+)?$"), F.struct(y.alias("display"), parse_decimal(F.get(x, i + 1)).alias("odds"))))
+        return F.filter(shown, lambda p: p["odds"].isNotNull())
+
+    return _with(lines, pairs)
 
 
 _READING = "array<struct<market:string,player:string,bookmaker_display:string,decimal_odds:double,source_confidence:double>>"
