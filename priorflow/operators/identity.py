@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import difflib
+import zlib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,15 +28,38 @@ def _grams(name: Column, n: int) -> Column:
     return F.when(F.length(name) >= n, F.transform(F.sequence(F.lit(1), F.length(name) - (n - 1)), lambda i: F.substr(name, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
 
 
+_WORDS = [f"w{k}" for k in range(4)]
+
+
+@F.pandas_udf(", ".join(f"{w} long" for w in _WORDS))
+def _bits(names: pd.Series) -> pd.DataFrame:
+    """The set of a name's 2-grams as 256 bits, in four numbers."""
+    def one(name: str) -> bytes:
+        bits = 0
+        for i in range(len(name) - 1):
+            bits |= 1 << (zlib.crc32(name[i : i + 2].encode()) & 255)
+        return bits.to_bytes(32, "little")
+
+    return pd.DataFrame(np.frombuffer(b"".join(map(one, names)), dtype="<i8").reshape(-1, 4), columns=_WORDS)
+
+
+def _only_in(a: str, b: str) -> Column:
+    """At least so many grams of ``a`` aren't in ``b``: bits of one that the other hasn't."""
+    own = [F.bit_count(F.col(f"{a}{w}").bitwiseAND(F.bitwise_not(F.col(f"{b}{w}")))) for w in _WORDS]
+    return own[0] + own[1] + own[2] + own[3]
+
+
 def close_candidates(left: DataFrame, right: DataFrame, group: str, cutoff: float) -> DataFrame:
-    """(group, norm, close): all pairs whose similarity may reach the cutoff; none that does is lost.
+    """(group, norm, close): all pairs whose similarity may reach the cutoff; none of unequal names that does is lost.
 
     A similarity of ``cutoff`` leaves ``e <= (1 - cutoff) * (m + n)`` letters of both names
     unmatched, so matching blocks are at most ``e + 1``, and names share a number of q-grams
     that follows from their lengths: 3-grams of names from 12 letters on, 2-grams up to 15
-    (one of a pair longer than 15 has a partner from 12 on). Only as many of a name's rarest
-    q-grams are joined as that number needs (prefix filter); what meets is held against the
-    number itself before any name is compared.
+    (one of a pair longer than 15 has a partner from 12 on). Names of a length that no name of
+    the other side can match take no part. Only as many of a name's rarest q-grams are joined
+    as the least number over all partners' lengths needs (prefix filter). What meets is held
+    against the number of shared 2-grams by sets of bits, before any name is compared. Joins
+    of names are merges, as no table of names is small.
     """
     reach = (2 - cutoff) / cutoff  # longest length a name may have, as a multiple of the other's
 
@@ -43,27 +68,30 @@ def close_candidates(left: DataFrame, right: DataFrame, group: str, cutoff: floa
         matched = F.ceil(total * cutoff / 2 - 1e-9)
         return matched - (q - 1) * (total - 2 * matched + 1)
 
-    sides = [left.select(group, F.col("norm").alias("name"), F.lit(0).alias("side")), right.select(group, F.col("close").alias("name"), F.lit(1).alias("side"))]
-    names = sides[0].unionByName(sides[1]).withColumn("len", F.length("name"))
-    partner = F.ceil(F.col("len") / reach - 1e-9)
-    two = F.struct(F.lit(2).alias("q"), _grams(F.col("name"), 2).alias("all"), needed(F.col("len") + F.greatest(partner, F.lit(1)), 2).alias("shared"))
-    three = F.struct(F.lit(3).alias("q"), _grams(F.col("name"), 3).alias("all"), needed(F.col("len") + F.greatest(partner, F.lit(12)), 3).alias("shared"))
-    kinds = F.filter(F.array(F.when(F.col("len") <= 15, two), F.when(F.col("len") >= 12, three)), lambda x: x.isNotNull())
-    parts = names.select(group, "side", "name", "len", F.explode(kinds).alias("k")).select(group, "side", "name", "len", "k.q", F.array_distinct("k.all").alias("grams"), F.size("k.all").alias("total"), "k.shared")
+    near = (F.col("n") <= F.col("m") * reach + 1e-9) & (F.col("m") <= F.col("n") * reach + 1e-9)
+    names = left.select(group, F.col("norm").alias("name"), F.lit(0).alias("side")).unionByName(right.select(group, F.col("close").alias("name"), F.lit(1).alias("side"))).withColumn("len", F.length("name"))
+    lengths = names.groupBy(group, "side", "len").agg(F.count(F.lit(1)).alias("_many"))
+    met = lengths.filter("side = 0").select(group, F.col("len").alias("m")).join(lengths.filter("side = 1").select(group, F.col("len").alias("n")), group).filter(near)
+    ends = F.array(F.struct(F.lit(0).alias("side"), F.col("m").alias("len"), F.col("n").alias("other")), F.struct(F.lit(1).alias("side"), F.col("n").alias("len"), F.col("m").alias("other")))
+    total = F.col("len") + F.col("other")
+    kind = F.explode(F.array(F.when((F.col("len") <= 15) & (F.col("other") <= 15), F.struct(F.lit(2).alias("q"), needed(total, 2).alias("shared"))), F.when((F.col("len") >= 12) & (F.col("other") >= 12), F.struct(F.lit(3).alias("q"), needed(total, 3).alias("shared")))))
+    wanted = met.select(group, F.explode(ends).alias("x")).select(group, "x.*").select(group, "side", "len", kind.alias("k")).filter("k IS NOT NULL").groupBy(group, "side", "len", "k.q").agg(F.min("k.shared").alias("shared"))
+    parts = names.join(F.broadcast(wanted), [group, "side", "len"])  # a row for each length there is
+    grams = F.when(F.col("q") == 2, _grams(F.col("name"), 2)).otherwise(_grams(F.col("name"), 3))
+    parts = parts.select(group, "side", "name", "len", "q", "shared", F.array_distinct(grams).alias("grams"))
+    long = parts.select(group, "side", "name", "len", "q", "shared", F.size("grams").alias("kinds"), F.explode("grams").alias("gram"))
     # sets overlap by as many fewer as grams repeat in a name
-    parts = parts.withColumn("repeats", F.col("total") - F.size("grams")).drop("total")
-    long = parts.withColumn("gram", F.explode("grams"))
+    long = long.withColumn("repeats", F.col("len") - F.col("q") + 1 - F.col("kinds")).drop("kinds")
     often = long.filter("side = 1").groupBy(group, "q", "gram").agg(F.count(F.lit(1)).alias("often"))
-    ranked = long.join(often, [group, "q", "gram"]).groupBy(group, "side", "name", "len", "q", "grams", "shared", "repeats").agg(F.array_sort(F.collect_list(F.struct("often", "gram"))).alias("rare"))
+    ranked = long.join(often.hint("merge"), [group, "q", "gram"]).groupBy(group, "side", "name", "len", "q", "shared", "repeats").agg(F.array_sort(F.collect_list(F.struct("often", "gram"))).alias("rare"))
     # grams that no name of the other side has would come first, so they use up places
     room = F.size("rare") - F.greatest(F.col("shared") - F.col("repeats"), F.lit(1)) + 1
-    rare = ranked.select(group, "side", "name", "len", "q", "grams", "repeats", F.explode(F.slice("rare", 1, F.greatest(room, F.lit(0)).cast("int"))).alias("_g"))
-    side = lambda k, name, n, g, r: rare.filter(f"side = {k}").select(group, "q", F.col("_g.gram").alias("gram"), F.col("name").alias(name), F.col("len").alias(n), F.col("grams").alias(g), F.col("repeats").alias(r))
-    near = (F.col("n") <= F.col("m") * reach) & (F.col("m") <= F.col("n") * reach)
-    pairs = side(0, "norm", "m", "ga", "ra").join(side(1, "close", "n", "gb", "rb"), [group, "q", "gram"]).filter(near)
+    rare = ranked.withColumn("bits", _bits("name")).select(group, "side", "name", "len", "q", "bits.*", F.explode(F.slice("rare", 1, F.greatest(room, F.lit(0)).cast("int"))).alias("_g"))
+    side = lambda k, name, n, own: rare.filter(f"side = {k}").select(group, "q", F.col("_g.gram").alias("gram"), F.col("name").alias(name), F.col("len").alias(n), *[F.col(w).alias(own + w) for w in _WORDS])
     total = F.col("m") + F.col("n")
-    least = F.when(F.col("q") == 2, needed(total, 2)).otherwise(needed(total, 3)) - F.least("ra", "rb")
-    return pairs.filter(F.size(F.array_intersect("ga", "gb")) >= least).select(group, "norm", "close").distinct()
+    alike = (_only_in("a", "b") <= F.col("m") - 1 - needed(total, 2)) & (_only_in("b", "a") <= F.col("n") - 1 - needed(total, 2))
+    pairs = side(0, "norm", "m", "a").join(side(1, "close", "n", "b").hint("merge"), [group, "q", "gram"]).filter(near & alike)
+    return pairs.select(group, "norm", "close").distinct()
 
 
 def resolve_names(requests: DataFrame, players: DataFrame, group: str, raw: str, ident: str, name: str, cutoff: float = CUTOFF) -> DataFrame:
@@ -75,18 +103,18 @@ def resolve_names(requests: DataFrame, players: DataFrame, group: str, raw: str,
     index = name_index(players, group, ident, name)
     asked = requests.select(group, raw).distinct().withColumn("norm", normalize_name(F.col(raw)))
     exact = index.groupBy(group, "norm").agg(F.collect_set(ident).alias("exact_ids"))
-    out = asked.join(exact, [group, "norm"], "left")
+    out = asked.join(exact.hint("merge"), [group, "norm"], "left")
 
     parts = F.split("norm", " ")
     tails = F.array_distinct(F.filter(F.array(F.when(F.length(parts[0]) <= 2, F.array_join(F.slice(parts, 2, 1000), " ")), F.try_element_at(parts, F.lit(-1))), lambda x: x.isNotNull() & (x != "")))
     tried = asked.filter(F.size(parts) >= 2).select(group, "norm", F.substring("norm", 1, 1).alias("letter"), F.explode(tails).alias("tail"))
     surnames = index.select(group, ident, "letter", F.explode(F.array_distinct(F.array("surname", "last"))).alias("tail"), F.col("norm").alias("full")).filter("tail != ''")
-    alias = tried.join(surnames, [group, "letter", "tail"]).groupBy(group, "norm").agg(F.collect_set(ident).alias("alias_ids"), F.min("full").alias("alias_name"))
-    out = out.join(alias, [group, "norm"], "left")
+    alias = tried.join(surnames.hint("merge"), [group, "letter", "tail"]).groupBy(group, "norm").agg(F.collect_set(ident).alias("alias_ids"), F.min("full").alias("alias_name"))
+    out = out.join(alias.hint("merge"), [group, "norm"], "left")
 
     left = out.filter(F.col("exact_ids").isNull() & F.col("alias_ids").isNull() & (F.col("norm") != "")).select(group, "norm")
     names = index.groupBy(group, "norm").agg(F.collect_set(ident).alias("ids")).withColumnRenamed("norm", "close")
-    pairs = close_candidates(left, names.select(group, "close"), group, cutoff).join(names, [group, "close"])
+    pairs = close_candidates(left, names.select(group, "close"), group, cutoff).join(names.hint("merge"), [group, "close"])
 
     @F.pandas_udf("double")
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -101,7 +129,7 @@ def resolve_names(requests: DataFrame, players: DataFrame, group: str, raw: str,
     first = close.withColumn("nth", nth).filter("nth <= 3")
     top = first.groupBy(group, "norm").agg(F.array_sort(F.collect_list(F.struct("nth", "close", "ids"))).alias("top"))
     fuzzy = top.select(group, "norm", F.array_distinct(F.flatten(F.transform("top", lambda t: t["ids"]))).alias("fuzzy_ids"), F.col("top")[0]["close"].alias("fuzzy_name"))
-    out = out.join(fuzzy, [group, "norm"], "left")
+    out = out.join(fuzzy.hint("merge"), [group, "norm"], "left")
 
     one = lambda c: F.when(F.size(c) == 1, F.col(c)[0])
     level = F.when(F.col("norm") == "", "none").when(F.col("exact_ids").isNotNull(), "exact").when(F.col("alias_ids").isNotNull(), "alias").when(F.col("fuzzy_ids").isNotNull(), "fuzzy_review").otherwise("none")
@@ -109,7 +137,7 @@ def resolve_names(requests: DataFrame, players: DataFrame, group: str, raw: str,
     n = F.when(level == "exact", F.size("exact_ids")).when(level == "alias", F.size("alias_ids")).when(level == "fuzzy_review", F.size("fuzzy_ids")).otherwise(0)
     shown = F.when(level == "exact", F.col("norm")).when(level == "alias", F.col("alias_name")).when(level == "fuzzy_review", F.col("fuzzy_name"))
     resolved = out.select(group, raw, found.alias("resolved_id"), F.when(found.isNull(), "unresolved").otherwise(level).alias("method"), F.when(found.isNotNull(), shown).alias("matched_name"), n.alias("n_candidates"))
-    return requests.join(resolved.withColumnRenamed(raw, "_raw"), (requests[group] == resolved[group]) & requests[raw].eqNullSafe(F.col("_raw")), "left").select(requests["*"], "resolved_id", "method", "matched_name", "n_candidates")
+    return requests.join(resolved.withColumnRenamed(raw, "_raw").hint("merge"), (requests[group] == resolved[group]) & requests[raw].eqNullSafe(F.col("_raw")), "left").select(requests["*"], "resolved_id", "method", "matched_name", "n_candidates")
 
 
 def resolve_matches(matches: DataFrame, players: DataFrame, group: str, a: str, b: str, ident: str, name: str) -> DataFrame:
