@@ -124,8 +124,11 @@ class Carried:
         faded = s["faded"][self.decays.index(w.n)][at]
         return faded * F.pow(F.lit(2.0), (s["end"] - day) / F.lit(float(w.n)))
 
+    def _batch(self, w: Prior, at: int | None) -> str:
+        return f"_batch_{'n' if at is None else at}_{w.name}"
+
     def _window(self, w: Prior, at: int | None) -> Column:
-        batch = self.timeline._sum(F.lit(1.0) if at is None else F.col(self.values[at]), w)
+        batch = F.col(self._batch(w, at))
         if w.kind in ("days", "decay"):
             return batch + F.coalesce(self._from_state(w, at), F.lit(0.0))
         known = self._from_state(w, at)
@@ -137,14 +140,19 @@ class Carried:
         """``rows`` with the columns of ``Timeline.sums`` (and, for ``rates``, ``Timeline.rates``),
         as over the state's rows and these together."""
         t, entity = self.timeline, self.timeline.entity
-        joined = rows.join(self._packed(state), entity, "left").withColumn("_day", t.day).withColumn("_before", F.row_number().over(t.by) - 1)
+        counted = {w.name: Prior(w.name, "career") if w.kind == "decay" else w for w in self.windows}
+        # windows run over the batch's own narrow rows; states, each up to days and last rows long, meet
+        # them only then, and of a state just numbers are kept
+        batch = [t._sum(F.col(v), w).alias(self._batch(w, i)) for i, v in enumerate(self.values) for w in self.windows] + [t._sum(F.lit(1.0), w).alias(self._batch(w, None)) for w in counted.values()]
+        narrow = rows.select("*", t.day.alias("_day"), (F.row_number().over(t.by) - 1).alias("_before"), *batch)
+        joined = narrow.join(self._packed(state).hint("merge"), entity, "left")
         recent = lambda w: F.size(F.filter("_state.days", lambda d: d > F.col("_day") - w.n))
         segment = F.lit(None).cast("string") if t.segment is None else F.col(t.segment)
         joined = joined.select("*", *[recent(w).alias(f"_days_{w.name}") for w in self.windows if w.kind == "days"], F.get(F.filter("_state.by_segment", lambda c: c["segment"] == segment), F.lit(0)).alias("_segment"))
         checked = F.when(F.col("_state").isNull() | (self._order() > F.col("_state.last")), F.col("_before")).otherwise(F.raise_error(F.lit("rows come before the state's end")).cast("int"))
         joined = joined.withColumn("_before", checked)
         sums = {(v, w.name): self._window(w, i) for i, v in enumerate(self.values) for w in self.windows}
-        counts = [F.coalesce(self._window(Prior(w.name, "career") if w.kind == "decay" else w, None), F.lit(0.0)).cast("long").alias(f"{prefix}matches_{w.name}") for w in self.windows]
+        counts = [F.coalesce(self._window(counted[w.name], None), F.lit(0.0)).cast("long").alias(f"{prefix}matches_{w.name}") for w in self.windows]
         made = joined.select("*", *[c.alias(f"_w_{v}_{w}") for (v, w), c in sums.items()], *counts)
         ratios = [safe_ratio(F.col(f"_w_{a}_{w.name}"), F.col(f"_w_{b}_{w.name}")).alias(f"{m}_{w.name}") for m, (a, b) in (rates or {}).items() for w in self.windows]
         named = [F.col(f"_w_{v}_{w.name}").alias(f"{prefix}{v}_{w.name}") for w in self.windows for v in self.values]
