@@ -120,14 +120,28 @@ def timeline() -> Timeline:
     return Timeline(["player_id"], "tournament_date", ["tourney_id", "match_id", "result"], "surface")
 
 
-def profile(df: DataFrame, windows: Sequence[Prior] = tuple(DEFAULT_WINDOWS)) -> DataFrame:
-    """Rates before each match over all windows, and counts of matches and points."""
-    t = timeline()
+#: Rows with all windows that one task sorts, at most about (fixed value).
+TASK_ROWS = 100_000
+
+
+def dealt(df: DataFrame, rows: int | None, *keys: str) -> DataFrame:
+    """``df`` by its keys in as many parts as about ``rows`` rows need; as it is if they aren't known."""
+    if rows is None:
+        return df
+    return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS)), *keys)
+
+
+def profile(df: DataFrame, windows: Sequence[Prior] = tuple(DEFAULT_WINDOWS), rows: int | None = None) -> DataFrame:
+    """Rates before each match over all windows, and counts of matches and points.
+
+    ``rows``, about how many there are, keeps what a task sorts from growing with the table.
+    """
+    t, df = timeline(), dealt(df, rows, "player_id")
     out = t.rates(t.rates(df, SERVE, windows, "player_serve_"), RETURN, windows, "player_return_")
     return t.sums(out, ["service_points", "return_points"], windows)
 
 
-def matchup(df: DataFrame) -> DataFrame:
+def matchup(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Opponents' rates, differences, and adjustment by the strength of opponents faced."""
     own = [f"player_{k}_{m}_{w}" for w in HEADLINE for k, ms in (("serve", SERVE), ("return", RETURN)) for m in ms]
     renamed = opponent_pair(df, ["match_id"], "player_id", "opponent_id", "result", own, prefix="_o_")
@@ -141,9 +155,10 @@ def matchup(df: DataFrame) -> DataFrame:
             (c(f"opponent_serve_ace_rate_{w}") - c(f"player_return_ace_allowed_rate_{w}")).alias(f"matchup_opp_ace_vs_player_allowed_{w}"),
             (c(f"opponent_serve_hold_pct_{w}") - c(f"player_return_break_pct_{w}")).alias(f"matchup_opp_hold_vs_player_break_{w}"),
         ]
+    out = dealt(out.select("*", *diffs), rows, "player_id")
     t, kinds = timeline(), {w.name: w for w in DEFAULT_WINDOWS}
     faced = {f"avg_{s}_faced_{w}": t.mean_of_present(c(f"{s}_{w}"), kinds[w]) for w in ADJUSTED for _, _, s, _, _ in ADJUSTMENTS}
-    out = out.select("*", *diffs, *[v.alias(k) for k, v in faced.items()])
+    out = out.select("*", *[v.alias(k) for k, v in faced.items()])
     made = []
     for w in ADJUSTED:
         for name, rate, strength, complement, inverted in ADJUSTMENTS:
@@ -198,15 +213,16 @@ def total_predictions(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return out.select(*df.columns, *[(F.col(x) + F.col(f"_o_{x}")).alias(f"total_{x}") for x in columns])
 
 
-def chain(facts: DataFrame, windows: Sequence[str] = ADJUSTED) -> DataFrame:
+def chain(facts: DataFrame, windows: Sequence[str] = ADJUSTED, rows: int | None = None) -> DataFrame:
     """From player matches to features, predictions and targets.
 
     Three shuffles: by player for all windows, by match for opponents and totals, and by player
     again, as averages over opponents faced need what those had before their matches.
     """
-    base = isolated_predictions(profile(derived(facts)), windows)
-    base = total_predictions(with_pair(base, "player_id", "opponent_id"), [f"pred_aces_isolated_{w}" for w in windows])
-    return with_targets(adjusted_predictions(matchup(base), windows)).drop("_pair_a", "_pair_b")
+    base = isolated_predictions(profile(derived(facts), rows=rows), windows)
+    base = dealt(with_pair(base, "player_id", "opponent_id"), rows, "match_id")
+    base = total_predictions(base, [f"pred_aces_isolated_{w}" for w in windows])
+    return with_targets(adjusted_predictions(matchup(base, rows), windows)).drop("_pair_a", "_pair_b")
 
 
 def with_grids(groups: DataFrame, r: str, mean: str, out: str = "grid") -> DataFrame:

@@ -52,6 +52,11 @@ def raw_matches(spark, sf):
     )
 
 
+def _sides(spark, sf) -> int:
+    """At most so many sides of matches; read from footers."""
+    return 2 * table(spark, sf, "orders").count()
+
+
 def _sql_stat(side: str, name: str) -> str:
     how = _STAT[name].replace("p", "X").replace("q", f"{side}.q::INT").replace("X", f"{side}.p")
     return f"CASE WHEN {side}.q::INT % 17 <> 0 THEN {how} END"
@@ -124,7 +129,7 @@ SELECT match_id, player_id, result, {", ".join(f"round({_sql_rate(*_RATES[m], w)
  {", ".join(f"coalesce({_sql_sum('1', 'career' if w == 'decay90d' else w)}, 0)::BIGINT AS prior_matches_{w}" for w in _WINDOWS)}, round({_sql_sum("service_points", "last50")}, 4) AS prior_service_points_last50 FROM dv""")
 def player_profile(spark, sf):
     """Rates before each match over all windows."""
-    out = matches.profile(matches.derived(matches.player_matches(raw_matches(spark, sf), "ATP")))
+    out = matches.profile(matches.derived(matches.player_matches(raw_matches(spark, sf), "ATP")), rows=_sides(spark, sf))
     wanted = [f"player_{m}_{w}" for m in _RATES for w in _WINDOWS] + [f"prior_matches_{w}" for w in _WINDOWS]
     return rounded(out.select("match_id", "player_id", "result", *wanted, F.round("prior_service_points_last50", 4).alias("prior_service_points_last50")), 8)
 
@@ -159,7 +164,7 @@ SELECT match_id, player_id, result, {", ".join(_sql_pred(w) for w in matches.ADJ
 FROM fa JOIN sc ON k % {len(_SCORES)} = i""")
 def match_chain(spark, sf):
     """Raw wide rows to profile, opponents, adjustment, predictions, totals and targets."""
-    out = matches.chain(matches.player_matches(raw_matches(spark, sf), "ATP"))
+    out = matches.chain(matches.player_matches(raw_matches(spark, sf), "ATP"), rows=_sides(spark, sf))
     names = ["pred_aces_isolated", "total_pred_aces_isolated", "pred_aces_matchup", "pred_aces_oppadj", "ace_suppression", "opponent_adjusted_hold_pct", "opponent_adjusted_break_pct"]
     wanted = [f"{n}_{w}" for w in matches.ADJUSTED for n in names] + [f"matchup_hold_vs_break_{w}" for w in matches.HEADLINE]
     targets = ["score_status", "score_complete", "target_total_games", "target_total_sets", "target_game_diff", "target_has_tiebreak", "target_aces"]
