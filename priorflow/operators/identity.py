@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from ..functions.text import minted_id, normalize_name
@@ -31,7 +32,7 @@ def _grams(name: Column, n: int) -> Column:
 _WORDS = [f"w{k}" for k in range(4)]
 
 
-@F.pandas_udf(", ".join(f"{w} long" for w in _WORDS))
+@F.pandas_udf(T.StructType([T.StructField(w, T.LongType()) for w in _WORDS]))
 def _bits(names: pd.Series) -> pd.DataFrame:
     """The set of a name's 2-grams as 256 bits, in four numbers."""
     def one(name: str) -> bytes:
