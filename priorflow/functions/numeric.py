@@ -34,8 +34,9 @@ def safe_ratio(num: Column, den: Column) -> Column:
 
 
 def float_ratio(num: Column, den: Column) -> Column:
-    """``num / den`` as floating point has it: by 0 infinite, and 0 by 0 NaN. NULL in, NULL out."""
-    return F.when(den != 0, num / den).when(den == 0, num * F.lit(float("inf")))
+    """``num / den`` as floating point has it: by 0 infinite, with its sign, and 0 by 0 NaN. NULL in, NULL out."""
+    zero = F.when(den.cast("string") == "-0.0", float("-inf")).otherwise(float("inf"))
+    return F.when(den != 0, num / den).when(den == 0, num * zero)
 
 
 def no_nan(x: Column) -> Column:

@@ -114,11 +114,12 @@ def settlement_events(predictions: DataFrame, results: DataFrame, log: DataFrame
 
 
 def odds_movement(snapshots: DataFrame, key: Sequence[str], cutoff: str | None = None, odds: str = "decimal_odds", at: str = "collected_at") -> DataFrame:
-    """Per key: snapshots, first, last and best price, and the closing one (last before ``cutoff``)."""
+    """Per key: snapshots, first, last and best price, and the closing one (last before ``cutoff``); NULL prices are in the count only."""
     before = F.lit(True) if cutoff is None else F.col(at) <= F.col(cutoff)
+    priced = F.when(F.col(odds).isNotNull(), F.col(at))
     return snapshots.groupBy(*key).agg(
-        F.count(F.lit(1)).alias("n_snapshots"), F.min_by(odds, at).alias("first_odds"), F.max_by(odds, at).alias("last_odds"), F.max(odds).alias("max_odds"),
-        F.max_by(F.when(before, F.col(odds)), F.when(before, F.col(at))).alias("closing_odds"),
+        F.count(F.lit(1)).alias("n_snapshots"), F.min_by(odds, priced).alias("first_odds"), F.max_by(odds, priced).alias("last_odds"), F.max(odds).alias("max_odds"),
+        F.max_by(odds, F.when(before, priced)).alias("closing_odds"),
     )
 
 
