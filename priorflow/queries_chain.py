@@ -287,7 +287,7 @@ def streamed_outcomes(spark, sf):
     folder, sink, checkpoint = (work_path(spark, name) for name in ("event-loads", "outcome-changes", "outcome-checkpoint"))
     k, v = F.col("event_id"), F.col("value")
     rows = table(spark, sf, "events").select(
-        F.concat_ws(":", F.col("user_id").cast("string"), "event_type").alias("key"), (k % 2).cast("long").alias("load"), k.alias("event"), F.when(v > 250, "WIN").when(v < 200, "LOSS").alias("settlement")
+        F.concat(F.col("user_id").cast("string"), F.lit(":"), "event_type").alias("key"), (k % 2).cast("long").alias("load"), k.alias("event"), F.when(v > 250, "WIN").when(v < 200, "LOSS").alias("settlement")
     )
     for load in (0, 1, 0):
         rows.filter(F.col("load") == load).write.mode("append").parquet(folder)
