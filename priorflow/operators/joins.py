@@ -5,10 +5,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from ..llm import bytewords
+from ..session import ship_package
+
 
 def mirror(df: DataFrame, shared: Sequence[str], sides: dict[str, dict[str, str]], label: str = "side") -> DataFrame:
     """One wide row to a row per side in one scan: ``sides[name]`` maps new to old columns."""
@@ -176,43 +182,106 @@ def distinct_right_join(df: DataFrame, right: DataFrame, key: Sequence[str], ord
     return first_match(df, right, key, order)
 
 
-def _grams(text: Column, n: int) -> Column:
-    """Distinct substrings of ``n`` characters; '' for none."""
-    if n == 0:
-        return F.array(F.lit(""))
-    ahead = lambda chars: F.transform(chars, lambda c, i: F.concat(c, *[F.get(chars, i + k) for k in range(1, n)]))
-    found = F.get(F.transform(F.array(F.split(text, "")), ahead), F.lit(0))
-    return F.array_distinct(F.filter(found, lambda g: g.isNotNull() & (g != "")))
-
+def _windows(rows: DataFrame, keys: Sequence[str], text: str, sizes: Sequence[int], wanted: np.ndarray | None = None) -> DataFrame:
+    """(keys, a, b, size, gram): the distinct windows of ``sizes`` (1 to 8) bytes of each text, once.
 
-def contains_join(left: DataFrame, right: DataFrame, equal: Sequence[tuple[str, str]], text: str, part: str, q: int = 3) -> DataFrame:
+    A window's bytes are its gram, as a number. ``a`` and ``b`` name the text. With ``wanted``,
+    bits by :func:`_places`, only windows whose bit is set are given.
+    """
+    schema = T.StructType([rows.schema[c] for c in (*keys, "a", "b")] + [T.StructField("size", T.IntegerType()), T.StructField("gram", T.LongType())])
+
+    def found(batches):
+        for batch in batches:
+            for begin, texts in bytewords.slices(batch.column(text), 1 << 20):
+                raw, offsets = bytewords.buffer(texts)
+                ends = np.repeat(offsets[1:], np.diff(offsets))
+                grams = np.zeros(len(raw), np.uint64)
+                for size in range(1, max(sizes) + 1):
+                    grams = grams[: max(len(raw) - size + 1, 0)] << np.uint64(8) | raw[size - 1 :]
+                    if size not in sizes:
+                        continue
+                    inside = np.flatnonzero(np.arange(size, len(raw) + 1) <= ends[: len(grams)])
+                    if wanted is not None:
+                        place = _places(grams[inside], size)
+                        inside = inside[(wanted[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)]
+                    owner, held = np.searchsorted(offsets, inside, "right") - 1, grams[inside]
+                    order = np.lexsort((held, owner))
+                    owner, held = owner[order], held[order]
+                    new = np.ones(len(held), bool)
+                    new[1:] = (owner[1:] != owner[:-1]) | (held[1:] != held[:-1])
+                    owner, held = owner[new], held[new].view(np.int64)
+                    kept = batch.select([*keys, "a", "b"]).take(pa.array(begin + owner))
+                    yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(np.full(len(held), size, np.int32)), pa.array(held)], names=schema.names)
+
+    return rows.select(*keys, "a", "b", text).mapInArrow(found, schema)
+
+
+#: Bits that stand for all windows looked for, so that a worker drops most others (fixed value).
+_BITS = 1 << 22
+
+
+def _places(grams: np.ndarray, size: int) -> np.ndarray:
+    return bytewords.mix(grams + np.uint64(size)) & np.uint64(_BITS - 1)
+
+
+def _wanted_bits(wanted: DataFrame) -> np.ndarray:
+    """The bits of all windows looked for: 512 kB, however many there are."""
+    def bits(batches):
+        have = np.zeros(_BITS >> 3, np.uint8)
+        for batch in batches:
+            size, gram = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+            for n in np.unique(size).tolist():
+                place = _places(gram[size == n], n)
+                np.bitwise_or.at(have, place >> np.uint64(3), np.uint8(1) << (place & np.uint64(7)).astype(np.uint8))
+        part = np.flatnonzero(have.reshape(-1, 4096).any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([have[p * 4096 : p * 4096 + 4096].tobytes() for p in part.tolist()], pa.binary())], names=["part", "bits"])
+
+    parts = wanted.select("size", "gram").coalesce(8).mapInArrow(bits, "part int, bits binary").collect()  # 8 times 512 kB at most
+    out = np.zeros(_BITS >> 3, np.uint8)
+    for row in parts:
+        out[row.part * 4096 : row.part * 4096 + 4096] |= np.frombuffer(row.bits, np.uint8)
+    return out
+
+
+def contains_join(left: DataFrame, right: DataFrame, equal: Sequence[tuple[str, str]], text: str, part: str, q: int = 8) -> DataFrame:
     """Equal keys, and the right's ``part`` within the left's ``text``.
 
-    Only texts that hold the part's rarest ``q`` characters in a row (the whole part, if it is
-    shorter) are looked at: hashes of texts meet parts in a join on the keys and those
-    characters, and ``contains`` decides. An empty part is in every text; NULLs are in none.
+    Only texts that hold the part's rarest ``q`` bytes in a row (at most 8; the whole part, if
+    it is shorter) are looked at: names of texts meet parts in a join on the keys and those
+    bytes. Where they are the whole part that decides; else ``contains`` does. An empty part is
+    in every text; NULLs are in none.
     """
-    keys = [f"_k{i}" for i in range(len(equal))]
+    ship_package(left.sparkSession)
+    keys, q = [f"_k{i}" for i in range(len(equal))], min(q, 8)
     same = lambda a, b: reduce(lambda x, y: x & y, [F.col(x) == F.col(y) for x, y in zip(a, b)], F.lit(True))
-    rows = left.withColumn("_id", F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(31), text).alias("b")))
+    name = lambda df, of: df.select("*", F.xxhash64(of).alias("a"), F.xxhash64(F.lit(31), of).alias("b"))
     parts = right.select(*[F.col(b).alias(k) for k, (_, b) in zip(keys, equal)], F.col(part).alias("_part")).filter("_part IS NOT NULL").distinct()
-    size = F.least(F.length("_part"), F.lit(q))
-    sizes = sorted(r.n for r in parts.select(size.alias("n")).distinct().collect())  # at most q + 1 numbers
-    if not sizes:
-        return left.join(right, F.lit(False))
-    own = F.coalesce(*[F.when(size == n, _grams(F.col("_part"), n)) for n in sizes])
-    wanted = parts.select(*keys, "_part", F.explode(own).alias("_gram"))
-    every = F.flatten(F.array(*[_grams(F.col(text), n) for n in sizes]))
-    held = rows.filter(F.col(text).isNotNull()).select(*[F.col(a).alias(k) for k, (a, _) in zip(keys, equal)], "_id", F.explode(every).alias("_gram"))
-    held = held.join(wanted.select(*keys, "_gram").distinct(), [*keys, "_gram"], "left_semi").distinct()
-    often = held.groupBy(*keys, "_gram").agg(F.count(F.lit(1)).alias("_n"))
-    # a part with characters that no text has is in none
-    rarest = wanted.join(often, [*keys, "_gram"]).groupBy(*keys, "_part").agg(F.min_by("_gram", F.struct("_n", "_gram")).alias("_gram"))
-    pairs = held.join(rarest, [*keys, "_gram"]).select(*keys, "_id", "_part")
-    found = rows.join(pairs.withColumnRenamed("_id", "_i"), same([a for a, _ in equal], keys) & (F.col("_id") == F.col("_i"))).filter(F.contains(text, "_part"))
+    length = F.octet_length("_part")
+    sizes = sorted(r.n for r in parts.select(F.least(length, F.lit(q)).alias("n")).distinct().collect())  # at most q + 1 numbers
     other = right.select("*", *[F.col(b).alias(f"_r{k}") for k, (_, b) in zip(keys, equal)], F.col(part).alias("_r_part"))
+    drop = [f"_r{k}" for k in keys] + ["_r_part"]
+    # an empty part needs no search
+    out = left.filter(F.col(text).isNotNull()).join(other.filter("_r_part = ''"), same([a for a, _ in equal], drop)).drop(*drop)
+    sizes = [n for n in sizes if n]
+    if not sizes:
+        return out
+    long = name(parts.filter(length > 0), "_part")
+    mine = _windows(long, [*keys], "_part", sizes).join(long.withColumnsRenamed({k: f"_w{k}" for k in keys}), ["a", "b"]).filter(same(keys, [f"_w{k}" for k in keys]))
+    wanted = mine.filter(F.col("size") == F.least(length, F.lit(q))).select(*keys, "_part", "size", "gram")
+    rows = name(left.filter(F.col(text).isNotNull()), F.col(text))
+    clean = rows.select(*[F.col(a).alias(k) for k, (a, _) in zip(keys, equal)], "a", "b", F.col(text).alias("_text"))
+    held = _windows(clean, keys, "_text", sizes, _wanted_bits(wanted.select("size", "gram").distinct()))
+    gram = [*keys, "size", "gram"]
+    held = held.join(wanted.select(*gram).distinct(), gram, "left_semi").distinct()
+    often = held.groupBy(*gram).agg(F.count(F.lit(1)).alias("_n"))
+    # a part with bytes that no text has is in none
+    rarest = wanted.join(often, gram).groupBy(*keys, "_part").agg(F.min_by(F.struct("size", "gram"), F.struct("_n", "size", "gram")).alias("_g")).select(*keys, "_part", "_g.*")
+    pairs = held.join(rarest, gram).select(*keys, F.struct("a", "b").alias("_i"), "_part")
+    rows = rows.withColumn("_id", F.struct("a", "b")).drop("a", "b")
+    meet = lambda some: rows.join(some, same([a for a, _ in equal], keys) & (F.col("_id") == F.col("_i")))
+    found = meet(pairs.filter(length <= q)).unionByName(meet(pairs.filter(length > q)).filter(F.contains(text, "_part")))
     on = same(keys, [f"_r{k}" for k in keys]) & (F.col("_part") == F.col("_r_part"))
-    return found.join(other, on).drop("_id", "_i", *keys, "_part", "_r_part", *[f"_r{k}" for k in keys])
+    return out.unionByName(found.join(other, on).drop("_id", "_i", *keys, "_part", *drop))
 
 
 def pivot_map(df: DataFrame, key: Sequence[str], label: str, value: str) -> DataFrame:
