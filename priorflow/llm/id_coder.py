@@ -87,7 +87,8 @@ class _Ranks:
 class _Model:
     """States of all lanes, flat; only the first ``m`` lanes are worked in a step.
 
-    An entry of all lanes lies together, as lanes often need the same. A context's slot packs the rank last seen there and how often it held in a row (4 bits).
+    An entry of all lanes lies together, as lanes often need the same. No place is out of range, so
+    numpy's unchecked ``clip`` only saves time. A context's slot packs the rank last seen there and how often it held in a row (4 bits).
     """
 
     def __init__(self, lanes: int, ranks: _Ranks):
@@ -100,11 +101,16 @@ class _Model:
         self.seen = np.repeat(start.astype(np.int32), lanes)
         self.sums = np.full(self.width * lanes, 1 << 30, np.int32)
         self.slot1, self.slot2, self.last = self.lane.copy(), self.lane.copy(), np.zeros(lanes, np.int32)
+        self.met: list[np.ndarray] = []  # places in ``seen`` since it was last brought up to date
 
     def count(self, step: int) -> None:
         """Sums of the order-0 bins in 2048ths, anew every 64 steps."""
         if step % 64:
             return
+        if self.met:
+            met = np.concatenate(self.met)
+            self.seen += np.bincount(met, minlength=len(self.seen) + 1)[:-1].astype(np.int32) << 4
+            self.met.clear()
         n, row = self.n, self.sums.reshape(self.width, -1)[: self.n + 1]
         row[0] = 0
         np.cumsum(self.seen.reshape(n, -1), axis=0, out=row[1:])
@@ -116,23 +122,23 @@ class _Model:
 
     def look(self, m: int) -> None:
         """Guesses and their bounds in 65536ths, for ``m`` lanes."""
-        self.held1, self.held2 = self.slots1.take(self.slot1[:m]), self.slots2.take(self.slot2[:m])
+        self.held1, self.held2 = self.slots1.take(self.slot1[:m], mode="clip"), self.slots2.take(self.slot2[:m], mode="clip")
         self.guess1, self.guess2 = self.held1 >> 4, self.held2 >> 4
         first = self.guess2 ^ ((self.guess1 ^ self.guess2) & (self.held2 >> 31))
         differ = self.guess1 != first
         y1, y2 = ((self.held1 & 15) << 1) + differ, ((self.held2 & 15) << 1) + differ
         self.first = np.maximum(first, 0)
         lane = self.lane[:m]
-        self.x1, self.x2, self.x0 = y1 * self.lanes + lane, y2 * self.lanes + lane, self.bin_of.take(self.first) * self.lanes + lane
-        self.w0, self.w1, self.w2 = self.mix0.take(self.x0), self.mix1.take(self.x1), self.mix2.take(self.x2)
+        self.x1, self.x2, self.x0 = y1 * self.lanes + lane, y2 * self.lanes + lane, self.bin_of.take(self.first, mode="clip") * self.lanes + lane
+        self.w0, self.w1, self.w2 = self.mix0.take(self.x0, mode="clip"), self.mix1.take(self.x1, mode="clip"), self.mix2.take(self.x2, mode="clip")
         self.p = _SQUASH.take((self.w0 + self.w1 + self.w2 + 32752) >> 4, mode="clip")
-        self.base = self.p + ((65536 - self.p) * _SHARE.take(y1) >> 12)
+        self.base = self.p + ((65536 - self.p) * _SHARE.take(y1, mode="clip") >> 12)
         self.left = 65536 - self.base
 
     def bounds(self, place: np.ndarray, hit: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Begin and size, in 65536ths, of what ``hit`` and ``rest`` (masks, 0 or -1) say was met."""
         second = ~(hit | rest)
-        sums = self.sums.take(place), self.sums.take(place + self.lanes)
+        sums = self.sums.take(place, mode="clip"), self.sums.take(place + self.lanes, mode="clip")
         begin, finish = (self.base + (self.left * x >> 11) for x in sums)
         begin = (begin & rest) | (self.p & second)
         return begin, ((finish & rest) | (self.p & hit) | (self.base & second)) - begin
@@ -143,9 +149,9 @@ class _Model:
         self.mix1[self.x1] = self.w1 + move - (self.w1 >> 7)
         self.mix2[self.x2] = self.w2 + move - (self.w2 >> 7)
         packed = now << 4
-        self.slots1[self.slot1[:m]] = packed + _RUN.take(self.held1 & 15) * (self.guess1 == now)
-        self.slots2[self.slot2[:m]] = packed + _RUN.take(self.held2 & 15) * (self.guess2 == now)
-        self.seen[at] += rest & 16
+        self.slots1[self.slot1[:m]] = packed + _RUN.take(self.held1 & 15, mode="clip") * (self.guess1 == now)
+        self.slots2[self.slot2[:m]] = packed + _RUN.take(self.held2 & 15, mode="clip") * (self.guess2 == now)
+        self.met.append(np.where(rest, at, len(self.seen)))
         hashed = now * np.int32(0x2545F491) >> 19 & (_SLOTS - 1)
         np.add(self.lane[:m], hashed * self.lanes, out=self.slot1[:m])
         np.add(self.lane[:m], (hashed ^ self.last[:m]) * self.lanes, out=self.slot2[:m])
@@ -174,7 +180,7 @@ def encode(ids: np.ndarray, vocabulary: int, block: int = BLOCK) -> bytes:
     model = _Model(lanes, ranks)
     low, span = np.zeros(lanes, np.int64), np.full(lanes, 1 << 48, np.int64)
     # words in the order (place, lane), as lanes stand at nearly the same place
-    coded, plain = np.zeros((block + 2) * lanes, np.int64), np.zeros((block + 1) * lanes, np.int32)
+    coded, plain = np.zeros((block + 2) * lanes, np.int32), np.zeros((block + 1) * lanes, np.int32)
     end, bit_end = model.lane.copy(), model.lane.copy()
     held, n_held = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
     for j in range(block):
@@ -182,7 +188,7 @@ def encode(ids: np.ndarray, vocabulary: int, block: int = BLOCK) -> bytes:
         if not m:
             break
         now = grid[j, :m]
-        at, lane = model.bin_of.take(now), model.lane[:m]
+        at, lane = model.bin_of.take(now, mode="clip"), model.lane[:m]
         model.count(j)
         model.look(m)
         hit = -(model.first == now).astype(np.int32)
@@ -197,7 +203,7 @@ def encode(ids: np.ndarray, vocabulary: int, block: int = BLOCK) -> bytes:
         low[:m] = (a << shift) & ((short - 1) | _LOW48)
         span[:m] = b << shift
         end[:m] += short * lanes
-        n = bits.take(at) & rest
+        n = bits.take(at, mode="clip") & rest
         held[:m] = held[:m] << n | (now - start.take(at)) & rest
         n += n_held[:m]
         plain[bit_end[:m]] = held[:m] >> np.maximum(n - 16, 0)
@@ -249,7 +255,7 @@ def decode(image: bytes) -> np.ndarray:
     for _ in range(3):
         code = code << 16 | words.take(next_word, mode="clip")
         next_word += lanes
-    grid = np.zeros((block, lanes), np.int32)
+    rows_at, grid = np.repeat(np.arange(model.width), lanes), np.zeros((block, lanes), np.int32)
     top, last_place = len(ranks.ids) - 1, model.n * lanes - 1
     for j in range(block):
         m = lanes if j < sizes[-1] else lanes - 1
@@ -260,13 +266,13 @@ def decode(image: bytes) -> np.ndarray:
         unit = span[:m] >> 16
         value = np.minimum(code[:m] / unit, 65535).astype(np.int32)  # exact: both are below 2**53, and units below 2**33
         hit, rest = -(value < model.p).astype(np.int32), -(value >= model.base).astype(np.int32)
-        goal = ((((value - model.base + 1) << 11) - 1) & rest) // model.left
+        goal = (((((value - model.base + 1) << 11) - 1) & rest) / model.left).astype(np.int32)  # exact, too
         lane = model.lane[:m]
         place = lane
         for step in steps:
             place = place + (model.sums.take(place + step, mode="clip") <= goal) * step
         begin, size = model.bounds(place, hit, rest)
-        at = (place - lane) // lanes
+        at = rows_at.take(place, mode="clip")
         a, b = code[:m] - unit * begin, unit * size
         short = (b <= _LOW32).astype(np.int64)
         shift = short << 4

@@ -10,6 +10,7 @@ here, or a text has letters that Unicode got late, whole texts go to the library
 from __future__ import annotations
 
 import json
+import os
 import re
 import unicodedata
 from functools import lru_cache
@@ -108,6 +109,7 @@ class Encoder:
         return {"path": self.path, "capacity": self.capacity, "_tokenizer": None}
 
     def _load(self) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks run side by side; the library's threads only wait
         self._tokenizer = load(self.path)
         # pieces in memory, by number: where their ids begin in the pool, and how many they are
         self._memory: dict[str, int] = {_END: 0}

@@ -217,3 +217,22 @@ def test_containment_by_byte_windows(spark):
     wanted = spark.createDataFrame([(8, int.from_bytes("fox 😀".encode(), "big"))], "size int, gram long")
     kept = joins._windows(named, [], "t", [2, 8], joins._wanted_bits(wanted))
     assert sorted(r.a for r in kept.filter("size = 8").collect()) == [1, 2, 3, 7] and kept.count() < 10
+
+
+def test_coder_adds_counts_late_and_alike():
+    """op4_token_files: bins met are added up when they are needed, and images stay as they were, to the byte."""
+    import zlib
+
+    import numpy as np
+
+    from priorflow.llm import id_coder
+
+    k = np.arange(20_000, dtype=np.int64)
+    ids = ((k * k // 7 + k // 3) % 997 * (k % 3 > 0)).astype("<u4")
+    image = id_coder.encode(ids, 1000, 512)
+    assert (id_coder.decode(image) == ids).all() and zlib.crc32(image) == 306382922
+    model = id_coder._Model(1, id_coder._Ranks.of(ids, 1000))
+    model.met = [np.array([0, 0, len(model.seen)])]
+    before = model.seen.copy()
+    model.count(64)
+    assert (model.seen - before).tolist() == [32] + [0] * (len(before) - 1) and not model.met
