@@ -17,7 +17,8 @@ frequent first. For each rank the model
 One step of the range coder (48-bit range, 16-bit words, carries added up at the end) codes
 which of these it is. Every block starts from the same model, known from the file's head,
 and carries the crc32 of its ids. Blocks of a file are independent, so they are worked in
-step, one numpy lane each, without branches. All model arithmetic is in integers, so every
+step, one numpy lane each, without branches; only weights and coder go id by id in the encoder,
+which knows all ids ahead. All model arithmetic is in integers, so every
 machine decodes alike.
 
 File image: ``IDCM`` and then little-endian unsigned 32-bit integers: version, vocabulary
@@ -37,6 +38,9 @@ BLOCK = 2048
 _MAGIC, _VERSION = b"IDCM", 3
 _SLOTS = 1024
 _NONE = -1  # packed slot of no rank yet: rank -1, run 15
+_FRESH = 64  # steps between counts of the bins
+_SOME = 1 << 19  # ids counted together
+_LANES = 256  # lanes whose contexts are looked up together
 _LOW32, _LOW48 = (1 << 32) - 1, (1 << 48) - 1
 _SQUASH = np.clip(np.rint(65536 / (1 + np.exp(-np.arange(-2047, 2048) / 256))), 32, 61440).astype(np.int32)
 
@@ -45,10 +49,8 @@ _N_BINS = 36
 _BITS = np.maximum(np.arange(_N_BINS) // 2 - 1, 0)
 _START = np.where(np.arange(_N_BINS) < 4, np.arange(_N_BINS), (2 + np.arange(_N_BINS) % 2) << _BITS)
 
-
 #: Runs that held, up to 14, and 15 for an empty slot.
-_RUNS = np.arange(16)
-_RUN = np.minimum(_RUNS + 1, 14).astype(np.int32)
+_RUNS, _RUN_END = np.arange(16), 14
 #: Weights at a block's start, for each run where both orders agree and where they don't.
 _START1 = np.stack((np.where(_RUNS < 2, -7500 + 4400 * _RUNS, -1000), np.where(_RUNS < 1, -6500, -4400)), axis=1).ravel().astype(np.int32)
 _START2 = np.stack((np.where(_RUNS < 1, -3300, 2300 + 900 * _RUNS), np.where(_RUNS < 1, -7400, -1400 + 1100 * np.minimum(_RUNS, 4) + 700 * _RUNS)), axis=1).ravel().astype(np.int32)
@@ -68,7 +70,9 @@ class _Ranks:
 
     @classmethod
     def of(cls, ids: np.ndarray, vocabulary: int) -> _Ranks:
-        times = np.bincount(ids, minlength=vocabulary)
+        times = np.zeros(vocabulary, np.int64)
+        for k in range(0, len(ids), _SOME):
+            times += np.bincount(ids[k : k + _SOME], minlength=vocabulary)
         used = np.flatnonzero(times)
         by_size = used[np.lexsort((used, -np.floor(4 * np.log2(times[used]))))]
         n = int(np.searchsorted(_START, max(len(by_size), 1)))
@@ -85,33 +89,32 @@ class _Ranks:
 
 
 class _Model:
-    """States of all lanes, flat; only the first ``m`` lanes are worked in a step.
+    """States of all lanes, flat; an entry of all lanes lies together, as lanes often need the same.
 
-    An entry of all lanes lies together, as lanes often need the same. No place is out of range, so
-    numpy's unchecked ``clip`` only saves time. A context's slot packs the rank last seen there and how often it held in a row (4 bits).
+    No place is out of range, so numpy's unchecked ``clip`` only saves time. What a context holds
+    packs the rank last seen there and how often it held in a row (4 bits). Where :meth:`guess`
+    and :meth:`bounds` take many steps at once, the lanes are their arrays' last axis.
     """
 
     def __init__(self, lanes: int, ranks: _Ranks):
-        self.n, self.bin_of = ranks.n, ranks.bin_of.astype(np.intp)
-        self.width = 1 << self.n.bit_length()  # entries of a row of sums, over n
-        self.lanes, self.lane = lanes, np.arange(lanes)
-        self.slots1, self.slots2 = np.full(_SLOTS * lanes, _NONE, np.int32), np.full(_SLOTS * lanes, _NONE, np.int32)
-        self.mix1, self.mix2, self.mix0 = np.repeat(_START1, lanes), np.repeat(_START2, lanes), np.zeros(self.n * lanes, np.int32)
+        self.n, self.lanes, self.lane = ranks.n, lanes, np.arange(lanes)
+        self.bin_of = ranks.bin_of.astype(np.intp)
+        self.mix0 = (self.bin_of + 64) * lanes  # where a rank's weights begin in ``mix``, after the 32 of each order's run
+        self.mix = np.concatenate((np.repeat(_START1, lanes), np.repeat(_START2, lanes), np.zeros(self.n * lanes, np.int32)))
         start = 4 + ranks.counts * 1020 // max(int(ranks.counts.sum()), 1)
         self.seen = np.repeat(start.astype(np.int32), lanes)
-        self.sums = np.full(self.width * lanes, 1 << 30, np.int32)
-        self.slot1, self.slot2, self.last = self.lane.copy(), self.lane.copy(), np.zeros(lanes, np.int32)
+        self.sums = np.zeros((self.n + 1) * lanes, np.int32)
         self.met: list[np.ndarray] = []  # places in ``seen`` since it was last brought up to date
 
     def count(self, step: int) -> None:
-        """Sums of the order-0 bins in 2048ths, anew every 64 steps."""
-        if step % 64:
+        """Sums of the order-0 bins in 2048ths, anew every ``_FRESH`` steps."""
+        if step % _FRESH:
             return
         if self.met:
             met = np.concatenate(self.met)
             self.seen += np.bincount(met, minlength=len(self.seen) + 1)[:-1].astype(np.int32) << 4
             self.met.clear()
-        n, row = self.n, self.sums.reshape(self.width, -1)[: self.n + 1]
+        n, row = self.n, self.sums.reshape(self.n + 1, -1)
         row[0] = 0
         np.cumsum(self.seen.reshape(n, -1), axis=0, out=row[1:])
         row *= 2048 - n
@@ -120,42 +123,93 @@ class _Model:
         if step % 256 == 192:
             self.seen -= self.seen >> 1
 
-    def look(self, m: int) -> None:
-        """Guesses and their bounds in 65536ths, for ``m`` lanes."""
-        self.held1, self.held2 = self.slots1.take(self.slot1[:m], mode="clip"), self.slots2.take(self.slot2[:m], mode="clip")
-        self.guess1, self.guess2 = self.held1 >> 4, self.held2 >> 4
-        first = self.guess2 ^ ((self.guess1 ^ self.guess2) & (self.held2 >> 31))
-        differ = self.guess1 != first
-        y1, y2 = ((self.held1 & 15) << 1) + differ, ((self.held2 & 15) << 1) + differ
-        self.first = np.maximum(first, 0)
-        lane = self.lane[:m]
-        self.x1, self.x2, self.x0 = y1 * self.lanes + lane, y2 * self.lanes + lane, self.bin_of.take(self.first, mode="clip") * self.lanes + lane
-        self.w0, self.w1, self.w2 = self.mix0.take(self.x0, mode="clip"), self.mix1.take(self.x1, mode="clip"), self.mix2.take(self.x2, mode="clip")
-        self.p = _SQUASH.take((self.w0 + self.w1 + self.w2 + 32752) >> 4, mode="clip")
-        self.base = self.p + ((65536 - self.p) * _SHARE.take(y1, mode="clip") >> 12)
-        self.left = 65536 - self.base
-
-    def bounds(self, place: np.ndarray, hit: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def guess(self, held: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First guess, second guess and its share, by what order 1 and order 2 hold; ``x`` gets the places of their weights."""
+        second, first = held >> 4
+        first ^= (first ^ second) & (held[1] >> 31)
+        run = held & 15
+        run += run
+        run += second != first
+        share = _SHARE.take(run[0], mode="clip")
+        run[1] += 32
+        np.multiply(run, self.lanes, out=x[:2])
+        x[:2] += self.lane
+        np.maximum(first, 0, out=first)
+        np.add(self.mix0.take(first, mode="clip"), self.lane, out=x[2])
+        return first, second, share
+
+    def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Weights at ``x``, and the first guess's chance in 65536ths."""
+        weights = self.mix.take(x, mode="clip")
+        total = weights[0] + weights[1]
+        total += weights[2]
+        total += 32752
+        total >>= 4
+        return weights, _SQUASH.take(total, mode="clip")
+
+    def learn(self, x: np.ndarray, weights: np.ndarray, hit: np.ndarray, p: np.ndarray) -> None:
+        """``hit``: -1 where the first guess held, or 0."""
+        move = hit & 65536
+        move -= p
+        move >>= 4
+        weights -= weights >> 7
+        weights[:2] += move
+        move >>= 2
+        weights[2] += move
+        self.mix[x] = weights
+
+    def bounds(self, p: np.ndarray, base: np.ndarray, left: np.ndarray, place: np.ndarray, hit: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Begin and size, in 65536ths, of what ``hit`` and ``rest`` (masks, 0 or -1) say was met."""
+        begin = self.sums.take(place, mode="clip")
+        finish = self.sums.take(place + self.lanes, mode="clip")
+        for bound in (begin, finish):
+            bound *= left
+            bound >>= 11
+            bound += base
         second = ~(hit | rest)
-        sums = self.sums.take(place, mode="clip"), self.sums.take(place + self.lanes, mode="clip")
-        begin, finish = (self.base + (self.left * x >> 11) for x in sums)
-        begin = (begin & rest) | (self.p & second)
-        return begin, ((finish & rest) | (self.p & hit) | (self.base & second)) - begin
-
-    def learn(self, m: int, now: np.ndarray, at: np.ndarray, hit: np.ndarray, rest: np.ndarray) -> None:
-        move = ((hit & 65536) - self.p) >> 4
-        self.mix0[self.x0] = self.w0 + (move >> 2) - (self.w0 >> 7)
-        self.mix1[self.x1] = self.w1 + move - (self.w1 >> 7)
-        self.mix2[self.x2] = self.w2 + move - (self.w2 >> 7)
-        packed = now << 4
-        self.slots1[self.slot1[:m]] = packed + _RUN.take(self.held1 & 15, mode="clip") * (self.guess1 == now)
-        self.slots2[self.slot2[:m]] = packed + _RUN.take(self.held2 & 15, mode="clip") * (self.guess2 == now)
-        self.met.append(np.where(rest, at, len(self.seen)))
-        hashed = now * np.int32(0x2545F491) >> 19 & (_SLOTS - 1)
-        np.add(self.lane[:m], hashed * self.lanes, out=self.slot1[:m])
-        np.add(self.lane[:m], (hashed ^ self.last[:m]) * self.lanes, out=self.slot2[:m])
-        self.last[:m] = hashed * 21 + 7 & (_SLOTS - 1)
+        begin &= rest
+        begin |= p & second
+        finish &= rest
+        finish |= p & hit
+        finish |= base & second
+        finish -= begin
+        return begin, finish
+
+
+def _hash(ranks: np.ndarray) -> np.ndarray:
+    return ranks * np.int32(0x2545F491) >> 19 & (_SLOTS - 1)
+
+
+def _held(slot: np.ndarray, now: np.ndarray) -> np.ndarray:
+    """What each rank of ``now`` (a row for each lane) finds in its ``slot``: packed as in the model."""
+    rows, block = now.shape
+    place = np.arange(block, dtype=np.int32)
+    width = (block - 1).bit_length()
+    key = slot.astype(np.int32 if width <= 20 else np.int64) << width
+    key |= place
+    key.sort(axis=1)
+    at = np.arange(0, rows * block, block)[:, None] + (key & ((1 << width) - 1))
+    key >>= width
+    met = now.ravel().take(at, mode="clip")
+    again = np.zeros(now.shape, bool)  # the slot was met before
+    np.equal(key[:, 1:], key[:, :-1], out=again[:, 1:])
+    other = np.ones(now.shape, bool)  # or held another rank
+    np.not_equal(met[:, 1:], met[:, :-1], out=other[:, 1:])
+    other |= ~again
+    begun = place * other
+    np.maximum.accumulate(begun, axis=1, out=begun)
+    run = np.subtract(place, begun, out=begun)
+    np.minimum(run, _RUN_END, out=run)
+    run |= met << 4
+    # the rank before left this; _NONE where the slot is new
+    run += 1
+    again = again.ravel()
+    found = np.zeros(rows * block, np.int32)
+    np.multiply(run.ravel()[:-1], again[1:], out=found[1:])
+    found -= 1
+    out = np.empty(rows * block, np.int32)
+    out[at.ravel()] = found
+    return out.reshape(rows, block)
 
 
 def encode(ids: np.ndarray, vocabulary: int, block: int = BLOCK) -> bytes:
@@ -173,9 +227,20 @@ def encode(ids: np.ndarray, vocabulary: int, block: int = BLOCK) -> bytes:
     rank_of[ranks.ids] = np.arange(len(ranks.ids))
     sizes = np.full(lanes, block, np.int64)
     sizes[-1] = len(ids) - (lanes - 1) * block
-    grid = np.zeros(lanes * block, np.int32)
-    rank_of.take(ids, out=grid[: len(ids)])
-    grid = np.ascontiguousarray(grid.reshape(lanes, block).T)
+    steps = int(sizes.max())
+    # what contexts hold depends on the ids alone, so it is found ahead, for some lanes at once
+    grid, found = np.empty((steps, lanes), np.int32), np.empty((2, steps, lanes), np.int32)
+    for k in range(0, lanes, _LANES):
+        some = ids[k * block : (k + _LANES) * block]
+        now = np.zeros((min(_LANES, lanes - k), steps + 16), np.int32)  # wider, as rows a power of two apart share places in caches
+        whole = len(some) // block
+        now[:whole, :steps] = rank_of.take(some[: whole * block]).reshape(whole, block)[:, :steps]
+        now[whole:, : len(some) - whole * block] = rank_of.take(some[whole * block :])
+        slot1, slot2 = np.zeros((2, *now.shape), np.int32)
+        slot1[:, 1:] = slot2[:, 1:] = _hash(now[:, :-1])
+        slot2[:, 2:] ^= slot1[:, 1:-1] * 21 + 7 & (_SLOTS - 1)
+        for a, b in ((grid, now), (found[0], _held(slot1, now)), (found[1], _held(slot2, now))):
+            a[:, k : k + _LANES] = b[:, :steps].T
     bits, start = _BITS.astype(np.int32), _START.astype(np.int32)
     model = _Model(lanes, ranks)
     low, span = np.zeros(lanes, np.int64), np.full(lanes, 1 << 48, np.int64)
@@ -183,33 +248,48 @@ def encode(ids: np.ndarray, vocabulary: int, block: int = BLOCK) -> bytes:
     coded, plain = np.zeros((block + 2) * lanes, np.int32), np.zeros((block + 1) * lanes, np.int32)
     end, bit_end = model.lane.copy(), model.lane.copy()
     held, n_held = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
-    for j in range(block):
-        m = lanes if j < sizes[-1] else lanes - 1
-        if not m:
-            break
-        now = grid[j, :m]
-        at, lane = model.bin_of.take(now, mode="clip"), model.lane[:m]
+    for j in range(0, steps, _FRESH):
         model.count(j)
-        model.look(m)
-        hit = -(model.first == now).astype(np.int32)
-        rest = ~(hit | -(model.guess1 == now).astype(np.int32))
-        place = at * lanes + lane
-        begin, size = model.bounds(place, hit, rest)
-        unit = span[:m] >> 16
-        a, b = low[:m] + unit * begin, unit * size
-        short = (b <= _LOW32).astype(np.int64)
-        shift = short << 4
-        coded[end[:m]] = a >> 32
-        low[:m] = (a << shift) & ((short - 1) | _LOW48)
-        span[:m] = b << shift
-        end[:m] += short * lanes
-        n = bits.take(at, mode="clip") & rest
-        held[:m] = held[:m] << n | (now - start.take(at)) & rest
-        n += n_held[:m]
-        plain[bit_end[:m]] = held[:m] >> np.maximum(n - 16, 0)
-        bit_end[:m] += (n >> 4) * lanes
-        n_held[:m] = n & 15
-        model.learn(m, now, place, hit, rest)
+        now = grid[j : j + _FRESH]
+        x, p = np.empty((len(now), 3, lanes), np.intp), np.empty(now.shape, np.int32)
+        first, second, share = model.guess(found[:, j : j + _FRESH], x.swapaxes(0, 1))
+        hit = -(first == now).astype(np.int32)
+        rest = ~(hit | -(second == now).astype(np.int32))
+        for i in range(len(now)):
+            weights, p[i] = model.predict(x[i])
+            model.learn(x[i], weights, hit[i], p[i])
+        base = p + ((65536 - p) * share >> 12)
+        at = model.bin_of.take(now, mode="clip")
+        place = at * lanes + model.lane
+        begin, size = (a.astype(np.int64) for a in model.bounds(p, base, 65536 - base, place, hit, rest))
+        model.met.append(np.where(rest, place, len(model.seen)).ravel())
+        n_bits, bit = bits.take(at, mode="clip") & rest, (now - start.take(at, mode="clip")) & rest
+        for i in range(len(now)):
+            m = lanes if j + i < sizes[-1] else lanes - 1
+            if m < lanes:  # the last lane has ended, and keeps its state
+                kept = [a[m:].copy() for a in (low, span, end, bit_end, held, n_held)]
+            unit = span >> 16
+            low += unit * begin[i]
+            unit *= size[i]
+            short = unit <= _LOW32
+            shift = short.astype(np.int64)
+            coded[end] = low >> 32
+            end += shift * lanes
+            mask = shift - 1
+            mask |= _LOW48
+            shift <<= 4
+            low <<= shift
+            low &= mask
+            np.left_shift(unit, shift, out=span)
+            held <<= n_bits[i]
+            held |= bit[i]
+            n_held += n_bits[i]
+            plain[bit_end] = held >> np.maximum(n_held - 16, 0)
+            bit_end += (n_held >> 4) * lanes
+            n_held &= 15
+            if m < lanes:
+                for a, was in zip((low, span, end, bit_end, held, n_held), kept):
+                    a[m:] = was
     tail = low + 65535
     coded[end], coded[end + lanes] = tail >> 32, tail >> 16 & 65535
     plain[bit_end] = held << (16 - n_held)
@@ -241,52 +321,89 @@ def decode(image: bytes) -> np.ndarray:
     if zlib.crc32(names) != names_crc:
         raise ValueError("checksum of the rank table doesn't hold")
     ranks = _Ranks.unpack(names)
-    flat = np.concatenate((np.frombuffer(image, "<u2", -1, 28 + 16 * lanes + n_names), np.zeros(4, "<u2"))).astype(np.int64)
+    flat = np.concatenate((np.frombuffer(image, "<u2", -1, 28 + 16 * lanes + n_names), np.zeros(4, "<u2")))
     sizes, end = table[:, 0], np.cumsum(table[:, 1] + table[:, 2])
     # words in the order (place, lane), as lanes stand at nearly the same place
     rows = lambda first, n: flat.take(np.add.outer(np.arange(n.max() + 4), first), mode="clip")
     words, plain = rows(end - table[:, 1] - table[:, 2], table[:, 1]), rows(end - table[:, 2], table[:, 2])
-    words, pairs = words.ravel(), (plain[:-1] << 16 | plain[1:]).ravel()
-    bits, start = _BITS, _START.astype(np.int32)
+    words, pairs = words.ravel(), (plain[:-1].astype(np.uint32) << 16 | plain[1:]).ravel()
+    bits, start = _BITS.astype(np.uint32), _START.astype(np.int32)
     model = _Model(lanes, ranks)
-    steps = [lanes << k for k in reversed(range(model.width.bit_length() - 1))]
-    next_word, next_bit = model.lane.copy(), np.zeros(lanes, np.int64)
+    lane, n = model.lane, model.n
+    # the slots of order 1 and then those of order 2
+    slots, of_order = np.full(2 * _SLOTS * lanes, _NONE, np.int32), np.stack((lane, lane + _SLOTS * lanes))
+    slot, last = of_order.copy(), np.zeros(lanes, np.int32)
+    next_word, next_pair, next_bit = lane.copy(), lane.copy(), np.zeros(lanes, np.uint32)
     code, span = np.zeros(lanes, np.int64), np.full(lanes, 1 << 48, np.int64)
     for _ in range(3):
         code = code << 16 | words.take(next_word, mode="clip")
         next_word += lanes
-    rows_at, grid = np.repeat(np.arange(model.width), lanes), np.zeros((block, lanes), np.int32)
-    top, last_place = len(ranks.ids) - 1, model.n * lanes - 1
-    for j in range(block):
-        m = lanes if j < sizes[-1] else lanes - 1
-        if not m:
-            break
+    steps, x = int(sizes.max()), np.empty((3, lanes), np.intp)
+    grid, top = np.zeros((_FRESH, lanes), np.int32), len(ranks.ids) - 1
+    names, flat = ranks.ids.astype("<u4"), np.empty((lanes, steps), "<u4")
+    # the last lane, once it has ended, goes on with a code of 0, and what it gives is left out
+    for j in range(steps):
+        if j >= sizes[-1]:
+            code[-1] = 0
         model.count(j)
-        model.look(m)
-        unit = span[:m] >> 16
-        value = np.minimum(code[:m] / unit, 65535).astype(np.int32)  # exact: both are below 2**53, and units below 2**33
-        hit, rest = -(value < model.p).astype(np.int32), -(value >= model.base).astype(np.int32)
-        goal = (((((value - model.base + 1) << 11) - 1) & rest) / model.left).astype(np.int32)  # exact, too
-        lane = model.lane[:m]
-        place = lane
-        for step in steps:
-            place = place + (model.sums.take(place + step, mode="clip") <= goal) * step
-        begin, size = model.bounds(place, hit, rest)
-        at = rows_at.take(place, mode="clip")
-        a, b = code[:m] - unit * begin, unit * size
-        short = (b <= _LOW32).astype(np.int64)
+        if not j % _FRESH:
+            inner = model.sums.reshape(n + 1, lanes)[1:n].astype(np.int16)
+        held = slots.take(slot, mode="clip")
+        first, second, share = model.guess(held, x)
+        weights, p = model.predict(x)
+        base = p + ((65536 - p) * share >> 12)
+        left = 65536 - base
+        unit = span >> 16
+        value = np.minimum(code / unit, 65535).astype(np.int32)  # exact: both are below 2**53, and units below 2**33
+        hit, rest = -(value < p).astype(np.int32), -(value >= base).astype(np.int32)
+        goal = (((((value - base + 1) << 11) - 1) & rest) / left).astype(np.int16)  # exact, too
+        at = np.add.reduce((inner <= goal).view(np.uint8), axis=0, dtype=np.uint8).astype(np.intp)
+        place = at * lanes
+        place += lane
+        begin, size = model.bounds(p, base, left, place, hit, rest)
+        code -= unit * begin
+        unit *= size
+        short = (unit <= _LOW32).astype(np.int64)
         shift = short << 4
-        code[:m] = (a << shift) | (words.take(next_word[:m], mode="clip") & -short)
-        span[:m] = b << shift
-        next_word[:m] += short * lanes
-        n, bit = bits.take(at, mode="clip") & rest, next_bit[:m]
-        offset = pairs.take((bit >> 4) * lanes + lane, mode="clip") >> (32 - (bit & 15) - n) & ((1 << n) - 1)
-        next_bit[:m] += n
-        now = ((start.take(at, mode="clip") + offset) & rest) | (model.first & hit) | (model.guess1 & ~(hit | rest))
-        now = np.minimum(np.maximum(now, 0), top).astype(np.int32)  # beyond these only in a damaged block
-        model.learn(m, now, np.minimum(place, last_place), hit, rest)
-        grid[j, :m] = now
-    flat = ranks.ids.astype("<u4").take(grid.T)
+        code <<= shift
+        code |= words.take(next_word, mode="clip") & -short
+        np.left_shift(unit, shift, out=span)
+        short *= lanes
+        next_word += short
+        n_bits = bits.take(at, mode="clip")
+        n_bits &= rest.view(np.uint32)
+        offset = pairs.take(next_pair, mode="clip")
+        offset <<= next_bit
+        offset >>= 32 - n_bits  # none where that is all of them
+        next_bit += n_bits
+        next_pair += (next_bit >> 4) * np.int64(lanes)
+        next_bit &= 15
+        now = offset.view(np.int32)
+        now += start.take(at, mode="clip")
+        now &= rest
+        now |= first & hit
+        now |= second & ~(hit | rest)
+        np.minimum(np.maximum(now, 0, out=now), top, out=now)  # beyond these only in a damaged block
+        model.learn(x, weights, hit, p)
+        model.met.append(np.where(rest, place, len(model.seen)))
+        # a rank met again runs on; elsewhere ``held`` is below its packed form, or 16 and more above
+        packed = now << 4
+        held -= packed
+        run = held.view(np.uint32)
+        run += 1
+        held *= run < 16
+        np.minimum(held, _RUN_END, out=held)
+        held += packed
+        slots[slot] = held
+        hashed = _hash(now)
+        np.multiply(hashed, lanes, out=slot[0])
+        np.multiply(hashed ^ last, lanes, out=slot[1])
+        slot += of_order
+        last = hashed * 21 + 7 & (_SLOTS - 1)
+        grid[j % _FRESH] = now
+        if j % _FRESH == _FRESH - 1 or j == steps - 1:
+            since = j - j % _FRESH
+            flat[:, since : j + 1] = names.take(grid[: j + 1 - since], mode="clip").T
     for k, n in enumerate(sizes.tolist()):
         if zlib.crc32(flat[k, :n]) != table[k, 3]:
             raise ValueError(f"checksum of block {k} doesn't hold")

@@ -236,3 +236,42 @@ def test_coder_adds_counts_late_and_alike():
     before = model.seen.copy()
     model.count(64)
     assert (model.seen - before).tolist() == [32] + [0] * (len(before) - 1) and not model.met
+
+
+def test_coder_looks_contexts_up_ahead(monkeypatch):
+    """op4_token_files: the encoder looks contexts up for many ids at once, and finds what going id by id does."""
+    import numpy as np
+
+    from priorflow.llm import id_coder
+
+    rng = np.random.default_rng(3)
+    for slots, ranks in ((5, 2), (1024, 300), (1, 1)):
+        slot, now = (rng.integers(0, n, (3, 400)).astype(np.int32) for n in (slots, ranks))
+        now[0, :200] = 1 << 17
+        got = id_coder._held(slot, now)
+        for lane in range(3):
+            packed = {}
+            for s, rank, found in zip(slot[lane].tolist(), now[lane].tolist(), got[lane].tolist()):
+                assert found == packed.get(s, -1)
+                packed[s] = rank << 4 | (min((found & 15) + 1, 14) if found >> 4 == rank else 0)
+
+    calls = []
+    guess = id_coder._Model.guess
+    monkeypatch.setattr(id_coder._Model, "guess", lambda self, *a: calls.append(1) or guess(self, *a))
+    ids = (rng.pareto(0.7, 5000) * 3).clip(0, 999).astype("<u4")
+    image = id_coder.encode(ids, 1000, 512)
+    assert len(calls) == 512 // 64
+    assert (id_coder.decode(image) == ids).all()
+
+
+def test_coder_last_lane_ends_alone():
+    """op4_token_files: a last lane that ends anywhere in its block leaves the others alone."""
+    import numpy as np
+
+    from priorflow.llm import id_coder
+
+    ids = (np.random.default_rng(4).pareto(0.6, 700) * 4).clip(0, 4999).astype("<u4")
+    for n in (*range(1, 140), 255, 256, 257, 511, 512, 513, 700):
+        assert (id_coder.decode(id_coder.encode(ids[:n], 5000, 64)) == ids[:n]).all()
+    for n in (257, 300, 511, 700):
+        assert (id_coder.decode(id_coder.encode(ids[:n], 5000, 256)) == ids[:n]).all()
