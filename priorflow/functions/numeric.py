@@ -39,6 +39,17 @@ def float_ratio(num: Column, den: Column) -> Column:
     return F.when(den != 0, num / den).when(den == 0, num * zero)
 
 
+def round_scaled(x: Column, n: int) -> Column:
+    """``x`` at ``n`` places as the SQL has it: scaled, halves away from zero, scaled back, with its sign.
+
+    Spark's own ``round`` goes by the printed digits, so a product that ends in a half by its
+    last bit may end one place lower. What is too large to be scaled stays as it is.
+    """
+    whole = F.round(x * F.lit(10.0**n), 0)
+    out = F.when(whole == 0, x * F.lit(0.0)).otherwise(whole / F.lit(10.0**n))
+    return F.when(F.isnan(out) | (F.abs(out) == float("inf")), x).otherwise(out)
+
+
 def no_nan(x: Column) -> Column:
     """NaN becomes NULL; used where floats enter or leave."""
     return F.when(~F.isnan(x), x)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .functions import text
+from .functions.numeric import round_scaled
 from .operators import quality, rules
 from .registry import query, r, table
 from .session import work_path
@@ -230,9 +231,10 @@ WITH m AS (SELECT user_id, event_type, max_by(value, event_id) AS closing FROM e
 SELECT event_id, round((value / closing - 1) * 100, 4) AS clv_pct, round(1 / closing - 1 / value, 8) AS prob_diff, value > closing AS beat_close FROM events JOIN m USING (user_id, event_type)""")
 def closing_values(spark, sf):
     e = _events(spark, sf)
-    move = e.groupBy("user_id", "event_type").agg(F.max_by("value", "event_id").alias("closing_odds"))
-    out = ledgers.clv(e, move, ["user_id", "event_type"], used="value")
-    return out.select("event_id", r("clv_pct", 4).alias("clv_pct"), r("prob_diff", 8).alias("prob_diff"), "beat_close")
+    priced = F.when(F.col("value").isNotNull(), F.col("event_id"))  # the SQL's max_by passes NULL prices over
+    move = e.groupBy("user_id", "event_type").agg(F.max_by("value", priced).alias("closing_odds"))
+    out = ledgers.clv(e, move, ["user_id", "event_type"], used="value", unpriced=True)
+    return out.select("event_id", round_scaled(F.col("clv_pct"), 4).alias("clv_pct"), round_scaled(F.col("prob_diff"), 8).alias("prob_diff"), "beat_close")
 
 
 @query("""

@@ -123,10 +123,11 @@ def odds_movement(snapshots: DataFrame, key: Sequence[str], cutoff: str | None =
     )
 
 
-def clv(predictions: DataFrame, movement: DataFrame, key: Sequence[str], used: str = "decimal_odds") -> DataFrame:
-    """clv_pct, prob_diff and beat_close of each prediction with a closing price."""
+def clv(predictions: DataFrame, movement: DataFrame, key: Sequence[str], used: str = "decimal_odds", unpriced: bool = False) -> DataFrame:
+    """clv_pct, prob_diff and beat_close of each prediction with a closing price; ``unpriced`` keeps those whose movement has none, with NULLs."""
     v = closing_line_value(F.col(used), F.col("closing_odds"))
-    out = predictions.join(movement, list(key)).filter(F.col("closing_odds").isNotNull())
+    out = predictions.join(movement, list(key))
+    out = out if unpriced else out.filter(F.col("closing_odds").isNotNull())
     return out.select("*", v["clv_pct"].alias("clv_pct"), v["prob_diff"].alias("prob_diff"), (F.col(used) > F.col("closing_odds")).alias("beat_close"))
 
 
