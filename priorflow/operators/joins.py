@@ -82,6 +82,27 @@ def opponent_pair(df: DataFrame, match: Sequence[str], own: str, other: str, sid
     return out.withColumn("_there", there).select(*df.columns, *[F.col(f"_there.c{i}").alias(prefix + c) for i, c in enumerate(columns)])
 
 
+def opponent_sent(df: DataFrame, match: Sequence[str], own: str, other: str, side: str, columns: Sequence[str], order: str, parts: int, prefix: str = "opponent_") -> DataFrame:
+    """As :func:`opponent_pair` for a table that stands by ``own`` in ``parts`` parts: each row sends
+    keys and those ``columns`` that are used to its opponent, and isn't shuffled itself.
+
+    Rows and what was sent to them are one union, whose two sides are dealt alike, and meet by
+    windows. Of a match that was delivered twice the row that is least by ``order`` is seen. What
+    makes ``columns`` runs for both sides, from one shuffle if both read the same columns of it.
+    """
+    names, kinds = [prefix + c for c in columns], dict(df.dtypes)
+    ends = {own: F.col(other), other: F.col(own), side: F.col(side), **{m: F.col(m) for m in match}}
+    sent = df.select(*[ends.get(c, F.lit(None).cast(kinds[c])).alias(c) for c in df.columns], F.lit(True).alias("_sent"), F.col(order).alias("_order"), *[F.col(c).alias(n) for c, n in zip(columns, names)])
+    kept = df.select("*", F.lit(False).alias("_sent"), F.lit(None).cast(kinds[order]).alias("_order"), *[F.lit(None).cast(kinds[c]).alias(n) for c, n in zip(columns, names)])
+    w = W.partitionBy(own, *match, other)
+    both = kept.unionAll(sent.repartition(parts, own)).select("*", F.min(side).over(w).alias("_first"), F.max(side).over(w).alias("_last"))
+    # one row at most of each side is least, as the order tells an entity's rows apart
+    of = lambda n, end: F.min_by(n, F.when(F.col("_sent") & (F.col(side) == F.col(end)), F.col("_order"))).over(w)
+    known = reduce(lambda a, b: a & b, [F.col(m).isNotNull() for m in match]) & (F.col("_first") != F.col("_last"))
+    seen = [F.when(known, F.when(F.col(side) == F.col("_first"), of(n, "_last")).otherwise(of(n, "_first"))).alias(n) for n in names]
+    return both.select(*df.columns, "_sent", *seen).filter(~F.col("_sent")).drop("_sent")
+
+
 def first_match(df: DataFrame, table: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Left join with the first row of each key in a small parameter table."""
     from .windows import first

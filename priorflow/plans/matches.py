@@ -15,7 +15,7 @@ from ..functions import distributions as dist
 from ..functions.numeric import EDGE_LEVELS, fair_odds, minimum_odds, nan_mean, safe_ratio
 from ..functions.scores import parse_score
 from ..functions.text import canonical_id, parse_day
-from ..operators.joins import mirror, opponent_pair, with_pair
+from ..operators.joins import mirror, opponent_pair, opponent_sent, with_pair
 from ..operators.windows import DEFAULT_WINDOWS, Prior, Timeline
 
 #: Statistics of a side in the raw table: suffix and name (fixed values).
@@ -124,11 +124,14 @@ def timeline() -> Timeline:
 TASK_ROWS = 100_000
 
 
+def parts(df: DataFrame, rows: int) -> int:
+    """As many parts as about ``rows`` rows need."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
+
+
 def dealt(df: DataFrame, rows: int | None, *keys: str) -> DataFrame:
     """``df`` by its keys in as many parts as about ``rows`` rows need; as it is if they aren't known."""
-    if rows is None:
-        return df
-    return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS)), *keys)
+    return df if rows is None else df.repartition(parts(df, rows), *keys)
 
 
 def profile(df: DataFrame, windows: Sequence[Prior] = tuple(DEFAULT_WINDOWS), rows: int | None = None) -> DataFrame:
@@ -141,11 +144,16 @@ def profile(df: DataFrame, windows: Sequence[Prior] = tuple(DEFAULT_WINDOWS), ro
     return t.sums(out, ["service_points", "return_points"], windows)
 
 
-def matchup(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """Opponents' rates, differences, and adjustment by the strength of opponents faced."""
+def matchup(df: DataFrame, rows: int | None = None, also: Sequence[str] = ()) -> DataFrame:
+    """Opponents' rates, differences, and adjustment by the strength of opponents faced.
+
+    With ``rows`` the table is one that :func:`dealt` has put by player: opponents' values are
+    sent there. ``also`` names columns that are wanted of opponents as they are, with _o_ before.
+    """
     own = [f"player_{k}_{m}_{w}" for w in HEADLINE for k, ms in (("serve", SERVE), ("return", RETURN)) for m in ms]
-    renamed = opponent_pair(df, ["match_id"], "player_id", "opponent_id", "result", own, prefix="_o_")
-    out = renamed.select(*df.columns, *[F.col(f"_o_{c}").alias(c.replace("player_", "opponent_", 1)) for c in own])
+    of = (df, ["match_id"], "player_id", "opponent_id", "result", [*own, *also])
+    renamed = opponent_pair(*of, prefix="_o_") if rows is None else opponent_sent(*of, "prior_matches_career", parts(df, rows), prefix="_o_")
+    out = renamed.select(*df.columns, *[F.col(f"_o_{c}").alias(c.replace("player_", "opponent_", 1)) for c in own], *[f"_o_{c}" for c in also])
     c = F.col
     diffs = []
     for w in HEADLINE:
@@ -155,7 +163,7 @@ def matchup(df: DataFrame, rows: int | None = None) -> DataFrame:
             (c(f"opponent_serve_ace_rate_{w}") - c(f"player_return_ace_allowed_rate_{w}")).alias(f"matchup_opp_ace_vs_player_allowed_{w}"),
             (c(f"opponent_serve_hold_pct_{w}") - c(f"player_return_break_pct_{w}")).alias(f"matchup_opp_hold_vs_player_break_{w}"),
         ]
-    out = dealt(out.select("*", *diffs), rows, "player_id")
+    out = out.select("*", *diffs)
     t, kinds = timeline(), {w.name: w for w in DEFAULT_WINDOWS}
     faced = {f"avg_{s}_faced_{w}": t.mean_of_present(c(f"{s}_{w}"), kinds[w]) for w in ADJUSTED for _, _, s, _, _ in ADJUSTMENTS}
     out = out.select("*", *[v.alias(k) for k, v in faced.items()])
@@ -217,12 +225,20 @@ def chain(facts: DataFrame, windows: Sequence[str] = ADJUSTED, rows: int | None
     """From player matches to features, predictions and targets.
 
     Three shuffles: by player for all windows, by match for opponents and totals, and by player
-    again, as averages over opponents faced need what those had before their matches.
+    again, as averages over opponents faced need what those had before their matches. Where the
+    number of ``rows`` is known there are two: facts by player, and of the windows only what
+    opponents need, which is sent to them. Own windows are worked out again from the first shuffle
+    then, as they are wider than the facts; a score is sent along so that both sides read the same.
     """
     base = isolated_predictions(profile(derived(facts), rows=rows), windows)
-    base = dealt(with_pair(base, "player_id", "opponent_id"), rows, "match_id")
-    base = total_predictions(base, [f"pred_aces_isolated_{w}" for w in windows])
-    return with_targets(adjusted_predictions(matchup(base, rows), windows)).drop("_pair_a", "_pair_b")
+    alone = [f"pred_aces_isolated_{w}" for w in windows]
+    if rows is None:
+        base = matchup(total_predictions(with_pair(base, "player_id", "opponent_id"), alone)).drop("_pair_a", "_pair_b")
+    else:
+        faced = matchup(base, rows, [*alone, "score"])
+        totals = [(F.col(c) + F.col(f"_o_{c}")).alias(f"total_{c}") for c in alone]
+        base = faced.withColumn("score", F.coalesce("score", "_o_score")).select("*", *totals).drop("_o_score", *[f"_o_{c}" for c in alone])
+    return with_targets(adjusted_predictions(base, windows))
 
 
 def with_grids(groups: DataFrame, r: str, mean: str, out: str = "grid") -> DataFrame:
