@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,7 +51,104 @@ def _only_in(a: str, b: str) -> Column:
     return own[0] + own[1] + own[2] + own[3]
 
 
-def close_candidates(left: DataFrame, right: DataFrame, group: str, cutoff: float) -> DataFrame:
+#: A name that meets more names than this by its rare q-grams is counted with all at once (fixed value).
+HEAVY = 2_000
+#: Names of each side that one task compares, and names of an index in it (fixed values).
+ASKED, KNOWN, INDEX = 1 << 16, 1 << 18, 1 << 16
+
+
+def _letters(names: np.ndarray, n: int) -> np.ndarray:
+    return names.astype(f"<U{n}").view("<u4").reshape(-1, n)
+
+
+def _codes(letters: np.ndarray, alphabet: np.ndarray, q: int) -> np.ndarray:
+    """Each place's q-gram as a number."""
+    at = np.searchsorted(alphabet, letters)
+    width = letters.shape[1] - q + 1
+    return sum(at[:, k : k + width] * len(alphabet) ** (q - 1 - k) for k in range(q))
+
+
+def count_met(asked: np.ndarray, known: np.ndarray, cutoff: float) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the pairs of names that share the q-grams which ``cutoff`` needs, at places that fit.
+
+    Matching blocks keep their order, so a gram at place i of one name, with ``m - matched`` letters
+    to spare, stands from ``i - (m - matched)`` to ``i + (n - matched)`` in the other. Lists of names
+    by gram and place are laid out in a row; a name's lists are slices of it, counted together. Of
+    its places only the rarest are looked up: leaving ``need - t`` out leaves ``t`` of ``need`` to be
+    found. What is found so often is held against all places.
+    """
+    found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+    lengths = {"asked": np.char.str_len(asked), "known": np.char.str_len(known)}
+    for n in np.unique(lengths["known"]).tolist():
+        rows = np.flatnonzero(lengths["known"] == n)
+        for part in (rows[k : k + INDEX] for k in range(0, len(rows), INDEX)):
+            theirs, made = _letters(known[part], n), {}
+            for m in np.unique(lengths["asked"]).tolist():
+                matched = int(np.ceil((m + n) * cutoff / 2 - 1e-9))
+                q = 2 if min(m, n) < 12 else 3
+                places, width = m - q + 1, n - q + 1
+                need = max(matched - (q - 1) * (m + n - 2 * matched + 1), 1)
+                if matched > min(m, n) or width < 1 or need > places:
+                    continue
+                if q not in made:
+                    alphabet = np.unique(theirs)
+                    codes = _codes(theirs, alphabet, q)
+                    grams, own = np.unique(codes, return_inverse=True)
+                    cell = (own.reshape(codes.shape) * width + np.arange(width)).ravel()
+                    ends = np.concatenate([[0], np.cumsum(np.bincount(cell, minlength=len(grams) * width))])
+                    made[q] = alphabet, codes, grams, ends, np.argsort(cell) // width
+                alphabet, codes, grams, ends, listed = made[q]
+                before, after, least = m - matched, n - matched, min(need, 6)
+                mine = np.flatnonzero(lengths["asked"] == m)
+                for batch in (mine[k : k + 4096] for k in range(0, len(mine), 4096)):
+                    letters = _letters(asked[batch], m)
+                    strange = ~np.isin(letters, alphabet)
+                    sought = _codes(np.where(strange, alphabet[0], letters), alphabet, q)
+                    gram = np.minimum(np.searchsorted(grams, sought), len(grams) - 1)
+                    there = (grams[gram] == sought) & ~sum(strange[:, k : k + places] for k in range(q)).astype(bool)
+                    sought = np.where(there, sought, -1)
+                    at = np.arange(places)
+                    first = ends[gram * width + np.clip(at - before, 0, width)]
+                    last = np.where(there, ends[gram * width + np.clip(at + after + 1, 0, width)], first)
+                    rare = np.argsort(last - first, axis=1, kind="stable")[:, : places - need + least]
+                    first, last = (np.take_along_axis(x, rare, 1).tolist() for x in (first, last))
+                    hits = []
+                    for lo, hi in zip(first, last):
+                        met = np.concatenate([listed[x:y] for x, y in zip(lo, hi)])
+                        met = met[np.bincount(met, minlength=1)[met] >= least]
+                        hits.append(np.array(sorted(set(met.tolist())), np.int64))
+                    who = np.repeat(np.arange(len(batch)), [len(h) for h in hits])
+                    other = np.concatenate(hits)
+                    near = (at[:, None] - np.arange(width) <= before) & (np.arange(width) - at[:, None] <= after)
+                    for k in range(0, len(who), 2048):
+                        w, o = who[k : k + 2048], other[k : k + 2048]
+                        good = ((sought[w][:, :, None] == codes[o][:, None, :]) & near).any(2).sum(1) >= need
+                        found.append((batch[w[good]], part[o[good]]))
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
+def _counted(heavy: DataFrame, right: DataFrame, group: str, cutoff: float) -> DataFrame:
+    """(group, norm, close) of names that meet many: all pairs of blocks of both sides, a block of each in a task."""
+    count = lambda df, n: df.groupBy(group).agg(F.count(F.lit(1)).alias(n))
+    cut = lambda n, size: F.ceil(F.col(n) / size).cast("int")
+    sizes = count(heavy, "_a").join(count(right, "_k"), group).select(group, cut("_a", ASKED).alias("_as"), cut("_k", KNOWN).alias("_ks"))
+    deal = lambda name, own, n: F.pmod(F.xxhash64(name), F.col(n)).cast("int").alias(own)
+    every = lambda own, n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(own)
+    keys, parts = ["_g", "_a", "_k"], 4 * int(heavy.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = heavy.join(F.broadcast(sizes), group).select(F.col(group).alias("_g"), "norm", deal("norm", "_a", "_as"), every("_k", "_ks")).repartition(parts, *keys)
+    known = right.join(F.broadcast(sizes), group).select(F.col(group).alias("_g"), "close", deal("close", "_k", "_ks"), every("_a", "_as")).repartition(parts, *keys)
+    schema = T.StructType([heavy.schema[group], T.StructField("norm", T.StringType()), T.StructField("close", T.StringType())])
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        a, b = left["norm"].combine_chunks(), right["close"].combine_chunks()
+        i, j = count_met(*(np.array(x.to_pylist(), dtype=str) if len(x) else np.empty(0, "<U1") for x in (a, b)), cutoff)
+        which = left["_g"].combine_chunks() if left.num_rows else right["_g"].combine_chunks()
+        return pa.table({group: which.take(pa.array(np.zeros(len(i), np.int64))), "norm": a.take(pa.array(i)), "close": b.take(pa.array(j))})
+
+    return asked.groupBy(*keys).cogroup(known.groupBy(*keys)).applyInArrow(meet, schema)
+
+
+def close_candidates(left: DataFrame, right: DataFrame, group: str, cutoff: float, crowded: bool = False) -> DataFrame:
     """(group, norm, close): all pairs whose similarity may reach the cutoff; none of unequal names that does is lost.
 
     A similarity of ``cutoff`` leaves ``e <= (1 - cutoff) * (m + n)`` letters of both names
@@ -61,6 +159,10 @@ def close_candidates(left: DataFrame, right: DataFrame, group: str, cutoff: floa
     as the least number over all partners' lengths needs (prefix filter). What meets is held
     against the number of shared 2-grams by sets of bits, before any name is compared. Joins
     of names are merges, as no table of names is small.
+
+    Names whose rare q-grams are many names' would make a row for each of these; where tables
+    are ``crowded`` with such names they are counted in blocks (:func:`count_met`), at the price
+    of a plan that reads ``left`` more often. The pairs that are close are in both.
     """
     reach = (2 - cutoff) / cutoff  # longest length a name may have, as a multiple of the other's
 
@@ -87,19 +189,27 @@ def close_candidates(left: DataFrame, right: DataFrame, group: str, cutoff: floa
     ranked = long.join(often.hint("merge"), [group, "q", "gram"]).groupBy(group, "side", "name", "len", "q", "shared", "repeats").agg(F.array_sort(F.collect_list(F.struct("often", "gram"))).alias("rare"))
     # grams that no name of the other side has would come first, so they use up places
     room = F.size("rare") - F.greatest(F.col("shared") - F.col("repeats"), F.lit(1)) + 1
-    rare = ranked.withColumn("bits", _bits("name")).select(group, "side", "name", "len", "q", "bits.*", F.explode(F.slice("rare", 1, F.greatest(room, F.lit(0)).cast("int"))).alias("_g"))
+    ranked = ranked.withColumn("rare", F.slice("rare", 1, F.greatest(room, F.lit(0)).cast("int")))
+    if crowded:
+        # no row is lost by the filter; the joins below ask for it, and so one shuffle does for both kinds
+        ranked = ranked.filter(F.col(group).isNotNull() & F.col("q").isNotNull()).withColumn("heavy", (F.col("side") == 0) & (F.aggregate("rare", F.lit(0).cast("long"), lambda n, x: n + x["often"]) > HEAVY))
+        heavy = ranked.filter("heavy").select(group, F.col("name").alias("norm")).distinct()
+        ranked = ranked.filter(~F.col("heavy"))
+    rare = ranked.withColumn("bits", _bits("name")).select(group, "side", "name", "len", "q", "bits.*", F.explode("rare").alias("_g"))
     side = lambda k, name, n, own: rare.filter(f"side = {k}").select(group, "q", F.col("_g.gram").alias("gram"), F.col("name").alias(name), F.col("len").alias(n), *[F.col(w).alias(own + w) for w in _WORDS])
     total = F.col("m") + F.col("n")
     alike = (_only_in("a", "b") <= F.col("m") - 1 - needed(total, 2)) & (_only_in("b", "a") <= F.col("n") - 1 - needed(total, 2))
     pairs = side(0, "norm", "m", "a").join(side(1, "close", "n", "b").hint("merge"), [group, "q", "gram"]).filter(near & alike)
-    return pairs.select(group, "norm", "close").distinct()
+    pairs = pairs.select(group, "norm", "close")
+    return (pairs.unionByName(_counted(heavy, right.select(group, "close"), group, cutoff)) if crowded else pairs).distinct()
 
 
-def resolve_names(requests: DataFrame, players: DataFrame, group: str, raw: str, ident: str, name: str, cutoff: float = CUTOFF) -> DataFrame:
+def resolve_names(requests: DataFrame, players: DataFrame, group: str, raw: str, ident: str, name: str, cutoff: float = CUTOFF, crowded: bool = False) -> DataFrame:
     """``requests`` with resolved_id, method, matched_name and n_candidates.
 
     Each level joins on pre-aggregated keys. The fuzzy level compares only what
-    :func:`close_candidates` leaves, and accepts only if the three closest names are one id.
+    :func:`close_candidates` leaves, and accepts only if the three closest names are one id; ``crowded`` is for tables of
+    many names that are made of the same few q-grams.
     """
     index = name_index(players, group, ident, name)
     asked = requests.select(group, raw).distinct().withColumn("norm", normalize_name(F.col(raw)))
@@ -115,7 +225,7 @@ def resolve_names(requests: DataFrame, players: DataFrame, group: str, raw: str,
 
     left = out.filter(F.col("exact_ids").isNull() & F.col("alias_ids").isNull() & (F.col("norm") != "")).select(group, "norm")
     names = index.groupBy(group, "norm").agg(F.collect_set(ident).alias("ids")).withColumnRenamed("norm", "close")
-    pairs = close_candidates(left, names.select(group, "close"), group, cutoff).join(names.hint("merge"), [group, "close"])
+    pairs = close_candidates(left, names.select(group, "close"), group, cutoff, crowded).join(names.hint("merge"), [group, "close"])
 
     @F.pandas_udf("double")
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
